@@ -19,12 +19,25 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_tables(spark, sf_dir)("documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pagediff import main_text
+
+    return main_text(_tables(spark, sf_dir)("pages"))
+
+
 def op3_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vafile import top_k
 
     return top_k(_tables(spark, sf_dir)("embeddings"))
 
 
+def op5_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranking import classify
+
+    t = _tables(spark, sf_dir)
+    return classify(t("documents"), t("labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive
 
