@@ -25,6 +25,12 @@ def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_tables(spark, sf_dir)("pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import digests
+
+    return digests(_tables(spark, sf_dir)("documents"))
+
+
 def op3_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vafile import top_k
 
