@@ -18,7 +18,6 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,18 +141,21 @@ _NONE = np.zeros(0, np.int64)
 def search(index: DataFrame, block: list[tuple[int, list[str]]]) -> DataFrame:
     """shard, doc (in the shard), window, start, length: every occurrence of a block's windows."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = pdf["shard"].iloc[0]
-        lists = {t: np.frombuffer(p, np.int64) for t, p in zip(pdf["term"], pdf["places"])}
-        out = []
+    def run(own: pa.Table) -> pa.Table:
+        shard = own.column("shard")[0].as_py()
+        lists = {t: np.frombuffer(p, np.int64) for t, p in zip(own.column("term").to_pylist(), own.column("places").to_pylist())}
+        docs, numbers, starts, lengths = [_NONE], [_NONE], [_NONE], [_NONE]
         for number, terms in block:
             if all(t in lists for t in terms):
-                starts = find(lists, terms)
-                if len(starts):
-                    out.append(pd.DataFrame({"shard": shard, "doc": starts >> 32, "window": number, "start": starts & 0xFFFFFFFF, "length": len(terms)}))
-        return pd.concat(out) if out else pd.DataFrame({"shard": [], "doc": [], "window": [], "start": [], "length": []})
-
-    return index.where("term is not null").select("shard", "term", "places").groupBy("shard").applyInPandas(run, "shard string, doc long, window long, start long, length long")
+                found = find(lists, terms)
+                docs.append(found >> 32)
+                starts.append(found & 0xFFFFFFFF)
+                numbers.append(np.full(len(found), number, np.int64))
+                lengths.append(np.full(len(found), len(terms), np.int64))
+        docs = np.concatenate(docs)
+        return pa.table({"shard": pa.array([shard] * len(docs), pa.string()), "doc": docs, "window": np.concatenate(numbers), "start": np.concatenate(starts), "length": np.concatenate(lengths)})
+
+    return index.where("term is not null").select("shard", "term", "places").groupBy("shard").applyInArrow(run, "shard string, doc long, window long, start long, length long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_windows: int = BLOCK_WINDOWS, terms_sent: int = TERMS_SENT) -> DataFrame:
