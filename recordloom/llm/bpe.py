@@ -226,7 +226,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             decoded = ["".join(own.decode_stream(x)) for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*b.column_names[:-1], "ids", "decoded"])
 
-    src = docs.select(id_col, *keep, text_or_empty(text_col).alias("_text"))
+    src = docs.select(id_col, *keep, text_or_empty(text_col).alias("_bpe_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     return src.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
 

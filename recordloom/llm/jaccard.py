@@ -189,3 +189,13 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     of_class = written(rooted.join(of_root, "root").select("class", "_of"), "of_class")
     full = rows.where("n > 0").join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("_of").alias("component_id"))
     return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def without_linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` but those that link to one of a lower doc_id; of rows that repeat an id and a text one stays."""
+    links = written(link_documents(docs, words, percent), "document_links")
+    gone = links.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    few = gone.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    repeats = links.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept

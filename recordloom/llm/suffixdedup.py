@@ -313,6 +313,11 @@ def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] =
     return joined.mapInArrow(run, f"{fields}, data binary, removed array<array<long>>")
 
 
+def kept_text(data: bytes, removed: list[list[int]]) -> str:
+    """What is left as text: a character of which a byte went goes whole."""
+    return kept_bytes(data, removed).decode("utf-8", "ignore")
+
+
 def kept_bytes(data: bytes, removed: list[list[int]]) -> bytes:
     out, at = [], 0
     for s, e in removed:
