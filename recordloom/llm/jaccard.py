@@ -4,10 +4,11 @@ All n-grams have a global order, by their 64-bit hash; it is cut into FRAGMENTS
 overlaps of equal fragments are counted apart and summed. Documents with equal sets form one class and only classes are joined, so copies cost nothing.
 
 Candidates. (1) Of each class the first n-grams of the order are taken, so many that linked classes must have a tenth of a set in common among them; a class that has fewer n-grams in
-common there with any other is done. (2) Of the classes left, n-grams of one class only can't overlap; a class that they make up too much of is done too. (3) Classes are compared with hubs that they share a least
-rehashed n-gram with; what links gives first components. (4) What may still link are classes of different components: these are joined on the prefix by ascending frequency, under the length and
-position filters. N-grams whose classes are all in one component are left out, so a group of near copies that hubs have joined already makes no pairs.
-No step has a cap; (3) only spares (4) work.
+common there with any other is done. (2) Of the classes left, n-grams of one class only can't overlap; a class that they make up too much of is done too. (3) Classes are compared with some
+hubs of those that share a least rehashed n-gram, typical ones and any; what links gives first components. (4) What may still link are classes of different components: these are joined on the prefix by ascending frequency, under the filters of length,
+position and parity signature. N-grams whose classes are all in one component are left out, so a group of near copies that hubs have joined already makes no pairs.
+No step has a cap: (4) finds every link between
+components whatever the hubs have joined; (3) only spares it work.
 
 Results: see ``link_documents``. Null or empty texts have no n-gram and link with nothing. Very long texts are hashed whole. Ids may repeat: each row is a document. Other columns are not read.
 Sets and classes are told apart by 64-bit hashes.
@@ -15,6 +16,8 @@ Sets and classes are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import release_shuffles, text_or_empty, written
 
-FRAGMENTS, HUBS = 4, 3
+FRAGMENTS, ROUNDS, KEYS, HUBS = 4, 2, 3, 48
 #: Classes (16 bytes each) up to which the list of those left is broadcast to the scan of texts; beyond it, the join shuffles.
 BROADCAST_CLASSES = 500_000
 _CHUNK = 1 << 21
@@ -127,6 +130,16 @@ def _verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent:
     return total.join(of("a"), "a").join(of("b"), "b").where(f"100 * _o >= {percent} * (n_a + n_b - _o)").select("a", "b")
 
 
+def _rehashed(k: int):
+    return lambda x: F.xxhash64(x["gram"], F.lit(k))
+
+
+def _may_link(percent: int) -> str:
+    """Filters that no linked pair fails. The sets' sizes; and n-grams that only one of them has: at least those that no other class has, and an odd number in each place of the signature where the parities differ."""
+    differ = "alone_x + alone_y + " + " + ".join(f"bit_count(s{i}_x ^ s{i}_y)" for i in range(4))
+    return f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) and {differ} <= n_x + n_y - 2 * ceil({percent} * (n_x + n_y) / {100 + percent})"
+
+
 def class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, class) of all documents, and (node, root): the components of linked classes."""
     spark = docs.sparkSession
@@ -149,7 +162,12 @@ def class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     whole = written(whole.dropDuplicates(["class"]).select("class", "n", "grams"), "sets")
     grams = whole.select("class", "n", F.explode("grams").alias("gram"))
     common = written(_common(grams.select("class", "gram")), "common_grams")
-    kept = grams.join(common, "gram").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order"))
+    at = F.pmod(F.xxhash64("gram"), F.lit(256)).cast("int")
+    word, bit = F.floor(at / 64), at % 64
+    kept = grams.join(common, "gram").groupBy("class", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order"), F.avg("df").alias("typical"),
+        *(F.coalesce(F.bit_xor(F.when(word == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit))), F.lit(0).cast("long")).alias(f"s{i}") for i in range(4)),
+    )
     kept = written(kept.where(f"100 * size(order) >= {percent} * n"), "kept")
     release_shuffles(spark)
     sizes = kept.select("class", "n")
@@ -157,23 +175,37 @@ def class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     fragment = F.floor(F.col("g.gram") / F.lit(float(step)))
     segments = kept.select("class", F.explode("order").alias("g")).select("class", fragment.alias("fragment"), F.col("g.gram").alias("gram")).groupBy("class", "fragment").agg(F.collect_list("gram").alias("grams"))
     segments = written(segments, "segments")
-    hubs = None
-    for r in range(HUBS):
-        keyed = kept.select("class", "n", F.array_min(F.transform("order", lambda x, r=r: F.xxhash64(x["gram"], F.lit(r)))).alias("key"))
-        hub = written(keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", F.lit(r)), F.col("class").alias("c"), F.col("n").alias("m"))).alias("h")).select("key", F.col("h.c").alias("hub"), F.col("h.m").alias("m")), "hubs")
-        pairs = keyed.join(hub, "key").where(f"class <> hub and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
-        hubs = pairs if hubs is None else hubs.unionByName(pairs)
-    links = written(_verified(hubs.distinct(), segments, sizes, percent), "hub_links")
-    joined = components(links)
-    at = kept.join(joined, F.col("class") == F.col("node"), "left").select("class", "n", F.coalesce("root", "class").alias("root"), "order")
-    alone = F.col("n") - F.size("order")
-    prefix = at.select("class", "n", "root", alone.alias("_alone"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int"))).alias("_p", "_g"))
-    prefix = written(prefix.select("class", "n", "root", F.col("_g.gram").alias("gram"), (F.col("_p") + F.col("_alone")).alias("place")), "frequency_prefixes")
+    signed = ["class", "n", (F.col("n") - F.size("order")).alias("alone"), "s0", "s1", "s2", "s3"]
+    of = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
+    signed = ["class", "n", (F.col("n") - F.size("order")).alias("alone"), "s0", "s1", "s2", "s3"]
+    of = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
+    joined = None
+    for r in range(ROUNDS):
+        # classes of a key have about one size; the next round's bounds of sizes lie between
+        size = F.floor(F.log("n") / -math.log(percent / 100) + r / ROUNDS)
+        keys = F.array(*(F.xxhash64(size, F.array_min(F.transform("order", _rehashed(k)))) for k in range(r * KEYS, (r + 1) * KEYS)))
+        root = kept.withColumn("root", F.col("class")) if joined is None else kept.join(joined, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+        keyed = written(root.select(*signed, "typical", "root", keys.alias("keys")), "keyed")
+        keyed = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(HUBS - 1))).alias("hub")).withColumn("key", F.get("keys", F.col("hub") % KEYS)).drop("keys")
+        # in the first round the first hubs of a key are its most typical classes, all others are any
+        rank = F.when((F.col("hub") < KEYS) & F.lit(r == 0), F.col("typical")).otherwise(F.lit(0.0))
+        columns = ["class", "n", "alone", "s0", "s1", "s2", "s3", "root"]
+        hub = keyed.groupBy("hub", "key").agg(F.max(F.struct(rank, F.xxhash64("class", "hub", F.lit(r)), *columns)).alias("h"))
+        hub = written(hub.select("hub", "key", *(F.col(f"h.{c}") for c in columns)), "hubs")
+        pairs = of(keyed.drop("typical"), "x").join(of(hub, "y"), (F.col("key_x") == F.col("key_y")) & (F.col("hub_x") == F.col("hub_y")))
+        pairs = pairs.where(f"root_x <> root_y and {_may_link(percent)}").select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b"))
+        links = written(_verified(pairs.distinct(), segments, sizes, percent), "hub_links")
+        joined = components(links if joined is None else joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+    reach = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).cast("int")
+    names = ["class", "n", "alone", "s0", "s1", "s2", "s3", "root"]
+    rooted = kept.join(joined, F.col("class") == F.col("node"), "left").select(*signed, F.coalesce("root", "class").alias("root"), "order")
+    prefix = rooted.select(*names, F.posexplode(F.slice("order", F.lit(1), reach)).alias("_p", "_g"))
+    prefix = written(prefix.select(*names, F.col("_g.gram").alias("gram"), (F.col("_p") + F.col("alone")).alias("place")), "frequency_prefixes")
     apart = written(prefix.groupBy("gram").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("gram"), "grams_apart")
     prefix = written(prefix.join(apart, "gram", "left_semi"), "open_prefixes")
-    x, y = (prefix.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "root", "place"))) for s in "xy")
-    open_ = x.join(y, "gram").where(
-        f"class_x < class_y and root_x <> root_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) and (100 + {percent}) * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)"
+    x, y = of(prefix, "x"), of(prefix, "y")
+    open_ = x.join(y, F.col("gram_x") == F.col("gram_y")).where(
+        f"class_x < class_y and root_x <> root_y and {_may_link(percent)} and (100 + {percent}) * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)"
     )
     rest = written(_verified(open_.select(F.col("class_x").alias("a"), F.col("class_y").alias("b")).distinct(), segments, sizes, percent), "prefix_links")
     return rows, components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
