@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import bpe, jaccard, positional, ranking, suffixdedup
-from recordloom.llm.shared import text_or_empty, written
+from recordloom.llm.shared import text_batches, text_or_empty, written
 
 #: Least quality score; bytes of a repeated string; words of a benchmark window.
 CUT, REPEATED_BYTES, WINDOW_WORDS = 0.3, 200, 10
@@ -55,7 +55,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("_text")).alias("round_trip"))
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("decontaminate", decontaminate), ("encode", encode)]
+def _in_batches(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        text_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _in_batches(f)) for f in (quality, near_duplicates, repeats, decontaminate, encode)]
 
 #: Not expressible: the first stage fits a model.
 ORACLE_SQL = None

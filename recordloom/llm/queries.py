@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import text_batches
+
 
 def _tables(spark: SparkSession, sf_dir: str):
+    text_batches(spark)
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -141,11 +141,13 @@ def score(docs: DataFrame, model: Ranking, keep: tuple[str, ...] = ("doc_id",),
     """The kept columns and a score of every row."""
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in b.column(len(b.schema) - 1).to_pylist()]).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(x) if len(x) else [], pa.float64())], [*b.schema.names[:-1], name])
+            x = np.array([features(t or "") for t in b.column(at).to_pylist()]).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(model.scores(x) if len(x) else [], pa.float64())], [*keep, name])
 
-    src = docs.select(*keep, text_or_empty().alias("_score_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    # a kept text is not sent twice
+    at = keep.index("text") if "text" in keep else len(keep)
+    src = docs.select(*keep) if "text" in keep else docs.select(*keep, text_or_empty().alias("_score_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)])
     return src.mapInArrow(run, f"{fields}, {name} double")
 
 

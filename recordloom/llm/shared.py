@@ -38,6 +38,13 @@ def release_shuffles(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python workers in batches of so many rows at most: the usual 10000 take too much memory if texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
