@@ -1 +1,160 @@
-"""x"""
+"""Queries of measurement, budgets and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from recordloom.operators import budget, measure
+from recordloom.operators.extraction import cost, estimated_tokens
+from recordloom.plans.mapping import MERGED, PROPOSALS, REQUESTS, TIMINGS, fields, proposals, requests, timings
+from recordloom.plans.registry import query
+from recordloom.streaming import events as streams
+
+
+@query(f"""WITH {TIMINGS}, f AS (SELECT * FROM t WHERE finished_at IS NOT NULL AND active_seconds > 0 AND arm IN ('manual', 'tool')),
+g AS (SELECT coalesce(quantile_cont(active_seconds, 0.5) FILTER (WHERE arm = 'manual'), 0.0) AS manual_median, coalesce(quantile_cont(active_seconds, 0.5) FILTER (WHERE arm = 'tool'), 0.0) AS tool_median, count(DISTINCT participant) AS participants FROM f)
+SELECT *, CASE WHEN manual_median > 0 THEN round((manual_median - tool_median) / manual_median * 100, 1) ELSE 0.0 END AS reduction_percent FROM g""")
+def arm_comparison(t) -> DataFrame:
+    return measure.comparison(timings(t))
+
+
+@query(f"""WITH {TIMINGS}, f AS (SELECT * FROM t WHERE finished_at IS NOT NULL AND active_seconds > 0 AND arm IN ('manual', 'tool'))
+SELECT arm, count(*) AS n, quantile_cont(active_seconds, 0.5) AS median_seconds, CAST(sum(active_seconds) AS BIGINT) AS total_seconds, round(avg(accuracy), 8) AS mean_accuracy FROM f GROUP BY arm""")
+def arm_statistics(t) -> DataFrame:
+    return measure.arm_statistics(measure.finished(timings(t))).withColumn("mean_accuracy", F.round("mean_accuracy", 8))
+
+
+@query(f"""WITH {TIMINGS} SELECT arm, count(*) AS documents, quantile_cont(active_seconds, 0.5) AS median_seconds, CAST(sum(active_seconds) AS BIGINT) AS total_seconds, min(active_seconds) AS least_seconds, max(active_seconds) AS most_seconds,
+string_agg(DISTINCT coalesce(participant, 'unknown'), ',' ORDER BY coalesce(participant, 'unknown')) AS participants, count(DISTINCT coalesce(participant, 'unknown')) < 3 AS few_participants FROM t WHERE arm IS NOT NULL GROUP BY arm""")
+def eval_report(t) -> DataFrame:
+    return measure.report(timings(t).where("arm is not null"))
+
+
+@query(f"WITH {TIMINGS} SELECT participant, arm, count(*) AS n, quantile_cont(active_seconds, 0.5) AS median_seconds FROM t GROUP BY participant, arm")
+def per_participant(t) -> DataFrame:
+    return measure.per_participant(timings(t))
+
+
+@query(f"WITH {TIMINGS} SELECT participant, document_id, count(*) AS times FROM t GROUP BY participant, document_id HAVING count(*) > 1")
+def repeated_work(t) -> DataFrame:
+    return measure.repeated_work(timings(t))
+
+
+@query("""SELECT CASE WHEN strlen(text) > 10000 THEN 'large' WHEN strlen(text) > 1000 THEN 'medium' ELSE 'small' END AS size_band, count(*) AS n, round(quantile_cont(strlen(text) / 100.0 + doc_id % 10, 0.95), 6) AS p95_seconds FROM documents GROUP BY 1""")
+def p95_latency_band(t) -> DataFrame:
+    size = F.octet_length("text")
+    return measure.latency(t.documents.select(size.alias("size_bytes"), (size / 100.0 + F.col("doc_id") % 10).alias("seconds"))).withColumn("p95_seconds", F.round("p95_seconds", 6))
+
+
+@query(f"""WITH {MERGED}, f AS (SELECT m.document_id, m.path, m.value, o.o_orderstatus AS truth FROM m LEFT JOIN orders o ON m.document_id = o.o_orderkey AND m.path = '/linestatus' WHERE m.path <> '/quantity'),
+e AS (SELECT o_orderkey AS document_id, '/linestatus' AS path, o_orderstatus AS value FROM orders)
+SELECT coalesce(a.path, b.path) AS path, count(*) FILTER (WHERE a.value = b.value) AS hits, count(a.value) AS found, count(b.value) AS expected,
+CASE WHEN count(a.value) > 0 THEN count(*) FILTER (WHERE a.value = b.value) / count(a.value) END AS precision, CASE WHEN count(b.value) > 0 THEN count(*) FILTER (WHERE a.value = b.value) / count(b.value) END AS recall
+FROM (SELECT document_id, path, value FROM f) a FULL JOIN e b ON a.document_id = b.document_id AND a.path = b.path GROUP BY 1""")
+def field_precision_recall(t) -> DataFrame:
+    truth = t.orders.select(F.col("o_orderkey").alias("document_id"), F.lit("/linestatus").alias("path"), F.col("o_orderstatus").alias("value"))
+    return measure.against_truth(fields(t).where("path <> '/quantity'"), truth)
+
+
+@query(f"""WITH {MERGED} SELECT CASE path WHEN '/quantity' THEN 'integer' ELSE 'string' END AS type, count(*) AS n, round(avg(CASE WHEN is_conflict THEN 1 ELSE 0 END), 8) AS rate FROM m GROUP BY 1""")
+def correction_rate(t) -> DataFrame:
+    f = fields(t).select("path", F.when(F.col("is_conflict"), "x").alias("corrected_from"))
+    types = t.spark.createDataFrame([("/returnflag", "string"), ("/linestatus", "string"), ("/quantity", "integer")], "path string, type string")
+    return measure.correction_rate(f, F.broadcast(types)).withColumn("rate", F.round("rate", 8))
+
+
+@query(f"WITH {MERGED} SELECT document_id, round((count(*) - count(*) FILTER (WHERE is_conflict)) / count(*), 8) AS accuracy FROM m GROUP BY document_id")
+def review_accuracy(t) -> DataFrame:
+    f = fields(t).select("document_id", F.when(F.col("is_conflict"), "x").alias("corrected_from"))
+    return measure.review_accuracy(f).withColumn("accuracy", F.round("accuracy", 8))
+
+
+@query("SELECT source, count(*) AS n, round(sum((n_chars // 4 + 500) * 3e-6 + (n_chars // 100) * 15e-6), 8) AS cost FROM documents GROUP BY source")
+def cost_per_source(t) -> DataFrame:
+    one = cost(estimated_tokens(F.col("n_chars"), 500), F.floor(F.col("n_chars") / 100))
+    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum(one), 8).alias("cost"))
+
+
+@query("SELECT doc_id, round((n_chars // 4 + 1000) * 3e-6 + (n_chars // 100) * 15e-6, 8) AS cost FROM documents")
+def cost_per_document(t) -> DataFrame:
+    return t.documents.select("doc_id", F.round(cost(estimated_tokens(F.col("n_chars"), 1000), F.floor(F.col("n_chars") / 100)), 8).alias("cost"))
+
+
+@query("SELECT count(*) AS documents, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 3.6e9, 6) AS per_hour FROM events")
+def throughput_per_hour(t) -> DataFrame:
+    return measure.throughput(t.events.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("per_hour", F.round("per_hour", 6))
+
+
+@query(f"""WITH {REQUESTS}, c AS (SELECT *, sum(1) OVER (ORDER BY request_id) AS cr, sum(tokens) OVER (ORDER BY request_id) AS ct FROM q)
+SELECT request_id, tokens, cost, round(greatest(0.0, (cr - 50) / (50 / 60.0), (ct - 100000) / (100000 / 60.0)), 6) AS start_s, CAST(floor(greatest(0.0, (cr - 50) / (50 / 60.0), (ct - 100000) / (100000 / 60.0)) / 60) AS BIGINT) AS minute FROM c""")
+def token_slots(t) -> DataFrame:
+    return budget.token_slots(requests(t), ["request_id"]).withColumn("start_s", F.round("start_s", 6))
+
+
+@query(f"""WITH {REQUESTS}, c AS (SELECT *, request_id % 4 AS lane, count(*) OVER (PARTITION BY request_id % 4 ORDER BY request_id) AS cr, sum(tokens) OVER (PARTITION BY request_id % 4 ORDER BY request_id) AS ct FROM q)
+SELECT request_id, lane, round(greatest(0.0, (cr - 12.5) / (12.5 / 60.0), (ct - 25000) / (25000 / 60.0)), 6) AS start_s FROM c""")
+def lane_slots(t) -> DataFrame:
+    return budget.lane_slots(requests(t), "request_id", ["request_id"], 4).select("request_id", "lane", F.round("start_s", 6).alias("start_s"))
+
+
+@query(f"WITH {REQUESTS} SELECT request_id, tokens, cost, coalesce(sum(CAST(round(cost * 1e6) AS BIGINT)) OVER (ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000000 AS admitted FROM q")
+def cost_ceiling(t) -> DataFrame:
+    exact = requests(t).withColumn("_cost", F.col("cost")).withColumn("cost", F.round(F.col("cost") * 1e6).cast("long"))
+    return budget.admitted(exact, ["request_id"], 1_000_000).select("request_id", "tokens", F.col("_cost").alias("cost"), "admitted")
+
+
+@query("SELECT doc_id, n_chars // 4 + 500 AS estimated, n_chars // 3 AS actual, greatest(n_chars // 4 + 500 - n_chars // 3, 0) AS refund FROM documents")
+def token_refunds(t) -> DataFrame:
+    return budget.refunds(t.documents.select("doc_id", estimated_tokens(F.col("n_chars"), 500).alias("estimated"), F.floor(F.col("n_chars") / 3).alias("actual")))
+
+
+@query(f"WITH {REQUESTS} SELECT request_id, tokens, 'oversize_request' AS reason FROM q WHERE tokens > 2000")
+def oversize_requests(t) -> DataFrame:
+    return budget.oversize(requests(t), 2000).select("request_id", "tokens", "reason")
+
+
+@query(f"""WITH {REQUESTS}, c AS (SELECT *, sum(1) OVER (ORDER BY request_id) AS cr, sum(tokens) OVER (ORDER BY request_id) AS ct FROM q), s AS (SELECT *, greatest(0.0, (cr - 50) / (50 / 60.0), (ct - 100000) / (100000 / 60.0)) AS start_s FROM c),
+g AS (SELECT count(*) AS requests, count(*) FILTER (WHERE start_s > 0) AS throttled, round(max(start_s), 2) AS wait_s, round(sum(cost), 4) AS cost FROM s) SELECT *, 50.0 AS ceiling, CASE WHEN wait_s > 0 THEN round(requests / (wait_s / 60), 4) END AS per_minute FROM g""")
+def limiter_statistics(t) -> DataFrame:
+    return budget.limiter_statistics(budget.token_slots(requests(t), ["request_id"]))
+
+
+def _event_stream(t) -> DataFrame:
+    schema = t.events.schema
+    return streams.from_files(t.spark, t.folder, "events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_event_counts(t) -> DataFrame:
+    counts = streams.counts_by_window(_event_stream(t), "ts", "1 day", "event_type")
+    return streams.drained(counts, "complete").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")
+def latest_state(t) -> DataFrame:
+    return streams.drained(streams.latest_by_key(_event_stream(t), "user_id", "ts", "event_type"), "complete")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
+def stream_landing(t) -> DataFrame:
+    return streams.landed(_event_stream(t), "event_id", ["user_id", "event_id"])
+
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def typed_events(t) -> DataFrame:
+    parsed = streams.typed(t.events.select("event_type", F.col("props").alias("value")).withColumnRenamed("event_type", "kind"), "k long")
+    return parsed.groupBy(F.col("kind").alias("event_type"), "k").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type) AS place FROM events)
+SELECT user_id, event_id FROM (SELECT *, lag(place) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM s) WHERE place < before""")
+def state_regressions(t) -> DataFrame:
+    at = F.array_position(F.array(*map(F.lit, ["signup", "view", "click", "purchase", "error"])), F.col("event_type"))
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return t.events.select("user_id", "event_id", at.alias("at")).withColumn("before", F.lag("at").over(w)).where("at < before").select("user_id", "event_id")
+
+
+@query(f"WITH {PROPOSALS} SELECT path, count(*) AS n, round(avg(confidence), 8) AS mean_confidence, count(*) FILTER (WHERE confidence < 0.7) AS low FROM p GROUP BY path")
+def proposal_profile(t) -> DataFrame:
+    return proposals(t).groupBy("path").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 8).alias("mean_confidence"), F.count_if(F.col("confidence") < 0.7).alias("low"))

@@ -1 +1,266 @@
-"""x"""
+"""Queries from proposals to committed records, and of layout elements."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from recordloom.functions.values import to_array, to_boolean, to_number
+from recordloom.operators import elements, extraction, review, schemas
+from recordloom.plans.mapping import MERGED, PROPOSALS, fields, proposals
+from recordloom.plans.registry import query
+
+
+@query(f"WITH {MERGED} SELECT document_id, path, value, confidence, n_proposals, is_conflict FROM m")
+def proposal_merge_conflict(t) -> DataFrame:
+    return fields(t).drop("candidates")
+
+
+@query(f"""WITH {MERGED} SELECT document_id, '{{' || string_agg('"' || path || '":"' || value || '"', ',' ORDER BY path) || '}}' AS record_json, round(avg(confidence), 8) AS quality_score, count(*) AS field_count, count(*) FILTER (WHERE confidence < 0.7) AS low_confidence_count FROM m GROUP BY document_id""")
+def gold_conform(t) -> DataFrame:
+    return extraction.conformed(fields(t), ["document_id"]).withColumn("quality_score", F.round("quality_score", 8))
+
+
+@query(f"""WITH {PROPOSALS} SELECT document_id, count(*) AS field_count, round(avg(confidence), 8) AS avg_confidence, CAST(sum(CASE WHEN confidence < 0.7 THEN 1 ELSE 0 END) AS BIGINT) AS low_confidence_count, min(extracted_at) AS first_extracted, max(extracted_at) AS last_extracted, round(sum(section * 0.001), 6) AS total_cost FROM p GROUP BY document_id""")
+def gold_stats(t) -> DataFrame:
+    f = proposals(t).withColumn("cost", F.col("section") * 0.001)
+    return extraction.record_statistics(f, ["document_id"], "extracted_at").withColumn("avg_confidence", F.round("avg_confidence", 8)).withColumn("total_cost", F.round("total_cost", 6))
+
+
+@query(f"WITH {MERGED} SELECT count(*) AS differing FROM (SELECT document_id, avg(confidence) FROM m WHERE false GROUP BY 1)")
+def gold_reproduction(t) -> DataFrame:
+    """Records built again from the same fields as of their version differ in nothing."""
+    silver = fields(t).withColumn("valid_from", F.lit(1)).withColumn("valid_to", F.lit(None).cast("int"))
+    from recordloom.functions.prefix import pinned
+    from recordloom.operators.tables import at_version
+
+    silver = pinned(silver)
+    once, again = (extraction.conformed(at_version(silver, 1), ["document_id"]).withColumn("quality_score", F.round("quality_score", 8)) for _ in range(2))
+    return once.exceptAll(again).agg(F.count("*").alias("differing"))
+
+
+@query(f"WITH {MERGED} SELECT document_id, path, row_number() OVER (PARTITION BY document_id ORDER BY confidence NULLS FIRST, path) AS position FROM m")
+def review_queue(t) -> DataFrame:
+    return review.queue(fields(t)).select("document_id", "path", "position")
+
+
+@query(f"WITH {MERGED} SELECT CASE WHEN coalesce(confidence, 0) >= 0.9 THEN 'high' WHEN coalesce(confidence, 0) >= 0.7 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM m GROUP BY 1")
+def confidence_bands(t) -> DataFrame:
+    return fields(t).groupBy(review.band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS name, max(p_size) AS version FROM part GROUP BY p_brand")
+def latest_version_per_name(t) -> DataFrame:
+    return schemas.latest_per_name(t.part.select(F.col("p_brand").alias("name"), F.col("p_size").alias("version")))
+
+
+@query("""WITH l AS (SELECT p_brand AS name, max(p_size) AS last FROM part WHERE p_type <> 'ECONOMY' GROUP BY p_brand)
+SELECT p.p_brand AS name, p_partkey, coalesce(last, 0) + row_number() OVER (PARTITION BY p.p_brand ORDER BY p_partkey) AS version FROM part p LEFT JOIN l ON l.name = p.p_brand WHERE p_type = 'ECONOMY'""")
+def next_version(t) -> DataFrame:
+    p = t.part.select(F.col("p_brand").alias("name"), F.col("p_size").cast("long").alias("version"), "p_partkey", "p_type")
+    return schemas.registered(p.where("p_type <> 'ECONOMY'"), p.where("p_type = 'ECONOMY'").select("name", "p_partkey"), "p_partkey").select("name", "p_partkey", "version")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE CASE p_partkey % 5 WHEN 1 THEN CAST(p_retailprice AS DOUBLE) WHEN 3 THEN p_size / 100.0 ELSE p_size * 1000.0 + 1 END END AS number,
+CASE WHEN p_size % 2 = 0 THEN true WHEN p_size % 3 = 0 THEN false END AS flag FROM part""")
+def coerce_values(t) -> DataFrame:
+    raw = F.when(F.col("p_partkey") % 5 == 4, F.concat(F.col("p_size").cast("string"), F.lit("d"))).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("$"), F.col("p_retailprice").cast("string"))).when(F.col("p_partkey") % 5 == 3, F.concat(F.col("p_size").cast("string"), F.lit(" %"))).otherwise(F.concat(F.lit("€ "), F.col("p_size").cast("string"), F.lit(",001")))
+    word = F.when(F.col("p_size") % 2 == 0, " Yes").when(F.col("p_size") % 3 == 0, "N ").otherwise("maybe")
+    return t.part.select("p_partkey", to_number(raw).alias("number"), to_boolean(word).alias("flag"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN [CAST(user_id AS VARCHAR), event_type] ELSE [event_type] END AS items FROM events")
+def coerce_arrays(t) -> DataFrame:
+    raw = F.when(F.col("event_id") % 2 == 0, F.format_string('["%s","%s"]', F.col("user_id").cast("string"), "event_type")).otherwise(F.col("event_type"))
+    return t.events.select("event_id", to_array(raw).alias("items"))
+
+
+_SCHEMA = '{"properties":{"returnflag":{"type":"string","enum":["A","R"]},"linestatus":{"type":"string","maxLength":1},"quantity":{"type":"integer","minimum":5,"maximum":45},"shipmode":{"type":"string"}},"required":["returnflag","quantity","shipmode"],"additionalProperties":false}'
+
+
+def _props(t) -> DataFrame:
+    return F.broadcast(schemas.properties(t.spark.createDataFrame([("line", 1, _SCHEMA)], "name string, version long, body string")))
+
+
+def _documents(t) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "P", "extracting").otherwise("review").alias("state"), F.lit("line").alias("schema_name"), F.lit(1).cast("long").alias("schema_version"))
+
+
+@query(f"WITH {MERGED}, e AS (SELECT document_id, path, CASE WHEN path IN ('/returnflag', '/linestatus') OR regexp_matches(value, '^[0-9]+$') THEN CASE WHEN path = '/returnflag' AND value NOT IN ('A', 'R') THEN 'enum' WHEN path = '/quantity' AND TRY_CAST(value AS BIGINT) < 5 THEN 'minimum' WHEN path = '/quantity' AND TRY_CAST(value AS BIGINT) > 45 THEN 'maximum' END END AS keyword FROM m) SELECT document_id, path, keyword FROM e WHERE keyword IS NOT NULL")
+def field_validation(t) -> DataFrame:
+    f = fields(t).withColumn("schema_name", F.lit("line")).withColumn("schema_version", F.lit(1).cast("long"))
+    return schemas.field_errors(f, _props(t)).select("document_id", "path", "keyword")
+
+
+@query(f"WITH {MERGED} SELECT o_orderkey AS document_id, x.path, CASE WHEN m.path IS NULL THEN 'missing' WHEN m.confidence < 0.9 THEN 'unverified' ELSE 'ok' END AS status FROM orders, (VALUES ('/returnflag'), ('/quantity'), ('/shipmode')) x(path) LEFT JOIN m ON m.document_id = o_orderkey AND m.path = x.path")
+def required_coverage(t) -> DataFrame:
+    f = review.verified(fields(t), fields(t).where("confidence >= 0.9"))
+    return review.coverage(_documents(t), f, _props(t))
+
+
+@query(f"""WITH {MERGED}, d AS (SELECT o_orderkey AS document_id, CASE o_orderstatus WHEN 'P' THEN 'extracting' ELSE 'review' END AS state FROM orders),
+c AS (SELECT d.document_id, x.path, CASE WHEN m.path IS NULL THEN 'missing_required' WHEN m.confidence < 0.9 THEN 'unverified_required' END AS error FROM d, (VALUES ('/returnflag'), ('/quantity'), ('/shipmode')) x(path) LEFT JOIN m ON m.document_id = d.document_id AND m.path = x.path),
+s AS (SELECT m.document_id, m.path, CASE WHEN path = '/returnflag' AND value NOT IN ('A', 'R') THEN 1 WHEN path = '/quantity' AND (TRY_CAST(value AS BIGINT) < 5 OR TRY_CAST(value AS BIGINT) > 45) THEN 1 END AS bad FROM m JOIN d USING (document_id)),
+e AS (SELECT document_id, 'invalid_state' AS error FROM d WHERE state <> 'review' UNION ALL SELECT document_id, error FROM c WHERE error IS NOT NULL UNION ALL SELECT document_id, 'validation_error' FROM m WHERE is_conflict UNION ALL SELECT document_id, 'schema_validation' FROM s WHERE bad = 1)
+SELECT error, count(*) AS n, count(DISTINCT document_id) AS documents FROM e GROUP BY error""")
+def commit_gate(t) -> DataFrame:
+    m = fields(t).withColumn("validation_error", F.when(F.col("is_conflict"), "conflict"))
+    errors = review.gate_errors(_documents(t), review.verified(m, m.where("confidence >= 0.9")), _props(t))
+    return errors.groupBy("error").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"))
+
+
+@query(f"""WITH {MERGED}, bad AS (SELECT DISTINCT document_id FROM m WHERE is_conflict) SELECT o_orderkey AS document_id FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT document_id FROM bad)""")
+def committable(t) -> DataFrame:
+    d = _documents(t)
+    errors = fields(t).where("is_conflict").select("document_id").unionByName(d.where("state <> 'review'").select("document_id"))
+    return review.committable(d, errors).select("document_id")
+
+
+@query(f"""WITH {MERGED}, c AS (SELECT l_orderkey AS document_id, '/quantity' AS path, max(l_linenumber) AS at FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
+SELECT m.document_id, m.path, CASE WHEN c.at IS NOT NULL THEN CAST(c.at AS VARCHAR) ELSE m.value END AS value, CASE WHEN c.at IS NOT NULL THEN m.value END AS corrected_from FROM m LEFT JOIN c USING (document_id, path)""")
+def correction_upsert(t) -> DataFrame:
+    c = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("document_id"), F.lit("/quantity").alias("path"), F.col("l_linenumber").cast("string").alias("new_value"), F.lit("someone").alias("corrected_by"), F.col("l_linenumber").alias("corrected_at"))
+    return review.corrected(fields(t).drop("candidates"), c).select("document_id", "path", "value", "corrected_from")
+
+
+@query("""SELECT c_nationkey AS document_id, c_custkey AS part_number, CASE WHEN o.o_custkey IS NOT NULL THEN 'completed' ELSE 'missing' END AS status FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') o ON o.o_custkey = c_custkey""")
+def parts_missing(t) -> DataFrame:
+    plan = t.customer.select(F.col("c_nationkey").alias("document_id"), F.col("c_custkey").alias("part_number"))
+    stored = t.orders.where("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("document_id"), F.col("c_custkey").alias("part_number"))
+    return review.upload_parts(plan, stored)
+
+
+@query("""SELECT c_custkey AS document_id, '{"_metadata":{"document_id":' || c_custkey || ',"schema_name":"party","schema_version":1},"data":{"address":{"nation":"' || n_name || '","segment":"' || c_mktsegment || '"},"name":"' || c_name || '"}}' AS line FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0""")
+def export_lines(t) -> DataFrame:
+    c = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    docs = c.select(F.col("c_custkey").alias("document_id"), F.lit("party").alias("schema_name"), F.lit(1).alias("schema_version"), F.when(F.col("c_acctbal") >= 0, "committed").otherwise("review").alias("state"))
+    f = c.select(F.col("c_custkey").alias("document_id"), F.explode(F.create_map(F.lit("/name"), F.col("c_name"), F.lit("/address/segment"), F.col("c_mktsegment"), F.lit("/address/nation"), F.col("n_name"))).alias("path", "value"))
+    return review.exported(docs, f)
+
+
+@query("SELECT event_id, '/k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value, 0.5 AS confidence FROM events UNION ALL SELECT event_id, '/total', CAST(CAST(floor(value) AS INTEGER) AS VARCHAR), 0.25 FROM events")
+def response_parse(t) -> DataFrame:
+    answer = F.concat(F.regexp_replace("props", "\\}$", ""), F.format_string(', "total": {"value": %d, "confidence": 0.25, "source_text": "x"}}', F.floor("value").cast("int")))
+    return extraction.parsed_answers(t.events.select("event_id", answer.alias("answer"))).select("event_id", "path", "value", "confidence")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'not_json' ELSE 'not_an_object' END AS reason FROM events WHERE event_type IN ('error', 'view')")
+def response_quarantine(t) -> DataFrame:
+    answer = F.when(F.col("event_type") == "error", F.concat(F.lit("x"), "props")).when(F.col("event_type") == "view", "[1]").otherwise(F.col("props"))
+    return extraction.failed_answers(t.events.select("event_id", answer.alias("answer"))).select("event_id", "reason")
+
+
+@query("SELECT l_orderkey || ':' || f.path AS field_id, l_orderkey AS document_id, f.path AS path, f.value AS value FROM (SELECT l_orderkey, unnest([{'path': '/flag', 'value': l_returnflag}, {'path': '/none', 'value': NULL}]) AS f FROM lineitem)")
+def silver_flatten(t) -> DataFrame:
+    field = lambda p, v: F.struct(F.lit(p).alias("path"), v.alias("value"), F.lit(0.5).alias("confidence"), F.lit(None).cast("struct<x0:double,y0:double>").alias("bbox"))
+    r = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.array(field("/flag", F.col("l_returnflag")), field("/none", F.lit(None).cast("string"))).alias("fields"))
+    return extraction.flattened(r).select("field_id", "document_id", "path", "value")
+
+
+@query("SELECT d.doc_id, d.doc_id <> f.first AS deduplicated, f.first AS existing FROM documents d JOIN (SELECT text, min(doc_id) AS first FROM documents GROUP BY text) f ON f.text = d.text")
+def content_hash_lookup(t) -> DataFrame:
+    d = t.documents.select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    first = d.groupBy("content_hash").agg(F.min("doc_id").alias("existing"))
+    return d.join(first, "content_hash").select("doc_id", (F.col("doc_id") != F.col("existing")).alias("deduplicated"), "existing")
+
+
+@query("SELECT doc_id, sha256('Fields:' || chr(10) || lang || chr(10) || chr(10) || 'Text:' || chr(10) || text) AS prompt_hash FROM documents")
+def prompt_hashes(t) -> DataFrame:
+    return t.documents.select("doc_id", F.sha2(extraction.prompt(F.col("lang"), F.col("text")), 256).alias("prompt_hash"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn * 100.0 > 630 THEN 'footer' WHEN ((10.0 + turn % 5 >= 14) OR role = 'system') AND len(text) - len(replace(text, chr(10), '')) + 1 <= 3 THEN 'heading'
+WHEN NOT contains(text, chr(10)) AND regexp_matches(text, '^([^:]+):\\s*(.+)$') THEN 'kv_pair' WHEN regexp_matches(text, '^\\s*[•\\-●○▪]') OR regexp_matches(text, '^\\d+[.)]\\s') THEN 'list_item' ELSE 'paragraph' END AS kind FROM conversations""")
+def element_kind(t) -> DataFrame:
+    c = t.conversations.select("conv_id", "turn", "text", (F.col("turn") * 100.0).alias("y0"), (10.0 + F.col("turn") % 5).alias("font_size"), (F.col("role") == "system").alias("is_bold"), (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("line_count"), F.lit(700.0).alias("page_height"))
+    return c.select("conv_id", "turn", elements.kind().alias("kind"))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_brand AS d, p_partkey % 7 AS page, p_size * 10.0 AS x0, p_retailprice - 900 AS y0, p_size * 10.0 + 30 AS x1, p_retailprice - 890 AS y1 FROM part),
+t AS (SELECT 'Brand#' || (s_suppkey % 25 + 1) AS d, s_suppkey % 7 AS page, s_nationkey * 15.0 AS x0, 10.0 AS y0, s_nationkey * 15.0 + 100 AS x1, 60.0 AS y1 FROM supplier)
+SELECT p_partkey FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.d = b.d AND t.page = b.page AND b.x0 < t.x1 AND t.x0 < b.x1 AND b.y0 < t.y1 AND t.y0 < b.y1)""")
+def table_overlap_antijoin(t) -> DataFrame:
+    b = t.part.select("p_partkey", F.col("p_brand").alias("document_id"), (F.col("p_partkey") % 7).alias("page"), (F.col("p_size") * 10.0).alias("x0"), (F.col("p_retailprice") - 900).alias("y0"), (F.col("p_size") * 10.0 + 30).alias("x1"), (F.col("p_retailprice") - 890).alias("y1"))
+    s = t.supplier.select(F.concat(F.lit("Brand#"), F.col("s_suppkey") % 25 + 1).alias("document_id"), (F.col("s_suppkey") % 7).alias("page"), (F.col("s_nationkey") * 15.0).alias("x0"), F.lit(10.0).alias("y0"), (F.col("s_nationkey") * 15.0 + 100).alias("x1"), F.lit(60.0).alias("y1"))
+    return elements.outside_tables(b, s).select("p_partkey")
+
+
+@query("SELECT conv_id AS document_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 2, role = 'assistant', turn) - 1 AS ordinal FROM conversations")
+def element_ordinals(t) -> DataFrame:
+    e = t.conversations.select(F.col("conv_id").alias("document_id"), F.floor(F.col("turn") / 2).alias("page"), (F.col("role") == "assistant").alias("is_table"), F.col("turn").alias("block_no"), "turn")
+    return elements.ordinals(e).select("document_id", "turn", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("""SELECT conv_id AS document_id, string_agg(text, chr(10) ORDER BY turn) AS text, max(10.0 + turn) AS font_size, bool_or(role = 'system') AS is_bold, count(*) AS line_count FROM conversations GROUP BY conv_id""")
+def block_assembly(t) -> DataFrame:
+    s = t.conversations.select(F.col("conv_id").alias("document_id"), F.lit(0).alias("page"), F.lit(0).alias("block_no"), F.col("turn").alias("line_no"), F.lit(0).alias("span_no"), "text", (10.0 + F.col("turn")).alias("font_size"), F.when(F.col("role") == "system", "Helvetica-Bold").otherwise("Helvetica").alias("font_name"))
+    return elements.blocks_of_spans(s).select("document_id", "text", "font_size", "is_bold", "line_count")
+
+
+@query("SELECT conv_id AS document_id, arg_min(role, turn) = 'system' AS needs_ocr FROM conversations GROUP BY conv_id")
+def ocr_needed(t) -> DataFrame:
+    return elements.needs_ocr(t.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.when(F.col("role") == "system", " \n").otherwise(F.col("text")).alias("text")))
+
+
+@query("SELECT n_nationkey, 'key | name' || chr(10) || repeat('-', 40) || chr(10) || n_nationkey || ' | ' || coalesce(CASE WHEN n_regionkey <> 1 THEN n_name END, '') AS text FROM nation")
+def table_rendering(t) -> DataFrame:
+    cells = F.array(F.array(F.lit("key"), F.lit("name")), F.array(F.col("n_nationkey").cast("string"), F.when(F.col("n_regionkey") != 1, F.col("n_name"))))
+    return t.nation.select("n_nationkey", cells.alias("cells")).select("n_nationkey", elements.rendered_table().alias("text"))
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) OR lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 1 ELSE 0 END AS new FROM conversations),
+g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS table_no FROM s) SELECT conv_id AS document_id, CAST(table_no AS BIGINT) AS table_no, any_value(role) AS header, min(turn) AS first_page, max(turn) AS last_page FROM g GROUP BY conv_id, table_no""")
+def repeated_headers(t) -> DataFrame:
+    x = t.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.col("role").alias("header"), F.array("text").alias("rows"))
+    return elements.joined_tables(x).select("document_id", "table_no", "header", "first_page", "last_page")
+
+
+@query("SELECT p_partkey, 30.0 AS width, 10.0 AS height, 300.0 AS area FROM part")
+def box_geometry(t) -> DataFrame:
+    return t.part.select("p_partkey", (F.col("p_size") * 1.0).alias("x0"), F.lit(5.0).alias("y0"), (F.col("p_size") + 30.0).alias("x1"), F.lit(15.0).alias("y1")).select("p_partkey", elements.box().alias("b")).select("p_partkey", "b.*")
+
+
+@query("""SELECT p_partkey AS document_id, '/brand' AS path, p_brand AS value, 0.5 AS confidence FROM part""")
+def rule_extraction(t) -> DataFrame:
+    e = t.part.select(F.col("p_partkey").alias("document_id"), F.lit(0).alias("ordinal"), F.concat(F.lit("Brand: "), "p_brand").alias("text"), F.lit("kv_pair").alias("kind"))
+    return extraction.key_values(e).select("document_id", "path", "value", "confidence")
+
+
+@query("SELECT o_orderkey AS document_id, list_transform(list_sort(list({'k': l_linenumber, 'v': l_returnflag})), lambda x: x.v) AS kinds FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def document_detail(t) -> DataFrame:
+    d = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("document_id"))
+    p = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_returnflag").alias("kind"), F.lit("x").alias("content"))
+    f = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.lit("/q").alias("path"), F.lit("v").alias("value"), F.lit(0.5).alias("confidence"))
+    return review.document_detail(d, p, f).select("document_id", F.transform("partitions", lambda x: x["kind"]).alias("kinds"))
+
+
+@query("SELECT c_custkey AS document_id, '/name' AS path, c_name AS value FROM customer")
+def encrypt_roundtrip(t) -> DataFrame:
+    f = t.customer.select(F.col("c_custkey").alias("document_id"), F.lit("/name").alias("path"), F.col("c_name").alias("value"))
+    keys = t.customer.select(F.col("c_custkey").alias("document_id"), F.unhex(F.sha2(F.col("c_custkey").cast("string"), 256)).alias("data_key"))
+    return review.decrypted(review.encrypted(f, keys), keys).select("document_id", "path", "value")
+
+
+def _longest_word(batches):
+    for pdf in batches:
+        out = pdf[["doc_id"]].copy()
+        out["path"], out["value"] = "/longest", [max((t or "").split(), key=lambda w: (len(w), w), default="") for t in pdf["text"]]
+        yield out
+
+
+@query()
+def extract_with(t) -> DataFrame:
+    return extraction.extract_with(t.documents.select("doc_id", "text"), _longest_word, "doc_id long, path string, value string")
+
+
+@query("SELECT l_orderkey AS document_id, path FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN (VALUES (1, '/a'), (2, '/b')) x(n, path) ON x.n = l_linenumber")
+def provenance(t) -> DataFrame:
+    f = t.lineitem.select(F.col("l_orderkey").alias("document_id"), "l_linenumber").distinct()
+    names = t.spark.createDataFrame([(1, "/a"), (2, "/b")], "l_linenumber int, path string")
+    return f.join(F.broadcast(names), "l_linenumber").select("document_id", "path")
+
+
+@query("SELECT user_id AS document_id, count(*) AS changes FROM events GROUP BY user_id")
+def state_changes(t) -> DataFrame:
+    w = Window.partitionBy("user_id")
+    return t.events.select(F.col("user_id").alias("document_id"), F.count("*").over(w).alias("changes")).distinct()
