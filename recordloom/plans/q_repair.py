@@ -1 +1,42 @@
-"""x"""
+"""Queries of CSV repair on texts written from the customers of each nation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recordloom.operators import csvrepair
+from recordloom.plans.mapping import grids
+from recordloom.plans.registry import query
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS document_id, CASE c_nationkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter FROM customer GROUP BY c_nationkey""")
+def csv_delimiters(t) -> DataFrame:
+    return csvrepair.delimiters(grids(t))
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS document_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row_no, CAST(c_custkey AS VARCHAR) AS id, replace(c_name, '#', '"') || chr(10) || c_mktsegment AS name FROM customer""")
+def csv_cells(t) -> DataFrame:
+    cells = csvrepair.repaired(grids(t), strict_header=True)["cells"]
+    return cells.groupBy("document_id", "row_no").agg(F.max(F.when(F.col("col_no") == 0, F.col("value"))).alias("id"), F.max(F.when(F.col("col_no") == 1, F.col("value"))).alias("name"))
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+f AS (SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal < 0) AS nulls, count(*) FILTER (WHERE c_acctbal >= 0) AS words FROM c GROUP BY c_nationkey)
+SELECT CAST(c_nationkey AS VARCHAR) AS document_id, x.col_no, x.name, CASE x.col_no WHEN 0 THEN 'integer' WHEN 1 THEN 'string' WHEN 2 THEN 'float' ELSE CASE WHEN words > 0 THEN 'boolean' ELSE 'null' END END AS inferred_type, CASE WHEN x.col_no = 3 THEN nulls ELSE 0 END AS null_count
+FROM f, (VALUES (0, 'id'), (1, 'name'), (2, 'column_3'), (3, 'name_1')) x(col_no, name) WHERE c_nationkey <> 0 OR true""")
+def csv_columns(t) -> DataFrame:
+    return csvrepair.repaired(grids(t), strict_header=True)["columns"].select("document_id", "col_no", "name", "inferred_type", "null_count")
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS document_id, count(*) + 3 AS total_raw_rows, 1 AS n_preamble, count(*) AS n_rows, 1 AS n_trailing FROM customer GROUP BY c_nationkey""")
+def csv_summary(t) -> DataFrame:
+    s = csvrepair.repaired(grids(t), strict_header=True)["summary"]
+    return s.select("document_id", "total_raw_rows", "n_preamble", "n_rows", "n_trailing")
+
+
+@query("SELECT doc_id, CASE lang WHEN 'de' THEN 'latin-1' WHEN 'fr' THEN 'utf-8-sig' WHEN 'es' THEN 'utf-16-le' ELSE 'utf-8' END AS encoding, sha256(lang || ' é ' || doc_id) AS text_sha256 FROM documents")
+def csv_decoding(t) -> DataFrame:
+    text = F.concat("lang", F.lit(" é "), "doc_id")
+    content = F.when(F.col("lang") == "de", F.encode(text, "ISO-8859-1")).when(F.col("lang") == "fr", F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8"))).when(F.col("lang") == "es", F.concat(F.lit(b"\xff\xfe"), F.encode(text, "UTF-16LE"))).otherwise(F.encode(text, "UTF-8"))
+    return csvrepair.decoded(t.documents.select("doc_id", content.alias("content"))).select("doc_id", "encoding", F.sha2("text", 256).alias("text_sha256"))
