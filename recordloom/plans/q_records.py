@@ -202,10 +202,10 @@ def ocr_needed(t) -> DataFrame:
     return elements.needs_ocr(t.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.when(F.col("role") == "system", " \n").otherwise(F.col("text")).alias("text")))
 
 
-@query("SELECT n_nationkey, 'key | name' || chr(10) || repeat('-', 40) || chr(10) || n_nationkey || ' | ' || coalesce(CASE WHEN n_regionkey <> 1 THEN n_name END, '') AS text FROM nation")
+@query("SELECT c_custkey, 'key | name' || chr(10) || repeat('-', 40) || chr(10) || c_custkey || ' | ' || coalesce(CASE WHEN c_acctbal >= 0 THEN c_name END, '') AS text FROM customer")
 def table_rendering(t) -> DataFrame:
-    cells = F.array(F.array(F.lit("key"), F.lit("name")), F.array(F.col("n_nationkey").cast("string"), F.when(F.col("n_regionkey") != 1, F.col("n_name"))))
-    return t.nation.select("n_nationkey", cells.alias("cells")).select("n_nationkey", elements.rendered_table().alias("text"))
+    cells = F.array(F.array(F.lit("key"), F.lit("name")), F.array(F.col("c_custkey").cast("string"), F.when(F.col("c_acctbal") >= 0, F.col("c_name"))))
+    return t.customer.select("c_custkey", cells.alias("cells")).select("c_custkey", elements.rendered_table().alias("text"))
 
 
 @query("""WITH s AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) OR lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 1 ELSE 0 END AS new FROM conversations),
