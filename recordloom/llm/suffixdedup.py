@@ -30,6 +30,8 @@ from .jaccard import _mixed, _powers
 from .shared import release_shuffles, shuffle_partitions, text_or_empty, written
 
 GRAM = 20
+#: Entries (48 bytes each) that a task settles among themselves at a time.
+SETTLED_ENTRIES = 500_000
 #: Buckets for each shuffle partition, and the rows (8 bytes each) up to which a list of them is broadcast.
 BUCKETS_EACH, BROADCAST_ROWS = 4, 1_000_000
 _PIECE = 1 << 22
@@ -161,27 +163,35 @@ _SPANS = "row long, spans binary"
 def _dealt(src: DataFrame, length: int, buckets: int) -> DataFrame:
     """bucket, row, data: entries of segments for a bucket, or (row not null) spans that a task found among its own documents."""
 
+    def settled(parts):
+        entries, bucket = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        _, first, where, count = np.unique(entries["segment"], return_index=True, return_inverse=True, return_counts=True)
+        twice = count[where] > 1
+        rows = [(row % buckets, row, spans.astype("<i8").tobytes()) for row, spans in _by_row(entries["row"][twice], entries["start"][twice], (entries["start"] + entries["size"])[twice])]
+        sent, bucket = entries[first], bucket[first]
+        sent["copies"] = np.minimum(count, 2)
+        order = np.argsort(bucket, kind="stable")
+        sent, bucket = sent[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for k, own in zip(np.split(bucket, cuts), np.split(sent, cuts)):
+            if len(own):
+                rows.append((int(k[0]), None, own.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "row", "data"])
+
     def run(batches):
+        parts, held = [], 0
         for b in batches:
-            parts = []
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 start, end, segment, left, right, gram = anchors(text.encode("utf-8", "surrogatepass"), length)
                 e = np.zeros(len(start), _ENTRY)
                 e["segment"], e["left"], e["right"], e["row"], e["start"], e["size"], e["copies"] = segment, left, right, row, start, end - start, 1
                 parts.append((e, (gram % np.uint64(buckets)).astype(np.int64)))
-            entries, bucket = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            _, first, where, count = np.unique(entries["segment"], return_index=True, return_inverse=True, return_counts=True)
-            twice = count[where] > 1
-            rows = [(row % buckets, row, spans.astype("<i8").tobytes()) for row, spans in _by_row(entries["row"][twice], entries["start"][twice], (entries["start"] + entries["size"])[twice])]
-            sent, bucket = entries[first], bucket[first]
-            sent["copies"] = np.minimum(count, 2)
-            order = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            for k, own in zip(np.split(bucket, cuts), np.split(sent, cuts)):
-                if len(own):
-                    rows.append((int(k[0]), None, own.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "row", "data"])
+                held += len(e)
+            if held >= SETTLED_ENTRIES:
+                yield settled(parts)
+                parts, held = [], 0
+        if parts:
+            yield settled(parts)
 
     return src.mapInArrow(run, "bucket long, row long, data binary")
 
