@@ -29,8 +29,8 @@ from .pretoken import pieces
 from .shared import text_or_empty
 
 #: Arcs and pieces that a worker keeps.
-KEPT_ARCS = 200_000
-KEPT_PIECES = 600_000
+KEPT_ARCS = 100_000
+KEPT_PIECES = 300_000
 
 
 class Transducer:
@@ -73,7 +73,7 @@ class Transducer:
         if a < 0:
             return True
         if (a, b) not in self._pairs:
-            if len(self._pairs) > 4 * self.kept_arcs:
+            if len(self._pairs) > 8 * self.kept_arcs:
                 self._pairs.clear()
             self._pairs[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return self._pairs[a, b]
