@@ -31,15 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    cut = suffixdedup.without_repeats(docs, REPEATED_BYTES, others)
 
-    def run(batches):
-        for b in batches:
-            texts = [suffixdedup.kept_text(d, r) for d, r in zip(b.column("data").to_pylist(), b.column("removed").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*others, "text", "n_chars"])
+    def kept(data, removed):
+        texts = [suffixdedup.kept_text(d, r) for d, r in zip(data, removed)]
+        return [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name in others)
-    return cut.mapInArrow(run, f"{fields}, text string, n_chars long").select(*docs.columns)
+    return suffixdedup.without_repeats(docs, REPEATED_BYTES, others, kept, "text string, n_chars long", ("text", "n_chars")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

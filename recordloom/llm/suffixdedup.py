@@ -307,8 +307,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     return found.where("spans is not null").select("row", "spans").unionByName(compared)
 
 
-def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, data (the text's bytes), and removed (its maximal removed runs, as [start, end))."""
+def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), finish=None, schema: str = "data binary, removed array<array<long>>", more: tuple[str, ...] = ("data", "removed")) -> DataFrame:
+    """The kept columns, data (the text's bytes), and removed (its maximal removed runs, as [start, end)); or, with ``finish``, what it makes of the lists of both, in the columns of ``schema``."""
     spans = repeated_spans(docs, length).groupBy("row").agg(F.collect_list("spans").alias("_spans"))
     src = _sources(docs, keep)
     joined = src.join(spans.hint("shuffle_hash"), "row", "left").select(*keep, "_text", "_spans")
@@ -318,9 +318,10 @@ def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] =
         for b in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in b.column(len(b.schema) - 2).to_pylist()]
             spans = [merged(np.frombuffer(b"".join(s or ()), "<i8").reshape(-1, 2)).tolist() for s in b.column(len(b.schema) - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*b.schema.names[:-2], "data", "removed"])
+            made = finish(texts, spans) if finish else [pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *made], [*b.schema.names[:-2], *more])
 
-    return joined.mapInArrow(run, f"{fields}, data binary, removed array<array<long>>")
+    return joined.mapInArrow(run, f"{fields}, {schema}")
 
 
 def kept_text(data: bytes, removed: list[list[int]]) -> str:
@@ -338,14 +339,11 @@ def kept_bytes(data: bytes, removed: list[list[int]]) -> bytes:
 
 def digests(docs: DataFrame, length: int = 200) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
-            data, removed = b.column(1).to_pylist(), b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, data), pa.int64()), pa.array([sum(e - s for s, e in r) for r in removed], pa.int64()), pa.array(map(len, removed), pa.int64()), pa.array([hashlib.sha256(kept_bytes(d, r)).hexdigest() for d, r in zip(data, removed)], pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+    def digested(data, removed):
+        return [
+            pa.array(map(len, data), pa.int64()), pa.array([sum(e - s for s, e in r) for r in removed], pa.int64()), pa.array(map(len, removed), pa.int64()),
+            pa.array([hashlib.sha256(kept_bytes(d, r)).hexdigest() for d, r in zip(data, removed)], pa.string()),
+        ]
 
-    return without_repeats(docs, length).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return without_repeats(docs, length, ("doc_id",), digested, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
