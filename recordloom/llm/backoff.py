@@ -1,10 +1,11 @@
 """Operator 6: Stupid-backoff scores as joins with n-gram count tables.
 
-Counts of words and of pairs of words come from all documents; pairs that occur fewer than ``least`` times are not in their table. Documents are exploded into their pairs, which meet the table of
-pairs by the pair's hash. A pair found there scores count(pair) / count(first word), any other ``alpha`` times count(second word) / number of words; either needs one word's
-count, so a second join by hash brings it. A document's first word has no context and scores count / number of words. The logarithms are summed for each document.
+Counts of the runs of 1 to ``order`` words come from all documents, in a table for each length; runs of two words or more that occur fewer than ``least`` times are not in their table (``least`` = 1
+keeps all that were seen). Documents are exploded into the runs that end at each word, which meet the tables by the run's hash, the longest first. A run found scores count(run) / count(run without its last word);
+else ``alpha`` is taken and the run without its first word is looked for, down to the word itself, count / number of words. Each length is one join: it brings the run's count to those
+not found so far, and the count of the context to those found in the length before. A document's first words have shorter contexts, which is not backing off. The logarithms are summed for each document.
 
-Equal rows of a document's pairs are counted before they are shuffled. Words are lower-cased runs without white space (A-Z only).
+Equal rows of a document's runs are counted before they are shuffled. Words are lower-cased runs without white space (A-Z only).
 
 Results: null or empty texts have no words, score 0 and mean null. Repeated rows get the same scores in a row each. Other columns are not read.
 """
@@ -16,28 +17,44 @@ from pyspark.sql import functions as F
 
 from .shared import text_or_empty, written
 
-ALPHA, LEAST = 0.4, 2
+ALPHA, LEAST, ORDER = 0.4, 2, 2
 
 
-def scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
-    """Per document: doc_id, n_words, n_backoff (pairs that were backed off), log_score, mean_log_score (natural logarithms)."""
+def _run(length: int, back: int = 0):
+    """The hash of the ``length`` words that end ``back`` words before a word; null if there are fewer."""
+    names = [f"w{k}" for k in range(back, back + length)][::-1]
+    return F.when(F.col(names[0]).isNotNull(), F.xxhash64(*names)) if length > 1 else F.col(names[0])
+
+
+def scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, order: int = ORDER) -> DataFrame:
+    """Per document: doc_id, n_words, n_backoff (words whose run was backed off), log_score, mean_log_score (natural logarithms)."""
     text = text_or_empty()
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(lower, "[\x20\x09-\x0d]+"), lambda w: w != "")
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), text).alias("row"), words.alias("w"))
     hashes = rows.select("row", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     apart = hashes.where(F.size("h") > 0)
-    pairs = apart.select("row", F.explode(F.transform("h", lambda w, i: F.struct(F.when(i > 0, F.get("h", i - 1)).alias("v"), w.alias("w")))).alias("p"))
-    pairs = pairs.groupBy("row", "p.v", "p.w").agg(F.count("*").alias("n"))
-    pairs = written(pairs.select("row", "v", "w", "n", F.when(F.col("v").isNotNull(), F.xxhash64("v", "w")).alias("g")), "pairs")
-    one = pairs.groupBy("w").agg(F.sum("n").alias("c1"))
-    one = written(one, "words")
-    total = one.agg(F.sum("c1")).first()[0] or 0
-    two = written(pairs.where("g is not null").groupBy("g").agg(F.sum("n").alias("c2")).where(F.col("c2") >= least), "pair_counts")
-    met = pairs.join(two, "g", "left").select("row", "n", "c2", F.col("v").isNotNull().alias("inside"), F.when(F.col("c2").isNotNull(), F.col("v")).otherwise(F.col("w")).alias("w"))
-    scored = met.join(one, "w").select("row", "n", "inside", F.col("c2").isNotNull().alias("hit"), F.when(F.col("c2").isNotNull(), F.log(F.col("c2") / F.col("c1"))).otherwise(F.log(F.col("c1") / F.lit(float(max(total, 1)))) + F.when(F.col("inside"), F.log(F.lit(alpha))).otherwise(0.0)).alias("s"))
-    summed = scored.groupBy("row").agg(F.sum(F.col("s") * F.col("n")).alias("log_score"), F.sum(F.when(F.col("inside") & ~F.col("hit"), F.col("n")).otherwise(0)).alias("n_backoff"))
-    copies = rows.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")  # their pairs were counted together
+    names = [f"w{k}" for k in range(order)]  # a word and those before it
+    runs = apart.select("row", F.explode(F.transform("h", lambda _, i: F.struct(*(F.when(i >= k, F.get("h", i - k)).alias(f"w{k}") for k in range(order))))).alias("p"))
+    runs = written(runs.groupBy("row", *(f"p.{c}" for c in names)).agg(F.count("*").alias("n")), "runs")
+    counts = {}
+    for k in range(1, order + 1):
+        of = runs.select(_run(k).alias("g"), "n").where("g is not null").groupBy("g").agg(F.sum("n").alias("c"))
+        counts[k] = written(of if k == 1 else of.where(F.col("c") >= least), f"counts_{k}")
+    total = counts[1].agg(F.sum("c")).first()[0] or 0
+    met = runs.select("*", F.lit(None).cast("long").alias("num"), F.lit(None).cast("long").alias("den"), F.lit(0).alias("back"))
+    for k in range(order, 0, -1):
+        fresh = F.col("num").isNull()
+        key = _run(k) if k == order else F.when(fresh, _run(k)).when(F.col("den").isNull(), _run(k, 1))
+        keyed = met.select("*", key.isNotNull().alias("asks"), F.coalesce(key, F.xxhash64("row", "w0", F.lit(k))).alias("g"))  # rows that ask nothing are dealt anywhere
+        c = F.when(F.col("asks"), F.col("c"))
+        met = keyed.join(counts[k], "g", "left").select(
+            "row", "n", *names[:k], F.coalesce("num", c).alias("num"), F.coalesce("den", F.when(~fresh, c).otherwise(F.lit(max(total, 1) if k == 1 else None))).cast("long").alias("den"),
+            (F.col("back") + (fresh & F.col("asks") & c.isNull()).cast("int")).alias("back"),
+        )
+    s = F.log(F.col("num") / F.col("den")) + F.col("back") * F.log(F.lit(alpha))
+    summed = met.groupBy("row").agg(F.sum(s * F.col("n")).alias("log_score"), F.sum(F.when(F.col("back") > 0, F.col("n")).otherwise(0)).alias("n_backoff"))
+    copies = rows.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")  # their runs were counted together
     summed = summed.join(copies, "row", "left").select("row", *((F.col(c) / F.coalesce("copies", F.lit(1))).alias(c) for c in ("log_score", "n_backoff")))
     return rows.select("doc_id", "row", F.size("w").cast("long").alias("n_words")).join(summed, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_backoff", F.lit(0)).cast("long").alias("n_backoff"), F.round(F.coalesce("log_score", F.lit(0.0)), 6).alias("log_score"), F.round(F.col("log_score") / F.col("n_words"), 6).alias("mean_log_score"),

@@ -59,6 +59,13 @@ def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(_tables(spark, sf_dir)("documents")).select("doc_id", "n_words", "n_backoff", "log_score")
 
 
+def op6_stupid_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order 3, and every n-gram that was seen is in the counts."""
+    from .backoff import scores
+
+    return scores(_tables(spark, sf_dir)("documents"), least=1, order=3).select("doc_id", "n_words", "n_backoff", "log_score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive
 
@@ -110,6 +117,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(any_value(t.
 FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE back) AS n, round(sum(s), 6) AS s FROM s GROUP BY doc_id) t USING (doc_id) GROUP BY d.doc_id, d.w
 """
 
+_OP6_TRIGRAMS = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, CASE WHEN k > 2 THEN w[k - 2] END AS z, CASE WHEN k > 1 THEN w[k - 1] END AS a, w[k] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+one AS (SELECT b AS x, count(*) AS c1 FROM p GROUP BY b),
+two AS (SELECT a, b, count(*) AS c2 FROM p WHERE a IS NOT NULL GROUP BY a, b),
+three AS (SELECT z, a, b, count(*) AS c3 FROM p WHERE z IS NOT NULL GROUP BY z, a, b),
+s AS (SELECT p.doc_id, p.z IS NOT NULL AND c3 IS NULL OR p.a IS NOT NULL AND two.c2 IS NULL AS back,
+  CASE WHEN c3 IS NOT NULL THEN ln(c3 / h.c2) ELSE CASE WHEN p.z IS NOT NULL THEN ln(0.4) ELSE 0 END
+    + CASE WHEN two.c2 IS NOT NULL THEN ln(two.c2 / u.c1) ELSE ln(v.c1 / (SELECT sum(c1) FROM one)) + CASE WHEN p.a IS NOT NULL THEN ln(0.4) ELSE 0 END END END AS s
+  FROM p LEFT JOIN three ON p.z = three.z AND p.a = three.a AND p.b = three.b LEFT JOIN two h ON p.z = h.a AND p.a = h.b LEFT JOIN two ON p.a = two.a AND p.b = two.b
+  LEFT JOIN one u ON u.x = p.a JOIN one v ON v.x = p.b)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(any_value(t.n), 0) AS BIGINT) AS n_backoff, coalesce(any_value(t.s), 0.0) AS log_score
+FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE back) AS n, round(sum(s), 6) AS s FROM s GROUP BY doc_id) t USING (doc_id) GROUP BY d.doc_id, d.w
+"""
+
 _OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT h, max(page_id) AS first, count(*) AS n FROM p WHERE strlen(h) >= 1000 GROUP BY h HAVING count(*) > 1)
@@ -141,4 +163,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_va_file": _OP3, "op4_ngram_jaccard": _OP4, "op6_stupid_backoff": _OP6, "op7_warc": _OP7, "op9_positional_index": _OP9}
+    return {"op3_va_file": _OP3, "op4_ngram_jaccard": _OP4, "op6_stupid_backoff": _OP6, "op6_stupid_backoff_trigrams": _OP6_TRIGRAMS, "op7_warc": _OP7, "op9_positional_index": _OP9}
