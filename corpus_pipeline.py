@@ -1,10 +1,10 @@
 """Documents to token ids in five stages, each an operator of recordloom.llm on all rows that the stage before kept.
 
-Quality: rows that the ranking scores below CUT go. Near duplicates: of documents that links of five-word shingles (similarity of 0.8 or more) join, the one of least doc_id stays.
+Quality: rows that the ranking scores below CUT go. Near duplicates: of documents that links of five-word shingles (similarity of 0.8 or more) join, the one of least doc_id stays (null ids last).
 Repeats: every byte that a string of 200 bytes covers which also starts elsewhere goes (characters go whole); the rest stays, and n_chars follows it. Decontamination: documents with a
 window of ten words of a benchmark item go. Encoding: ids by byte-level BPE, decoded again to check them.
 
-Null texts count as empty: they are scored, have no shingles, windows or ids. An empty table gives an empty table. Extra columns pass through all stages but the last.
+Ids may be null or repeat: rows go by themselves, told apart by a hash of id and text; of rows that repeat both, one stays if it has words. Null texts count as empty: they are scored, have no shingles, windows or ids. An empty table gives an empty table. Extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import bpe, jaccard, positional, ranking, suffixdedup
-from recordloom.llm.shared import text_batches, text_or_empty, written
+from recordloom.llm.shared import row_key, text_batches, text_or_empty, written
 
 #: Least quality score; bytes of a repeated string; words of a benchmark window.
 CUT, REPEATED_BYTES, WINDOW_WORDS = 0.3, 200, 10
@@ -40,9 +40,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = positional.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW_WORDS)
+    found = positional.contamination(docs.select(row_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW_WORDS)
     gone = written(found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import release_shuffles, text_or_empty, written
+from .shared import release_shuffles, row_key, text_or_empty, written
 
 FRAGMENTS, ROUNDS, KEYS, HUBS = 4, 2, 3, 48
 #: Classes (16 bytes each) up to which the list of those left is broadcast to the scan of texts; beyond it, the join shuffles.
@@ -97,22 +97,22 @@ def needed(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, n, class, grams: the first n-grams of the order, or all."""
+    """doc_id, key, n, class, grams: the first n-grams of the order, or all."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             n, cls, grams = [], [], []
-            for s in shingle_sets(b.column(1).to_pylist(), k):
+            for s in shingle_sets(b.column(2).to_pylist(), k):
                 m = len(s)
                 n.append(m)
                 cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 grams.append(s.view(np.int64) if whole else s[: m - needed(m, percent) + -(-m // 10)].view(np.int64))
             offsets = np.cumsum([0, *map(len, grams)], dtype=np.int32)
             values = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n", "class", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "key", "n", "class", "grams"])
 
-    return docs.select("doc_id", text_or_empty().alias("_text")).mapInArrow(run, f"doc_id {kind}, n long, class long, grams array<long>")
+    return docs.select("doc_id", row_key().alias("key"), text_or_empty().alias("_text")).mapInArrow(run, f"doc_id {kind}, key long, n long, class long, grams array<long>")
 
 
 def _common(grams: DataFrame) -> DataFrame:
@@ -141,10 +141,10 @@ def _may_link(percent: int) -> str:
 
 
 def class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, class) of all documents, and (node, root): the components of linked classes."""
+    """Rows (doc_id, key, n, class) of all documents, and (node, root): the components of linked classes."""
     spark = docs.sparkSession
     sets = written(_sets(docs, words, percent, False), "prefixes")
-    rows = sets.select("doc_id", "n", "class")
+    rows = sets.select("doc_id", "key", "n", "class")
     one = written(sets.where("n > 0").groupBy("class").agg(F.min("n").alias("n"), F.first("grams").alias("grams"), F.min("doc_id").alias("doc_id")), "classes")
     grams = one.select("class", "n", F.explode("grams").alias("gram"))
     common = written(_common(grams.select("class", "gram")).select("gram"), "common_prefix_grams")
@@ -211,23 +211,33 @@ def class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     return rows, components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
 
-def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id: the least doc_id that links reach (100 * overlap >= percent * union)."""
+def _linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per row: doc_id, key, n, least: the least (id is null, doc_id, key) that links reach, null for rows without n-grams."""
     rows, joined = class_links(docs, words, percent)
-    least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("_least"))
+    least = rows.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("_least"))
     rooted = least.join(joined, F.col("class") == F.col("node"), "left").select("class", "_least", F.coalesce("root", "class").alias("root"))
     rooted = written(rooted, "rooted")
-    of_root = written(rooted.groupBy("root").agg(F.min("_least").alias("_of")), "of_root")
-    of_class = written(rooted.join(of_root, "root").select("class", "_of"), "of_class")
-    full = rows.where("n > 0").join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("_of").alias("component_id"))
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_root = written(rooted.groupBy("root").agg(F.min("_least").alias("least")), "of_root")
+    of_class = written(rooted.join(of_root, "root").select("class", "least"), "of_class")
+    full = rows.where("n > 0").join(of_class, "class", "left").select("doc_id", "key", "n", "least")
+    return full.unionByName(rows.where("n = 0").select("doc_id", "key", "n"), allowMissingColumns=True)
+
+
+def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id: the least doc_id that links reach (100 * overlap >= percent * union); null if all reached are null."""
+    rows = _linked_rows(docs, words, percent)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def without_linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but those that link to one of a lower doc_id; of rows that repeat an id and a text one stays."""
-    links = written(link_documents(docs, words, percent), "document_links")
-    gone = links.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of ``docs`` but those that link to one of a lower (doc_id, key); null ids come last. Rows are told apart by their key (id and text), so
+    ids may be null or repeat; of rows that repeat an id and a text with n-grams one stays, and rows without n-grams all stay."""
+    links = written(_linked_rows(docs, words, percent).where("n > 0").select("key", F.col("least.key").alias("least")), "row_links")
+    gone = links.where("key <> least").select(F.col("key").alias("_gone")).distinct()
     few = gone.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    repeats = links.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
+    kept = docs.withColumn("_key", row_key()).join(F.broadcast(gone) if few else gone, F.col("_key") == F.col("_gone"), "left_anti")
+    again = links.where("key = least").groupBy("key").count().where("count > 1").select(F.col("key").alias("_key"))
+    if again.limit(1).count():
+        again = written(again, "repeated_rows")
+        kept = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.drop("_key")

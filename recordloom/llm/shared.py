@@ -51,3 +51,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """Tells rows apart whose ids are null or repeat: a hash of id and text; rows that repeat both share it."""
+    return F.xxhash64(F.col(doc_id).cast("string"), text_or_empty(text))
