@@ -6,7 +6,8 @@ taking its terms from the rarest list there, shifting each list by the term's of
 go to the shards in blocks of at most BLOCK_WINDOWS, which bounds what each task is sent; all blocks meet all shards. If the test terms are
 few enough to be sent to all tasks (TERMS_SENT) postings of other terms are not stored, as nothing can ask for them.
 
-``find`` also answers proximity: terms of a window in order with at most ``slack`` other words between neighbours.
+With ``slack``, proximity: terms of a window in order with at most so many other words between neighbours. Places are carried from the rarest term to the last, and back to the first; every
+start counts, with its shortest match, all words of which are hit.
 
 Results: null texts have no words. An item without words is never found; items with a null id mark words but are not
 counted. Repeated rows get a row each. Other columns are not read.
@@ -113,33 +114,47 @@ class _Minus:
 _MINUS = _Minus()
 
 
+def _within(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The places of ``own`` in any of the ranges [low, high]."""
+    a, b = np.searchsorted(own, low), np.searchsorted(own, high, side="right")
+    n = b - a
+    return own[np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()))]
+
+
+def matches(lists: dict[str, np.ndarray], terms: list[str], slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of a window (document << 32 | word) and lengths in words: exact phrases, or terms in order at most ``slack`` other words apart each. Of the matches from one start, the shortest."""
+    own = [lists.get(t, _NONE) for t in terms]
+    rarest = min(range(len(own)), key=lambda i: len(own[i]))
+    if not slack:
+        starts = own[rarest] - rarest
+        for places, offset in sorted(((own[i], i) for i in range(len(own)) if i != rarest), key=lambda x: len(x[0])):
+            if not len(starts):
+                break
+            at = np.searchsorted(places, starts + offset)
+            at[at == len(places)] = 0
+            starts = starts[places[at] == starts + offset]
+        return starts, np.full(len(starts), len(terms), np.int64)
+    # all places that a chain from the rarest term reaches, to the last term; then those from which the last is reached, back to the first
+    for i in range(rarest + 1, len(own)):
+        own[i] = _within(own[i], own[i - 1] + 1, own[i - 1] + slack + 1)
+    ends = own[-1]
+    for i in range(len(own) - 2, -1, -1):
+        after = own[i + 1]
+        own[i] = _within(own[i], after - slack - 1, after - 1)
+        ends = ends[np.searchsorted(after, own[i], side="right")]  # the nearest place after has the least end
+    return own[0], ends - own[0] + 1
+
+
 def find(lists: dict[str, np.ndarray], terms: list[str], slack: int = 0) -> np.ndarray:
-    """Starts of a window (document << 32 | word): exact phrases, or terms in order at most ``slack`` words apart each."""
-    if slack:
-        ends = starts = lists.get(terms[0], _NONE)
-        for t in terms[1:]:
-            own = lists.get(t, _NONE)
-            at = np.searchsorted(own, ends, side="right")
-            ok = at < len(own)
-            ok[ok] = own[at[ok]] - ends[ok] <= slack + 1
-            starts, ends = starts[ok], own[at[ok]]
-        return starts
-    own = sorted(((lists.get(t, _NONE), i) for i, t in enumerate(terms)), key=lambda x: len(x[0]))
-    starts = own[0][0] - own[0][1]
-    for places, offset in own[1:]:
-        if not len(starts):
-            break
-        at = np.searchsorted(places, starts + offset)
-        at[at == len(places)] = 0
-        starts = starts[places[at] == starts + offset] if len(places) else _NONE
-    return starts
+    """The starts of ``matches``."""
+    return matches(lists, terms, slack)[0]
 
 
 _NONE = np.zeros(0, np.int64)
 
 
-def search(index: DataFrame, block: list[tuple[int, list[str]]]) -> DataFrame:
-    """shard, doc (in the shard), window, start, length: every occurrence of a block's windows."""
+def search(index: DataFrame, block: list[tuple[int, list[str]]], slack: int = 0) -> DataFrame:
+    """shard, doc (in the shard), window, start, length: every occurrence of a block's windows, see ``matches``."""
 
     def run(own: pa.Table) -> pa.Table:
         shard = own.column("shard")[0].as_py()
@@ -147,18 +162,18 @@ def search(index: DataFrame, block: list[tuple[int, list[str]]]) -> DataFrame:
         docs, numbers, starts, lengths = [_NONE], [_NONE], [_NONE], [_NONE]
         for number, terms in block:
             if all(t in lists for t in terms):
-                found = find(lists, terms)
+                found, length = matches(lists, terms, slack)
                 docs.append(found >> 32)
                 starts.append(found & 0xFFFFFFFF)
                 numbers.append(np.full(len(found), number, np.int64))
-                lengths.append(np.full(len(found), len(terms), np.int64))
+                lengths.append(length)
         docs = np.concatenate(docs)
         return pa.table({"shard": pa.array([shard] * len(docs), pa.string()), "doc": docs, "window": np.concatenate(numbers), "start": np.concatenate(starts), "length": np.concatenate(lengths)})
 
     return index.where("term is not null").select("shard", "term", "places").groupBy("shard").applyInArrow(run, "shard string, doc long, window long, start long, length long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_windows: int = BLOCK_WINDOWS, terms_sent: int = TERMS_SENT) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_windows: int = BLOCK_WINDOWS, terms_sent: int = TERMS_SENT, slack: int = 0) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and hits (runs of hit words as [start, end))."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     owned = windows_of(items, length)
@@ -173,7 +188,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_win
     hits = None
     for k in range(n_blocks):
         block = [(r.window, list(r.terms)) for r in apart.where(F.pmod(F.hash("terms"), F.lit(n_blocks)) == k).collect()]
-        found = search(index, block)
+        found = search(index, block, slack)
         hits = found if hits is None else hits.unionByName(found)
     hits = written(hits, "hits")
     items_of = owned.where("item_id is not null").select("window", "item_id").distinct()
@@ -204,5 +219,5 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_win
     )
 
 
-def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return contamination(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+def digests(docs: DataFrame, items: DataFrame, slack: int = 0) -> DataFrame:
+    return contamination(docs, items, slack=slack).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
