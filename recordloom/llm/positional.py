@@ -3,7 +3,7 @@
 The index is dealt by documents: each shard holds, for the terms of some documents, the sorted places at which they stand (document
 in the shard, word). It is written as a table of one row for each shard and term. A test window is looked for in a shard by
 taking its terms from the rarest list there, shifting each list by the term's offset, and intersecting; an empty intersection or an absent term ends it. Windows
-go to the shards in blocks of at most BLOCK_WINDOWS, which bounds what each task is sent; all blocks meet all shards. If the test terms are
+go to the shards in blocks of at most BLOCK_WINDOWS, which bounds what each task is sent and what the driver holds, as the hits of a block are written before the next is read; all blocks meet all shards. If the test terms are
 few enough to be sent to all tasks (TERMS_SENT) postings of other terms are not stored, as nothing can ask for them.
 
 With ``slack``, proximity: terms of a window in order with at most so many other words between neighbours. Places are carried from the rarest term to the last, and back to the first; every
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, written
+from .shared import shared_folder, text_or_empty, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = {i: i + 32 for i in range(65, 91)}
@@ -185,12 +185,13 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_win
     index = written(build_index(docs, terms), "index")
     n_windows = apart.count()
     n_blocks = max(1, -(-n_windows // block_windows))
-    hits = None
-    for k in range(n_blocks):
-        block = [(r.window, list(r.terms)) for r in apart.where(F.pmod(F.hash("terms"), F.lit(n_blocks)) == k).collect()]
+    path = f"{shared_folder(docs.sparkSession)}/hits"
+    for k in range(n_blocks):  # a block's hits are written before the next block is collected
+        block = [(r.window, list(r.terms)) for r in apart.where(F.pmod(F.hash("terms"), F.lit(n_blocks)) == k).toLocalIterator()]
         found = search(index, block, slack)
-        hits = found if hits is None else hits.unionByName(found)
-    hits = written(hits, "hits")
+        found.write.mode("append").parquet(path)
+        del block
+    hits = docs.sparkSession.read.schema(found.schema).parquet(path)
     items_of = owned.where("item_id is not null").select("window", "item_id").distinct()
     by_item = hits.select("shard", "doc", "window").distinct().join(items_of, "window").groupBy("shard", "doc").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     spans = hits.groupBy("shard", "doc").agg(F.collect_set(F.struct("start", "length")).alias("spans"))

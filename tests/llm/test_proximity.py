@@ -47,3 +47,13 @@ def test_contamination_with_slack(spark):
                 own = [brute((t or "").split(), x, slack) for x in (["a", "b", "c"], ["b", "c"])]
                 hit = {k for found in own for s, e in found.items() for k in range(s, e + 1)}
                 assert out[i] == (len(hit), sum(map(bool, own)))
+
+
+def test_blocks_are_written_one_by_one(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    items = spark.createDataFrame([(k, t) for k, t in enumerate("abcdefgh")], "item_id long, text string")
+    search, done = positional.search, []
+    monkeypatch.setattr(positional, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(positional, "search", lambda *a: done.append(len([*tmp_path.glob("hits/_SUCCESS")])) or search(*a))
+    out = positional.contamination(docs, items, block_windows=3).first()
+    assert done == [0, 1, 1] and (out.n_hit, out.n_items) == (7, 7)
