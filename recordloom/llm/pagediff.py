@@ -3,10 +3,10 @@
 A page is read into lines (blocks of text) and each line gets a zone from the elements around it: *dropped* (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments), *article* (inside an article element, or main where there is none) or *open* (anything else). Pages are put in the order of host and URL path, in
 which the page with the nearest path stands next to each; the lines of the two are aligned by their longest common subsequence, and what they share is the site's, not the
-page's: it is deleted. An article's own lines are never deleted (copies of an article are still articles), and a page that has an article gives nothing else. So differencing settles
-the pages without such an element. A neighbour with the same lines throughout says nothing, and a page whose lines would all go keeps them.
+page's: it is deleted, in articles too. A page that has an article gives nothing else. Pages with the same lines throughout (copies) say nothing of each other: a run of them counts as one page,
+and each is compared with the nearest page of its host before and after that has other lines. A page whose lines would all go keeps them, and pages without lines are passed over.
 
-Pages are dealt by ranges of (host, path), so that a host with a third of all pages is spread like any other; the last and first row of each range travel to the range beside it, so the
+Pages are dealt by ranges of (host, path), so that a host with a third of all pages is spread like any other; the nearest page with other lines than a range's first (last) page travels to it from the ranges before (after) it, however far, so the
 result doesn't depend on where ranges end. Only hashes of lines travel; texts are read again from the pages.
 
 Results: null html gives an empty text, null or hostless URLs have no neighbours. Repeated rows get a row each. Other columns are not read.
@@ -20,7 +20,7 @@ from bisect import bisect_left
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions, written
@@ -198,52 +198,75 @@ def deletions(src: DataFrame) -> DataFrame:
     """_row, _gone (places of lines): what differencing deletes, for the pages where it deletes something."""
     def hashed(batches):
         for b in batches:
-            article, own = [], []
-            for body in b.column(3).to_pylist():
-                is_article, found = candidate_lines(body)
-                article.append(is_article)
-                own.append([_hash(x) for x in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(article), pa.array(own, pa.list_(pa.int64()))], ["_host", "_path", "_row", "_article", "_lines"])
-
-    fields = "_host string, _path string, _row long, _article boolean, _lines array<long>"
+            own = [[_hash(x) for x in candidate_lines(body)[1]] for body in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(own, pa.list_(pa.int64()))], ["_host", "_path", "_row", "_lines"])
+
+    fields = "_host string, _path string, _row long, _lines array<long>"
     order = ["_host", "_path", "_row"]
-    light = written(src.where("_host <> ''").select(*order, "_body").mapInArrow(hashed, fields), "page_lines")
+    light = written(src.where("_host <> ''").select(*order, "_body").mapInArrow(hashed, fields).where("size(_lines) > 0"), "page_lines")
     ranges = light.repartitionByRange(shuffle_partitions(src.sparkSession), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
     ranges = written(ranges, "page_ranges")
-    row = F.struct(*order, "_article", "_lines")
-    ends = ranges.groupBy("_range").agg(F.min(row).alias("first"), F.max(row).alias("last"))
-    beside = Window.orderBy("_range")  # a row for each range
-    halo = ends.select(F.lag("_range").over(beside).alias("p"), F.lead("_range").over(beside).alias("n"), "first", "last")
-    halo = halo.select("p", F.col("first").alias("row")).unionByName(halo.select(F.col("n").alias("p"), F.col("last").alias("row"))).where("p is not null")
-    both = ranges.withColumn("_own", F.lit(True)).unionByName(halo.select("row.*", F.col("p").alias("_range"), F.lit(False).alias("_own")))
+    halo = src.sparkSession.createDataFrame(_beside(_ends(ranges, order)), "_to int, _range int, _row long")
+    sent = ranges.join(F.broadcast(halo), ["_range", "_row"]).select(*order, "_lines", F.col("_to").alias("_range"), F.lit(False).alias("_own"))
+    both = ranges.withColumn("_own", F.lit(True)).unionByName(sent.dropDuplicates(["_range", "_row"]))
     dealt = both.repartition(shuffle_partitions(src.sparkSession), "_range").sortWithinPartitions("_range", *order)
 
     def compared(batches):
-        before, row = None, None
+        before, run, rows = None, None, []  # runs of pages with equal lines: (range, host, lines)
+
+        def settled(after):
+            near = [x[2] for x in (before, after) if x is not None and x[:2] == run[:2]]
+            gone = sorted(shared_lines(run[2], near)) if rows else []
+            return [(row, gone) for row in rows] if gone else []
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["_row", "_gone"])
+
         for b in batches:
-            rows_out, gone_out = [], []
-            for after in [*b.to_pylist()]:
-                if row is not None:
-                    yield_row(rows_out, gone_out, before, row, after)
-                before, row = row, after
-            yield pa.RecordBatch.from_arrays([pa.array(rows_out, pa.int64()), pa.array(gone_out, pa.list_(pa.int64()))], ["_row", "_gone"])
-        if row is not None:
-            rows_out, gone_out = [], []
-            yield_row(rows_out, gone_out, before, row, None)
-            yield pa.RecordBatch.from_arrays([pa.array(rows_out, pa.int64()), pa.array(gone_out, pa.list_(pa.int64()))], ["_row", "_gone"])
-
-    def yield_row(rows_out, gone_out, before, row, after):
-        if not row["_own"] or row["_article"] or not row["_lines"]:
-            return
-        near = [x["_lines"] for x in (before, after) if x is not None and x["_range"] == row["_range"] and x["_host"] == row["_host"]]
-        gone = shared_lines(row["_lines"], near)
-        if gone:
-            rows_out.append(row["_row"])
-            gone_out.append(sorted(gone))
+            found = []
+            for x in b.to_pylist():
+                page = x["_range"], x["_host"], x["_lines"]
+                if page != run:
+                    if run is not None:
+                        found += settled(page)
+                    before, run, rows = run, page, []
+                if x["_own"]:
+                    rows.append(x["_row"])
+            yield out(found)
+        if run is not None:
+            yield out(settled(None))
 
     return dealt.mapInArrow(compared, "_row long, _gone array<long>").groupBy("_row").agg(F.first("_gone").alias("_gone"))
 
 
+def _ends(ranges: DataFrame, order: list[str]) -> list[tuple]:
+    """(range, first, second, last but one, last) by range: pages (host, hash of lines, _row) of the range's outer runs of equal pages; the inner two may be null."""
+    page = F.struct(*order, F.xxhash64("_lines").alias("sig"))
+    slim = ranges.select("_range", page.alias("p"))
+    outer = slim.groupBy("_range").agg(F.min("p").alias("first"), F.max("p").alias("last"))
+    other = lambda c: F.when((F.col("p._host") != F.col(f"{c}._host")) | (F.col("p.sig") != F.col(f"{c}.sig")), F.col("p"))
+    inner = slim.join(F.broadcast(outer), "_range").groupBy("_range").agg(F.min(other("first")).alias("second"), F.max(other("last")).alias("before"))
+    rows = outer.join(inner, "_range").collect()  # a row for each range
+    return sorted((r["_range"], *(x and (x["_host"], x["sig"], x["_row"]) for x in (r["first"], r["second"], r["before"], r["last"]))) for r in rows)
+
+
+def _beside(ends: list[tuple]) -> list[tuple[int, int, int]]:
+    """(range, range that has the page, _row): the nearest pages with other lines than a range's first page, before it, and than its last, after it."""
+    out = []
+    for step in (1, -1):
+        for i, (to, *edges) in enumerate(ends):
+            edge = edges[-1 if step > 0 else 0]
+            for at, *far in ends[i + 1 :] if step > 0 else ends[:i][::-1]:
+                near, inner = (far[0], far[1]) if step > 0 else (far[3], far[2])
+                if near[:2] == edge[:2] and inner is None:
+                    continue  # the whole range is of the same lines
+                found = inner if near[:2] == edge[:2] else near
+                if found[0] == edge[0]:
+                    out.append((to, at, found[2]))
+                break
+    return out
+
+
 #: Rows of deletions (some hundred bytes each) up to which they are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 20_000
 
