@@ -38,10 +38,19 @@ _DROPPED_NAMES = set(
     "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply "
     "respond share sharing sidebar signup skip-link social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+_UNSEEN, _HIDDEN = {"noscript", "template"}, re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+#: Words that a dropped name may stand with: sidebar-left, social-links; not social-science, no-sidebar.
+_PLACES = set("area bar block box button buttons container form icons inner item items left link links list main outer panel posts primary right secondary section site top bottom wrap wrapper".split())
 _CLOSED_BY = {"p": _BLOCKS - {"caption", "tbody", "thead", "tfoot", "tr", "option", "legend"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"table", "td", "th", "button", "object"}, "option": {"select"}}
 
 
+def _named(x: str) -> bool:
+    """Whether a class or id is made up of dropped names, words of _PLACES and numbers only."""
+    parts = [w for w in re.split(r"[-_]+", x) if w and not w.isdigit()]
+    return not _DROPPED_NAMES.isdisjoint(parts) and all(w in _DROPPED_NAMES or w in _PLACES for w in parts)
+
+
 def _drops(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _DROPPED or tag == "header" and not in_article:
         return True
@@ -55,14 +64,28 @@ def _drops(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id"):
             for x in value.split():
-                if x in _DROPPED_NAMES or not _DROPPED_NAMES.isdisjoint(re.split(r"[-_]+", x)):
+                if x in _DROPPED_NAMES or _named(x):
                     return True
     return False
 
 
 def lines(html: str) -> list[tuple[str, str]]:
-    """(zone, text) of each block that isn't dropped; zone is article, main or open. White space is one space."""
+    """(zone, text) of each block that isn't dropped; zone is article, main or open. White space is one space. What contains the main element and the longest article (in it, if there is one) is never dropped."""
+    out, bodies = _read(html, frozenset())
+    if not any(b[2] for b in bodies):
+        return out
+    best = lambda found: max(found, key=lambda b: (not b[4], b[3]), default=None)
+    main = best([b for b in bodies if b[0] == "main"])
+    own = best([b for b in bodies if b[0] == "article" and (main is None or main[5] in b[1])])
+    around = frozenset(at for b in (main, own) if b for at in b[1])
+    return _read(html, around)[0] if around else out
+
+
+def _read(html: str, around: frozenset) -> tuple[list[tuple[str, str]], list[list]]:
+    """The lines, and main and article elements that don't go by themselves: [zone, places of the elements around, dropped, characters, hidden, place]; elements at the places ``around`` stay."""
     out: list[tuple[str, str]] = []
+    bodies: list[list] = []
+    places: list[tuple] = []  # beside the stack: place, body, hidden
     stack: list[tuple[str, bool, str]] = []  # tag, dropped, zone
     words: list[str] = []
     at, end = 0, len(html)
@@ -77,6 +100,10 @@ def lines(html: str) -> list[tuple[str, str]]:
         m = _TOKEN.search(html, at)
         stop = m.start() if m else end
         _, dropped, zone = stack[-1] if stack else ("", False, "open")
+        if stop > at:
+            for _, body, _ in places:
+                if body:
+                    body[3] += stop - at
         if stop > at and not dropped:
             words.append(_html.unescape(html[at:stop]))
         if not m:
@@ -100,7 +127,7 @@ def lines(html: str) -> list[tuple[str, str]]:
                 flush(zone)
             elif tag in _SPACED and not dropped:
                 words.append(" ")
-            del stack[k:]
+            del stack[k:], places[k:]
             continue
         for open_tag, closers in _CLOSED_BY.items():
             if tag in closers:
@@ -108,7 +135,7 @@ def lines(html: str) -> list[tuple[str, str]]:
                     if stack[i][0] == open_tag:
                         if not stack[-1][1]:
                             flush(stack[-1][2]) if open_tag in _BLOCKS else words.append(" ")
-                        del stack[i:]
+                        del stack[i:], places[i:]
                         break
                     if stack[i][0] in _SCOPES.get(open_tag, ()) or stack[i][0] in _BLOCKS and open_tag == "p":
                         break
@@ -119,7 +146,8 @@ def lines(html: str) -> list[tuple[str, str]]:
             words.append(" ")
         if tag in _VOID or attributes.rstrip().endswith("/") and tag not in _BLOCKS and tag not in _RAW:
             continue
-        drop = dropped or _drops(tag, attributes, zone == "article")
+        goes = _drops(tag, attributes, zone == "article")
+        drop = dropped or goes and m.start() not in around
         role = re.search(r"""\brole\s*=\s*["']?(main|article)\b""", attributes, re.I)
         inner = "article" if tag == "article" or role and role[1].lower() == "article" or zone == "article" else "main" if tag == "main" or role or zone == "main" else "open"
         if tag in _RAW:
@@ -128,10 +156,16 @@ def lines(html: str) -> list[tuple[str, str]]:
                 words.append(_html.unescape(html[at : close.start() if close else end]))
             at = close.end() if close else end
             continue
+        hidden = bool(places and places[-1][2]) or goes and (tag in _UNSEEN or bool(_HIDDEN.search(attributes)))
+        body = None
+        if inner != "open" and inner != zone and not goes:
+            body = [inner, [x[0] for x in places], drop, 0, hidden, m.start()]
+            bodies.append(body)
         stack.append((tag, drop, inner))
+        places.append((m.start(), body, hidden))
     if not (stack and stack[-1][1]):
         flush(stack[-1][2] if stack else "open")
-    return out
+    return out, bodies
 
 
 def candidate_lines(html: str) -> tuple[bool, list[str]]:

@@ -27,3 +27,17 @@ def test_beside_looks_past_ranges_of_copies():
     a, b, c, d = page("h", 1, 10), page("h", 2, 20), page("h", 2, 30), page("h", 3, 40)
     ends = [(0, a, b, a, b), (1, c, None, None, c), (2, c, d, c, d), (3, page("i", 3, 50), None, None, page("i", 3, 50))]
     assert sorted(pagediff._beside(ends)) == [(0, 2, 40), (1, 0, 10), (1, 2, 40), (2, 0, 10)]
+
+
+def test_wrappers_and_names():
+    read = lambda html: pagediff.candidate_lines(f"<html><body>{html}</body></html>")[1]
+    for name in ("no-sidebar", "has-sidebar", "content-with-banner", "widget", "sidebar"):
+        for tag in ("article", "main"):
+            assert read(f'<div class="{name}"><{tag}><p>text</p></{tag}></div>') == ["text"], name
+    assert read("<form><div role=search><main><p>one</p><article><p>two</p></article></main></div></form>") == ["two"]
+    for name in ("social-science", "share-price", "entry-header"):
+        assert read(f'<article><div class="{name}">own</div><p>text</p></article>') == ["own", "text"], name
+    for name in ("sidebar", "sidebar-left", "sidebar-1", "social-links", "cookie_notice", "nav-primary"):
+        assert read(f'<article><div class="{name}">chrome</div><p>text</p></article>') == ["text"], name
+    assert read("<article><p>a long text of the page</p></article><aside><article>teaser</article></aside>") == ["a long text of the page"]
+    assert read('<article><p>text</p></article><section id="comments"><article class="comment">a much longer comment</article></section>') == ["text"]
