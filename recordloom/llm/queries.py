@@ -54,16 +54,17 @@ def op5_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order 3 with all counts; each document is judged by the counts of the others, which is where runs are backed off."""
     from .backoff import scores
 
-    return scores(_tables(spark, sf_dir)("documents")).select("doc_id", "n_words", "n_backoff", "log_score")
+    return scores(_tables(spark, sf_dir)("documents"), own_out=True).select("doc_id", "n_words", "n_backoff", "log_score")
 
 
 def op6_stupid_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order 3, and every n-gram that was seen is in the counts."""
+    """The same with each document's own occurrences counted, so that every run is found."""
     from .backoff import scores
 
-    return scores(_tables(spark, sf_dir)("documents"), least=1, order=3).select("doc_id", "n_words", "n_backoff", "log_score")
+    return scores(_tables(spark, sf_dir)("documents")).select("doc_id", "n_words", "n_backoff", "log_score")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +108,16 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.node) AS
 
 _OP6 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT doc_id, CASE WHEN k > 1 THEN w[k - 1] END AS a, w[k] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
-one AS (SELECT b AS x, count(*) AS c1 FROM p GROUP BY b),
-two AS (SELECT a, b, count(*) AS c2 FROM p WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
-s AS (SELECT p.doc_id, p.a IS NOT NULL AND c2 IS NULL AS back,
-  CASE WHEN c2 IS NOT NULL THEN ln(c2 / u.c1) ELSE ln(v.c1 / (SELECT sum(c1) FROM one)) + CASE WHEN p.a IS NOT NULL THEN ln(0.4) ELSE 0 END END AS s
-  FROM p LEFT JOIN two ON p.a = two.a AND p.b = two.b LEFT JOIN one u ON u.x = p.a JOIN one v ON v.x = p.b)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(any_value(t.n), 0) AS BIGINT) AS n_backoff, coalesce(any_value(t.s), 0.0) AS log_score
-FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE back) AS n, round(sum(s), 6) AS s FROM s GROUP BY doc_id) t USING (doc_id) GROUP BY d.doc_id, d.w
+p AS (SELECT doc_id, len(w) AS m, CASE WHEN k > 2 THEN w[k - 2] END AS z, CASE WHEN k > 1 THEN w[k - 1] END AS a, w[k] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+own1 AS (SELECT doc_id, b, count(*) AS n FROM p GROUP BY ALL), own2 AS (SELECT doc_id, a, b, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY ALL), own3 AS (SELECT doc_id, z, a, b, count(*) AS n FROM p WHERE z IS NOT NULL GROUP BY ALL),
+left1 AS (SELECT doc_id, b, sum(n) OVER (PARTITION BY b) - n AS c FROM own1), left2 AS (SELECT doc_id, a, b, sum(n) OVER (PARTITION BY a, b) - n AS c FROM own2), left3 AS (SELECT doc_id, z, a, b, sum(n) OVER (PARTITION BY z, a, b) - n AS c FROM own3),
+s AS (SELECT p.doc_id, p.a IS NOT NULL AND coalesce(t.c, 0) = 0 AND (p.z IS NOT NULL OR coalesce(g.c, 0) = 0) AS back,
+  CASE WHEN t.c > 0 THEN ln(t.c / h.c) ELSE CASE WHEN p.z IS NOT NULL THEN ln(0.4) ELSE 0 END
+    + CASE WHEN g.c > 0 THEN ln(g.c / u.c) ELSE CASE WHEN p.a IS NOT NULL THEN ln(0.4) ELSE 0 END + ln(greatest(v.c, 1) / greatest((SELECT count(*) FROM p) - p.m, 1)) END END AS s
+  FROM p LEFT JOIN left3 t ON p.doc_id = t.doc_id AND p.z = t.z AND p.a = t.a AND p.b = t.b LEFT JOIN left2 h ON p.doc_id = h.doc_id AND p.z = h.a AND p.a = h.b
+  LEFT JOIN left2 g ON p.doc_id = g.doc_id AND p.a = g.a AND p.b = g.b LEFT JOIN left1 u ON p.doc_id = u.doc_id AND p.a = u.b JOIN left1 v ON p.doc_id = v.doc_id AND p.b = v.b)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(t.n, 0) AS BIGINT) AS n_backoff, coalesce(t.s, 0.0) AS log_score
+FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE back) AS n, round(sum(s), 6) AS s FROM s GROUP BY doc_id) t USING (doc_id)
 """
 
 _OP6_TRIGRAMS = r"""

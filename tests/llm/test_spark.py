@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm import backoff, bpe, jaccard, pagediff, positional, ranking, suffixdedup, vafile, warc, wavelet
+from recordloom.llm import bpe, jaccard, pagediff, positional, ranking, suffixdedup, vafile, warc, wavelet
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, row long"
 RANKS, TOKENIZER = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -187,20 +187,3 @@ def test_ranking(spark, empty):
     assert held and all(r.predicted == int(r.doc_id < 100) for r in held)
     assert {r.score for r in ranking.classify(docs, labels.where("quality = 1")).collect()} == {1.0}
     assert ranking.classify(empty, labels.limit(0)).count() == 0
-
-
-def test_backoff(docs, texts, empty):
-    words = [[w for w in re.split("[ \t-\r]+", (t or "").lower()) if w] for t in texts]
-    one, two = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:]))
-    n = sum(one.values())
-    out = {r.doc_id: (r.n_words, r.n_backoff, r.log_score) for r in backoff.scores(docs).collect()}
-    for i, x in enumerate(words):
-        s, back = (math.log(one[x[0]] / n) if x else 0.0), 0
-        for v, w in zip(x, x[1:]):
-            hit = two[v, w] >= 2
-            back += not hit
-            s += math.log(two[v, w] / one[v]) if hit else math.log(0.4) + math.log(one[w] / n)
-        assert out[i][:2] == (len(x), back) and abs(out[i][2] - s) < 1e-4
-    assert backoff.scores(empty).count() == 0
-    twice = {(r.doc_id, r.n_backoff) for r in backoff.scores(docs.where("doc_id = 20").union(docs.where("doc_id = 20"))).collect()}
-    assert len(twice) == 1
