@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 
-from recordloom.llm import pagediff, ranking, suffixdedup, vafile, wavelet
+from recordloom.llm.files import write_bytes
+from recordloom.llm import pagediff, pretoken, ranking, suffixdedup, vafile, wavelet
 from recordloom.llm.bpe import Coder, Utf8Stream
 from recordloom.llm.grouping import suffix_array
 from recordloom.llm.pretoken import pieces
@@ -79,22 +81,44 @@ def test_repeated_starts():
 
 
 @pytest.mark.parametrize("bits", [3, 16, 17])
-def test_wavelet_matrix(bits):
-    ids = np.random.default_rng(bits).integers(0, 1 << bits, 3000).astype(np.uint32)
-    data = b"".join(wavelet.shard_bytes(ids, bits, [5, None], [1000, 2000]))
-    m, doc_ids, lengths = wavelet.read_shard(data)
-    assert (m.all() == ids).all() and doc_ids == [5, None] and lengths.tolist() == [1000, 2000]
-    for p in (0, 511, 512, 1023, 2999):
+def test_wavelet_matrix(bits, tmp_path):
+    n = 200_000
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, n).astype(np.uint32)
+    ids[::3] = 5  # frequent
+    path = f"file://{tmp_path}/one.wm"
+    write_bytes(path, wavelet.shard_parts(ids, bits, pa.array(["a", None]), [1000, n - 1000]))
+    m = wavelet.Shard.open(path)
+    assert (m.all() == ids).all() and m.documents().to_pydict() == {"doc_id": ["a", None], "n": [1000, n - 1000]}
+    for p in (0, 511, 65535, 65536, n - 1):
         assert m.access(p) == ids[p]
-    for v in (int(ids[7]), int(ids[2999]), (1 << bits) - 1):
+    for v in (5, int(ids[7]), int(ids[n - 2]), (1 << bits) - 1):
         places = np.flatnonzero(ids == v)
-        assert m.count(v) == len(places) and m.count(v, 100, 900) == ((places >= 100) & (places < 900)).sum()
-        assert [m.select(v, k) for k in range(min(3, len(places)))] == places[:3].tolist() and m.select(v, len(places)) == -1
+        assert m.count(v) == len(places) and m.count(v, 100, 90_000) == ((places >= 100) & (places < 90_000)).sum()
+        assert [m.select(v, k) for k in (*range(min(3, len(places))), len(places) - 1)] == [*places[:3].tolist(), *(places[-1:].tolist() or [-1])] and m.select(v, len(places)) == -1
+    assert m.count(1 << bits) == m.count(-1) == 0
+    with pytest.raises(IndexError):
+        m.access(n)
+
+
+def test_shard_is_compressed_and_read_by_ranges():
+    ids = np.minimum(np.random.default_rng(1).zipf(1.3, 400_000), 50_000).astype(np.uint32)
+    data = b"".join(wavelet.shard_parts(ids, 16, pa.array([1]), [len(ids)]))
+    assert len(data) < 2 * len(ids) * 0.75
+    asked = []
+    m = wavelet.Shard(lambda at, size: asked.append(size) or data[at : at + size])
+    assert m.access(123_456) == ids[123_456] and m.select(1, 1000) == np.flatnonzero(ids == 1)[1000]
+    assert sum(asked) < len(data) / 2
+    with pytest.raises(ValueError, match="not a shard"):
+        wavelet.Shard.of(b"x" * 40)
 
 
 def test_empty_wavelet_matrix():
-    m, _, lengths = wavelet.read_shard(b"".join(wavelet.shard_bytes(np.zeros(0, np.uint32), 4, [], [])))
-    assert m.n == 0 and len(m.all()) == 0 and m.count(3) == 0 and len(lengths) == 0
+    m = wavelet.Shard.of(b"".join(wavelet.shard_parts(np.zeros(0, np.uint32), 4, pa.array([], pa.int64()), [])))
+    assert m.n == 0 and len(m.all()) == 0 and m.count(3) == 0 and m.documents().num_rows == 0
+
+
+def test_pieces_of_other_patterns():
+    assert pretoken.pieces("ab 12", r"\p{L}|\p{N}+") == ["a", "b", "12"] and pretoken.pieces("ab 12", pretoken.KNOWN) == ["ab", " 12"]
 
 
 def test_top_k_block():

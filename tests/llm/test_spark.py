@@ -59,11 +59,17 @@ def test_bpe_and_wavelet(spark, docs, texts, empty):
     tok, start = Tokenizer.from_file(TOKENIZER), 0
     manifest = wavelet.write_shards(docs, TOKENIZER, P.PATTERN, shard_ids=500)
     assert manifest.count() > 4
-    out = {r.doc_id: r for r in wavelet.read_documents(manifest).collect()}
+    out = {r.doc_id: r for r in wavelet.read_documents(manifest, docs.schema["doc_id"].dataType).collect()}
     for i, t in enumerate(texts):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         assert (out[i].start, out[i].n_tokens, out[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    shard = wavelet.Shard.open(manifest.orderBy("start").first().path)
+    first = [*tok.encode(texts[0] or "", add_special_tokens=False).ids, 2, *tok.encode(texts[1], add_special_tokens=False).ids, 2, *tok.encode(texts[2], add_special_tokens=False).ids]
+    assert [shard.access(k) for k in range(len(first))] == first and shard.select(2, 1) == first.index(2) + 1
+    for kind in ("smallint", "string", "decimal(10,0)"):
+        rows = wavelet.digests(docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").where("text is not null").limit(3), TOKENIZER, P.PATTERN)
+        assert rows.schema["doc_id"].dataType.simpleString() == kind and rows.count() == 3
     assert bpe.digests(empty, RANKS, P.PATTERN).count() == wavelet.digests(empty, TOKENIZER, P.PATTERN).count() == 0
 
 
