@@ -89,12 +89,15 @@ def _unpack(n: int, low: bytes, top: bytes) -> np.ndarray:
 
 
 def _packed_counts(counts: np.ndarray) -> bytes:
-    size = next(s for s in (1, 2, 4, 8) if int(counts.max()) >> 8 * s == 0)
-    return bytes([size]) + _zip(counts.astype(f"<u{size}").tobytes())
+    """A byte for each count; those of 255 or more follow in full."""
+    return _zip(np.minimum(counts, 255).astype(np.uint8).tobytes()) + counts[counts >= 255].astype("<i8").tobytes() + int((counts >= 255).sum()).to_bytes(8, "little")
 
 
 def _unpacked_counts(n: int, counts: bytes) -> np.ndarray:
-    return np.frombuffer(_unzip(counts[1:], n * counts[0]), f"<u{counts[0]}").astype(np.int64)
+    end = len(counts) - 8 - 8 * int.from_bytes(counts[-8:], "little")
+    out = np.frombuffer(_unzip(counts[:end], n), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(counts[end:-8], "<i8")
+    return out
 
 
 def _runs(docs: DataFrame, order: int, buckets: int, asks: bool, adds: bool) -> DataFrame:
