@@ -1,86 +1,243 @@
 """Operator 3: exact top-k by inner product with vector-approximation files.
 
-Each component of a vector is kept as a cell number of CELL_BITS bits. The scan looks at cells only: for a query and a vector the corners of the vector's cell bound the
-score from both sides. The k-th best lower bound settles which vectors can matter; their exact components are then read in the order of their upper bounds until the next upper bound is
-below the k-th best score read. The same holds within each block of rows, so blocks are scanned apart and their best k merged: a stated set of
-queries against all rows, in blocks, both of bounded size.
+Index. Each component of a vector is kept as a cell number of CELL_BITS bits. Cells, with the ids, are written to files of FILE_ROWS vectors at most, and the exact vectors to files beside them, in the
+same order. Of equal vectors the index keeps those of the k + 1 least ids, as no query can have others among its k best.
 
-Vectors are compared with queries of the same length. Vectors that are null or hold null or non-finite components take no part.
-Ties go to the smaller id; rows that repeat an id are candidates each, but never of a query with that id. Other columns are not read.
+Search. Queries are dealt in blocks, and the files in bands; each pair of a block and a band is a task that reads files by itself. The first scan looks at cells only: the corners of a cell bound the
+score of a query and a vector from both sides, and the k-th best lower bound of all bands is what a vector's upper bound must reach. The second scan keeps those that do, and reads their exact components by ranges
+of the file, in the order of the upper bounds, until the next upper bound is below the k-th best score read. So what is shuffled is k bounds and k results for each query and band, and no vector but the queries.
+A stated set of queries against all rows, both in blocks of bounded size.
+
+Results. Vectors are compared with queries of the same length. Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id.
+Ties go to the smaller id; rows that repeat an id are candidates each, but never of a query with that id; queries that repeat an id and a vector count once. Bounds and scores are exact whatever the components: beyond 2**53
+they are computed with Python's integers; a score that no long can hold raises OverflowError. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import struct
+import uuid
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates and of queries; bits of a cell number; rows read exactly at a time.
-BLOCK_ROWS, BLOCK_QUERIES, CELL_BITS, READ_ROWS = 4096, 2048, 4, 64
-
-
-class VAFile:
-    """Cells of a block of integer vectors. Bounds are exact: all values are integers below 2**53."""
-
-    def __init__(self, rows: np.ndarray, bits: int = CELL_BITS):
-        low, high = rows.min(0), rows.max(0)
-        self.width = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
-        self.low = low
-        self.cells = ((rows - low) // self.width).astype(np.uint8 if bits <= 8 else np.uint32)
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least and greatest score of each query with each row."""
-        floor = (self.low + self.cells * self.width).astype(np.float64)
-        least = queries @ floor.T
-        reach = (self.width - 1).astype(np.float64)
-        return least + (np.minimum(queries, 0) @ reach)[:, None], least + (np.maximum(queries, 0) @ reach)[:, None]
-
-
-def top_k_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, row index, score) of each query's best k of one block. rows are sorted by id."""
-    low, high = VAFile(rows).bounds(queries.astype(np.float64))
-    own = query_ids[:, None] == row_ids[None, :]
-    low[own] = high[own] = -np.inf
-    kth = np.partition(low, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(queries), -np.inf)
-    out_q, out_r, out_s = [], [], []
-    for q in range(len(queries)):
-        open_ = np.flatnonzero((high[q] >= kth[q]) & (high[q] > -np.inf))
-        open_ = open_[np.argsort(-high[q][open_], kind="stable")]
-        best_r, best_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(open_), READ_ROWS):
-            if len(best_s) == k and high[q][open_[at]] < best_s[-1]:
-                break
-            read = open_[at : at + READ_ROWS]
-            r, s = np.concatenate([best_r, read]), np.concatenate([best_s, rows[read] @ queries[q]])
-            order = np.lexsort((r, -s))[:k]
-            best_r, best_s = r[order], s[order]
-        out_q.append(np.full(len(best_r), q))
-        out_r.append(best_r)
-        out_s.append(best_s)
-    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
-
-
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best; queries are the rows whose id is divisible by ``every``."""
+from .files import open_input, write_bytes
+from .shared import shared_folder, shuffle_partitions, written
+
+MAGIC = b"RLVA0001"
+#: Queries of a block; vectors of a file, and of the part of it that is scanned at a time; bits of a cell number; vectors read exactly at a time for a query; pairs of a query and a vector whose upper bounds a task holds.
+BLOCK_QUERIES, FILE_ROWS, SCAN_ROWS, CELL_BITS, READ_ROWS, PAIRS = 1024, 65_536, 4096, 5, 64, 4_000_000
+
+
+def cells_of(rows: np.ndarray, bits: int = CELL_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, width, cells): component j of a row lies in [low[j] + cell * width[j], that + width[j])."""
+    low, high = rows.min(0), rows.max(0)
+    width = np.array([max(1, -(-(int(b) - int(a) + 1) // (1 << bits))) for a, b in zip(low, high)], np.int64)
+    return low, width, np.stack([(rows[:, j].astype(object) - int(low[j])) // int(width[j]) if width[j] > 1 << 53 else (rows[:, j] - low[j]) // width[j] for j in range(rows.shape[1])], 1).astype(np.uint8 if bits <= 8 else np.uint32)
+
+
+def _exact(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> type:
+    """The kind of numbers in which sums of products are exact."""
+    most = lambda x: max((abs(int(v)) for v in (x.min(initial=0), x.max(initial=0))), default=0)
+    return np.float64 if queries.shape[1] * max(most(queries), 1) * (max(most(low), most(high)) + 1) < 1 << 53 else object
+
+
+def bounds(queries: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and greatest score of each query with each row."""
+    kind = _exact(queries, low, low + (cells.max(0, initial=0).astype(np.int64) + 1) * width)
+    q = queries.astype(kind)
+    least = q @ (low.astype(kind) + cells.astype(kind) * width.astype(kind)).T
+    reach = (width - 1).astype(kind)
+    return least + (np.minimum(q, 0) @ reach)[:, None], least + (np.maximum(q, 0) @ reach)[:, None]
+
+
+class Cells:
+    """One file of cells, read whole; the exact vectors are read by row."""
+
+    def __init__(self, path: str):
+        self.path = path
+        with open_input(f"{path}.cells") as f:
+            data = f.read()
+        if data[:8] != MAGIC:
+            raise ValueError("not a file of cells")
+        self.dim, self.n, self.size = struct.unpack_from("<III", data, 8)
+        at = 20
+        self.low, self.width, self.ids = np.frombuffer(data, "<i8", self.dim, at), np.frombuffer(data, "<i8", self.dim, at + 8 * self.dim), np.frombuffer(data, "<i8", self.n, at + 16 * self.dim)
+        self.cells = np.frombuffer(data, np.uint8, offset=at + 16 * self.dim + 8 * self.n).reshape(self.n, self.dim)
+
+    def parts(self):
+        for a in range(0, self.n, SCAN_ROWS):
+            yield a, self.ids[a : a + SCAN_ROWS], self.cells[a : a + SCAN_ROWS]
+
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        """The exact vectors of sorted row numbers: neighbours are one read."""
+        step = self.dim * self.size
+        cuts = np.flatnonzero(np.diff(rows) != 1) + 1
+        with open_input(f"{self.path}.exact") as f:
+            parts = []
+            for run in np.split(rows, cuts):
+                f.seek(int(run[0]) * step)
+                parts.append(f.read(len(run) * step))
+        return np.frombuffer(b"".join(parts), f"<i{self.size}").reshape(-1, self.dim).astype(np.int64)
+
+
+def write_index(vectors: DataFrame, folder: str, bits: int = CELL_BITS, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Write (vec_id, v, dim) to files and return their manifest: path, dim, n."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def closed(dim: int):
+            ids, rows = (np.array(x, np.int64) for x in zip(*held.pop(dim)))
+            low, width, cells = cells_of(rows, bits)
+            size = next(s for s in (1, 2, 4, 8) if -(1 << (8 * s - 1)) <= rows.min() and rows.max() < 1 << (8 * s - 1))
+            path = f"{folder}/{uuid.uuid4().hex}"
+            write_bytes(f"{path}.exact", [rows.astype(f"<i{size}").tobytes()])
+            write_bytes(f"{path}.cells", [MAGIC + struct.pack("<III", dim, len(ids), size), low.astype("<i8").tobytes(), width.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), cells.tobytes()])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int64())], ["path", "dim", "n"])
+
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(len(v), []).append((i, v))
+                if len(held[len(v)]) >= file_rows:
+                    yield closed(len(v))
+        for dim in list(held):
+            yield closed(dim)
+
+    return written(vectors.select("vec_id", "v").mapInArrow(run, "path string, dim int, n long"), "manifest")
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k greatest of each row, the least of them first; fewer are filled with -inf."""
+    if scores.shape[1] < k:
+        scores = np.concatenate([np.full((len(scores), k - scores.shape[1]), -np.inf, scores.dtype), scores], 1)
+    return np.sort(scores if scores.dtype == object else np.partition(scores, -k, axis=1)[:, -k:], axis=1)[:, -k:]
+
+
+def scan(queries: np.ndarray, ids: np.ndarray, files: list[str], k: int) -> np.ndarray:
+    """The k greatest lower bounds of each query over the files' cells."""
+    best = np.full((len(queries), k), -np.inf)
+    for path in files:
+        own = Cells(path)
+        for _, row_ids, cells in own.parts():
+            low = bounds(queries, own.low, own.width, cells)[0]
+            low[ids[:, None] == row_ids[None, :]] = -np.inf
+            best = _best(np.concatenate([best, low], 1), k)
+    return best
+
+
+def search(queries: np.ndarray, ids: np.ndarray, least: np.ndarray, files: list[str], k: int, pairs: int = PAIRS) -> tuple[list[tuple], np.ndarray]:
+    """(query index, vec_id, score) of each query's k best in the files, and how many vectors were read exactly for it. ``least`` is what an upper bound must reach; it rises with the scores read."""
+    own, least = [Cells(p) for p in files], least.copy()
+    best: list[list[tuple]] = [[] for _ in queries]  # (-score, vec_id)
+    read = np.zeros(len(queries), np.int64)
+
+    def settle(held: list[tuple]) -> None:
+        """Read the exact vectors of (query, file, row, upper bound): in rounds, the next of all open queries, file by file."""
+        found, numbers, rows, tops = (np.concatenate(x) for x in zip(*held))
+        order = {}
+        for q, n, r, t in _split(found, numbers, rows, tops):
+            by_top = np.argsort(-t, kind="stable")
+            order[q] = n[by_top], r[by_top], t[by_top]
+        at = dict.fromkeys(order, 0)
+        while open_ := [q for q, i in at.items() if i < len(order[q][0]) and not (len(best[q]) == k and order[q][2][i] < -best[q][-1][0])]:
+            wanted: dict[int, list] = {}
+            for q in open_:
+                for n, r in _split(*(x[at[q] : at[q] + READ_ROWS] for x in order[q][:2])):
+                    wanted.setdefault(n, []).append((q, r))
+                    read[q] += len(r)
+                at[q] += READ_ROWS
+            for n, asked in wanted.items():
+                rows = np.unique(np.concatenate([r for _, r in asked]))
+                exact = own[n].exact(rows)
+                kind = _exact(queries, exact, exact)
+                for q, r in asked:
+                    scores = exact[np.searchsorted(rows, r)].astype(kind) @ queries[q].astype(kind)
+                    best[q] += [(-int(s), i) for s, i in zip(scores.tolist(), own[n].ids[r].tolist())]
+            for q in open_:
+                best[q] = sorted(best[q])[:k]
+        for q in order:
+            if len(best[q]) == k:
+                least[q] = max(least[q], -best[q][-1][0])
+
+    held, size = [], 0
+    for number, f in enumerate(own):
+        for start, row_ids, cells in f.parts():
+            high = bounds(queries, f.low, f.width, cells)[1]
+            at = np.nonzero((high >= least[:, None]) & (ids[:, None] != row_ids[None, :]))
+            held.append((at[0], np.full(len(at[0]), number), at[1] + start, high[at]))
+            size += len(at[0])
+            if size >= pairs:
+                settle(held)
+                held, size = [], 0
+    if held:
+        settle(held)
+    return [(q, i, -s) for q, own_best in enumerate(best) for s, i in own_best], read
+
+
+def _split(keys: np.ndarray, *values: np.ndarray):
+    """(key, values) of each key."""
+    if len(keys):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        for part in zip(np.split(keys, cuts), *(np.split(v[order], cuts) for v in values)):
+            yield int(part[0][0]), *part[1:]
+
+
+def results(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block_queries: int = BLOCK_QUERIES, file_rows: int = FILE_ROWS, bits: int = CELL_BITS) -> DataFrame:
+    """query_id, query, vec_id, score of each band's k best; and a row without vec_id for each query and band: n_read (vectors read exactly) and n_scanned."""
+    spark = vectors.sparkSession
     comps = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * scale).cast("long"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    src = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), comps.alias("v"), F.size("embedding").alias("dim"))
-    counts = src.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    n_rows, n_queries = max(1, -(-counts.n // block_rows)), max(1, -(-counts.q // block_queries))
-    salted = src.select("*", F.xxhash64("vec_id", "v").alias("_h"))
-    rows = salted.select("vec_id", "v", "dim", F.pmod("_h", F.lit(n_rows)).cast("int").alias("row_block"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("query_block"), F.lit(False).alias("is_query"))
-    queries = salted.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("row_block"), F.pmod("_h", F.lit(n_queries)).cast("int").alias("query_block"), F.lit(True).alias("is_query"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, r = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values("vec_id", kind="stable")
-        if q.empty or r.empty:
-            return pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []})
-        qs, rs = np.array(q["v"].tolist(), np.int64), np.array(r["v"].tolist(), np.int64)
-        q_ids, r_ids = q["vec_id"].to_numpy(), r["vec_id"].to_numpy()
-        a, b, s = top_k_block(qs, q_ids, rs, r_ids, k)
-        return pd.DataFrame({"query_id": q_ids[a], "query": pd.util.hash_array(np.array([x.tobytes() for x in qs], object)).view(np.int64)[a], "vec_id": r_ids[b], "score": s})
-
-    best = queries.unionByName(rows).groupBy("query_block", "row_block", "dim").applyInPandas(run, "query_id long, query long, vec_id long, score long")
+    src = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), comps.alias("v"))
+    rows = src.groupBy("v", "vec_id").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    rows = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    folder = f"{shared_folder(spark)}/vectors"
+    files = write_index(rows, folder, bits, file_rows)
+    queries = written(src.where(F.col("vec_id") % every == 0).distinct().select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("vec_id", "v").alias("query")), "queries")
+    tasks = shuffle_partitions(spark)
+    n_blocks = max(1, -(-queries.count() // block_queries))
+    n_bands = max(1, min(files.count(), -(-4 * tasks // n_blocks)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys = ["block", "band", "dim"]
+
+    def dealt(q: DataFrame):
+        left = q.withColumn("block", F.pmod(F.hash("query"), F.lit(n_blocks))).withColumn("band", each(n_bands)).repartition(tasks, *keys)
+        right = files.withColumn("band", F.pmod(F.hash("path"), F.lit(n_bands))).withColumn("block", each(n_blocks)).repartition(tasks, *keys)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+
+    def taken(left: pa.Table, right: pa.Table):
+        return np.array(left["v"].to_pylist(), np.int64), left["vec_id"].to_numpy(), right["path"].to_pylist()
+
+    def lows(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "lows": pa.array([], pa.list_(pa.int64()))})
+        best = scan(*taken(left, right), k)
+        return pa.table({"query": left["query"], "lows": pa.array([[int(x) for x in row if x > -np.inf] for row in best], pa.list_(pa.int64()))})
+
+    least = dealt(queries).applyInArrow(lows, "query long, lows array<long>").groupBy("query").agg(F.sort_array(F.flatten(F.collect_list("lows")), False).alias("lows"))
+    least = written(least.select("query", F.get("lows", F.lit(k - 1)).alias("least")), "least")
+
+    def exact(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = {"query_id": pa.int64(), "query": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "n_read": pa.int64(), "n_scanned": pa.int64()}
+        if not left.num_rows or not right.num_rows:
+            return pa.schema(list(kinds.items())).empty_table()
+        q, ids, paths = taken(left, right)
+        bound = np.array([-np.inf if x is None else x for x in left["least"].to_pylist()], object if any(abs(x or 0) >= 1 << 53 for x in left["least"].to_pylist()) else np.float64)
+        found, done = search(q, ids, bound, paths, k)
+        key = left["query"].to_pylist()
+        rows = [(int(ids[i]), key[i], vec, score, None, None) for i, vec, score in found] + [(int(ids[i]), key[i], None, None, int(n), sum(right["n"].to_pylist())) for i, n in enumerate(done)]
+        return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), zip(*rows))})
+
+    return dealt(queries.join(least, "query", "left")).applyInArrow(exact, "query_id long, query long, vec_id long, score long, n_read long, n_scanned long")
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, **sizes: int) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best; queries are the rows whose id is divisible by ``every``."""
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    best = results(vectors, k, every, scale, **sizes).where("vec_id is not null")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -121,20 +121,14 @@ def test_pieces_of_other_patterns():
     assert pretoken.pieces("ab 12", r"\p{L}|\p{N}+") == ["a", "b", "12"] and pretoken.pieces("ab 12", pretoken.KNOWN) == ["ab", " 12"]
 
 
-def test_top_k_block():
+@pytest.mark.parametrize("big", [1, 1 << 50])
+def test_cells_bound_scores(big):
     g = np.random.default_rng(2)
-    rows = g.integers(-30, 30, (300, 8))
-    rows[50:120] = rows[50]
-    q, ids = rows[::10], np.arange(300)
-    a, b, s = vafile.top_k_block(q, ids[::10], rows, ids, 20)
-    full = q @ rows.T
-    for i in range(len(q)):
-        exp = sorted((-int(full[i, j]), j) for j in range(300) if j != 10 * i)[:20]
-        assert [(-int(x), int(y)) for x, y in zip(s[a == i], b[a == i])] == exp
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li>Menu</ul></nav>
-<div class="cookie-notice">ok?</div>%s<section id="comments"><p>nice</section><form><input>Go</form><footer>&copy; x</footer></body></html>"""
+    rows, q = g.integers(-300, 300, (200, 8)) * big, g.integers(-300, 300, (10, 8))
+    low, width, cells = vafile.cells_of(rows)
+    least, most = vafile.bounds(q, low, width, cells)
+    full = q.astype(object) @ rows.astype(object).T
+    assert (least <= full).all() and (full <= most).all() and int(cells.max()) < 32
 
 
 def test_page_lines():

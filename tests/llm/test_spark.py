@@ -140,18 +140,28 @@ def test_proximity():
 def test_top_k(spark):
     g = np.random.default_rng(4)
     rows = [(i, [float(x) for x in g.normal(size=6)], "x") for i in range(200)] + [(300 + i, [1.0] * 6, "x") for i in range(50)]
-    rows += [(400, None, "x"), (420, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x"), (440, [float("nan")] * 6, "x"), (460, [float("inf")] * 6, "x")]
+    rows += [(400, None, "x"), (420, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x"), (440, [float("nan")] * 6, "x"), (460, [float("inf")] * 6, "x"), (None, [1.0] * 6, "x"), (480, [], "x")]
+    rows += [(5, [2.0] * 6, "x")] * 30 + [(500, [float(1 << 45), 1.0, 0.0, 0.0, 0.0, 0.0], "x"), (600, [0.5], "x"), (601, [0.25], "x")]
     out = {}
-    for r in vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"), block_rows=40, block_queries=5).collect():
+    found = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    for r in vafile.top_k(found, file_rows=40, block_queries=5).collect():
         out.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
-    ints = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v, _ in rows if i < 400}
-    for q in [i for i in ints if i % 20 == 0]:
-        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in ints if i != q)[:20]
+    ints = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and i not in (400, 420, 440, 460, 480)]
+    queries = [(i, v) for i, v in ints if i % 20 == 0]
+    for q, v in queries:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q and len(w) == len(v))[:20]
         assert sorted(out[q]) == [(k + 1, s, i) for k, (s, i) in enumerate(best)]
-    assert not set(out) & {400, 420, 440, 460}
+    assert set(out) == {q for q, _ in queries}
     assert vafile.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_reads_few_vectors(spark):
+    g = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(g.normal(size=(4000, 16)))]
+    stats = vafile.results(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id is null").groupBy().sum("n_read", "n_scanned").first()
+    assert 0 < stats[0] < 0.1 * stats[1]
+
+
 def test_warc(spark):
     big, small = "<p>é</p>" * 200, "<p>x</p>"
     pages = [(1, "http://a/ü\n", big, 0), (2, None, big, 0), (5, "http://b", big + "!", 0), (3, "u", small, 0), (4, "u", small, 0), (6, "u", None, 0), (7, "u", "", 0), (2, "u", big, 0)]
