@@ -6,10 +6,11 @@ the last token of each prefix is found from the last tokens of the shorter ones.
 the last token it has emitted and the bytes read since. After a byte, the prefixes that some longer token may still
 start from are its open positions; the tokens before the last boundary that all of them have in common cannot change
 any more and are emitted. As tokens have a greatest length, that lookahead is bounded. States and arcs are made when
-a text first needs them and kept up to a bound, beyond which the transducer starts anew (the results don't change).
+a text first needs them and kept up to a bound; beyond it, bytes without an arc are stepped through in the same way without keeping what they lead to. A match that is a token is that token, whatever merges lead to it,
+as in the libraries. Ids of matches seen lately are kept.
 
-Decoding. Token bytes pass through an incremental UTF-8 state machine, which gives out whole characters and
-holds back at most three bytes of an unfinished one.
+Decoding. An incremental UTF-8 state machine: its state is the at most three bytes of an unfinished character. It is put together with the tokens as inputs, an arc for each state and token that has been met: the characters
+given out, and the next state. Faulty bytes become U+FFFD, one for each part that could have begun a character.
 
 Results: null text counts as empty: no tokens, and the hashes of nothing. Repeated rows give a row each. Other columns of the input
 are not read. Very long texts are streamed through the transducer match by match.
@@ -18,7 +19,6 @@ are not read. Very long texts are streamed through the transducer match by match
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from functools import lru_cache
 
@@ -26,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pretoken import pieces
-from .shared import text_or_empty
+from .shared import text_or_empty, without_collector
 
-#: Arcs and pieces that a worker keeps.
-KEPT_ARCS = 100_000
-KEPT_PIECES = 300_000
+#: Arcs of the transducer, pieces, and arcs of the decoder that a worker keeps.
+KEPT_ARCS, KEPT_PIECES, KEPT_DECODED = 250_000, 300_000, 200_000
 
 
 class Transducer:
@@ -39,10 +38,8 @@ class Transducer:
         self.token = {v: k for k, v in ranks.items()}
         self.open = {k[:n] for k in ranks for n in range(1, len(k))}
         self.kept_arcs = kept_arcs
+        self.bytes_by_arcs = self.bytes_beyond = 0  # counters
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self.arcs = 0
         self._states: dict[tuple[int, bytes], tuple] = {}
         self.root = self._state(-1, b"", (), ())
@@ -110,8 +107,8 @@ class Transducer:
         self.arcs += 1
         return arc
 
-    def _rest(self, state: tuple, data: bytes, at: int) -> list[int]:
-        """The encoding from ``state`` on, without new states: for bytes that come this way for the first time."""
+    def _beyond(self, state: tuple, data: bytes, at: int) -> list[int]:
+        """The encoding from ``state`` on by the steps that make arcs, without keeping them."""
         _, before, pending, ends, opens = state
         data, n, ends, opens = pending + data[at:], len(pending), list(ends), list(opens)
         get, longer, known = self.ranks.get, self.open, self._pairs
@@ -128,52 +125,94 @@ class Transducer:
         return self._tokens(ends, n)
 
     def encode(self, data: bytes) -> list[int]:
-        """The ids of one match of the pattern. An arc is made when it is asked for the second time."""
+        """The ids of one match of the pattern."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        if self.arcs > self.kept_arcs:
-            self._reset()
         out: list[int] = []
         state = self.root
         for at, byte in enumerate(data):
             arc = state[0].get(byte)
-            if not arc:
-                if arc is None and len(data) < 64:
-                    state[0][byte] = False
-                    return out + self._rest(state, data, at)
+            if arc is None:
+                if self.arcs >= self.kept_arcs:
+                    self.bytes_by_arcs += at
+                    self.bytes_beyond += len(data) - at
+                    return out + self._beyond(state, data, at)
                 arc = self._arc(state, byte)
             emitted, state = arc
             if emitted:
                 out += emitted
+        self.bytes_by_arcs += len(data)
         return out + self._tokens(state[3], len(state[3]))
 
 
-class Utf8Stream:
-    """An incremental UTF-8 state machine: bytes in, whole characters out; faulty ones become U+FFFD."""
+class Utf8Machine:
+    """UTF-8 as a state machine over bytes: a state is the bytes of an unfinished character (b"" at first)."""
 
-    def __init__(self):
-        self.held = b""
+    @staticmethod
+    def step(state: bytes, byte: int) -> tuple[str, bytes]:
+        """Characters given out and the next state."""
+        if not state:
+            if byte < 0x80:
+                return chr(byte), b""
+            return ("", bytes((byte,))) if 0xC2 <= byte <= 0xF4 else ("\ufffd", b"")
+        lead = state[0]
+        # the second byte of some first ones has a narrower range: no overlong forms, surrogates or places beyond U+10FFFF
+        low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(lead, (0x80, 0xBF)) if len(state) == 1 else (0x80, 0xBF)
+        if not low <= byte <= high:
+            out, state = Utf8Machine.step(b"", byte)
+            return "\ufffd" + out, state
+        size = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        if len(state) + 1 < size:
+            return "", state + bytes((byte,))
+        code = lead & (0x7F >> size)
+        for b in (*state[1:], byte):
+            code = code << 6 | b & 0x3F
+        return chr(code), b""
 
     @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """How many last bytes begin a character without ending it."""
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b >= 0xC0:
-                return back if back < (2 if b < 0xE0 else 3 if b < 0xF0 else 4) else 0
-            if b < 0x80:
-                return 0
-        return 0
-
-    def feed(self, data: bytes) -> str:
-        data = self.held + data
-        n = len(data) - self._unfinished(data)
-        self.held = data[n:]
-        return data[:n].decode("utf-8", "replace")
-
-    def end(self) -> str:
-        data, self.held = self.held, b""
-        return data.decode("utf-8", "replace")
+    def run(state: bytes, data: bytes) -> tuple[str, bytes]:
+        out = []
+        for byte in data:
+            given, state = Utf8Machine.step(state, byte)
+            out.append(given)
+        return "".join(out), state
+
+
+class TokenDecoder:
+    """The machine with tokens as inputs; arcs are made when they are first met."""
+
+    def __init__(self, bytes_of: list[bytes], kept: int = KEPT_DECODED):
+        self.bytes_of, self.kept = bytes_of, kept
+        self._from_start: dict[int, str] = {}  # arcs from and to the state b""
+        self._arcs: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+
+    def _arc(self, state: bytes, token: int) -> tuple[str, bytes]:
+        arc = self._arcs.get((state, token))
+        if arc is None:
+            arc = Utf8Machine.run(state, self.bytes_of[token])
+            if not state and not arc[1]:
+                self._from_start[token] = arc[0]
+            elif len(self._arcs) < self.kept:
+                self._arcs[state, token] = arc
+        return arc
+
+    def stream(self, ids, step: int = 65536):
+        """The text in parts, as whole characters become known."""
+        state, whole = b"", self._from_start
+        for i in range(0, len(ids), step):
+            part = ids[i : i + step]
+            out = [] if state else list(map(whole.get, part))
+            if state or None in out:
+                out = []
+                for t in part:
+                    if not state and (given := whole.get(t)) is not None:
+                        out.append(given)
+                    else:
+                        given, state = self._arc(state, t)
+                        out.append(given)
+            yield "".join(out)
+        if state:
+            yield "\ufffd"
 
 
 class Coder:
@@ -182,6 +221,7 @@ class Coder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern, self.machine = pattern, Transducer(ranks)
         self.bytes_of = [self.machine.token.get(i, b"") for i in range(max(ranks.values()) + 1)]
+        self.decoder = TokenDecoder(self.bytes_of)
         self._kept: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
@@ -198,16 +238,11 @@ class Coder:
         return out
 
     def decode_stream(self, ids, step: int = 65536):
-        """The text in parts, as whole characters become known."""
-        machine = Utf8Stream()
-        for i in range(0, len(ids), step):
-            yield machine.feed(b"".join(map(self.bytes_of.__getitem__, ids[i : i + step])))
-        yield machine.end()
+        return self.decoder.stream(ids, step)
 
 
 @lru_cache(2)
 def coder(ranks_path: str, pattern: str) -> Coder:
-    gc.disable()  # this worker's tables hold no cycles, and looking through them takes half of the time
     return Coder(ranks_path, pattern)
 
 
@@ -221,7 +256,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches):
         own = coder(ranks_path, pattern)
-        for b in batches:
+        for b in without_collector(batches):
             ids = [own.encode(t) for t in b.column(len(b.column_names) - 1).to_pylist()]
             decoded = ["".join(own.decode_stream(x)) for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*b.column_names[:-1], "ids", "decoded"])
@@ -237,7 +272,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         own = coder(ranks_path, pattern)
         names = _decimals(len(own.bytes_of))
-        for b in batches:
+        for b in without_collector(batches):
             n, a, d = [], [], []
             for t in b.column(1).to_pylist():
                 ids = own.encode(t)

@@ -1,11 +1,15 @@
 """Operator 7: WARC archives as a Python data source.
 
-``df.write.format("warc")`` writes files of WARC/1.1 records; ``spark.read.format("warc")`` reads them. A record's block is an HTTP
-response whose body is deflated; a revisit has no body. The writer closes a file at ``fileBytes`` and keeps places
-every ``splitBytes``; its commit puts the list of them beside the files, so files of failed attempts are never read. The
-reader plans one partition for each such stretch of a file. Comparisons of warc_type, page_id, target_uri, refers_to, payload_digest and
+``df.write.format("warc")`` writes files of WARC/1.1 records; ``spark.read.format("warc")`` reads them, and any others: ``*.warc``, one stretch a file, and ``*.warc.gz``, whose members are inflated one by one. A written record's block is an HTTP
+response whose body is deflated; a revisit has no body and names the record that it refers to. The writer closes a file at ``fileBytes`` and keeps places
+every ``splitBytes``; its commit puts the list of them beside the files. Where a folder has such lists, files with the writer's names that none of them names are of failed attempts and aren't read. The
+reader plans one partition for each stretch of a file. Comparisons of warc_type, page_id, target_uri, refers_to, payload_digest and
 payload_length with constants are pushed into the reader: it parses a record's head first and, if the record isn't wanted, steps over the block
-by its length. With option ``payload`` = ``false`` no block is read at all.
+by its length. With option ``payload`` = ``false`` no block is read but of records whose heads lack digest or length.
+
+Records as rows. payload is the body of an HTTP response (transfer and content codings undone: chunked, gzip, deflate), the whole block of other records, null for revisits and in ``payload`` = ``false``. page_id and refers_to are those of
+this writer, else null; payload_digest is bare lower-case hex of SHA-1 (base32 in heads is converted; other kinds of digests are given as they are), payload_length the payload's bytes; both are computed if the head lacks them and, for revisits, null.
+Heads without WARC-Type give a null type. A record cut off at a file's end is left out. A very long payload is held whole by its task.
 
 Results of ``archive``: null html counts as empty. Payloads are equal by SHA-256 and length. Rows that repeat the largest page_id of their group
 are all responses; a null page_id is the smallest. Other columns are not read; an empty table writes no file.
@@ -13,8 +17,11 @@ are all responses; a null page_id is the smallest. Other columns are not read; a
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import io
 import json
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -48,15 +55,21 @@ def _unline(value: str) -> str:
     return unquote(value)
 
 
+def _record_id(page_id, digest: str) -> str:
+    """The same for all that refer to a page's response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{_URN}{page_id}:{digest}')}>"
+
+
 def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str) -> bytes:
     block = b"" if kind == "revisit" else _HTTP + zlib.compress(payload, 1)
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    own = f"<urn:uuid:{uuid.uuid4()}>" if kind == "revisit" or page_id is None else _record_id(page_id, digest)
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {_URN}{page_id}")
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
     if refers_to is not None:
-        head.append(f"X-Refers-To-Page: {_URN}{refers_to}")
+        head += [f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page: {_URN}{refers_to}"]
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -95,7 +108,7 @@ class WarcWriter(DataSourceWriter):
         for r in rows:
             if out is None or at >= self.file_bytes:
                 close()
-                path, at, places = f"{self.folder}/{uuid.uuid4().hex}.warc", 0, [0]
+                path, at, places = f"{self.folder}/part-{uuid.uuid4().hex}.warc", 0, [0]
                 out = open_output(path)
             data = record(r.page_id, r.url, bytes(r.payload or b""), r.payload_digest, r.record_type, r.refers_to, self.date)
             if at - places[-1] >= self.split_bytes:
@@ -133,8 +146,10 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def _keeps(self, row: dict) -> bool:
+    def _keeps(self, row: dict, unknown: tuple = ()) -> bool:
         for kind, column, value in self.wanted:
+            if column in unknown:
+                continue
             own = row[column]
             if kind in ("IsNull", "IsNotNull"):
                 if (own is None) != (kind == "IsNull"):
@@ -144,11 +159,10 @@ class WarcReader(DataSourceReader):
         return True
 
     def partitions(self):
-        out = []
-        for name in listed(self.folder):
-            if name.endswith(".json"):
-                for path, places in json.loads(read_bytes(name)):
-                    out += [Stretch(path, a, b) for a, b in zip(places, places[1:])]
+        names = listed(self.folder)
+        lists = [n for n in names if _OWN_LIST.search(n)]
+        out = [Stretch(path, a, b) for n in lists for path, places in json.loads(read_bytes(n)) for a, b in zip(places, places[1:])]
+        out += [Stretch(n, 0, -1) for n in names if n.endswith((".warc", ".warc.gz")) and not (lists and _OWN_FILE.search(n))]
         return out or [Stretch("", 0, 0)]
 
     def read(self, partition):
@@ -156,36 +170,145 @@ class WarcReader(DataSourceReader):
             return
         rows, held = [], 0
         with open_input(partition.path) as raw:
-            raw.seek(partition.start)
-            data = io.BufferedReader(_Raw(raw), 1 << 20)
-            at = partition.start
-            while at < partition.end:
-                head, size = {}, 0
-                while (line := data.readline()) not in (b"\r\n", b""):
-                    size += len(line)
-                    k, _, v = line.partition(b": ")
-                    head[k] = v[:-2].decode()
-                length = int(head[b"Content-Length"])
-                at += size + 2 + length + 4
-                page, to = head.get(b"X-Page-ID"), head.get(b"X-Refers-To-Page")
-                uri = head.get(b"WARC-Target-URI")
-                row = {"warc_type": head[b"WARC-Type"], "page_id": int(page[len(_URN) :]) if page else None, "target_uri": None if uri is None else _unline(uri), "refers_to": int(to[len(_URN) :]) if to else None, "payload_digest": head[b"WARC-Payload-Digest"].removeprefix("sha1:"), "payload_length": int(head[b"X-Payload-Length"]), "payload": None}
-                keep = self._keeps(row)
-                if keep and self.payload and length:
-                    block = data.read(length)
-                    row["payload"] = zlib.decompress(block[block.index(b"\r\n\r\n") + 4 :])
-                    data.read(4)
-                else:
-                    data.seek(length + 4, io.SEEK_CUR)
-                if keep:
-                    rows.append(row)
-                    held += len(row["payload"] or b"")
-                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                        rows, held = [], 0
+            gz = partition.path.endswith(".gz")
+            if not gz:
+                raw.seek(partition.start)
+            data = io.BufferedReader(_Members(raw) if gz else _Raw(raw), 1 << 20)
+            for row in self._records(data, partition.start, partition.end, gz):
+                rows.append(row)
+                held += len(row["payload"] or b"")
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
+    def _records(self, data, at: int, end: int, gz: bool):
+        """The wanted records from a record's start on, up to ``end`` (-1: the file's)."""
+        while end < 0 or at < end:
+            line = data.readline()
+            while line in (b"\r\n", b"\n"):  # between records
+                at += len(line)
+                line = data.readline()
+            if not line.startswith(b"WARC/"):
+                return
+            head, size = {}, len(line)
+            while (line := data.readline()) not in (b"\r\n", b"\n", b""):
+                size += len(line)
+                k, _, v = line.partition(b":")
+                head[k.strip().lower()] = v.strip().decode("utf-8", "replace")
+            length = int(head.get(b"content-length", 0))
+            at += size + len(line) + length
+            row, whole = self._row(head), None
+            unknown = () if row["warc_type"] == "revisit" else tuple(c for c in ("payload_digest", "payload_length") if row[c] is None)
+            keep = self._keeps(row, unknown)  # by the head alone
+            if keep and (unknown or self.payload and row["warc_type"] != "revisit"):
+                if len(whole := data.read(length)) < length:
+                    return
+                payload = _payload(whole, head)
+                if unknown:
+                    row["payload_digest"], row["payload_length"] = row["payload_digest"] or hashlib.sha1(payload).hexdigest(), len(payload)
+                    keep = self._keeps(row)
+                row["payload"] = payload if self.payload else None
+            elif gz:
+                passed = sum(len(data.read(min(1 << 20, length - i))) for i in range(0, length, 1 << 20))
+                keep = keep and passed == length
+            else:
+                keep = keep and (end >= 0 or self._holds(data, length))
+                data.seek(length, io.SEEK_CUR)
+            if keep:
+                yield row
+
+    @staticmethod
+    def _holds(data, length: int) -> bool:
+        """Whether a file has so many bytes more; the place stays."""
+        at = data.tell()
+        whole = data.seek(0, io.SEEK_END) >= at + length
+        data.seek(at)
+        return whole
+
+    @staticmethod
+    def _row(head: dict) -> dict:
+        page, to, uri, size = head.get(b"x-page-id"), head.get(b"x-refers-to-page"), head.get(b"warc-target-uri"), head.get(b"x-payload-length")
+        own = size is not None
+        return {
+            "warc_type": head.get(b"warc-type"), "page_id": int(page[len(_URN) :]) if page else None, "target_uri": None if uri is None else _unline(uri) if own else uri.strip("<>"), "refers_to": int(to[len(_URN) :]) if to else None,
+            "payload_digest": _digest(head.get(b"warc-payload-digest")), "payload_length": int(size) if own else None, "payload": None,
+        }
+
+
+_OWN_LIST, _OWN_FILE = re.compile(r"(^|/)list-[0-9a-f]{32}\.json$"), re.compile(r"(^|/)part-[0-9a-f]{32}\.warc(\.part)?$")
+
+
+def _digest(value: str | None) -> str | None:
+    """A head's digest: SHA-1 as bare hex."""
+    kind, _, rest = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return value or None
+    return base64.b32decode(rest.upper()).hex() if len(rest) == 32 else rest.lower()
+
+
+def _payload(block: bytes, head: dict) -> bytes:
+    """The body of an HTTP response, codings undone; the block of anything else."""
+    if "http" not in head.get(b"content-type", "") or not block.startswith(b"HTTP/") or head.get(b"warc-type") not in ("response", "revisit"):
+        return block
+    fields, gap, body = block.partition(b"\r\n\r\n")
+    named = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(b":") for x in fields.split(b"\r\n")[1:])}
+    if b"chunked" in named.get(b"transfer-encoding", b""):
+        body = _unchunked(body)
+    coding = named.get(b"content-encoding", b"")
+    try:
+        if coding in (b"gzip", b"x-gzip"):
+            return zlib.decompress(body, 31)
+        if coding == b"deflate":
+            return zlib.decompress(body, 15 if body[:1] and body[0] & 15 == 8 else -15)
+    except zlib.error:
+        pass  # a body whose coding is not as said is given as it is
+    return body
+
+
+def _unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body if not out else b"".join(out)
+        if not size:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out)
+
+
+class _Members(io.RawIOBase):
+    """The members of a gzip file one after the other, inflated as they are read."""
+
+    def __init__(self, file):
+        self.file, self.inflater, self.rest = file, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while True:
+            self.rest = self.rest or self.file.read(1 << 20)
+            if not self.rest and (self.inflater is None or not self.inflater.unconsumed_tail):
+                return 0
+            if self.inflater is None:
+                self.rest = self.rest.lstrip(b"\0")
+                if not self.rest:
+                    continue
+                self.inflater = zlib.decompressobj(31)
+            data = self.inflater.decompress(self.rest, len(buffer))
+            if self.inflater.eof:
+                self.rest, self.inflater = self.inflater.unused_data, None
+            else:
+                self.rest = self.inflater.unconsumed_tail
+            if data:
+                buffer[: len(data)] = data
+                return len(data)
+
 
 class _Raw(io.RawIOBase):
     """A pyarrow file as a raw stream, so that reading ahead is buffered and a skipped block is sought past."""

@@ -9,7 +9,7 @@ import pytest
 
 from recordloom.llm.files import write_bytes
 from recordloom.llm import pagediff, pretoken, ranking, suffixdedup, vafile, wavelet
-from recordloom.llm.bpe import Coder, Utf8Stream
+from recordloom.llm.bpe import Coder, TokenDecoder, Utf8Machine
 from recordloom.llm.grouping import suffix_array
 from recordloom.llm.pretoken import pieces
 
@@ -38,22 +38,27 @@ def test_bpe_equals_tiktoken(coder):
         assert "".join(coder.decode_stream(ids, 3)) == t
 
 
-def test_transducer_restarts_within_its_bound():
+def test_transducer_within_its_bound():
     c = Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     c.machine.kept_arcs = 5
     full = Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for t in random_texts(300, 4):
         c._kept.clear()
         assert c.encode(t) == full.encode(t)
+    assert c.machine.bytes_beyond > 0 == full.machine.bytes_beyond and full.machine.bytes_by_arcs > 0
 
 
-def test_utf8_stream_holds_unfinished_characters():
-    data = "aé中😀b".encode()
-    for cut in range(len(data) + 1):
-        s = Utf8Stream()
-        assert s.feed(data[:cut]) + s.feed(data[cut:]) + s.end() == "aé中😀b"
-    s = Utf8Stream()
-    assert s.feed(b"\xff\xe4") + s.end() == "��"
+def test_utf8_machine():
+    r = random.Random(6)
+    parts = [b"a", "é".encode(), "中".encode(), "😀".encode(), b"\xff", b"\xc3", b"\xe4\xb8", b"\xf0\x9f", b"\x80", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80", b"\xe0\x80"]
+    for _ in range(3000):
+        data = b"".join(r.choice(parts) for _ in range(r.randint(0, 8)))
+        text, state = Utf8Machine.run(b"", data)
+        assert text + ("\ufffd" if state else "") == data.decode("utf-8", "replace")
+        tokens = [data[i : i + 2] for i in range(0, len(data), 2)]
+        decoder = TokenDecoder(tokens, kept=r.choice([0, 3, 100]))
+        ids = list(range(len(tokens)))
+        assert "".join(decoder.stream(ids, r.choice([1, 2, 100]))) == data.decode("utf-8", "replace") == "".join(decoder.stream(ids, 3))
 
 
 def test_suffix_array():
@@ -131,6 +136,10 @@ def test_cells_bound_scores(big):
     assert (least <= full).all() and (full <= most).all() and int(cells.max()) < 32
 
 
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li>Menu</ul></nav>
+<div class="cookie-notice">ok?</div>%s<section id="comments"><p>nice</section><form><input>Go</form><footer>&copy; x</footer></body></html>"""
+
+
 def test_page_lines():
     article = pagediff.candidate_lines(PAGE % "<article><header><h1>A &amp;amp;</h1></header><p><b>one<br>\n two<p>th<i>r</i>ee&nbsp; x<!-- c --><aside>no</aside></article>")
     assert article == (True, ["A &amp;", "one two", "three x"])
