@@ -1,25 +1,26 @@
 """Operator 9: benchmark decontamination with a distributed positional inverted index.
 
-The index is dealt by documents: each shard holds, for the terms of some documents, the sorted places at which they stand (document
-in the shard, word). It is written as a table of one row for each shard and term. A test window is looked for in a shard by
-taking its terms from the rarest list there, shifting each list by the term's offset, and intersecting; an empty intersection or an absent term ends it. Windows
-go to the shards in blocks of at most BLOCK_WINDOWS, which bounds what each task is sent and what the driver holds, as the hits of a block are written before the next is read; all blocks meet all shards. If the test terms are
-few enough to be sent to all tasks (TERMS_SENT) postings of other terms are not stored, as nothing can ask for them.
+The index is dealt by documents: each shard holds, for every term of some documents, the sorted places at which it stands (counted through the shard's words; kept as differences). It is written as a table of one row for each shard and
+term. A test window is looked for in a shard by taking its terms from the rarest list there, shifting each list by the term's offset, and intersecting; an empty intersection or an absent term ends it. Windows
+go to the shards in blocks of at most BLOCK_WINDOWS, which bounds what each task is sent and what the driver holds, as the hits of a block are written before the next is read; all blocks meet all shards. Of the index a
+block reads the lists of its own terms only.
 
 With ``slack``, proximity: terms of a window in order with at most so many other words between neighbours. Places are carried from the rarest term to the last, and back to the first; every
 start counts, with its shortest match, all words of which are hit.
 
 Results: null texts have no words. An item without words is never found; items with a null id mark words but are not
-counted. Repeated rows get a row each. Other columns are not read.
+counted. Repeated rows get a row each. A very long text makes its shard as long. Empty tables give no rows, or no hits. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from .shared import shared_folder, text_or_empty, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = {i: i + 32 for i in range(65, 91)}
-#: Words of a shard, unless one document has more; windows sent to tasks at a time; terms up to which the index keeps those of the test set only.
-SHARD_WORDS, BLOCK_WINDOWS, TERMS_SENT = 1_000_000, 50_000, 500_000
+#: Words of a shard, unless one document has more; windows sent to tasks at a time.
+SHARD_WORDS, BLOCK_WINDOWS = 1_000_000, 50_000
 
 
 def words(text: str, pattern: str = WORD) -> list[str]:
@@ -50,54 +51,45 @@ def windows_of(items: DataFrame, length: int) -> DataFrame:
     return items.select(F.col("item_id").cast("string"), text_or_empty().alias("_text")).mapInArrow(run, "item_id string, terms array<string>")
 
 
-def build_index(docs: DataFrame, terms: set[str] | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """shard, term, places (sorted int64, document << 32 | word); a row with null term has the shard's doc_ids and n_words."""
+def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """shard, term, places (differences of sorted places, int32); a row with null term has the shard's doc_ids and n_words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, seq, n = TaskContext.get().partitionId(), 0, 0
-        codes: dict[str, int] = {t: i for i, t in enumerate(sorted(terms))} if terms is not None else {}
-        ids, counts, where, what = [], [], [], []
-        id_type = None
+        ids, found, id_type = [], [], None
 
         def closed():
-            shard = f"{part}-{seq}"
-            names = list(codes)
-            code, place = np.concatenate(what or [np.zeros(0, np.int64)]), np.concatenate(where or [np.zeros(0, np.int64)])
-            order = np.argsort(code, kind="stable")
-            code, place = code[order], place[order]
-            cuts = np.flatnonzero(np.diff(code)) + 1
-            first = code[np.concatenate([[0], cuts])] if len(code) else []
-            lists = [x.tobytes() for x in np.split(place, cuts)] if len(code) else []
-            m = len(lists)
+            coded = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+            by_name = pc.sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(by_name), np.int64)
+            rank[by_name] = np.arange(len(by_name))
+            code = rank[coded.indices.to_numpy()]
+            place = np.argsort(code, kind="stable")
+            ends = np.cumsum(np.bincount(code, minlength=len(by_name)))
+            steps = np.diff(place, prepend=0)
+            steps[ends[:-1]] = place[ends[:-1]]  # a list's first place stands whole
+            offsets = np.concatenate([[0], ends]).astype(np.int32) * 4
+            m = len(by_name)
+            lists = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets), pa.py_buffer(steps.astype("<i4"))])
+            terms = coded.dictionary.take(pa.array(by_name))
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard] * (m + 1), pa.string()), pa.array([names[c] for c in first] + [None], pa.string()), pa.array([*lists, None], pa.binary()), pa.array([None] * m + [ids], pa.list_(id_type)), pa.array([None] * m + [counts], pa.list_(pa.int64()))],
+                [pa.array([f"{part}-{seq}"] * (m + 1), pa.string()), pa.concat_arrays([terms, pa.nulls(1, pa.string())]), pa.concat_arrays([lists, pa.nulls(1, pa.binary())]),
+                 pa.concat_arrays([pa.nulls(m, pa.list_(id_type)), pa.array([ids], pa.list_(id_type))]), pa.concat_arrays([pa.nulls(m, pa.list_(pa.int64())), pa.array([list(map(len, found))], pa.list_(pa.int64()))])],
                 ["shard", "term", "places", "doc_ids", "n_words"],
-            )
+            )
 
         for b in batches:
             id_type = b.column(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words(text)
-                if terms is None:
-                    c = np.fromiter((codes.setdefault(x, len(codes)) for x in w), np.int64, len(w))
-                    at = np.arange(len(w))
-                else:
-                    c = np.fromiter(map(codes.get, w, _MINUS), np.int64, len(w))
-                    at = np.flatnonzero(c >= 0)
-                    c = c[at]
-                what.append(c)
-                where.append(at + (len(ids) << 32))
                 ids.append(doc_id)
-                counts.append(len(w))
-                n += len(w) + 1
+                found.append(words(text))
+                n += len(found[-1]) + 1
                 if n >= shard_words:
                     yield closed()
-                    seq, n, ids, counts, where, what = seq + 1, 0, [], [], [], []
-                    if terms is None:
-                        codes = {}
+                    seq, n, ids, found = seq + 1, 0, [], []
         if ids:
             yield closed()
 
@@ -105,15 +97,6 @@ def build_index(docs: DataFrame, terms: set[str] | None = None, shard_words: int
     return src.mapInArrow(run, f"shard string, term string, places binary, doc_ids array<{kind}>, n_words array<long>")
 
 
-class _Minus:
-    def __iter__(self):
-        while True:
-            yield -1
-
-
-_MINUS = _Minus()
-
-
 def _within(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The places of ``own`` in any of the ranges [low, high]."""
     a, b = np.searchsorted(own, low), np.searchsorted(own, high, side="right")
@@ -158,7 +141,15 @@ def search(index: DataFrame, block: list[tuple[int, list[str]]], slack: int = 0)
 
     def run(own: pa.Table) -> pa.Table:
         shard = own.column("shard")[0].as_py()
-        lists = {t: np.frombuffer(p, np.int64) for t, p in zip(own.column("term").to_pylist(), own.column("places").to_pylist())}
+        rows = own.select(["term", "places", "n_words"]).to_pylist()
+        first = np.cumsum([0, *next(r["n_words"] for r in rows if r["term"] is None)])
+
+        def decoded(places: bytes) -> np.ndarray:  # document << 32 | word
+            at = np.cumsum(np.frombuffer(places, "<i4"))
+            doc = np.searchsorted(first, at, side="right") - 1
+            return doc << 32 | at - first[doc]
+
+        lists = {r["term"]: decoded(r["places"]) for r in rows if r["term"] is not None}
         docs, numbers, starts, lengths = [_NONE], [_NONE], [_NONE], [_NONE]
         for number, terms in block:
             if all(t in lists for t in terms):
@@ -170,19 +161,19 @@ def search(index: DataFrame, block: list[tuple[int, list[str]]], slack: int = 0)
         docs = np.concatenate(docs)
         return pa.table({"shard": pa.array([shard] * len(docs), pa.string()), "doc": docs, "window": np.concatenate(numbers), "start": np.concatenate(starts), "length": np.concatenate(lengths)})
 
-    return index.where("term is not null").select("shard", "term", "places").groupBy("shard").applyInArrow(run, "shard string, doc long, window long, start long, length long")
+    # at most BLOCK_WINDOWS times a window's words
+    asked = index.sparkSession.createDataFrame([(t,) for t in sorted({t for _, terms in block for t in terms})], "term string").withColumn("_asked", F.lit(True))
+    own = index.select("shard", "term", "places", "n_words").join(F.broadcast(asked), "term", "left").where("_asked or term is null")
+    return own.drop("_asked").groupBy("shard").applyInArrow(run, "shard string, doc long, window long, start long, length long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_windows: int = BLOCK_WINDOWS, terms_sent: int = TERMS_SENT, slack: int = 0) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_windows: int = BLOCK_WINDOWS, slack: int = 0) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and hits (runs of hit words as [start, end))."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     owned = windows_of(items, length)
     owned = written(owned.select("item_id", "terms", F.xxhash64("terms").alias("window")), "windows")
     apart = owned.groupBy("terms").agg(F.min("window").alias("window"))
-    vocabulary = apart.select(F.explode("terms").alias("t")).distinct()
-    few = vocabulary.limit(terms_sent + 1).count() <= terms_sent
-    terms = {r.t for r in vocabulary.collect()} if few else None
-    index = written(build_index(docs, terms), "index")
+    index = written(build_index(docs), "index", compression="zstd")
     n_windows = apart.count()
     n_blocks = max(1, -(-n_windows // block_windows))
     path = f"{shared_folder(docs.sparkSession)}/hits"

@@ -22,10 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/recordloom/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -127,7 +127,7 @@ def test_decontamination(spark, docs, texts, empty):
                     hit.update(range(k, k + len(win)))
                     found |= {item} - {None}
         assert out[i] == (len(x), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
-    many = positional.contamination(docs, spark.createDataFrame(items, "item_id string, text string"), block_windows=2, terms_sent=1)
+    many = positional.contamination(docs, spark.createDataFrame(items, "item_id string, text string"), block_windows=2)
     assert {r.doc_id: (r.n_hit, r.n_items) for r in many.collect()} == {k: (v[1], v[2]) for k, v in out.items()}
     assert positional.digests(empty, empty.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
 
