@@ -24,12 +24,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .shared import shuffle_partitions, text_or_empty
 
 ALPHA, LEAST, ORDER = 0.4, 1, 3
 #: Bytes of text in a block and, for the ranges of hashes, bytes of text whose runs make up a range.
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 12 << 20, 8 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RUNS = "block long, bucket long, n int, low binary, top binary, counts binary"
@@ -53,7 +54,7 @@ class Runs:
     """The runs of a block of texts: for each length the hash of the run that ends at each word, and whether the document has so many words before it."""
 
     def __init__(self, texts: pa.ChunkedArray, order: int):
-        words = [t.translate(_LOWER).split() for t in texts.cast(pa.binary()).to_pylist()]
+        words = [_unzip(t[8:], int.from_bytes(t[:8], "little")).translate(_LOWER).split() for t in texts.to_pylist()]
         self.lengths = np.fromiter(map(len, words), np.int64, len(words))
         coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
         own = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy()]
@@ -100,6 +101,18 @@ def _unpacked_counts(n: int, counts: bytes) -> np.ndarray:
     return out
 
 
+def _zipped(docs: DataFrame) -> DataFrame:
+    """The last column, a text, as its length in bytes and its compressed bytes: it is shuffled once."""
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=3)
+        for b in batches:
+            texts = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], b.schema.names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("text", BinaryType())]))
+
+
 def _runs(docs: DataFrame, order: int, buckets: int, asks: bool, adds: bool) -> DataFrame:
     """A row for each block and range of hashes. Rows without block ask for no counts, rows without counts add none."""
 
@@ -155,7 +168,8 @@ def scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, order: int
     buckets = max(shuffle_partitions(spark), -(-int(size["size"] + (whole["size"] if others is not None else 0)) // RANGE_BYTES))
 
     def blocks(df: DataFrame, of) -> DataFrame:
-        return df.withColumn("block", F.pmod("row", F.lit(max(1, -(-int(of["size"]) // BLOCK_BYTES)))).cast("long")).drop("row")
+        block = F.pmod("row", F.lit(max(1, -(-int(of["size"]) // BLOCK_BYTES)))).cast("long")
+        return _zipped(df.select(*(c for c in df.columns if c not in ("row", "text")), block.alias("block"), "text"))
 
     scored = blocks(scored, size)
     runs = _runs(scored, order, buckets, asks=True, adds=others is None)
