@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import release_shuffles, row_key, text_or_empty, written
+from .shared import fresh, release_shuffles, row_key, text_or_empty, written
 
 FRAGMENTS, ROUNDS, KEYS, HUBS = 4, 2, 3, 48
 #: Classes (16 bytes each) up to which the list of those left is broadcast to the scan of texts; beyond it, the join shuffles.
@@ -177,8 +177,6 @@ def class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     segments = written(segments, "segments")
     signed = ["class", "n", (F.col("n") - F.size("order")).alias("alone"), "s0", "s1", "s2", "s3"]
     of = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
-    signed = ["class", "n", (F.col("n") - F.size("order")).alias("alone"), "s0", "s1", "s2", "s3"]
-    of = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
     joined = None
     for r in range(ROUNDS):
         # classes of a key have about one size; the next round's bounds of sizes lie between
@@ -233,11 +231,12 @@ def without_linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     """The rows of ``docs`` but those that link to one of a lower (doc_id, key); null ids come last. Rows are told apart by their key (id and text), so
     ids may be null or repeat; of rows that repeat an id and a text with n-grams one stays, and rows without n-grams all stay."""
     links = written(_linked_rows(docs, words, percent).where("n > 0").select("key", F.col("least.key").alias("least")), "row_links")
-    gone = links.where("key <> least").select(F.col("key").alias("_gone")).distinct()
+    key, out = fresh(docs, "_key"), fresh(docs, "_gone")
+    gone = links.where("key <> least").select(F.col("key").alias(out)).distinct()
     few = gone.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    kept = docs.withColumn("_key", row_key()).join(F.broadcast(gone) if few else gone, F.col("_key") == F.col("_gone"), "left_anti")
-    again = links.where("key = least").groupBy("key").count().where("count > 1").select(F.col("key").alias("_key"))
+    kept = docs.withColumn(key, row_key()).join(F.broadcast(gone) if few else gone, F.col(key) == F.col(out), "left_anti")
+    again = links.where("key = least").groupBy("key").count().where("count > 1").select(F.col("key").alias(key))
     if again.limit(1).count():
         again = written(again, "repeated_rows")
-        kept = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
-    return kept.drop("_key")
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key])).select(*docs.columns, key)
+    return kept.drop(key)

@@ -10,7 +10,7 @@ source and id are never among them. Fitting takes at most ``most`` rows of each
 for all rows.
 
 Results: a null text counts as empty and is scored like one. Without labels of both kinds every score is the share of label 1 (0.5 without any). Null ids are never held out and
-never labelled. Repeated rows get a row each; of several labels for an id the lowest counts. Other columns are not read.
+never labelled. Repeated rows get a row each; of several labels for an id the lowest counts, of several texts the least is learnt from. Very long texts are read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most: int = MOST_R
     for label in (0, 1):
         part = own.where(F.col("_label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
-    src = docs.join(F.broadcast(sample), "doc_id").select("_label", text_or_empty().alias("_text"))
+    # of rows that repeat an id the least text counts, so that no id brings more than one
+    src = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "_label").agg(F.min("_text").alias("_text")).select("_label", "_text")
 
     def run(batches):
         for b in batches:

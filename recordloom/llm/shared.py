@@ -66,6 +66,14 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """Tells rows apart whose ids are null or repeat: a hash of id and text; rows that repeat both share it."""
     return F.xxhash64(F.col(doc_id).cast("string"), text_or_empty(text))

@@ -11,12 +11,11 @@ Suffix arrays. A bucket's segments are one text, read as tokens that end at cert
 their common prefixes measured. A string that starts inside a token is repeated if another one starts with the same part of a token and goes on with a suffix whose common prefix with its own reaches far enough;
 for each length of such a part that is a run of the suffix array. Memory: a task holds the segments of a bucket, whose number follows ``spark.sql.shuffle.partitions``.
 
-Results: see ``repeated_spans``; null texts count as empty; texts shorter than ``length`` keep every byte. Rows are told apart by a hash of id and text: rows that repeat both are copies of each other. Other columns are not read.
+Results: see ``repeated_spans``; columns that are kept may have any names; null texts count as empty; texts shorter than ``length`` keep every byte. Rows are told apart by a hash of id and text: rows that repeat both are copies of each other. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -24,10 +23,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .grouping import suffix_array
 from .jaccard import _mixed, _powers
-from .shared import release_shuffles, shuffle_partitions, text_or_empty, written
+from .shared import release_shuffles, shuffle_partitions, text_or_empty, without_collector, written
 
 GRAM = 20
 #: Entries (48 bytes each) that a task settles among themselves at a time.
@@ -258,7 +258,6 @@ def _compared(texts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["bucket", "row", "start", "copies", "segment"])
 
     def sort(batches):
-        gc.disable()  # the suffix array's lists hold no cycles
         held, current = [], None
 
         def settled():
@@ -270,7 +269,7 @@ def _compared(texts: DataFrame, length: int) -> DataFrame:
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["row", "spans"])
 
-        for b in batches:
+        for b in without_collector(batches):  # the suffix array's lists hold no cycles
             rows = []
             for bucket, *entry in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if bucket != current and held:
@@ -289,39 +288,37 @@ def _compared(texts: DataFrame, length: int) -> DataFrame:
 
 def _sources(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     text = text_or_empty()
-    return docs.select(F.xxhash64(F.col("doc_id").cast("string"), text).alias("row"), text.alias("_text"), *keep)
+    return docs.select(F.xxhash64(F.col("doc_id").cast("string"), text).alias("row"), text.alias("text"), F.struct(*keep).alias("kept") if keep else F.lit(0).alias("kept"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """row, spans (binary, pairs of int64): the bytes to remove; one row for each bucket that found some."""
     spark = docs.sparkSession
-    src = _sources(docs, ()).where(F.octet_length("_text") >= length)
+    src = _sources(docs, ()).where(F.octet_length("text") >= length).select("row", "text")
     found = written(_met(_dealt(src, length, BUCKETS_EACH * shuffle_partitions(spark))), "segments_met")
     release_shuffles(spark)
     wanted = found.where("wanted is not null").select("row", "wanted", "bucket")
     rows = written(wanted.select("row").distinct(), "rows_wanted")
     few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = src.join(F.broadcast(rows), "row", "left_semi") if few else src
-    compared = written(_compared(texts.join(wanted.hint("shuffle_hash"), "row").select("row", "_text", "wanted", "bucket"), length), "segments_compared")
+    compared = written(_compared(texts.join(wanted.hint("shuffle_hash"), "row").select("row", "text", "wanted", "bucket"), length), "segments_compared")
     release_shuffles(spark)
     return found.where("spans is not null").select("row", "spans").unionByName(compared)
 
 
 def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), finish=None, schema: str = "data binary, removed array<array<long>>", more: tuple[str, ...] = ("data", "removed")) -> DataFrame:
     """The kept columns, data (the text's bytes), and removed (its maximal removed runs, as [start, end)); or, with ``finish``, what it makes of the lists of both, in the columns of ``schema``."""
-    spans = repeated_spans(docs, length).groupBy("row").agg(F.collect_list("spans").alias("_spans"))
-    src = _sources(docs, keep)
-    joined = src.join(spans.hint("shuffle_hash"), "row", "left").select(*keep, "_text", "_spans")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
+    spans = repeated_spans(docs, length).groupBy("row").agg(F.collect_list("spans").alias("spans"))
+    joined = _sources(docs, keep).join(spans.hint("shuffle_hash"), "row", "left").select("kept", "text", "spans")
 
     def run(batches):
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column(len(b.schema) - 2).to_pylist()]
-            spans = [merged(np.frombuffer(b"".join(s or ()), "<i8").reshape(-1, 2)).tolist() for s in b.column(len(b.schema) - 1).to_pylist()]
+            texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            spans = [merged(np.frombuffer(b"".join(s or ()), "<i8").reshape(-1, 2)).tolist() for s in b.column("spans").to_pylist()]
             made = finish(texts, spans) if finish else [pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *made], [*b.schema.names[:-2], *more])
+            yield pa.RecordBatch.from_arrays([b.column("kept"), *made], ["kept", *more])
 
-    return joined.mapInArrow(run, f"{fields}, {schema}")
+    return joined.mapInArrow(run, StructType([joined.schema["kept"], *StructType.fromDDL(schema)])).select("kept.*", *more)
 
 
 def kept_text(data: bytes, removed: list[list[int]]) -> str:
