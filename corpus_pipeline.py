@@ -4,7 +4,8 @@ Quality: rows that the ranking scores below CUT go. Near duplicates: of document
 Repeats: every byte that a string of 200 bytes covers which also starts elsewhere goes (characters go whole); the rest stays, and n_chars follows it. Decontamination: documents with a
 window of ten words of a benchmark item go. Encoding: ids by byte-level BPE, decoded again to check them.
 
-Ids may be null or repeat: rows go by themselves, told apart by a hash of id and text; of rows that repeat both, one stays if it has words. Null texts count as empty: they are scored, have no shingles, windows or ids. An empty table gives an empty table. Extra columns pass through all stages but the last.
+Each stage: ids may be null or repeat: rows go by themselves, told apart by a hash of id and text; of rows that repeat both, one stays if it has words (their other columns are any one's). Null texts count as empty: they are scored, have no shingles, windows or ids. Very long texts are read whole, in one task each.
+Ties of the quality cut stay. An empty table gives an empty table. Extra columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import bpe, jaccard, positional, ranking, suffixdedup
-from recordloom.llm.shared import row_key, text_batches, text_or_empty, written
+from recordloom.llm.shared import fresh, row_key, text_batches, text_or_empty, written
 
 #: Least quality score; bytes of a repeated string; words of a benchmark window.
 CUT, REPEATED_BYTES, WINDOW_WORDS = 0.3, 200, 10
@@ -22,7 +23,8 @@ CUT, REPEATED_BYTES, WINDOW_WORDS = 0.3, 200, 10
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = ranking.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CUT)
-    return ranking.score(docs, model, tuple(docs.columns), "_quality").where(F.col("_quality") >= CUT).drop("_quality")
+    name = fresh(docs, "_quality")
+    return ranking.score(docs, model, tuple(docs.columns), name).where(F.col(name) >= CUT).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,16 +42,18 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    key, out = fresh(docs, "_key"), fresh(docs, "_gone")
     found = positional.contamination(docs.select(row_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW_WORDS)
-    gone = written(found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    gone = written(found.where("contaminated").select(F.col("doc_id").alias(out)).distinct(), "contaminated")
+    return docs.withColumn(key, row_key()).join(gone, F.col(key) == F.col(out), "left_anti").drop(key)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    coded = bpe.encode_documents(docs.withColumn("_text", text_or_empty()), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep=("lang", "source", "_text"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("_text")).alias("round_trip"))
+    own = docs.select("doc_id", "lang", "source", text_or_empty().alias("text"))
+    coded = bpe.encode_documents(own, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep=("lang", "source", "text"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 def _in_batches(stage):
