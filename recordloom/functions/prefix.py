@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from recordloom.session import scratch
 
 
 def pinned(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: layouts by range must not change when a task is run again."""
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        _LOCAL.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        context.setCheckpointDir(_LOCAL[-1])
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
 
 
-def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], partitions: int | None = None) -> DataFrame:
-    """For each output name: the sum of a column over all rows up to each row in a global order (``order`` must be unique).
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], partitions: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """For each output name: the sum of a column over all rows up to each row in a global order (``order`` must be unique). With ``by``, sums start anew for each value of these columns, which may be few.
 
     Rows are dealt by ranges of the order; a row for each range carries its total, and the totals before a range are added to the sums inside it."""
+    by = by or []
+    order = [*by, *(c for c in order if c not in by)]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = pinned(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_t_{o}") for o, c in sums.items()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", *(F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(offsets, "_range")
+    totals = ranged.groupBy("_range", *by).agg(*(F.sum(c).alias(f"_t_{o}") for o, c in sums.items()))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", *(F.col(c).alias(f"_by_{c}") for c in by), *(F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums))
+    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = ranged.withColumnRenamed("_range", "_own").join(offsets, (F.col("_own") == F.col("_range")) & same)
     return out.select(*df.columns, *((F.col(f"_b_{o}") + F.sum(c).over(inside)).alias(o) for o, c in sums.items()))

@@ -33,12 +33,22 @@ def token_slots(requests: DataFrame, order: list[str], rpm: float = REQUESTS_A_M
     return summed.withColumn("start_s", start).withColumn("minute", F.floor(F.col("start_s") / 60)).drop("_one", "_cum_requests", "_cum_tokens")
 
 
+def laned(requests: DataFrame, key: str, lanes: int) -> DataFrame:
+    """A request belongs to the lane of its key (its number, or its hash) by remainder."""
+    number = F.col(key) if dict(requests.dtypes)[key] in ("bigint", "int") else F.hash(key)
+    return requests.withColumn("lane", F.pmod(number, F.lit(lanes)))
+
+
 def lane_slots(requests: DataFrame, key: str, order: list[str], lanes: int, rpm: float = REQUESTS_A_MINUTE, tpm: float = TOKENS_A_MINUTE) -> DataFrame:
-    """Each lane has its share of the limits; a request belongs to the lane of its key's hash."""
-    w = Window.partitionBy("lane").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    laned = requests.withColumn("lane", F.pmod(F.col(key), F.lit(lanes)) if dict(requests.dtypes)[key] in ("bigint", "int") else F.pmod(F.hash(key), F.lit(lanes)))
-    start = _start(F.count("*").over(w), F.sum("tokens").over(w), rpm / lanes, tpm / lanes)
-    return laned.where(F.col("tokens") <= tpm / lanes).withColumn("start_s", start)
+    """Each lane has its share of the limits: start_s of the requests that a lane's bucket can hold; see ``lane_oversize`` for the others. However few lanes there are, the sums run over ranges of their orders."""
+    ok = laned(requests, key, lanes).where(F.col("tokens") <= tpm / lanes).withColumn("_one", F.lit(1))
+    summed = running_sums(ok, order, {"_cum_requests": "_one", "_cum_tokens": "tokens"}, by=["lane"])
+    return summed.withColumn("start_s", _start(F.col("_cum_requests"), F.col("_cum_tokens"), rpm / lanes, tpm / lanes)).drop("_one", "_cum_requests", "_cum_tokens")
+
+
+def lane_oversize(requests: DataFrame, key: str, lanes: int, tpm: float = TOKENS_A_MINUTE) -> DataFrame:
+    """Requests that need more than a full bucket of their lane: for quarantine."""
+    return oversize(laned(requests, key, lanes), tpm / lanes)
 
 
 def admitted(requests: DataFrame, order: list[str], ceiling: float = CEILING) -> DataFrame:

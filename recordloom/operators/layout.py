@@ -24,12 +24,12 @@ def by_weight(df: DataFrame, size: str, key: str, order: list[str], bins: int |
 def by_salt(df: DataFrame, size: str, key: str) -> DataFrame:
     """Rows dealt by a hash of their key to as many partitions as their weights ask for."""
     n = max(4, (df.agg(F.sum(F.coalesce(weight(F.col(size)), F.lit(1)))).first()[0] or 0) // 3)
-    return df.repartition(int(n), F.pmod(F.hash(key), F.lit(int(n))))
+    return df.repartition(int(n), key)
 
 
-def skew(df: DataFrame, size: str) -> DataFrame:
-    """Partitions, the greatest over the upper median count of rows, least and greatest (an empty table has none)."""
-    parts = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+def skew(df: DataFrame, size: str, by: str | None = None) -> DataFrame:
+    """Partitions (of Spark, or of a table by the column ``by``), the greatest over the upper median count of rows, least and greatest (an empty table has none)."""
+    parts = df.groupBy((F.spark_partition_id() if by is None else F.col(by)).alias("p")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
     g = parts.agg(F.count("*").alias("partitions"), F.sort_array(F.collect_list("n")).alias("_n"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("bytes").alias("most_bytes"))
     median = F.get("_n", F.floor(F.size("_n") / 2).cast("int"))
     return g.select("partitions", F.when(F.col("partitions") == 0, 0.0).otherwise(F.col("most") / median).alias("skew_ratio"), "least", "most", "most_bytes")
@@ -48,11 +48,17 @@ def z_ordered(df: DataFrame, columns: list[str], files: int, bits: int = 8) -> D
     """Rows ordered along the curve of the columns' approximate ranks, in ``files`` ranges."""
     n = 1 << bits
     shares = [i / n for i in range(1, n)]
-    numeric = {c: (F.col(c).cast("double") if dict(df.dtypes)[c] not in ("string", "date") else F.xxhash64(c).cast("double") if dict(df.dtypes)[c] == "string" else F.datediff(F.col(c), F.lit("1970-01-01")).cast("double")) for c in columns}
-    cuts = df.agg(*(F.percentile_approx(numeric[c], shares, 1000).alias(c) for c in columns)).first()  # 2**bits - 1 numbers for each column
-    below = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts[c] or [0.0])), lambda x: x < numeric[c]))
-    rank = [below(c) for c in columns]
-    return df.withColumn("_z", interleaved(*(F.greatest(r, F.lit(0)) for r in rank), bits=bits)).repartitionByRange(files, "_z").sortWithinPartitions("_z")
+    kinds = dict(df.dtypes)
+    as_number = {c: (F.xxhash64(c) if kinds[c] == "string" else F.datediff(F.col(c), F.lit("1970-01-01")) if kinds[c] == "date" else F.col(c)).cast("double") for c in columns}
+    cuts = df.agg(*(F.percentile_approx(as_number[c], shares, 1000).alias(c) for c in columns)).first()  # 2**bits - 1 numbers for each column
+    sorted_cuts = {c: F.expr(f"array({', '.join(f'{x!r}D' for x in map(float, cuts[c] or [0.0] * (n - 1)))})") for c in columns}
+    # a binary search in the cuts, one bit of all ranks at a time: the number of cuts below the value
+    ranked = df.select("*", *(as_number[c].alias(f"_v{i}") for i, c in enumerate(columns)), *(F.lit(0).alias(f"_r{i}") for i in range(len(columns))))
+    for b in range(bits - 1, -1, -1):
+        step = 1 << b
+        ranked = ranked.withColumns({f"_r{i}": F.col(f"_r{i}") + F.when(F.get(sorted_cuts[c], F.col(f"_r{i}") + (step - 1)) < F.col(f"_v{i}"), step).otherwise(0) for i, c in enumerate(columns)})
+    z = interleaved(*(F.col(f"_r{i}") for i in range(len(columns))), bits=bits)
+    return ranked.select(*df.columns, z.alias("_z")).repartitionByRange(files, "_z").sortWithinPartitions("_z")
 
 
 def sampled(df: DataFrame, stratum: str, key: str, percent: int) -> DataFrame:
