@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.operators.schemas import field_errors, missing_required
+from recordloom.operators.schemas import judged, required_paths
 
 STATES = ["uploading", "uploaded", "partitioned", "extracting", "review", "committed", "failed"]
 
@@ -20,16 +20,30 @@ def band(confidence: Column) -> Column:
     return F.when(c >= 0.9, "high").when(c >= 0.7, "medium").otherwise("low")
 
 
-def corrected(fields: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Fields after the last correction (document_id, path, new_value, corrected_by, corrected_at) of each: corrected_from keeps the old value."""
+def corrected(fields: DataFrame, corrections: DataFrame, props: DataFrame | None = None) -> DataFrame:
+    """Fields after the last correction (document_id, path, new_value, corrected_by, corrected_at) of each: corrected_from keeps the old value.
+    With ``props`` (and the fields' schema_name, schema_version) corrected values are judged again: validation_error is the keyword that they break, or null."""
     key = ["document_id", "path"]
     last = corrections.groupBy(*key).agg(F.max(F.struct("corrected_at", "corrected_by", "new_value")).alias("_c"))
     joined = fields.join(last, key, "left")
     hit = F.col("_c").isNotNull()
-    return joined.select(
-        *key, *(c for c in fields.columns if c not in (*key, "value", "corrected_from")), F.when(hit, F.col("_c.new_value")).otherwise(F.col("value")).alias("value"),
-        F.when(hit, F.col("value")).alias("corrected_from"), F.col("_c.corrected_by").alias("corrected_by"), F.col("_c.corrected_at").alias("corrected_at"),
+    out = joined.select(
+        *key, *(c for c in fields.columns if c not in (*key, "value", "corrected_from", "corrected_by", "corrected_at")), F.when(hit, F.col("_c.new_value")).otherwise(F.col("value")).alias("value"),
+        F.when(hit, F.col("value")).alias("corrected_from"), F.col("_c.corrected_by").alias("corrected_by"), F.col("_c.corrected_at").alias("corrected_at"), hit.alias("_hit"),
     )
+    if props is None:
+        return out.drop("_hit")
+    was = F.col("validation_error") if "validation_error" in fields.columns else F.lit(None).cast("string")
+    again = judged(out.withColumn("_was", was), props)
+    return again.withColumn("validation_error", F.when(F.col("_hit"), F.col("keyword")).otherwise(F.col("_was"))).drop("_hit", "_was", "keyword", "_known")
+
+
+def correction_log(fields: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Every correction in its field's order: document_id, path, step (from 1), old_value, new_value, corrected_by, corrected_at. Corrections of fields that aren't there are left out."""
+    w = Window.partitionBy("document_id", "path").orderBy("corrected_at", "corrected_by", "new_value")
+    step = F.row_number().over(w)
+    steps = corrections.join(fields.select("document_id", "path", F.col("value").alias("_first")), ["document_id", "path"])
+    return steps.select("document_id", "path", step.alias("step"), F.when(step == 1, F.col("_first")).otherwise(F.lag("new_value").over(w)).alias("old_value"), "new_value", "corrected_by", "corrected_at")
 
 
 def verified(fields: DataFrame, paths: DataFrame) -> DataFrame:
@@ -41,42 +55,55 @@ def verified(fields: DataFrame, paths: DataFrame) -> DataFrame:
 
 def coverage(documents: DataFrame, fields: DataFrame, props: DataFrame) -> DataFrame:
     """document_id, path, status of each required property: missing, unverified or ok."""
-    need = documents.join(props.where("required").select(F.col("name").alias("schema_name"), F.col("version").alias("schema_version"), "path"), ["schema_name", "schema_version"]).select("document_id", "path")
+    need = required_paths(documents, fields, props)
     have = fields.select("document_id", "path", F.coalesce("verified", F.lit(False)).alias("_v"))
     return need.join(have, ["document_id", "path"], "left").select("document_id", "path", F.when(F.col("_v").isNull(), "missing").when(~F.col("_v"), "unverified").otherwise("ok").alias("status"))
 
 
+def path_collisions(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, path of the fields that hold a value where another field's path goes on: no object can have both."""
+    parts = F.split("path", "/")
+    around = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    inner = fields.where(F.size(parts) > 2).select(*keys, F.explode(around).alias("path")).distinct()
+    return fields.select(*keys, "path").join(inner, [*keys, "path"], "left_semi")
+
+
 def gate_errors(documents: DataFrame, fields: DataFrame, props: DataFrame) -> DataFrame:
-    """document_id, path, error: why a document can't be committed."""
+    """document_id, path, error: why a document can't be committed. A field's own errors are found in one pass over the fields."""
     state = documents.where("state <> 'review' or state is null").select("document_id", F.lit(None).cast("string").alias("path"), F.lit("invalid_state").alias("error"))
     cover = coverage(documents, fields, props).where("status <> 'ok'").select("document_id", "path", F.when(F.col("status") == "missing", "missing_required").otherwise("unverified_required").alias("error"))
-    marked = fields.where("validation_error is not null").select("document_id", "path", F.lit("validation_error").alias("error"))
-    typed = fields.join(documents.select("document_id", "schema_name", "schema_version"), "document_id")
-    schema = field_errors(typed, props).select("document_id", "path", F.lit("schema_validation").alias("error"))
-    return state.unionByName(cover).unionByName(marked).unionByName(schema)
+    typed = fields.join(documents.select("document_id", "schema_name", "schema_version"), "document_id", "left")
+    own = F.array(F.when(F.col("validation_error").isNotNull(), "validation_error"), F.when(F.col("schema_name").isNotNull() & F.col("keyword").isNotNull(), "schema_validation"))
+    marked = judged(typed, props).select("document_id", "path", F.explode(F.array_compact(own)).alias("error"))
+    crossed = path_collisions(fields, ["document_id"]).select("document_id", "path", F.lit("path_collision").alias("error"))
+    return state.unionByName(cover).unionByName(marked).unionByName(crossed)
 
 
 def committable(documents: DataFrame, errors: DataFrame) -> DataFrame:
     return documents.join(errors.select("document_id").distinct(), "document_id", "left_anti")
 
 
-def nested_json(fields: DataFrame, keys: list[str], depth: int = 4) -> DataFrame:
-    """keys, data: a JSON object for each document, built from its pointer paths bottom-up; of equal paths the least value stays. Deeper paths than ``depth`` keep their rest as one name."""
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/", depth)
-    rows = fields.select(*keys, parts.alias("_p"), F.to_json(F.struct(F.col("value").alias("v")), {"ignoreNullFields": "false"}).alias("_j"))
-    rows = rows.select(*keys, "_p", F.expr("substring(_j, 6, length(_j) - 6)").alias("_j"))
+def nested_json(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, data: a JSON object for each document, built from its pointer paths bottom-up, as deep as they go; of equal paths the least value stays. Fields of ``path_collisions`` give way to the object at their place."""
+    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
+    depth = fields.agg(F.max(F.size(parts))).first()[0] or 1
+    leaves = fields.select(*keys, parts.alias("_p"), F.to_json(F.struct(F.col("value").alias("v")), {"ignoreNullFields": "false"}).alias("_j"))
+    leaves = leaves.select(*keys, "_p", F.lit(1).alias("_leaf"), F.expr("substring(_j, 6, length(_j) - 6)").alias("_j"))
     quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    made = None
     for d in range(depth, 0, -1):
-        deep = rows.where(F.size("_p") == d).withColumn("_n", F.element_at("_p", d)).withColumn("_up", F.slice("_p", 1, d - 1))
-        one = deep.groupBy(*keys, "_up", "_n").agg(F.min("_j").alias("_j"))
-        joined = one.withColumn("_e", F.concat(quoted("_n"), F.lit(":"), "_j")).groupBy(*keys, F.col("_up").alias("_p")).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("_e")), ","), F.lit("}")).alias("_j"))
-        rows = rows.where(F.size("_p") < d).unionByName(joined.select(*keys, "_p", "_j"))
-    return rows.select(*keys, F.col("_j").alias("data"))
+        level = leaves.where(F.size("_p") == d)
+        level = (level if made is None else level.unionByName(made)).withColumn("_n", F.element_at("_p", d)).withColumn("_up", F.slice("_p", 1, d - 1))
+        one = level.groupBy(*keys, "_up", "_n").agg(F.min(F.struct("_leaf", "_j"))["_j"].alias("_j"))
+        made = one.withColumn("_e", F.concat(quoted("_n"), F.lit(":"), "_j")).groupBy(*keys, F.col("_up").alias("_p")).agg(F.lit(0).alias("_leaf"), F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("_e")), ","), F.lit("}")).alias("_j"))
+    return made.select(*keys, F.col("_j").alias("data"))
 
 
-def exported(documents: DataFrame, fields: DataFrame) -> DataFrame:
-    """document_id, line: committed documents as NDJSON lines of data and _metadata."""
+def exported(documents: DataFrame, fields: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """document_id, line: committed documents (of those in ``only``, document_id, if given) as NDJSON lines of data and _metadata."""
     done = documents.where("state = 'committed'")
+    if only is not None:
+        done = done.join(only.select("document_id").distinct(), "document_id", "left_semi")
     data = nested_json(fields.join(done.select("document_id"), "document_id", "left_semi"), ["document_id"])
     meta = F.to_json(F.struct("document_id", "schema_name", "schema_version"))
     return done.join(data, "document_id", "left").select("document_id", F.concat(F.lit('{"_metadata":'), meta, F.lit(',"data":'), F.coalesce("data", F.lit("{}")), F.lit("}")).alias("line"))
@@ -87,11 +114,18 @@ def latest_state(changes: DataFrame) -> DataFrame:
     return changes.groupBy("document_id").agg(F.max_by("state", F.struct("ts", "state")).alias("state"))
 
 
-def bad_transitions(changes: DataFrame) -> DataFrame:
-    """Changes that go back in the order of states (failing is always allowed)."""
-    place = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
+def bad_transitions(changes: DataFrame, states: list[str] = STATES) -> DataFrame:
+    """Changes (document_id, state, ts) that go back in the order of states (failing is always allowed), or to or from a state that isn't one."""
+    place = F.array_position(F.array(*map(F.lit, states)), F.col("state"))
     before = F.lag("_at").over(Window.partitionBy("document_id").orderBy("ts", "state"))
-    return changes.withColumn("_at", place).withColumn("_before", before).where((F.col("_at") < F.col("_before")) & (F.col("state") != "failed")).drop("_at", "_before")
+    back = (F.col("_at") < F.col("_before")) & (F.col("state") != "failed")
+    return changes.withColumn("_at", place).withColumn("_before", before).where(back | (F.col("_at") == 0)).drop("_at", "_before")
+
+
+def provenance(fields: DataFrame, partitions: DataFrame) -> DataFrame:
+    """document_id, path, value and where it was read: kind, page, bbox of its source partition (document_id, partition_id); partition_known is false where that isn't there."""
+    p = partitions.select("document_id", F.col("partition_id").alias("source_partition_id"), "kind", "page", "bbox", F.lit(True).alias("_known"))
+    return fields.join(p, ["document_id", "source_partition_id"], "left").select("document_id", "path", "value", "kind", "page", "bbox", F.coalesce("_known", F.lit(False)).alias("partition_known"))
 
 
 def document_detail(documents: DataFrame, partitions: DataFrame, fields: DataFrame) -> DataFrame:

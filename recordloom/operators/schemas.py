@@ -23,45 +23,96 @@ def registered(existing: DataFrame, incoming: DataFrame, order: str) -> DataFram
     return incoming.join(last, "name", "left").withColumn("version", F.coalesce("_last", F.lit(0)) + k).drop("_last")
 
 
+_KEYWORDS = "struct<type:string,enum:array<string>,minimum:double,maximum:double,pattern:string,minLength:int,maxLength:int,format:string,required:array<string>,additionalProperties:boolean,properties:map<string,string>>"
+
+
 def properties(schemas: DataFrame, body: str = "body") -> DataFrame:
-    """The flat keywords of each property: name, version, path, type, required, enum, minimum, maximum, pattern, min_length, max_length; and additional (whether others are allowed)."""
-    kind = "struct<properties:map<string,struct<type:string,enum:array<string>,minimum:double,maximum:double,pattern:string,minLength:int,maxLength:int,format:string>>,required:array<string>,additionalProperties:boolean>"
-    s = schemas.select("name", "version", F.from_json(body, kind).alias("s"))
-    p = s.select("name", "version", F.explode("s.properties").alias("k", "p"), F.col("s.required").alias("r"), F.coalesce("s.additionalProperties", F.lit(False)).alias("additional"))
-    return p.select("name", "version", F.concat(F.lit("/"), "k").alias("path"), "p.type", F.coalesce(F.array_contains("r", F.col("k")), F.lit(False)).alias("required"), "p.enum", "p.minimum", "p.maximum", "p.pattern", F.col("p.minLength").alias("min_length"), F.col("p.maxLength").alias("max_length"), "p.format", "additional")
+    """The keywords of each property, of nested ones too: name, version, path, parent (the path of the object around it, "" at the top), type (as written), types, required, enum, minimum, maximum, pattern, min_length, max_length, format;
+    open (whether the object admits members that it doesn't list) and additional (whether the one around it does). The top admits none unless it says so, inner objects all unless they say not. Objects are walked level by level, as deep as the schemas go."""
+    level = schemas.select("name", "version", F.lit("").alias("parent"), F.from_json(body, _KEYWORDS).alias("s"), F.lit(False).alias("_default"))
+    out = None
+    while out is None or level.where(F.size("s.properties") > 0).limit(1).count():
+        p = level.select("name", "version", "parent", F.explode("s.properties").alias("k", "j"), F.col("s.required").alias("_r"), F.coalesce("s.additionalProperties", "_default").alias("additional"))
+        p = p.withColumn("p", F.from_json("j", _KEYWORDS)).withColumn("path", F.concat_ws("/", "parent", "k"))
+        types = F.when(F.col("p.type").startswith("["), F.from_json("p.type", "array<string>")).when(F.col("p.type").isNotNull(), F.array("p.type"))
+        rows = p.select(
+            "name", "version", "path", "parent", "p.type", types.alias("types"), F.coalesce(F.array_contains("_r", F.col("k")), F.lit(False)).alias("required"), "p.enum", "p.minimum", "p.maximum", "p.pattern",
+            F.col("p.minLength").alias("min_length"), F.col("p.maxLength").alias("max_length"), "p.format", F.coalesce("p.additionalProperties", F.lit(True)).alias("open"), "additional",
+        )
+        out = rows if out is None else out.unionByName(rows)
+        level = p.select("name", "version", F.col("path").alias("parent"), F.col("p").alias("s"), F.lit(True).alias("_default")).where("s.properties is not null")
+    return out
 
 
 def malformed(props: DataFrame) -> DataFrame:
-    """Properties whose keywords can't hold: unknown types, crossed bounds."""
-    return props.where((F.col("type").isNotNull() & ~F.col("type").isin(TYPES)) | (F.col("minimum") > F.col("maximum")) | (F.col("min_length") > F.col("max_length")))
+    """Properties whose keywords can't hold: unknown types, crossed bounds, patterns that don't compile are left to their first use."""
+    unknown = F.exists("types", lambda x: ~x.isin(TYPES))
+    return props.where(unknown | (F.col("minimum") > F.col("maximum")) | (F.col("min_length") > F.col("max_length")))
 
 
-def first_error(value: Column) -> Column:
-    """The first keyword that a value breaks, null if none; columns of ``properties`` stand beside it. Format is not asserted."""
+def _fits(value: Column, kind: Column) -> Column:
+    """Whether a value's text can be of a type."""
     number = value.try_cast("double")
-    fits = (
-        F.when(F.col("type") == "integer", value.rlike("^[+-]?[0-9]+(\\.0*)?$")).when(F.col("type") == "number", number.isNotNull() & value.rlike("^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"))
-        .when(F.col("type") == "boolean", value.isin("true", "false")).when(F.col("type") == "null", value.isNull()).when(F.col("type").isin("array", "object"), F.try_parse_json(value).isNotNull()).otherwise(True)
+    shape = F.schema_of_variant(F.try_parse_json(value))
+    return (
+        F.when(value.isNull(), kind == "null").when(kind == "string", F.lit(True)).when(kind == "integer", value.rlike("^[+-]?[0-9]+(\\.0*)?$")).when(kind == "number", number.isNotNull() & value.rlike("^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"))
+        .when(kind == "boolean", value.isin("true", "false")).when(kind == "array", F.coalesce(shape.startswith("ARRAY"), F.lit(False))).when(kind == "object", F.coalesce(shape.startswith("OBJECT"), F.lit(False))).otherwise(False)
     )
+
+
+def first_error(value: Column) -> Column:
+    """The first keyword that a value breaks, null if none; columns of ``properties`` stand beside it. A null value has the type null. Bounds hold for numbers, patterns and lengths for strings. Format is not asserted."""
+    number = F.when(F.col("types").isNull() | F.exists("types", lambda k: k.isin("integer", "number")), value.try_cast("double"))
+    text = F.when(F.col("types").isNull() | F.array_contains("types", "string"), value)
     return (
-        F.when(~F.coalesce(fits, F.lit(False)), "type").when(F.col("enum").isNotNull() & ~F.array_contains("enum", value), "enum")
+        F.when(F.col("types").isNotNull() & ~F.exists("types", lambda k: _fits(value, k)), "type").when(F.col("enum").isNotNull() & value.isNotNull() & ~F.array_contains("enum", value), "enum")
         .when(number < F.col("minimum"), "minimum").when(number > F.col("maximum"), "maximum")
-        .when(F.length(value) < F.col("min_length"), "minLength").when(F.length(value) > F.col("max_length"), "maxLength")
+        .when(F.length(text) < F.col("min_length"), "minLength").when(F.length(text) > F.col("max_length"), "maxLength").when(~F.rlike(text, F.col("pattern")), "pattern")
     )
 
 
+_CHECKED = ["types", "enum", "minimum", "maximum", "pattern", "min_length", "max_length"]
+
+
+def judged(fields: DataFrame, props: DataFrame) -> DataFrame:
+    """Fields (document_id, schema_name, schema_version, path, value) with keyword: what they break (additionalProperties if there is no such property and the object around it admits no others), null if nothing."""
+    key = ["schema_name", "schema_version"]
+    named = props.withColumnsRenamed({"name": "schema_name", "version": "schema_version"})
+    known = named.select(*key, "path", *(F.col(c).alias(f"_p_{c}") for c in _CHECKED), F.lit(True).alias("_known"))
+    # an unlisted path is for the nearest object around it that is listed (the top is) to admit
+    around = named.groupBy(*key).agg(F.collect_set("path").alias("_paths"), F.array_union(F.collect_set(F.when(F.col("open"), F.col("path"))), F.collect_set(F.when(F.col("additional") & (F.col("parent") == ""), F.lit("")))).alias("_open"))
+    parts = F.split("path", "/")
+    ancestors = F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    nearest = F.get(F.filter(ancestors, lambda x: (x == "") | F.array_contains("_paths", x)), F.lit(0))
+    joined = fields.join(F.broadcast(known), [*key, "path"], "left").join(F.broadcast(around), key, "left")
+    error = F.when(F.col("_known").isNull(), F.when(~F.coalesce(F.array_contains("_open", nearest), F.lit(False)), "additionalProperties")).otherwise(first_error(F.col("value")))
+    # the keywords stand under their own names while they are judged
+    return joined.select(*fields.columns, "_known", "_paths", "_open", *(F.col(f"_p_{c}").alias(c) for c in _CHECKED)).withColumn("keyword", error).select(*fields.columns, "keyword", "_known")
+
+
 def field_errors(fields: DataFrame, props: DataFrame) -> DataFrame:
-    """Fields (document_id, schema_name, schema_version, path, value) that break their property or have none: adds keyword and message."""
-    p = props.select(F.col("name").alias("schema_name"), F.col("version").alias("schema_version"), "path", "type", "enum", "minimum", "maximum", "min_length", "max_length", F.lit(True).alias("_known"))
-    joined = fields.join(p, ["schema_name", "schema_version", "path"], "left")
-    keyword = F.when(F.col("_known").isNull(), "additionalProperties").when(F.col("value").isNotNull(), first_error(F.col("value")))
-    return joined.withColumn("keyword", keyword).where("keyword is not null").select("document_id", "path", "keyword", F.when(F.col("_known").isNull(), F.format_string("Field '%s' not found in schema", "path")).otherwise(F.format_string("'%s' breaks %s", "value", "keyword")).alias("message"))
+    """document_id, path, keyword, message of the fields that break their property or have none."""
+    bad = judged(fields, props).where("keyword is not null")
+    return bad.select("document_id", "path", "keyword", F.when(F.col("_known").isNull(), F.format_string("Field '%s' not found in schema", "path")).otherwise(F.format_string("'%s' breaks %s", F.coalesce("value", F.lit("null")), "keyword")).alias("message"))
+
+
+def required_paths(documents: DataFrame, fields: DataFrame, props: DataFrame) -> DataFrame:
+    """document_id, path of the required properties of each document; those of an inner object only where the document has something in it."""
+    need = props.where("required").select(F.col("name").alias("schema_name"), F.col("version").alias("schema_version"), "path", "parent")
+    all_ = documents.join(F.broadcast(need), ["schema_name", "schema_version"]).select("document_id", "path", "parent")
+    if not need.where("parent <> ''").limit(1).count():
+        return all_.select("document_id", "path")
+    parts = F.split("path", "/")
+    around = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    inside = fields.where(F.size(parts) > 2).select("document_id", F.explode(around).alias("parent")).distinct()
+    return all_.where("parent = ''").unionByName(all_.where("parent <> ''").join(inside, ["document_id", "parent"], "left_semi").select(*all_.columns)).select("document_id", "path")
 
 
 def missing_required(documents: DataFrame, fields: DataFrame, props: DataFrame) -> DataFrame:
-    """document_id, path of required properties without a value."""
-    need = documents.join(props.where("required").select(F.col("name").alias("schema_name"), F.col("version").alias("schema_version"), "path"), ["schema_name", "schema_version"]).select("document_id", "path")
-    return need.join(fields.where("value is not null").select("document_id", "path"), ["document_id", "path"], "left_anti")
+    """document_id, path of required properties without a value (an inner object has one if something in it has)."""
+    parts = F.split("path", "/")
+    have = fields.where("value is not null").select("document_id", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"))
+    return required_paths(documents, fields, props).join(have, ["document_id", "path"], "left_anti")
 
 
 def coerced(value: Column, type_: Column) -> Column:
