@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions.values import SUMMARY_WORDS, is_boolean, is_date, is_integer, is_null_token, is_numeric, stripped, type_of_shares
+from recordloom.functions.prefix import pinned
+from recordloom.functions.values import SUMMARY_WORDS, is_boolean, is_date, is_integer, is_null_token, is_numeric, stripped, to_boolean, to_date, to_number, type_of_shares
 
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -163,19 +164,28 @@ def column_types(cells: DataFrame, strict_nulls: bool = False, most: int = 100)
     return g.select("document_id", "col_no", "null_count", type_of_shares(F.col("_n"), F.col("_b"), F.col("_i"), F.col("_f"), F.col("_d")).alias("inferred_type"), "samples")
 
 
+def cast_cells(cells: DataFrame, types: DataFrame) -> DataFrame:
+    """Cells (document_id, row_no, col_no, value) with the value as its column's inferred type has it: number, flag or day beside the text; what doesn't fit its column is null in all three."""
+    typed = cells.join(types.select("document_id", "col_no", "inferred_type"), ["document_id", "col_no"])
+    of = lambda *kinds: F.col("inferred_type").isin(*kinds)
+    return typed.withColumns({"number": F.when(of("integer", "float"), to_number(F.col("value"))), "flag": F.when(of("boolean"), to_boolean(F.col("value"))), "day": F.when(of("date"), to_date(F.col("value")))})
+
+
 def repaired(docs: DataFrame, strict_header: bool = False, strict_nulls: bool = False) -> dict[str, DataFrame]:
     """All steps on (document_id, text): cells (document_id, row_no, col_no, column_name, value), columns, issues and summary; documents with odd quotes apart in quarantine."""
-    g = grid(docs)
+    found = delimiters(docs)
+    # every output is made of the cells: they are written once, and stay dealt by document
+    g = pinned(records(docs).join(found, "document_id").select("document_id", "row_no", "odd_quotes", "delimiter", cells().alias("cells")))
     good = g.where("not odd_quotes")
     body = without_preamble(good)
     head = headers(body, strict_header)
     names = repaired_headers(head)
     data = without_trailing(normalised(body, head))
     long = data.select("document_id", "row_no", F.posexplode("cells").alias("col_no", "value"))
-    cells = long.join(names.select("document_id", "col_no", F.col("name").alias("column_name")), ["document_id", "col_no"])
+    named = long.join(names.select("document_id", "col_no", F.col("name").alias("column_name")), ["document_id", "col_no"])
     types = column_types(long, strict_nulls)
-    counts = good.groupBy("document_id").agg(F.count("*").alias("total_raw_rows"))
+    counts = good.groupBy("document_id").agg(F.count("*").alias("total_raw_rows"), F.first("delimiter").alias("delimiter"))
     kept = data.groupBy("document_id").agg(F.count("*").alias("n_rows"), F.max("n_trailing").alias("n_trailing"), F.count("issue").alias("n_issues"))
     pre = body.groupBy("document_id").agg(F.max("n_preamble").alias("n_preamble"))
-    summary = counts.join(pre, "document_id", "left").join(head.select("document_id", "header_rows"), "document_id", "left").join(kept, "document_id", "left").join(delimiters(docs), "document_id")
-    return {"cells": cells.select("document_id", "row_no", "col_no", "column_name", "value"), "columns": names.join(types, ["document_id", "col_no"], "left").select("document_id", "col_no", "name", F.coalesce("inferred_type", F.lit("null")).alias("inferred_type"), "null_count", "samples"), "issues": data.where("issue is not null").select("document_id", "row_no", "issue"), "summary": summary, "quarantine": g.where("odd_quotes").select("document_id").distinct().withColumn("reason", F.lit("odd_quotes"))}
+    summary = counts.join(pre, "document_id", "left").join(head.select("document_id", "header_rows"), "document_id", "left").join(kept, "document_id", "left")
+    return {"cells": named.select("document_id", "row_no", "col_no", "column_name", "value"), "columns": names.join(types, ["document_id", "col_no"], "left").select("document_id", "col_no", "name", F.coalesce("inferred_type", F.lit("null")).alias("inferred_type"), "null_count", "samples"), "issues": data.where("issue is not null").select("document_id", "row_no", "issue"), "summary": summary, "quarantine": g.where("odd_quotes").select("document_id").distinct().withColumn("reason", F.lit("odd_quotes"))}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.operators.extraction import KEY_VALUE
+
 # Font size of headings, their most lines, and where the footer begins.
 HEADING_SIZE, HEADING_LINES, FOOTER_FROM = 14.0, 3, 0.9
 
@@ -15,7 +17,7 @@ def kind(text: str = "text", y0: str = "y0", font_size: str = "font_size", is_bo
     return (
         F.when(F.col(y0) > F.col(page_height) * FOOTER_FROM, "footer")
         .when(((F.col(font_size) >= HEADING_SIZE) | F.col(is_bold)) & (F.col(line_count) <= HEADING_LINES), "heading")
-        .when((F.col(line_count) == 1) & t.rlike(r"^([^:]+):\s*(.+)$"), "kv_pair")
+        .when((F.col(line_count) == 1) & t.rlike(KEY_VALUE), "kv_pair")
         .when(t.rlike(r"^\s*[•\-●○▪]") | t.rlike(r"^\d+[.)]\s"), "list_item")
         .otherwise("paragraph")
     )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Prices in USD for a token, the confidence cap of a conflict, and the confidence of an answer without one.
 PRICE_IN, PRICE_OUT, CONFLICT_CAP, DEFAULT_CONFIDENCE, LOW_CONFIDENCE = 3e-6, 15e-6, 0.5, 0.5, 0.7
+# Fixed value: a line that is a key and its value.
+KEY_VALUE = r"^([^:]+):\s*(.+)$"
 
 
 def cost(tokens_in: Column, tokens_out: Column) -> Column:
@@ -25,10 +27,9 @@ def prompt(schema: Column, content: Column) -> Column:
 
 def key_values(elements: DataFrame) -> DataFrame:
     """Proposals of elements that are a key and its value: document_id, ordinal, path, value, confidence."""
-    pattern = r"^([^:]+):\s*(.+)$"
     kv = elements.where(F.col("kind") == "kv_pair")
-    key = F.regexp_replace(F.lower(F.trim(F.regexp_extract("text", pattern, 1))), r"\s+", "_")
-    return kv.select("document_id", "ordinal", F.concat(F.lit("/"), key).alias("path"), F.trim(F.regexp_extract("text", pattern, 2)).alias("value"), F.lit(DEFAULT_CONFIDENCE).alias("confidence"))
+    key = F.regexp_replace(F.lower(F.trim(F.regexp_extract("text", KEY_VALUE, 1))), r"\s+", "_")
+    return kv.select("document_id", "ordinal", F.concat(F.lit("/"), key).alias("path"), F.trim(F.regexp_extract("text", KEY_VALUE, 2)).alias("value"), F.lit(DEFAULT_CONFIDENCE).alias("confidence"))
 
 
 def parsed_answers(answers: DataFrame, answer: str = "answer", any_object: bool = False) -> DataFrame:
@@ -37,8 +38,8 @@ def parsed_answers(answers: DataFrame, answer: str = "answer", any_object: bool
     keep = [c for c in answers.columns if c != answer]
     whole = F.try_parse_json(answer)
     src = answers.withColumn("_j", F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole)).where("_j is not null")
-    src.createOrReplaceTempView("_answers")
-    src = src.sparkSession.sql(f"select {', '.join(f'a.`{c}`' for c in keep)}, e.key as name, e.value as v from _answers a, lateral variant_explode(a._j) e")
+    members = src.sparkSession.tvf.variant_explode(F.col("_j").outer()).select(F.col("key").alias("name"), F.col("value").alias("v"))
+    src = src.lateralJoin(members)
     is_object = F.schema_of_variant("v").startswith("OBJECT")
     inner = F.variant_get("v", "$.value", "variant")
     has = is_object if any_object else is_object & F.schema_of_variant("v").rlike(r"[<,] ?value:")
@@ -87,6 +88,27 @@ def flattened(results: DataFrame) -> DataFrame:
     return f.select(F.concat_ws(":", "document_id", "f.path").alias("field_id"), "document_id", F.col("f.path").alias("path"), F.col("f.value").alias("value"), F.col("f.confidence").alias("confidence"), F.to_json("f.bbox").alias("source_bbox"))
 
 
+def gold_records(fields: DataFrame, silver_version: int, stamp: str, run_id: str | None, threshold: float = LOW_CONFIDENCE) -> DataFrame:
+    """The whole record of each document: its hash and schema, the record as JSON, quality, and what it was made from and when (silver_version, conformed_at, run_id)."""
+    keys = ["document_id", "content_hash", "schema_name", "schema_version"]
+    records = conformed(fields, keys, threshold).where("quality_score is not null")
+    return records.select(*keys, "record_json", "quality_score", "field_count", "low_confidence_count", F.lit(silver_version).cast("long").alias("silver_version"), F.lit(stamp).cast("timestamp").alias("conformed_at"), F.lit(run_id).cast("string").alias("run_id"))
+
+
+def status_counts(results: DataFrame) -> DataFrame:
+    """Documents, tokens and cost of each status of an extraction's results."""
+    return results.groupBy("status").agg(F.count("*").alias("documents"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"), F.round(F.coalesce(F.sum(cost(F.col("tokens_in"), F.col("tokens_out"))), F.lit(0.0)), 6).alias("cost"))
+
+
+def paced(docs: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, order: list[str], rpm: float, tpm: float) -> tuple[DataFrame, DataFrame]:
+    """An injected extractor held to limits: documents (with ``tokens``) get the second at which the limits let them through, and batches reach ``fn`` ordered by it, each with its column start_s to wait for. Second: those that no bucket can hold, for quarantine."""
+    from recordloom.operators.budget import oversize, token_slots
+
+    slots = token_slots(docs, order, rpm, tpm)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return slots.repartitionByRange(parts, "start_s", *order).sortWithinPartitions("start_s", *order).mapInPandas(fn, schema), oversize(docs, tpm)
+
+
 def extract_with(docs: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """An injected extractor over batches of rows; pace them by the slots of ``operators.budget``."""
     return docs.mapInPandas(fn, schema)

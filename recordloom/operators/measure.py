@@ -13,6 +13,12 @@ def finished(timings: DataFrame) -> DataFrame:
     return timings.where(F.col("finished_at").isNotNull() & (F.col("active_seconds") > 0) & F.col("arm").isin(ARMS))
 
 
+def rejected(timings: DataFrame) -> DataFrame:
+    """Runs that can't be measured, with the reason: no or an unknown arm, no end, no active time."""
+    reason = F.when(F.col("arm").isNull() | ~F.col("arm").isin(ARMS), "unknown_arm").when(F.col("finished_at").isNull(), "unfinished").when(F.coalesce("active_seconds", F.lit(0)) <= 0, "no_active_time")
+    return timings.withColumn("reason", reason).where("reason is not null")
+
+
 def arm_statistics(timings: DataFrame) -> DataFrame:
     return timings.groupBy("arm").agg(F.count("*").alias("n"), F.expr("percentile(active_seconds, 0.5)").alias("median_seconds"), F.sum("active_seconds").alias("total_seconds"), F.avg("accuracy").alias("mean_accuracy"))
 

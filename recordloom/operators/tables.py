@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 
 def bronze_rows(docs: DataFrame, run_date: str) -> DataFrame:
-    """Typed document rows with defaults; run_date is a parameter, so a backfill reads what it wrote."""
-    name = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in docs.columns else F.lit(default)
+    """Typed document rows with defaults; run_date is a parameter, so a backfill reads what it wrote, and the stamp is its first moment unless the documents have one."""
+    name = lambda c, default, kind: (F.coalesce(F.col(c).cast(kind), F.lit(default).cast(kind)) if c in docs.columns else F.lit(default).cast(kind)).alias(c)
+    stamp = F.lit(run_date).cast("timestamp")
     return docs.select(
-        "document_id", "filename", "content_hash", "mime", F.col("size_bytes").cast("long"), name("schema_name", "unknown").alias("schema_name"),
-        name("schema_version", 1).cast("long").alias("schema_version"), F.lit(run_date).alias("ingest_date"),
-    )
+        "document_id", "filename", "content_hash", "mime", F.col("size_bytes").cast("long"), (F.coalesce("s3_key", "filename") if "s3_key" in docs.columns else F.col("filename")).alias("s3_key"), name("schema_name", "unknown", "string"),
+        name("schema_version", 1, "long"), (F.coalesce("ingest_timestamp", stamp) if "ingest_timestamp" in docs.columns else stamp).alias("ingest_timestamp"), F.lit(run_date).alias("ingest_date"),
+        name("source_system", "upload", "string"), name("kafka_offset", None, "long"),
+    )
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -42,6 +44,13 @@ def upsert_when_changed(table: DataFrame, incoming: DataFrame, keys: list[str],
     return both.select(*keys, *(F.when(replace, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c) for c in rest)).select(*columns)
 
 
+def changes(table: DataFrame, incoming: DataFrame, keys: list[str], stamp: str) -> DataFrame:
+    """The incoming rows that ``upsert_when_changed`` would write: what an append-only log of changes gets."""
+    old = table.select(*keys, F.col(stamp).alias("_stamp"), F.lit(True).alias("_old")).join(incoming.select(*keys).distinct(), keys, "left_semi")
+    both = incoming.join(old, keys, "left")
+    return both.where(F.col("_old").isNull() | F.col("_stamp").isNull() | (F.col("_stamp") != F.col(stamp))).select(*incoming.columns)
+
+
 def upsert_replace(table: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Whole rows of the incoming keys replace those of the table."""
     return table.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming, allowMissingColumns=True)
@@ -81,6 +90,13 @@ def with_cache(requests: DataFrame, cache: DataFrame, key: list[str], price: Col
     return keyed.join(stored, "cache_key", "left").withColumn("cached", F.col("answer").isNotNull()).withColumn("cost", F.when(F.col("cached"), 0.0).otherwise(price))
 
 
+def cache_after(cache: DataFrame, answered: DataFrame) -> DataFrame:
+    """The cache with new answers (cache_key, answer): of keys that it lacks, or whose answer there is a fault (null), the least answer that isn't null goes in."""
+    new = answered.where(F.col("answer").isNotNull()).groupBy("cache_key").agg(F.min("answer").alias("answer"))
+    kept = cache.where(F.col("answer").isNotNull()).select("cache_key", "answer")
+    return kept.unionByName(new.join(kept.select("cache_key"), "cache_key", "left_anti"))
+
+
 def cache_key(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,47 @@ def write_layer(df: DataFrame, base: str, layer: str) -> None:
     (w.partitionBy("ingest_date") if layer == "bronze" else w).parquet(f"{base}/{layer}")
 
 
+def stage(df: DataFrame, base: str, layer: str, version: int) -> DataFrame:
+    """Write a version's rows of a layer. They don't count before ``publish``; a run that is repeated replaces them."""
+    path = f"{base}/{layer}/version={version}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def publish(spark: SparkSession, base: str, version: int, **metrics) -> None:
+    """Make a version count, with its metrics: one small file, written when all layers stand."""
+    names = ", ".join(f"{k} {'string' if isinstance(v, str) else 'double' if isinstance(v, float) else 'long'}" for k, v in metrics.items())
+    spark.createDataFrame([(version, *metrics.values())], f"version long, {names}").coalesce(1).write.mode("overwrite").parquet(f"{base}/published/number={version}")
+
+
+def published(spark: SparkSession, base: str) -> DataFrame | None:
+    """Versions that count and their metrics; None before the first."""
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(f"{base}/published").drop("number")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def log(spark: SparkSession, base: str, layer: str, upto: int | None = None) -> DataFrame | None:
+    """A layer's rows of published versions, with version; None if there are none."""
+    done = published(spark, base)
+    versions = sorted(r.version for r in done.select("version").collect() if upto is None or r.version <= upto) if done is not None else []  # one number a run
+    if not versions:
+        return None
+    return spark.read.option("mergeSchema", "true").option("basePath", f"{base}/{layer}").parquet(*(f"{base}/{layer}/version={v}" for v in versions)).withColumn("version", F.col("version").cast("long"))
+
+
+def as_of(spark: SparkSession, base: str, layer: str, keys: list[str], upto: int | None = None) -> DataFrame | None:
+    """A layer as it was at a version: of each key the row of the last version up to it."""
+    rows = log(spark, base, layer, upto)
+    if rows is None:
+        return None
+    rest = [c for c in rows.columns if c not in (*keys, "version")]
+    return rows.groupBy(*keys).agg(F.max(F.struct("version", *rest)).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.{pdf,csv}") -> DataFrame:
     """Files as rows: path, content, content_hash, size_bytes."""
     b = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)

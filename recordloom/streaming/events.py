@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from recordloom.functions.prefix import pinned
+from recordloom.operators.tables import first_per_key
+from recordloom.session import scratch
 
 EVENT = "event_type string, event_id string, timestamp timestamp, document_id string, content_hash string, filename string, mime string, size_bytes long, s3_key string, schema_name string"
 
@@ -23,8 +25,23 @@ def from_kafka(spark: SparkSession, servers: str, topic: str, most: int = 1_000_
 
 
 def typed(raw: DataFrame, schema: str = EVENT) -> DataFrame:
-    """JSON in ``value`` as columns; texts that don't parse give no row."""
-    return raw.withColumn("e", F.from_json("value", schema)).where("e is not null").select("e.*", *(c for c in raw.columns if c != "value"))
+    """JSON in ``value`` as columns; texts that are no JSON object, or whose values don't fit the schema, give no row: see ``malformed``."""
+    return _parsed(raw, schema).where("_e._bad is null and _e is not null").select(*(F.col(f"_e.{n}").alias(n) for n in _names(schema)), *(c for c in raw.columns if c != "value"))
+
+
+def malformed(raw: DataFrame, schema: str = EVENT) -> DataFrame:
+    """The rows that ``typed`` leaves out, for quarantine."""
+    return _parsed(raw, schema).where("_e._bad is not null or _e is null").select(*raw.columns, F.lit("malformed_event").alias("reason"))
+
+
+def _names(schema: str) -> list[str]:
+    return StructType.fromDDL(schema).names
+
+
+def _parsed(raw: DataFrame, schema: str) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    return raw.withColumn("_e", F.when(is_object, F.from_json("value", f"{schema}, _bad string", options)))
 
 
 def as_messages(rows: DataFrame, key: str) -> DataFrame:
@@ -45,12 +62,13 @@ def latest_by_key(events: DataFrame, key: str, stamp: str, value: str) -> DataFr
     return events.groupBy(key).agg(F.max_by(value, F.struct(stamp, value)).alias(value))
 
 
+def to_folder(messages: DataFrame, folder: str, checkpoint: str):
+    """A file sink of messages (key, value), one JSON line each; the same call with ``format("kafka")`` needs Spark's package. Returns the running query."""
+    return messages.select("key", "value").writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        pinned(spark.range(1))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
@@ -67,18 +85,18 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return rows.drop("batch")
 
 
-def landed(stream: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Each key's row once: a batch inserts only keys that earlier batches lack, whatever is delivered twice."""
+def landed(stream: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """Each key's row once: of a batch the first in ``order`` (all columns, if not given), and only keys that earlier batches lack, whatever is delivered twice. A batch that is run again replaces itself."""
     spark, folder = stream.sparkSession, _folder(stream.sparkSession)
     schema = stream.select(*columns).schema
 
     def put(batch: DataFrame, number: int) -> None:
-        table = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).option("ignoreMissingFiles", "true")
-        rows = batch.select(*columns).dropDuplicates([key])
-        if number and spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/table").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/table")):
-            old = table.parquet(f"{folder}/table").where(F.col("batch") < number)
+        kept = [*columns, *(c for c in order or [] if c not in columns)]
+        rows = first_per_key(batch.select(*kept), [key], [F.col(c) for c in order or [c for c in columns if c != key]]).select(*columns)
+        if number:
+            old = spark.read.schema(schema).parquet(*(f"{folder}/table/batch={k}" for k in range(number)))
             rows = rows.join(old.select(key), key, "left_anti")
         rows.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
     stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(stream.select(*columns).schema).parquet(f"{folder}/table").select(*columns)
+    return spark.read.schema(schema).parquet(f"{folder}/table").select(*columns)
