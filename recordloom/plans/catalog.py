@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.plans import q_measures, q_records, q_repair, q_tables  # noqa: F401
+from recordloom.plans import q_daily, q_measures, q_records, q_repair, q_tables  # noqa: F401
 from recordloom.plans.registry import QUERIES, SQL
 
 

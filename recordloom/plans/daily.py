@@ -1,14 +1,20 @@
-"""The daily chain: land, validate, extract, merge, conform, gate, publish. Layers are staged and only replaced when the gate is empty."""
+"""The daily chain: land, validate, extract, merge, conform, gate, publish.
+
+Layers are logs of versions, one a run: bronze gets the day's new documents, silver the fields that are new or whose prompt changed, gold the records of the documents that these touch, quarantine the rejected arrivals. A layer as of a version
+is the last row of each key up to it (``sources.io.as_of``), so gold can be made again from the silver version that it names. A run writes what it adds, and it counts only once it is published, which it isn't before the gate is empty."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.functions.prefix import pinned
 from recordloom.operators import extraction, layout, quality, tables
+from recordloom.sources import io
+
+SILVER, GOLD = ["content_hash", "path", "schema_version"], ["content_hash", "schema_version"]
 
 
 class Rejected(Exception):
@@ -16,32 +22,83 @@ class Rejected(Exception):
 
 
 def landed(bronze: DataFrame | None, arrivals: DataFrame, run_date: str) -> tuple[DataFrame, DataFrame]:
-    """The bronze table with the day's new documents, and the rejected arrivals with their reasons."""
+    """The day's new documents, and the rejected arrivals with their reasons."""
     judged = quality.admission(arrivals)
     rows = tables.bronze_rows(judged.where("reason is null"), run_date)
     first = tables.first_per_key(rows, ["content_hash"], [F.col("document_id")])
-    table = first if bronze is None else tables.insert_only(bronze, first, ["content_hash"], [F.col("document_id")])
-    return table, judged.where("reason is not null")
+    return first if bronze is None else tables.new_rows(first, bronze, ["content_hash"]), judged.where("reason is not null")
+
+
+def violations(bronze: DataFrame, silver: DataFrame, gold: DataFrame) -> DataFrame:
+    return quality.gate(
+        quality.outside(silver, "confidence", 0, 1, "document_id"), quality.orphans(silver, bronze, "document_id", "document_id", "document_id"),
+        quality.below(gold, "quality_score", 0.5, "document_id"), quality.repeated(gold, GOLD), quality.null_in(gold, ["document_id", "record_json"], "document_id"),
+    )
 
 
-def run(spark: SparkSession, bronze: DataFrame | None, arrivals: DataFrame, extract: Callable[[DataFrame], DataFrame], run_date: str) -> dict[str, DataFrame]:
-    """Layers of a day: bronze, silver, gold, quarantine, metrics. ``extract`` gives proposals (document_id, section, path, value, confidence) of the day's documents."""
-    table, rejected = landed(bronze, arrivals, run_date)
-    table = pinned(table)
-    day = table.where(F.col("ingest_date") == run_date)
-    found = quality.bronze_summary(day).first()
+def run(spark: SparkSession, base: str, arrivals: DataFrame, extract: Callable[[DataFrame], DataFrame], run_date: str, run_id: str | None = None, again: DataFrame | None = None) -> int:
+    """One day's run on the layers in ``base``; returns its version. ``extract`` gives proposals (document_id, section, path, value, confidence, prompt_hash, cost) of documents: the new ones and those of ``again`` (document_id)."""
+    done = io.published(spark, base)
+    version = (done.agg(F.max("version")).first()[0] if done is not None else 0) + 1
+    known = io.log(spark, base, "bronze")
+    new, rejected = landed(known, arrivals, run_date)
+    new = io.stage(new, base, "bronze", version)
+    table = new if known is None else known.select(*new.columns).unionByName(new)
+    io.stage(rejected.select("document_id", "filename", "content_hash", "reason", F.lit("landing").alias("stage")), base, "quarantine", version)
+    found = quality.bronze_summary(new).first()
     if found.required_null or found.repeated_hash:
         raise Rejected(f"bronze of {run_date}: {found}")
-    silver = pinned(extraction.merged_proposals(extract(day), ["document_id", "path"], ["section"]))
-    gold = pinned(extraction.conformed(silver, ["document_id"]).where("quality_score is not null"))
-    violations = quality.gate(
-        quality.outside(silver, "confidence", 0, 1, "document_id"), quality.orphans(silver, table, "document_id", "document_id", "document_id"),
-        quality.below(gold, "quality_score", 0.5, "document_id"), quality.repeated(gold, ["document_id"]), quality.null_in(gold, ["document_id", "record_json"], "document_id"),
-    )
-    if not quality.passes(violations):
-        raise Rejected(f"gate of {run_date}: {violations.limit(5).collect()}")
-    metrics = day.agg(F.count("*").alias("bronze_count")).join(silver.agg(F.count("*").alias("fields_extracted")), F.lit(True)).join(gold.agg(F.count("*").alias("gold_count")), F.lit(True))
-    return {"bronze": table, "silver": silver, "gold": gold, "quarantine": rejected, "metrics": metrics}
+    todo = new if again is None else new.unionByName(table.join(again.select("document_id").distinct(), "document_id", "left_semi").select(*new.columns)).dropDuplicates(["document_id"])
+    proposals = extract(todo)
+    merged = extraction.merged_proposals(proposals, ["document_id", "path"], ["section"])
+    spent = proposals.groupBy("document_id", "path").agg(F.min("prompt_hash").alias("prompt_hash"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"))
+    silver_rows = merged.join(spent, ["document_id", "path"]).join(todo.select("document_id", "content_hash", "schema_name", "schema_version"), "document_id").select(
+        F.concat_ws(":", "document_id", "path").alias("field_id"), "document_id", "content_hash", "path", "value", "confidence", "n_proposals", "is_conflict", "schema_name", "schema_version", F.lit(run_date).cast("timestamp").alias("extracted_at"), "cost", "prompt_hash",
+    )
+    before = io.as_of(spark, base, "silver", SILVER)
+    silver = io.stage(silver_rows if before is None else tables.changes(before, silver_rows, SILVER, "prompt_hash"), base, "silver", version)
+    now = silver if before is None else tables.upsert_replace(before.join(silver.select("content_hash").distinct(), "content_hash", "left_semi").select(*silver.columns), silver, SILVER)
+    gold = io.stage(extraction.gold_records(now, version, run_date, run_id), base, "gold", version)
+    bad = violations(table, silver, gold)
+    if not quality.passes(bad):
+        io.stage(bad, base, "gate", version)
+        raise Rejected(f"gate of {run_date}: {bad.limit(5).collect()}")
+    counts = new.agg(F.count("*").alias("a")).join(silver.agg(F.count("*").alias("b"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("c")), F.lit(True)).join(gold.agg(F.count("*").alias("d")), F.lit(True)).first()
+    io.publish(spark, base, version, run_date=run_date, bronze_count=counts.a, fields_extracted=counts.b, extraction_cost=float(counts.c), gold_count=counts.d)
+    return version
+
+
+def current(spark: SparkSession, base: str, layer: str, upto: int | None = None) -> DataFrame | None:
+    """silver or gold as of a version (the last one)."""
+    return io.as_of(spark, base, layer, SILVER if layer == "silver" else GOLD, upto)
+
+
+def reproduced(spark: SparkSession, base: str, version: int) -> DataFrame:
+    """What the gold rows that a version wrote and those made again from the silver that they name have not in common: side (stored or again) and the record; empty if they agree."""
+    columns = ["document_id", "content_hash", "schema_name", "schema_version", "record_json", "quality_score", "field_count", "low_confidence_count"]
+    rows = io.log(spark, base, "gold", version)
+    stored = rows.where(F.col("version") == version)
+    silver = current(spark, base, "silver", version).join(stored.select("content_hash").distinct(), "content_hash", "left_semi")
+    again = extraction.gold_records(silver, version, "1970-01-01", None).select(*columns)
+    stored = stored.select(*columns)
+    return stored.exceptAll(again).withColumn("side", F.lit("stored")).unionByName(again.exceptAll(stored).withColumn("side", F.lit("again")))
+
+
+def retained(spark: SparkSession, base: str, to: str, oldest: int) -> DataFrame:
+    """The layers without versions before ``oldest``: what these left behind is one version now, ``oldest`` itself. Returns layer, versions before and after. The new folder is complete before anyone reads it; reproduction reaches back to ``oldest``."""
+    done = io.published(spark, base)
+    kept, rows = [r for r in done.orderBy("version").collect() if r.version >= oldest], []
+    for layer, keys in (("bronze", ["content_hash"]), ("silver", SILVER), ("gold", GOLD), ("quarantine", None)):
+        own = io.log(spark, base, layer)
+        names = [c for c in own.columns if c != "version"]
+        first = io.log(spark, base, layer, oldest).select(*names) if keys is None else io.as_of(spark, base, layer, keys, oldest).select(*names)
+        io.stage(first, to, layer, oldest)
+        for r in kept[1:]:
+            io.stage(own.where(F.col("version") == r.version).select(*names), to, layer, r.version)
+        rows.append((layer, done.count(), len(kept)))
+    for r in kept:
+        io.publish(spark, to, r.version, **{k: v for k, v in r.asDict().items() if k != "version"})
+    return spark.createDataFrame(rows, "layer string, versions_before long, versions_after long")
 
 
 def compacted(spark: SparkSession, base: str, to: str, orders: dict[str, list[str]], files: int = 8) -> DataFrame:
@@ -50,8 +107,8 @@ def compacted(spark: SparkSession, base: str, to: str, orders: dict[str, list[st
     for layer, columns in orders.items():
         try:
             df = spark.read.parquet(f"{base}/{layer}")
-        except Exception as e:  # a layer that doesn't exist yet
-            rows.append((layer, 0, 0, f"skipped: {type(e).__name__}"))
+        except AnalysisException as e:  # a layer that doesn't exist yet
+            rows.append((layer, 0, 0, f"skipped: {e.getCondition()}"))
             continue
         layout.z_ordered(df, columns, files).drop("_z").write.mode("overwrite").parquet(f"{to}/{layer}")
         counts = [tables.file_detail(spark.read.parquet(f"{b}/{layer}")).first().n_files for b in (base, to)]

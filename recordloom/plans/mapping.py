@@ -34,12 +34,12 @@ def fields(t) -> DataFrame:
 def bronze(t, run_date: str = "2024-01-31") -> DataFrame:
     from recordloom.operators.tables import bronze_rows
 
-    d = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit("/"), "doc_id").alias("filename"), F.sha2("text", 256).alias("content_hash"), F.when(F.col("lang") == "en", "text/plain").when(F.col("lang") == "de", "text/csv").otherwise("text/html").alias("mime"), F.octet_length("text").cast("long").alias("size_bytes"))
+    d = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit("/"), "doc_id").alias("filename"), F.sha2("text", 256).alias("content_hash"), F.when(F.col("lang") == "en", "text/plain").when(F.col("lang") == "de", "text/csv").otherwise("text/html").alias("mime"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("doc_id").cast("long").alias("kafka_offset"), F.col("source").alias("source_system"))
     return bronze_rows(d, run_date)
 
 
 BRONZE = """b AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, source || '/' || doc_id AS filename, sha256(text) AS content_hash,
-  CASE lang WHEN 'en' THEN 'text/plain' WHEN 'de' THEN 'text/csv' ELSE 'text/html' END AS mime, CAST(strlen(text) AS BIGINT) AS size_bytes, 'unknown' AS schema_name, CAST(1 AS BIGINT) AS schema_version, '2024-01-31' AS ingest_date FROM documents)"""
+  CASE lang WHEN 'en' THEN 'text/plain' WHEN 'de' THEN 'text/csv' ELSE 'text/html' END AS mime, CAST(strlen(text) AS BIGINT) AS size_bytes, source || '/' || doc_id AS s3_key, 'unknown' AS schema_name, CAST(1 AS BIGINT) AS schema_version, '2024-01-31' AS ingest_date, source AS source_system, CAST(doc_id AS BIGINT) AS kafka_offset FROM documents)"""
 
 
 def timings(t) -> DataFrame:
@@ -64,12 +64,25 @@ def requests(t) -> DataFrame:
 REQUESTS = "q AS (SELECT doc_id AS request_id, n_chars // 4 + 500 AS tokens, round((n_chars // 4 + 500) * 3e-6, 6) AS cost FROM documents)"
 
 
+#: Customers in a CSV text at most: files grow in number, not in size.
+ROWS_A_FILE = 1000
+FILE = f"c_nationkey || '-' || c_custkey // {ROWS_A_FILE}"
+
+
 def grids(t) -> DataFrame:
-    """Customers of each nation as an untidy CSV text: a preamble, a header with a blank and a repeated name, quoted cells, a total at the end, a delimiter by nation."""
+    """Customers of each nation as untidy CSV texts: a preamble, a header with a blank and a repeated name, quoted cells, a total at the end, a delimiter by nation."""
     delimiter = F.element_at(F.array(*map(F.lit, [",", ";", "\t", "|"])), (F.col("c_nationkey") % 4 + 1).cast("int"))
     cells = F.array(F.col("c_custkey").cast("string"), F.concat(F.lit('"'), F.regexp_replace("c_name", "#", '""'), F.lit("\n"), F.col("c_mktsegment"), F.lit('"')), F.format_string("%.2f", "c_acctbal"), F.when(F.col("c_acctbal") < 0, "N/A").otherwise("yes"))
-    rows = t.customer.select("c_nationkey", "c_custkey", F.array_join(cells, "\x01").alias("row"), delimiter.alias("d"))
-    g = rows.groupBy("c_nationkey", "d").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "row"))), lambda s: s["row"]), "\n").alias("body"))
+    name = F.concat_ws("-", "c_nationkey", F.floor(F.col("c_custkey") / ROWS_A_FILE))
+    rows = t.customer.select(name.alias("document_id"), "c_custkey", F.array_join(cells, "\x01").alias("row"), delimiter.alias("d"))
+    g = rows.groupBy("document_id", "d").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "row"))), lambda s: s["row"]), "\n").alias("body"))
     head = F.lit("customers of a nation\n\nid\x01name\x01\x01name\n")
     text = F.concat(head, F.col("body"), F.lit("\nTotal\x01\x01\x01\n"))
-    return g.select(F.col("c_nationkey").cast("string").alias("document_id"), F.replace(text, F.lit("\x01"), F.col("d")).alias("text"))
+    return g.select("document_id", F.replace(text, F.lit("\x01"), F.col("d")).alias("text"))
+
+
+def sheets(t) -> DataFrame:
+    """Suppliers of each nation as CSV texts with a header of two rows and rows that are too short or too long; every fifth nation's last quote stays open."""
+    rows = t.supplier.select("s_nationkey", "s_suppkey", F.concat_ws(";", (F.col("s_suppkey") + 100).cast("string"), F.format_string("%.2f", "s_acctbal"), F.when(F.col("s_suppkey") % 3 != 0, F.lit("ok")), F.when(F.col("s_suppkey") % 3 == 1, F.lit("more"))).alias("row"))
+    body = rows.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "row"))), lambda s: s["row"]), "\n").alias("body"))
+    return body.select(F.concat(F.lit("s"), "s_nationkey").alias("document_id"), F.concat(F.lit("key;amount;note\nnumber;in USD;\n"), "body", F.when(F.col("s_nationkey") % 5 == 0, '\n"').otherwise("\n")).alias("text"))

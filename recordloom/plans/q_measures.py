@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from recordloom.operators import budget, measure
 from recordloom.operators.extraction import cost, estimated_tokens
 from recordloom.plans.mapping import MERGED, PROPOSALS, REQUESTS, TIMINGS, fields, proposals, requests, timings
 from recordloom.plans.registry import query
+from recordloom.session import scratch
 from recordloom.streaming import events as streams
 
 
@@ -120,9 +123,13 @@ def limiter_statistics(t) -> DataFrame:
     return budget.limiter_statistics(budget.token_slots(requests(t), ["request_id"]))
 
 
-def _event_stream(t) -> DataFrame:
-    schema = t.events.schema
-    return streams.from_files(t.spark, t.folder, "events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+def _event_stream(t, repeats: bool = False) -> DataFrame:
+    """The events as a stream of several batches: four files, and with ``repeats`` a fifth that delivers the errors again."""
+    folder = f"{scratch(t.spark)}/arrivals/{uuid.uuid4().hex}"
+    t.events.repartitionByRange(4, "event_id").write.parquet(folder)
+    if repeats:
+        t.events.where("event_type = 'error'").coalesce(1).write.mode("append").parquet(folder)
+    return streams.from_files(t.spark, folder, "*.parquet", t.events.schema, 1).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -138,15 +145,51 @@ def latest_state(t) -> DataFrame:
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_landing(t) -> DataFrame:
-    return streams.landed(_event_stream(t), "event_id", ["user_id", "event_id"])
+    return streams.landed(_event_stream(t, repeats=True), "event_id", ["user_id", "event_id"], ["ts"])
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
+def stream_first_arrivals(t) -> DataFrame:
+    first = streams.first_arrivals(_event_stream(t, repeats=True), "event_id", "ts", "3650 days")
+    return streams.drained(first, "append").groupBy("event_type").agg(F.count("*").alias("n"))
+
 
+@query("SELECT CAST(event_id AS VARCHAR) AS key, event_type FROM events")
+def stream_messages(t) -> DataFrame:
+    """Messages written by a stream to a file sink, and read again."""
+    folder = f"{scratch(t.spark)}/messages/{uuid.uuid4().hex}"
+    streams.to_folder(streams.as_messages(_event_stream(t).select("event_id", "event_type"), "event_id"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    back = t.spark.read.schema("key string, value string").json(f"{folder}/out")
+    return streams.typed(back, "event_type string").select("key", "event_type")
 
-@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
 def typed_events(t) -> DataFrame:
-    parsed = streams.typed(t.events.select("event_type", F.col("props").alias("value")).withColumnRenamed("event_type", "kind"), "k long")
+    parsed = streams.typed(_raw_events(t), "k long")
     return parsed.groupBy(F.col("kind").alias("event_type"), "k").agg(F.count("*").alias("n"))
 
 
+def _raw_events(t) -> DataFrame:
+    """Errors come as what is no object, or as one that is cut off, or whose number is none."""
+    broken = F.when(F.col("event_id") % 3 == 0, "[1]").when(F.col("event_id") % 3 == 1, F.substring("props", 1, 4)).otherwise('{"k": "x"}')
+    return t.events.select("event_id", F.col("event_type").alias("kind"), F.when(F.col("event_type") == "error", broken).otherwise(F.col("props")).alias("value"))
+
+
+@query("SELECT event_id, 'malformed_event' AS reason FROM events WHERE event_type = 'error'")
+def malformed_events(t) -> DataFrame:
+    return streams.malformed(_raw_events(t), "k long").select("event_id", "reason")
+
+
+@query(f"""WITH {REQUESTS} SELECT request_id, request_id % 4 AS lane, 'oversize_request' AS reason FROM q WHERE tokens > 500""")
+def lane_oversize(t) -> DataFrame:
+    return budget.lane_oversize(requests(t), "request_id", 4, 2000).select("request_id", "lane", "reason")
+
+
+@query(f"""WITH {TIMINGS} SELECT CASE WHEN arm IS NULL OR arm NOT IN ('manual', 'tool') THEN 'unknown_arm' WHEN finished_at IS NULL THEN 'unfinished' ELSE 'no_active_time' END AS reason, count(*) AS n FROM t WHERE arm IS NULL OR finished_at IS NULL OR active_seconds <= 0 GROUP BY 1""")
+def rejected_timings(t) -> DataFrame:
+    return measure.rejected(timings(t)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("""WITH s AS (SELECT user_id, event_id, list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type) AS place FROM events)
 SELECT user_id, event_id FROM (SELECT *, lag(place) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM s) WHERE place < before""")
 def state_regressions(t) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.functions.prefix import pinned
 from recordloom.functions.values import to_array, to_boolean, to_number
 from recordloom.operators import elements, extraction, review, schemas
-from recordloom.plans.mapping import MERGED, PROPOSALS, fields, proposals
+from recordloom.plans.mapping import MERGED, PROPOSALS, REQUESTS, fields, proposals, requests
 from recordloom.plans.registry import query
 
 
@@ -27,18 +30,6 @@ def gold_stats(t) -> DataFrame:
     return extraction.record_statistics(f, ["document_id"], "extracted_at").withColumn("avg_confidence", F.round("avg_confidence", 8)).withColumn("total_cost", F.round("total_cost", 6))
 
 
-@query(f"WITH {MERGED} SELECT count(*) AS differing FROM (SELECT document_id, avg(confidence) FROM m WHERE false GROUP BY 1)")
-def gold_reproduction(t) -> DataFrame:
-    """Records built again from the same fields as of their version differ in nothing."""
-    silver = fields(t).withColumn("valid_from", F.lit(1)).withColumn("valid_to", F.lit(None).cast("int"))
-    from recordloom.functions.prefix import pinned
-    from recordloom.operators.tables import at_version
-
-    silver = pinned(silver)
-    once, again = (extraction.conformed(at_version(silver, 1), ["document_id"]).withColumn("quality_score", F.round("quality_score", 8)) for _ in range(2))
-    return once.exceptAll(again).agg(F.count("*").alias("differing"))
-
-
 @query(f"WITH {MERGED} SELECT document_id, path, row_number() OVER (PARTITION BY document_id ORDER BY confidence NULLS FIRST, path) AS position FROM m")
 def review_queue(t) -> DataFrame:
     return review.queue(fields(t)).select("document_id", "path", "position")
@@ -94,7 +85,7 @@ def field_validation(t) -> DataFrame:
 
 @query(f"WITH {MERGED} SELECT o_orderkey AS document_id, x.path, CASE WHEN m.path IS NULL THEN 'missing' WHEN m.confidence < 0.9 THEN 'unverified' ELSE 'ok' END AS status FROM orders, (VALUES ('/returnflag'), ('/quantity'), ('/shipmode')) x(path) LEFT JOIN m ON m.document_id = o_orderkey AND m.path = x.path")
 def required_coverage(t) -> DataFrame:
-    f = review.verified(fields(t), fields(t).where("confidence >= 0.9"))
+    f = fields(t).withColumn("verified", F.col("confidence") >= 0.9)
     return review.coverage(_documents(t), f, _props(t))
 
 
@@ -104,8 +95,8 @@ s AS (SELECT m.document_id, m.path, CASE WHEN path = '/returnflag' AND value NOT
 e AS (SELECT document_id, 'invalid_state' AS error FROM d WHERE state <> 'review' UNION ALL SELECT document_id, error FROM c WHERE error IS NOT NULL UNION ALL SELECT document_id, 'validation_error' FROM m WHERE is_conflict UNION ALL SELECT document_id, 'schema_validation' FROM s WHERE bad = 1)
 SELECT error, count(*) AS n, count(DISTINCT document_id) AS documents FROM e GROUP BY error""")
 def commit_gate(t) -> DataFrame:
-    m = fields(t).withColumn("validation_error", F.when(F.col("is_conflict"), "conflict"))
-    errors = review.gate_errors(_documents(t), review.verified(m, m.where("confidence >= 0.9")), _props(t))
+    m = pinned(fields(t).select("document_id", "path", "value", F.when(F.col("is_conflict"), "conflict").alias("validation_error"), (F.col("confidence") >= 0.9).alias("verified")))
+    errors = review.gate_errors(_documents(t), m, _props(t))
     return errors.groupBy("error").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"))
 
 
@@ -215,23 +206,32 @@ def repeated_headers(t) -> DataFrame:
     return elements.joined_tables(x).select("document_id", "table_no", "header", "first_page", "last_page")
 
 
-@query("SELECT p_partkey, 30.0 AS width, 10.0 AS height, 300.0 AS area FROM part")
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS width, p_size % 7 + 1.0 AS height, p_size * (p_size % 7 + 1.0) AS area FROM part")
 def box_geometry(t) -> DataFrame:
-    return t.part.select("p_partkey", (F.col("p_size") * 1.0).alias("x0"), F.lit(5.0).alias("y0"), (F.col("p_size") + 30.0).alias("x1"), F.lit(15.0).alias("y1")).select("p_partkey", elements.box().alias("b")).select("p_partkey", "b.*")
+    x0 = F.col("p_partkey") % 13 * 1.0
+    return t.part.select("p_partkey", x0.alias("x0"), F.lit(5.0).alias("y0"), (x0 + F.col("p_size")).alias("x1"), (F.col("p_size") % 7 + 6.0).alias("y1")).select("p_partkey", elements.box().alias("b")).select("p_partkey", "b.*")
 
 
-@query("""SELECT p_partkey AS document_id, '/brand' AS path, p_brand AS value, 0.5 AS confidence FROM part""")
+@query("""SELECT p_partkey AS document_id, '/brand_' || lower(p_type) AS path, p_brand || ': ' || p_size AS value, 0.5 AS confidence FROM part WHERE p_partkey % 3 <> 1""")
 def rule_extraction(t) -> DataFrame:
-    e = t.part.select(F.col("p_partkey").alias("document_id"), F.lit(0).alias("ordinal"), F.concat(F.lit("Brand: "), "p_brand").alias("text"), F.lit("kv_pair").alias("kind"))
+    text = F.concat(F.lit(" Brand "), "p_type", F.lit(": "), "p_brand", F.lit(": "), F.col("p_size").cast("string"), F.lit(" "))
+    e = t.part.select(F.col("p_partkey").alias("document_id"), F.lit(0).alias("ordinal"), text.alias("text"), F.when(F.col("p_partkey") % 3 == 1, "paragraph").otherwise("kv_pair").alias("kind"))
     return extraction.key_values(e).select("document_id", "path", "value", "confidence")
 
 
-@query("SELECT o_orderkey AS document_id, list_transform(list_sort(list({'k': l_linenumber, 'v': l_returnflag})), lambda x: x.v) AS kinds FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+@query("""WITH p AS (SELECT l_orderkey, string_agg(l_returnflag || ':' || strlen(l_shipmode_), ',' ORDER BY l_linenumber, l_returnflag, strlen(l_shipmode_)) AS kinds, string_agg('/q' || l_linenumber || '=' || CAST(l_quantity AS BIGINT), ',' ORDER BY coalesce(c, -1), l_linenumber, CAST(l_quantity AS BIGINT)) AS fields
+FROM (SELECT *, repeat('x', CAST(l_quantity AS INTEGER)) AS l_shipmode_, CASE WHEN l_linenumber % 3 > 0 THEN l_discount END AS c FROM lineitem) GROUP BY l_orderkey)
+SELECT o_orderkey AS document_id, kinds, fields FROM orders LEFT JOIN p ON l_orderkey = o_orderkey""")
 def document_detail(t) -> DataFrame:
-    d = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("document_id"))
-    p = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_returnflag").alias("kind"), F.lit("x").alias("content"))
-    f = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.lit("/q").alias("path"), F.lit("v").alias("value"), F.lit(0.5).alias("confidence"))
-    return review.document_detail(d, p, f).select("document_id", F.transform("partitions", lambda x: x["kind"]).alias("kinds"))
+    line = t.lineitem.select(F.col("l_orderkey").alias("document_id"), "l_linenumber", "l_returnflag", F.col("l_quantity").cast("int").alias("q"), "l_discount")
+    p = line.select("document_id", F.col("l_linenumber").alias("ordinal"), F.col("l_returnflag").alias("kind"), F.repeat(F.lit("x"), F.col("q")).alias("content"))
+    f = line.select("document_id", F.concat(F.lit("/q"), "l_linenumber").alias("path"), F.col("q").cast("string").alias("value"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_discount")).alias("confidence"))
+    d = review.document_detail(t.orders.select(F.col("o_orderkey").alias("document_id")), p, f)
+    ordered = F.array_sort("fields", lambda a, b: F.when(a["_order"] != b["_order"], F.when(a["_order"] < b["_order"], -1).otherwise(1)).when(a["path"] != b["path"], F.when(a["path"] < b["path"], -1).otherwise(1)).when(a["value"].cast("int") < b["value"].cast("int"), -1).when(a["value"].cast("int") > b["value"].cast("int"), 1).otherwise(0))
+    return d.select(
+        "document_id", F.array_join(F.transform("partitions", lambda x: F.concat_ws(":", x["kind"], x["length"])), ",").alias("kinds"),
+        F.array_join(F.transform(ordered, lambda x: F.concat_ws("=", x["path"], x["value"])), ",").alias("fields"),
+    )
 
 
 @query("SELECT c_custkey AS document_id, '/name' AS path, c_name AS value FROM customer")
@@ -244,23 +244,137 @@ def encrypt_roundtrip(t) -> DataFrame:
 def _longest_word(batches):
     for pdf in batches:
         out = pdf[["doc_id"]].copy()
-        out["path"], out["value"] = "/longest", [max((t or "").split(), key=lambda w: (len(w), w), default="") for t in pdf["text"]]
+        out["path"], out["value"] = "/longest", [max(filter(None, re.split("[ \t-\r]+", t or "")), key=lambda w: (len(w), w), default="") for t in pdf["text"]]
         yield out
 
 
-@query()
+_LONGEST = "coalesce(list_sort(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: {'n': length(x), 'w': x}), 'DESC')[1].w, '')"
+
+
+@query(f"SELECT doc_id, '/longest' AS path, {_LONGEST} AS value FROM documents")
 def extract_with(t) -> DataFrame:
     return extraction.extract_with(t.documents.select("doc_id", "text"), _longest_word, "doc_id long, path string, value string")
 
 
-@query("SELECT l_orderkey AS document_id, path FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN (VALUES (1, '/a'), (2, '/b')) x(n, path) ON x.n = l_linenumber")
+@query("""WITH p AS (SELECT l_orderkey AS d, l_linenumber AS n, max(l_linestatus) AS kind FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2), f AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS n FROM lineitem)
+SELECT f.d AS document_id, '/f' || f.n AS path, kind, CASE WHEN kind IS NOT NULL THEN f.n % 3 ELSE -1 END AS page, kind IS NOT NULL AS partition_known FROM f LEFT JOIN p USING (d, n)""")
 def provenance(t) -> DataFrame:
-    f = t.lineitem.select(F.col("l_orderkey").alias("document_id"), "l_linenumber").distinct()
-    names = t.spark.createDataFrame([(1, "/a"), (2, "/b")], "l_linenumber int, path string")
-    return f.join(F.broadcast(names), "l_linenumber").select("document_id", "path")
+    line = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("partition_id"), "l_linestatus", "l_returnflag")
+    f = line.select("document_id", F.col("partition_id").alias("source_partition_id"), F.concat(F.lit("/f"), "partition_id").alias("path"), F.lit("v").alias("value")).distinct()
+    p = line.where("l_returnflag <> 'N'").groupBy("document_id", "partition_id").agg(F.max("l_linestatus").alias("kind")).select("*", (F.col("partition_id") % 3).alias("page"), F.lit(None).cast("string").alias("bbox"))
+    return review.provenance(f, p).select("document_id", "path", "kind", F.coalesce("page", F.lit(-1)).alias("page"), "partition_known")
+
+
+_STATES = ["uploading", "uploaded", "extracting", "committed", "failed"]
+_OF_EVENT = dict(zip(["signup", "view", "click", "purchase", "error"], _STATES))
+
+
+def _changes(t) -> DataFrame:
+    state = F.element_at(F.create_map(*(F.lit(x) for kv in _OF_EVENT.items() for x in kv)), F.col("event_type"))
+    return t.events.select(F.col("user_id").alias("document_id"), state.alias("state"), F.col("event_id").alias("ts"))
+
 
+_CHANGES = f"c AS (SELECT user_id AS document_id, event_id AS ts, list_position({list(_OF_EVENT)}, event_type) AS place, {_STATES}[list_position({list(_OF_EVENT)}, event_type)] AS state FROM events)"
 
-@query("SELECT user_id AS document_id, count(*) AS changes FROM events GROUP BY user_id")
+
+@query(f"""WITH {_CHANGES}, b AS (SELECT *, lag(place) OVER (PARTITION BY document_id ORDER BY ts, state) AS before FROM c)
+SELECT document_id, arg_max(state, ts) AS state, count(*) FILTER (WHERE place < before AND state <> 'failed') AS bad FROM b GROUP BY document_id""")
 def state_changes(t) -> DataFrame:
-    w = Window.partitionBy("user_id")
-    return t.events.select(F.col("user_id").alias("document_id"), F.count("*").over(w).alias("changes")).distinct()
+    c = _changes(t)
+    bad = review.bad_transitions(c, _STATES).groupBy("document_id").agg(F.count("*").alias("bad"))
+    return review.latest_state(c).join(bad, "document_id", "left").select("document_id", "state", F.coalesce("bad", F.lit(0)).alias("bad"))
+
+
+@query(f"""WITH {MERGED}, c AS (SELECT l_orderkey AS document_id, '/quantity' AS path, CAST(l_linenumber AS VARCHAR) AS new_value, l_linenumber AS place FROM lineitem WHERE l_returnflag = 'R')
+SELECT m.document_id, m.path, row_number() OVER w AS step, coalesce(lag(new_value) OVER w, m.value) AS old_value, new_value FROM c JOIN m USING (document_id, path) WINDOW w AS (PARTITION BY m.document_id, m.path ORDER BY place, new_value)""")
+def correction_log(t) -> DataFrame:
+    c = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("document_id"), F.lit("/quantity").alias("path"), F.col("l_linenumber").cast("string").alias("new_value"), F.lit("someone").alias("corrected_by"), F.col("l_linenumber").alias("corrected_at"))
+    return review.correction_log(fields(t), c).select("document_id", "path", "step", "old_value", "new_value")
+
+
+@query(f"""WITH {MERGED}, c AS (SELECT DISTINCT l_orderkey AS document_id, '/returnflag' AS path FROM lineitem WHERE l_linenumber = 1)
+SELECT m.document_id, m.path, CASE WHEN c.path IS NOT NULL THEN 'Q' ELSE m.value END AS value, CASE WHEN c.path IS NOT NULL THEN 'enum' WHEN m.is_conflict THEN 'conflict' END AS validation_error FROM m LEFT JOIN c USING (document_id, path)""")
+def correction_revalidated(t) -> DataFrame:
+    c = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("document_id"), F.lit("/returnflag").alias("path"), F.lit("Q").alias("new_value"), F.lit("someone").alias("corrected_by"), F.lit(1).alias("corrected_at"))
+    f = fields(t).select("document_id", "path", "value", F.when(F.col("is_conflict"), "conflict").alias("validation_error"), F.lit("line").alias("schema_name"), F.lit(1).cast("long").alias("schema_version"))
+    return review.corrected(f, c, _props(t)).select("document_id", "path", "value", "validation_error")
+
+
+@query(f"WITH {MERGED} SELECT m.document_id, m.path, m.path = '/quantity' AND o_orderstatus = 'F' AS verified FROM m JOIN orders ON o_orderkey = m.document_id UNION ALL SELECT document_id, path, false FROM m WHERE document_id NOT IN (SELECT o_orderkey FROM orders)")
+def verification_marks(t) -> DataFrame:
+    marks = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document_id"), F.lit("/quantity").alias("path"))
+    return review.verified(fields(t), marks).select("document_id", "path", "verified")
+
+
+_NESTED = """{"properties":{"brand":{"type":"string","pattern":"^Brand#[1-3]"},"comment":{"type":"string"},"note":{"type":["string","null"],"minLength":6},"extra":{"type":"object"},
+"size":{"type":"object","required":["value","unit"],"additionalProperties":false,"properties":{"value":{"type":"integer","maximum":40},"unit":{"enum":["cm","in"]},"deep":{"properties":{"price":{"type":"number","minimum":1000}}}}}},"required":["brand","size"]}"""
+
+
+def _nested(t, keep: str = "true") -> DataFrame:
+    """Fields of parts on nested paths; ``keep`` drops some."""
+    some = lambda p, v: F.struct(F.lit(p).alias("path"), v.cast("string").alias("value"))
+    n = F.col("p_size")
+    f = F.array(
+        some("/brand", F.col("p_brand")), some("/size/value", n), some("/size/unit", F.when(n % 3 == 0, "cm").when(n % 3 == 1, "in").otherwise("ft")), some("/comment", F.when(n % 5 > 0, F.col("p_type"))), some("/note", F.when(n % 5 > 0, F.col("p_type"))),
+        some("/extra/any/thing", n), some("/size/deep/price", F.col("p_retailprice")), some("/size/loose", n), some("/loose", n),
+    )
+    return t.part.select(F.col("p_partkey").alias("document_id"), "p_size", F.lit("part").alias("schema_name"), F.lit(1).cast("long").alias("schema_version"), F.explode(f).alias("f")).select("document_id", "p_size", "schema_name", "schema_version", "f.*").where(keep).drop("p_size")
+
+
+def _nested_props(t) -> DataFrame:
+    return schemas.properties(t.spark.createDataFrame([("part", 1, _NESTED)], "name string, version long, body string"))
+
+
+@query("""SELECT p_partkey AS document_id, '/brand' AS path, 'pattern' AS keyword FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-3]') UNION ALL SELECT p_partkey, '/size/value', 'maximum' FROM part WHERE p_size > 40
+UNION ALL SELECT p_partkey, '/size/unit', 'enum' FROM part WHERE p_size % 3 = 2 UNION ALL SELECT p_partkey, '/comment', 'type' FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_partkey, '/note', 'minLength' FROM part WHERE p_size % 5 > 0 AND length(p_type) < 6
+UNION ALL SELECT p_partkey, '/size/deep/price', 'minimum' FROM part WHERE p_retailprice < 1000 UNION ALL SELECT p_partkey, x, 'additionalProperties' FROM part, (VALUES ('/size/loose'), ('/loose')) v(x)""")
+def nested_validation(t) -> DataFrame:
+    return schemas.field_errors(_nested(t), _nested_props(t)).select("document_id", "path", "keyword")
+
+
+@query("""SELECT p_partkey AS document_id, x AS path FROM part, (VALUES ('/brand'), ('/size'), ('/size/value'), ('/size/unit')) v(x)
+WHERE CASE x WHEN '/brand' THEN p_size % 4 = 0 WHEN '/size' THEN p_size % 6 = 0 WHEN '/size/value' THEN p_size % 6 <> 0 AND p_size % 7 = 0 ELSE false END""")
+def nested_required(t) -> DataFrame:
+    f = _nested(t, "not (path = '/brand' and p_size % 4 = 0) and not (path like '/size%' and p_size % 6 = 0) and not (path = '/size/value' and p_size % 7 = 0)")
+    d = t.part.select(F.col("p_partkey").alias("document_id"), F.lit("part").alias("schema_name"), F.lit(1).cast("long").alias("schema_version"))
+    return schemas.missing_required(d, f, _nested_props(t))
+
+
+@query("SELECT 'n' || p_brand AS name, p_partkey AS version, '/a/b' AS path FROM part WHERE p_size > 25 UNION ALL SELECT 'n' || p_brand, p_partkey, '/c' FROM part WHERE p_size % 2 = 0")
+def malformed_schemas(t) -> DataFrame:
+    body = F.format_string('{"properties":{"a":{"properties":{"b":{"minimum":%d,"maximum":25}}},"c":{"type":"%s"}}}', F.col("p_size").cast("int"), F.when(F.col("p_size") % 2 == 0, "text").otherwise("string"))
+    s = t.part.select(F.concat(F.lit("n"), "p_brand").alias("name"), F.col("p_partkey").alias("version"), body.alias("body"))
+    return schemas.malformed(schemas.properties(s)).select("name", "version", "path")
+
+
+@query("SELECT p_partkey AS document_id, '/a' AS path FROM part WHERE p_size % 3 = 0")
+def path_collisions(t) -> DataFrame:
+    some = lambda p, on=None: F.when(F.lit(True) if on is None else on, F.lit(p))
+    paths = F.array_compact(F.array(some("/a"), some("/a/b/c", F.col("p_size") % 3 == 0), some("/ab"), some("/x/y")))
+    return review.path_collisions(t.part.select(F.col("p_partkey").alias("document_id"), F.explode(paths).alias("path")), ["document_id"])
+
+
+@query("""SELECT s_suppkey AS document_id, '{"_metadata":{"document_id":' || s_suppkey || ',"schema_name":"s","schema_version":1},"data":{"a":{"b":{"c":{"d":{"e":{"f":"' || s_name || '"},"g":null}}}},"k":"' || s_nationkey || '"}}' AS line FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")
+def export_selected(t) -> DataFrame:
+    """Deep paths, and only the documents that are asked for."""
+    docs = t.supplier.select(F.col("s_suppkey").alias("document_id"), F.lit("s").alias("schema_name"), F.lit(1).alias("schema_version"), F.lit("committed").alias("state"))
+    f = t.supplier.select(F.col("s_suppkey").alias("document_id"), F.explode(F.create_map(F.lit("/a/b/c/d/e/f"), F.col("s_name"), F.lit("/a/b/c/d/g"), F.lit(None).cast("string"), F.lit("/k"), F.col("s_nationkey").cast("string"))).alias("path", "value"))
+    only = t.supplier.join(F.broadcast(t.nation.where("n_regionkey = 1")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("document_id"))
+    return review.exported(docs, f, only)
+
+
+@query("""SELECT CASE WHEN n_chars % 5 = 0 THEN 'failed' ELSE 'success' END AS status, count(*) AS documents, CAST(sum(n_chars // 4) AS BIGINT) AS tokens_in, CAST(sum(n_chars // 100) AS BIGINT) AS tokens_out, round(sum((n_chars // 4) * 3e-6 + (n_chars // 100) * 15e-6), 6) AS cost FROM documents GROUP BY 1""")
+def extraction_status(t) -> DataFrame:
+    return extraction.status_counts(t.documents.select(F.when(F.col("n_chars") % 5 == 0, "failed").otherwise("success").alias("status"), F.floor(F.col("n_chars") / 4).alias("tokens_in"), F.floor(F.col("n_chars") / 100).alias("tokens_out")))
+
+
+def _with_start(batches):
+    for pdf in batches:
+        yield pdf[["request_id", "start_s"]]
+
+
+@query(f"""WITH {REQUESTS}, c AS (SELECT *, sum(1) OVER (ORDER BY request_id) AS cr, sum(tokens) OVER (ORDER BY request_id) AS ct FROM q WHERE tokens <= 2000)
+SELECT request_id, round(greatest(0.0, (cr - 50) / (50 / 60.0), (ct - 2000) / (2000 / 60.0)), 6) AS start_s FROM c""")
+def paced_extraction(t) -> DataFrame:
+    out, _ = extraction.paced(requests(t), _with_start, "request_id long, start_s double", ["request_id"], 50, 2000)
+    return out.withColumn("start_s", F.round("start_s", 6))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.prefix import pinned
 from recordloom.operators import layout, quality, tables
 from recordloom.plans.mapping import BRONZE, MERGED, bronze, fields
 from recordloom.plans.registry import query
+from recordloom.session import scratch
+from recordloom.sources import io
 
 
 @query(f"WITH {BRONZE} SELECT * FROM b")
 def bronze_ingest(t) -> DataFrame:
-    return bronze(t)
+    return bronze(t).where("ingest_timestamp = timestamp'2024-01-31 00:00:00'").drop("ingest_timestamp")
 
 
 @query(f"WITH {BRONZE} SELECT content_hash, min(CAST(document_id AS BIGINT)) AS document_id, count(*) AS copies FROM b GROUP BY content_hash")
@@ -152,19 +156,62 @@ def skew_bins(t) -> DataFrame:
     return layout.by_weight(sized, "size_bytes", "doc_id", ["doc_id"], 16).select("doc_id", "bin")
 
 
-@query()
+@query("""WITH p AS (SELECT source, count(*) AS n, sum(n_chars) AS bytes FROM documents GROUP BY source), g AS (SELECT count(*) AS partitions, list_sort(list(n)) AS l, min(n) AS least, max(n) AS most, max(bytes) AS most_bytes FROM p)
+SELECT partitions, most / l[CAST(floor(partitions / 2) AS BIGINT) + 1] AS skew_ratio, least, most, CAST(most_bytes AS BIGINT) AS most_bytes FROM g""")
 def skew_report(t) -> DataFrame:
-    return layout.skew(layout.by_salt(t.documents, "n_chars", "doc_id"), "n_chars")
+    return layout.skew(t.documents, "n_chars", by="source")
+
+
+@query("SELECT count(*) AS n_rows, true AS even FROM documents")
+def salted_layout(t) -> DataFrame:
+    """Rows dealt by weight: no partition is left empty while another holds more than four times its share."""
+    sized = layout.by_salt(t.documents.select("doc_id", F.lit(1).alias("n_chars")), "n_chars", "doc_id")
+    return layout.skew(sized, "n_chars").join(t.documents.agg(F.count("*").alias("n_rows")), F.lit(True)).select("n_rows", (F.col("most") <= 4 * F.col("n_rows") / F.col("partitions") + 4).alias("even"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem")
+@query("""SELECT count(*) AS n_rows, 0 AS out_of_order, 0 AS overlapping, true AS prunes FROM lineitem""")
 def zorder_layout(t) -> DataFrame:
-    return layout.z_ordered(t.lineitem, ["l_partkey", "l_suppkey"], 8).select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    """The layout, checked on itself: rows below the one before in their file's order, files whose ranges of the curve overlap, and whether both columns' spans in a file are well below the whole's."""
+    z = pinned(layout.z_ordered(t.lineitem.select("l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"], 8).select("l_partkey", "l_suppkey", "_z", F.spark_partition_id().alias("file"), F.monotonically_increasing_id().alias("at")))
+    inside = z.withColumn("before", F.lag("_z").over(Window.partitionBy("file").orderBy("at"))).agg(F.count("*").alias("n_rows"), F.count_if(F.col("_z") < F.col("before")).cast("int").alias("out_of_order"))
+    span = lambda c: F.max(c) - F.min(c)
+    files = z.groupBy("file").agg(F.min("_z").alias("low"), F.max("_z").alias("high"), *(span(c).alias(c) for c in ("l_partkey", "l_suppkey")))
+    overlap = files.withColumn("before", F.lag("high").over(Window.orderBy("file"))).agg(F.count_if(F.col("low") < F.col("before")).cast("int").alias("overlapping"), *(F.avg(c).alias(f"_{c}") for c in ("l_partkey", "l_suppkey")))  # a row for each file
+    whole = z.agg(*(span(c).alias(c) for c in ("l_partkey", "l_suppkey")))
+    return inside.join(overlap, F.lit(True)).join(whole, F.lit(True)).select("n_rows", "out_of_order", "overlapping", ((F.col("_l_partkey") < 0.75 * F.col("l_partkey")) & (F.col("_l_suppkey") < 0.75 * F.col("l_suppkey"))).alias("prunes"))
 
 
-@query("SELECT count(*) AS n_rows FROM lineitem")
+@query("SELECT 8 AS n_files, count(*) AS n_rows FROM lineitem")
 def table_detail(t) -> DataFrame:
-    return tables.file_detail(t.lineitem).select("n_rows")
+    folder = f"{scratch(t.spark)}/detail/{uuid.uuid4().hex}"
+    t.lineitem.repartition(8).write.parquet(folder)
+    return tables.file_detail(t.spark.read.parquet(folder))
+
+
+@query("""WITH a AS (SELECT sha256(lang) AS cache_key, CASE WHEN lang = 'de' THEN NULL ELSE lang END AS answer FROM (SELECT DISTINCT lang FROM documents WHERE lang IN ('en', 'de'))),
+n AS (SELECT sha256(lang) AS cache_key, min(source) AS answer FROM documents WHERE n_chars % 2 = 0 GROUP BY lang)
+SELECT cache_key, answer FROM a WHERE answer IS NOT NULL UNION ALL SELECT * FROM n WHERE cache_key NOT IN (SELECT cache_key FROM a WHERE answer IS NOT NULL)""")
+def cache_insert(t) -> DataFrame:
+    key = F.sha2("lang", 256).alias("cache_key")
+    old = t.documents.where("lang in ('en', 'de')").select(key, F.when(F.col("lang") != "de", F.col("lang")).alias("answer")).distinct()
+    return tables.cache_after(old, t.documents.select(key, F.when(F.col("n_chars") % 2 == 0, F.col("source")).alias("answer")))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 3 = 1 THEN 'content_mismatch' END AS reason FROM documents")
+def upload_first_bytes(t) -> DataFrame:
+    pdf = F.encode(F.concat(F.lit("%PDF-1.7 "), F.coalesce("lang", F.lit(""))), "UTF-8")
+    u = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("doc_id") % 3 == 0, "application/pdf").otherwise("text/plain").alias("mime"), F.lit(10).cast("long").alias("size_bytes"), F.when(F.col("doc_id") % 3 == 2, F.encode("lang", "UTF-8")).otherwise(pdf).alias("content"))
+    return quality.admission(u).select("document_id", "reason")
+
+
+@query("SELECT p_brand AS layer_brand, p_partkey, p_size FROM part WHERE p_size > 20")
+def layer_scan(t) -> DataFrame:
+    """A bronze layer written by date and read for one of its dates."""
+    base = f"{scratch(t.spark)}/layers/{uuid.uuid4().hex}"
+    dated = t.part.select("p_brand", "p_partkey", "p_size", F.when(F.col("p_size") > 20, "2024-01-02").otherwise("2024-01-01").alias("ingest_date"))
+    for day in ("2024-01-01", "2024-01-02"):
+        io.write_layer(dated.where(F.col("ingest_date") == day), base, "bronze")
+    return io.read_layer(t.spark, base, "bronze", "2024-01-02").select(F.col("p_brand").alias("layer_brand"), "p_partkey", "p_size")
 
 
 @query(f"WITH {MERGED} SELECT (SELECT count(*) FROM documents) AS bronze_count, (SELECT count(*) FROM m) AS fields_extracted, (SELECT count(DISTINCT document_id) FROM m) AS gold_count")
