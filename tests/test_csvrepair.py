@@ -3,7 +3,7 @@ import pytest
 from recordloom.operators import csvrepair
 
 TEXTS = {
-    "semicolon": "name;age;city;country\nAlice;30;New York;USA\nBob;25;London;UK\nEve;35;Paris;France\n",
+    "semicolon": "ship;hull;port;flag\nHeron;steel;Cork;IE\nTern;wood;Vigo;ES\nSkua;steel;Brest;FR\n",
     "tab": "name\tage\tcity\tsalary\nAnn\t30\tRome\t$75,000\nBob\t25\tOslo\t£45,000\nEve\t35\tBonn\t€55,000\n",
     "repeated": "name,amount,date,amount,notes,\nAnn,1,2024-01-15,3,x,\nBob,4,2024-01-16,5,y,\nEve,6,2024-01-17,7,z,\n",
     "newlines": 'name,address,notes\nAnn,"1 High St\nTown","says ""hi"""\nBob,"2 Low St\nCity",ok\nEve,"3 Mid St\nPlace",fine\n',
@@ -29,7 +29,7 @@ def types(parts, doc):
 
 
 def test_second_row_of_text_joins_the_header(parts):
-    assert names(parts, "semicolon") == ["name Alice", "age 30", "city New York", "country USA"]
+    assert names(parts, "semicolon") == ["ship Heron", "hull steel", "port Cork", "flag IE"]
 
 
 def test_types(parts):

@@ -3,8 +3,12 @@ import json
 from pyspark.sql import functions as F
 
 from recordloom.operators import budget, elements, extraction, measure, review, schemas
+from recordloom.streaming import events
 
-BODY = '{"properties":{"name":{"type":"string"},"age":{"type":"integer"},"email":{"type":"string","format":"email"},"active":{"type":"boolean"}},"required":["name","age"],"additionalProperties":false}'
+BODY = (
+    '{"properties":{"plate":{"type":"string","pattern":"^[A-Z]{2}-"},"axles":{"type":"integer","minimum":2},"painted":{"type":["boolean","null"]},"owner":{"type":"object","required":["title"],"additionalProperties":false,'
+    '"properties":{"title":{"type":"string"},"since":{"type":"integer"}}},"tags":{"type":"object"}},"required":["plate","axles"],"additionalProperties":false}'
+)
 
 
 def props(spark):
@@ -18,10 +22,24 @@ def fields(spark, items):
 def test_validation(spark):
     p = props(spark)
     errors = lambda items: sorted((r.path, r.keyword) for r in schemas.field_errors(fields(spark, items), p).collect())
-    assert errors({"/name": "Alice", "/age": "30", "/email": "a@b.com", "/active": "true"}) == []
-    assert errors({"/name": "Alice", "/age": "not a number", "/extra": "x"}) == [("/age", "type"), ("/extra", "additionalProperties")]
+    assert errors({"/plate": "KL-7", "/axles": "3", "/painted": "true", "/owner/title": "x", "/owner/since": "1990"}) == []
+    assert errors({"/plate": "kl-7", "/axles": "three", "/painted": None, "/other": "x"}) == [("/axles", "type"), ("/other", "additionalProperties"), ("/plate", "pattern")]
+    assert errors({"/plate": None, "/axles": "1", "/owner/since": "x", "/owner/age": "4", "/tags/a/b": "free", "/owner": "{}", "/painted": "maybe"}) == [
+        ("/axles", "minimum"), ("/owner/age", "additionalProperties"), ("/owner/since", "type"), ("/painted", "type"), ("/plate", "type"),
+    ]
     docs = spark.createDataFrame([("d", "s", 1)], "document_id string, schema_name string, schema_version long")
-    assert [r.path for r in schemas.missing_required(docs, fields(spark, {"/name": "Alice"}), p).collect()] == ["/age"]
+    missing = lambda items: sorted(r.path for r in schemas.missing_required(docs, fields(spark, items), p).collect())
+    assert missing({"/plate": "KL-7"}) == ["/axles"]
+    assert missing({"/plate": "KL-7", "/axles": "2", "/owner/since": "1"}) == ["/owner/title"]
+    message = schemas.field_errors(fields(spark, {"/zz": "x"}), p).first().message
+    assert message == "Field '/zz' not found in schema"
+
+
+def test_properties_walk_as_deep_as_they_go(spark):
+    deep = '{"properties":{"a":{"properties":{"b":{"properties":{"c":{"properties":{"d":{"type":"integer","minimum":9,"maximum":3}}}}}}}}}'
+    p = schemas.properties(spark.createDataFrame([("s", 1, deep), ("t", 1, '{"properties":{"x":{"type":"text"}}}'), ("u", 1, "{}")], "name string, version long, body string"))
+    assert sorted(r.path for r in p.collect()) == ["/a", "/a/b", "/a/b/c", "/a/b/c/d", "/x"]
+    assert sorted((r.name, r.path) for r in schemas.malformed(p).collect()) == [("s", "/a/b/c/d"), ("t", "/x")]
 
 
 def test_coercion(spark):
@@ -32,12 +50,14 @@ def test_coercion(spark):
 def test_commit_gate(spark):
     docs = spark.createDataFrame([("a", "s", 1, "review"), ("b", "s", 1, "extracting"), ("c", "s", 1, "review")], "document_id string, schema_name string, schema_version long, state string")
     f = spark.createDataFrame(
-        [("a", "/name", "x", False, None), ("a", "/age", "3", True, None), ("b", "/name", "x", True, None), ("b", "/age", "3", True, None), ("c", "/name", "x", True, None), ("c", "/age", "3", True, None)],
+        [("a", "/plate", "KL-1", False, None), ("a", "/axles", "3", True, None), ("b", "/plate", "KL-2", True, None), ("b", "/axles", "3", True, None), ("c", "/plate", "KL-3", True, None), ("c", "/axles", "3", True, None)],
         "document_id string, path string, value string, verified boolean, validation_error string",
     )
     errors = review.gate_errors(docs, f, props(spark))
     assert sorted((r.document_id, r.error) for r in errors.collect()) == [("a", "unverified_required"), ("b", "invalid_state")]
     assert [r.document_id for r in review.committable(docs, errors).collect()] == ["c"]
+    more = f.unionByName(spark.createDataFrame([("c", "/tags", "x", True, "marked"), ("c", "/tags/x/y", "1", True, None)], f.schema))
+    assert sorted((r.path, r.error) for r in review.gate_errors(docs.where("document_id = 'c'"), more.where("document_id = 'c'"), props(spark)).collect()) == [("/tags", "path_collision"), ("/tags", "schema_validation"), ("/tags", "validation_error")]
 
 
 def test_merge_conflicts_and_records(spark):
@@ -62,6 +82,26 @@ def test_nested_export(spark):
     assert lines == [{"_metadata": {"document_id": "a", "schema_name": "s", "schema_version": 1}, "data": {"n": 'q"', "x": {"w": None, "y": {"z": "1"}}}}]
 
 
+def test_selected_and_deep_export(spark):
+    docs = spark.createDataFrame([(k, "s", 1, "committed") for k in "abc"], "document_id string, schema_name string, schema_version int, state string")
+    f = spark.createDataFrame([("a", "/1/2/3/4/5/6/7", "x"), ("a", "/1/2/z", "y"), ("a", "/1", "gives way"), ("b", "/n", "1")], "document_id string, path string, value string")
+    lines = {r.document_id: json.loads(r.line)["data"] for r in review.exported(docs, f, spark.createDataFrame([("a",), ("c",), ("zz",)], "document_id string")).collect()}
+    assert lines == {"a": {"1": {"2": {"3": {"4": {"5": {"6": {"7": "x"}}}}, "z": "y"}}}, "c": {}}
+
+
+def test_lanes(spark):
+    r = spark.range(40).select(F.col("id").alias("i"), F.when(F.col("id") == 7, 400).otherwise(10).alias("tokens"))
+    slots = {x.i: (x.lane, x.start_s) for x in budget.lane_slots(r, "i", ["i"], 4, 8, 1000).collect()}
+    assert 7 not in slots and [x.i for x in budget.lane_oversize(r, "i", 4, 1000).collect()] == [7]
+    assert slots[0] == (0, 0.0) and slots[8] == (0, 30.0) and slots[39] == (3, 30.0 * 6)
+
+
+def test_typed_events(spark):
+    raw = spark.createDataFrame([('{"k": 1, "s": "a"}',), ("{}",), ("nonsense",), ("[1]",), ('{"k": 1',), ('{"k": "x"}',), (None,), ("3",)], "value string")
+    assert sorted(tuple(r) for r in events.typed(raw, "k long, s string").collect() if r.k) == [(1, "a")]
+    assert events.typed(raw, "k long, s string").count() == 2 and events.malformed(raw, "k long, s string").count() == 6
+
+
 def test_budget(spark):
     r = spark.range(1, 121).select(F.col("id").alias("i"), F.lit(10).alias("tokens"), F.lit(0.5).alias("cost"))
     slots = {x.i: x.start_s for x in budget.token_slots(r, ["i"], 60, 1000).collect()}
