@@ -3,7 +3,8 @@
 A page is read into lines (blocks of text) and each line gets a zone from the elements around it: *dropped* (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments), *article* (inside an article element, or main where there is none) or *open* (anything else). Pages are put in the order of host and URL path, in
 which the page with the nearest path stands next to each; the lines of the two are aligned by their longest common subsequence, and what they share is the site's, not the
-page's: it is deleted, in articles too. A page that has an article gives nothing else. Pages with the same lines throughout (copies) say nothing of each other: a run of them counts as one page,
+page's: it is deleted. In an article, where chance and copies repeat lines too, a line goes only if at least half of the host's pages have it too, and a neighbour that shares more than half of the article (another copy of it) is passed over.
+A page that has an article gives nothing else. Pages with the same lines throughout (copies) say nothing of each other: a run of them counts as one page,
 and each is compared with the nearest page of its host before and after that has other lines. A page whose lines would all go keeps them, and pages without lines are passed over.
 
 Pages are dealt by ranges of (host, path), so that a host with a third of all pages is spread like any other; the nearest page with other lines than a range's first (last) page travels to it from the ranges before (after) it, however far, so the
@@ -211,13 +212,11 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def shared_lines(own: list, neighbours: list[list]) -> set[int]:
-    """The places of lines that a neighbour shares."""
-    gone: set[int] = set()
-    for other in neighbours:
-        if other and other != own:
-            gone |= common_subsequence(own, other)
-    return set() if len(gone) == len(own) else gone
+def shared_lines(own: list, neighbours: list[list], article: bool = False) -> set[int]:
+    """The places of the lines that a neighbour shares. A neighbour that shares more than half of an article is another copy of it and doesn't count."""
+    found = [common_subsequence(own, other) for other in neighbours if other and other != own]
+    gone = set().union(*(f for f in found if not article or 2 * len(f) <= len(own)))
+    return set() if len(gone) == len(own) and not article else gone
 
 
 def _sources(pages: DataFrame) -> DataFrame:
@@ -232,16 +231,17 @@ def deletions(src: DataFrame) -> DataFrame:
     """_row, _gone (places of lines): what differencing deletes, for the pages where it deletes something."""
     def hashed(batches):
         for b in batches:
-            own = [[_hash(x) for x in candidate_lines(body)[1]] for body in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(own, pa.list_(pa.int64()))], ["_host", "_path", "_row", "_lines"])
+            read = [candidate_lines(body) for body in b.column(3).to_pylist()]
+            own = [[_hash(x) for x in found] for _, found in read]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([a for a, _ in read], pa.bool_()), pa.array(own, pa.list_(pa.int64()))], ["_host", "_path", "_row", "_article", "_lines"])
 
-    fields = "_host string, _path string, _row long, _lines array<long>"
+    fields = "_host string, _path string, _row long, _article boolean, _lines array<long>"
     order = ["_host", "_path", "_row"]
     light = written(src.where("_host <> ''").select(*order, "_body").mapInArrow(hashed, fields).where("size(_lines) > 0"), "page_lines")
     ranges = light.repartitionByRange(shuffle_partitions(src.sparkSession), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
     ranges = written(ranges, "page_ranges")
     halo = src.sparkSession.createDataFrame(_beside(_ends(ranges, order)), "_to int, _range int, _row long")
-    sent = ranges.join(F.broadcast(halo), ["_range", "_row"]).select(*order, "_lines", F.col("_to").alias("_range"), F.lit(False).alias("_own"))
+    sent = ranges.join(F.broadcast(halo), ["_range", "_row"]).select(*order, "_article", "_lines", F.col("_to").alias("_range"), F.lit(False).alias("_own"))
     both = ranges.withColumn("_own", F.lit(True)).unionByName(sent.dropDuplicates(["_range", "_row"]))
     dealt = both.repartition(shuffle_partitions(src.sparkSession), "_range").sortWithinPartitions("_range", *order)
 
@@ -250,11 +250,12 @@ def deletions(src: DataFrame) -> DataFrame:
 
         def settled(after):
             near = [x[2] for x in (before, after) if x is not None and x[:2] == run[:2]]
-            gone = sorted(shared_lines(run[2], near)) if rows else []
-            return [(row, gone) for row in rows] if gone else []
+            gone = {article: sorted(shared_lines(run[2], near, article)) for article in {a for _, a in rows}}
+            return [(row, run[1], article, len(run[2]), [{"place": i, "line": run[2][i]} for i in gone[article]]) for row, article in rows if gone[article]]
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["_row", "_gone"])
+            names, kinds = ["_row", "_host", "_article", "_n", "_gone"], [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("place", pa.int64()), ("line", pa.int64())]))]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], names)
 
         for b in batches:
             found = []
@@ -265,12 +266,23 @@ def deletions(src: DataFrame) -> DataFrame:
                         found += settled(page)
                     before, run, rows = run, page, []
                 if x["_own"]:
-                    rows.append(x["_row"])
+                    rows.append((x["_row"], x["_article"]))
             yield out(found)
         if run is not None:
             yield out(settled(None))
 
-    return dealt.mapInArrow(compared, "_row long, _gone array<long>").groupBy("_row").agg(F.first("_gone").alias("_gone"))
+    shared = dealt.mapInArrow(compared, "_row long, _host string, _article boolean, _n long, _gone array<struct<place:long,line:long>>")
+    shared = written(shared.groupBy("_row").agg(F.first(F.struct("_host", "_article", "_n", "_gone")).alias("s")).select("_row", "s.*"), "shared_lines")
+    line = shared.where("_article").select("_row", "_host", "_n", F.explode("_gone").alias("g")).select("_row", "_host", "_n", "g.place", "g.line")
+    kept = line.join(_site_lines(light, line.select("_host", "line").distinct()), ["_host", "line"], "left_semi").groupBy("_row", "_n").agg(F.sort_array(F.collect_list("place")).alias("_gone")).where("size(_gone) < _n").select("_row", "_gone")
+    return shared.where("not _article").select("_row", F.transform("_gone", lambda g: g["place"]).alias("_gone")).unionByName(kept)
+
+
+def _site_lines(light: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of the lines (_host, line) that are asked for, those of the site: on at least half of its pages with lines, and on three (copies count as one page)."""
+    pages = light.join(asked.select("_host").distinct(), "_host", "left_semi").groupBy("_host", F.xxhash64("_lines").alias("_sig")).agg(F.first("_lines").alias("_lines"))
+    on = pages.select("_host", F.explode(F.array_distinct("_lines")).alias("line")).join(asked, ["_host", "line"], "left_semi").groupBy("_host", "line").agg(F.count("*").alias("_on"))
+    return on.join(pages.groupBy("_host").agg(F.count("*").alias("_pages")), "_host").where("_on >= 3 and 2 * _on >= _pages").select("_host", "line")
 
 
 def _ends(ranges: DataFrame, order: list[str]) -> list[tuple]:

@@ -22,6 +22,67 @@ def test_articles_copies_and_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", kept)
 
 
+def test_articles_keep_lines_that_other_articles_repeat(spark):
+    """Lines that some articles of a host share by chance, and near copies, stay; the site's own lines go, whatever their elements are called."""
+    article = lambda *ps: "<html><body><div class=x1>Site</div><article>" + "".join(f"<p>{p}</p>" for p in ps) + "<p>Follow us</p></article></body></html>"
+    pages = [(k, f"http://a/x/{k:02}", article("common" if k % 4 == 0 or k == 5 else f"other {k}", f"own {k}", f"more {k}")) for k in range(12)]
+    pages += [(20 + k, f"http://b/{k}", article("one", "two", "three", f"four {k}")) for k in range(3)]
+    pages += [(30 + k, f"http://c/{k}", article("alike", f"own {k}")) for k in range(2)]
+    out = {r.page_id: r.text.split("\n\n") for r in pagediff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == ["common" if k % 4 == 0 or k == 5 else f"other {k}", f"own {k}", f"more {k}"] for k in range(12))
+    assert all(out[20 + k] == ["one", "two", "three", f"four {k}", "Follow us"] for k in range(3))
+    assert all(out[30 + k] == ["alike", f"own {k}", "Follow us"] for k in range(2))
+
+
+def _brute(pages):
+    """Texts by definition: all pages of a host in order, each against the nearest page of other lines on both sides; longest common subsequences by the full table."""
+    from urllib.parse import urlsplit
+
+    def common(a, b):
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+        return n[0][0]
+
+    read = {i: pagediff.candidate_lines(h) for i, _, h in pages}
+    hosts, out = {}, {}
+    for i, url, _ in pages:
+        u = urlsplit(url)
+        hosts.setdefault(u.netloc, []).append((u.path, read[i][1], i))
+    for own in hosts.values():
+        own = [x for x in own if x[1]]
+        texts = {tuple(x[1]) for x in own}
+        for path, lines, i in own:
+            best = set()
+            for order in (sorted(p for p in own if p[0] < path)[::-1], sorted(p for p in own if p[0] > path)):
+                other = next((p[1] for p in order if p[1] != lines), None)
+                if other:
+                    f = pagediff.common_subsequence(lines, other)
+                    assert len(f) == common(lines, other)
+                    if not read[i][0] or 2 * len(f) <= len(lines):
+                        best |= {k for k in f if not read[i][0] or (c := sum(lines[k] in t for t in texts)) >= 3 and 2 * c >= len(texts)}
+            out[i] = lines if len(best) == len(lines) else [x for k, x in enumerate(lines) if k not in best]
+    return out
+
+
+def test_against_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    pages = []
+    for k in range(300):
+        host = r.choice(["a", "a", "a", "b", "c", f"d{k}"])
+        body = "".join(f"<p>{r.choice('pqrstuv') if r.random() < 0.5 else k}</p>" for _ in range(r.randint(1, 6)))
+        shell = "<div>Site {0}</div><div>Links</div>{1}<div>Bottom</div>".format(host, f"<article>{body}<p>Share</p></article>" if host in "ab" and r.random() < 0.6 else body)
+        pages.append((k, f"http://{host}/{k:04}", f"<html><body>{shell}</body></html>"))
+    out = {x.page_id: x.text for x in pagediff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = _brute(pages)
+    assert {k: out[k] for k in want} == {k: "\n\n".join(v) for k, v in want.items()}
+    plain = {i: "\n\n".join(pagediff.candidate_lines(h)[1]) for i, _, h in pages}
+    assert sum(out[k] != plain[k] for k in out) > 100  # differencing decides
+
+
 def test_beside_looks_past_ranges_of_copies():
     page = lambda host, sig, row: (host, sig, row)
     a, b, c, d = page("h", 1, 10), page("h", 2, 20), page("h", 2, 30), page("h", 3, 40)
