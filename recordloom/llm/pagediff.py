@@ -10,7 +10,7 @@ and each is compared with the nearest page of its host before and after that has
 Pages are dealt by ranges of (host, path), so that a host with a third of all pages is spread like any other; the nearest page with other lines than a range's first (last) page travels to it from the ranges before (after) it, however far, so the
 result doesn't depend on where ranges end. Only hashes of lines travel; texts are read again from the pages.
 
-Results: null html gives an empty text, null or hostless URLs have no neighbours. Repeated rows get a row each. Other columns are not read.
+Results: null html gives an empty text; very long pages are read whole, and aligned in time that grows with the product of their lines over 64 at worst and space that grows with the lines; null or hostless URLs have no neighbours. Repeated rows get a row each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import re
 from bisect import bisect_left
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,8 +180,42 @@ def candidate_lines(html: str) -> tuple[bool, list[str]]:
     return False, [t for _, t in found]
 
 
+#: Pairs of equal lines, for each line, up to which they are gone through one by one.
+PAIRS_A_LINE = 32
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The lengths of longest common subsequences of ``a`` and each beginning of ``b``, by words of bits: a line of ``a`` is one step for all places of ``b``."""
+    at: dict = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    whole = row = (1 << len(b)) - 1
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & whole
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _by_halves(a: list, b: list) -> list[int]:
+    """The places in ``a`` of a longest common subsequence, in space that grows with the lines: where ``b`` is best cut for the halves of ``a``, and so on."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        s, e, t, f = todo.pop()
+        if e - s == 0 or f - t == 0:
+            continue
+        if e - s == 1:
+            if a[s] in b[t:f]:
+                out.append(s)
+            continue
+        mid = (s + e) // 2
+        cut = t + int(np.argmax(_lengths(a[s:mid], b[t:f]) + _lengths(a[mid:e][::-1], b[t:f][::-1])[::-1]))
+        todo += [(s, mid, t, cut), (mid, e, cut, f)]
+    return out
+
+
 def common_subsequence(a: list, b: list) -> set[int]:
-    """The places in ``a`` of a longest common subsequence of both (matches from the left, as short runs of places in b)."""
+    """The places in ``a`` of a longest common subsequence of both: by pairs of equal lines if these are few, else by halves (``_by_halves``), so that lines repeated throughout a long page don't multiply."""
     start, end = 0, 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -190,6 +225,9 @@ def common_subsequence(a: list, b: list) -> set[int]:
     places: dict = {}
     for j in range(start, len(b) - end):
         places.setdefault(b[j], []).append(j)
+    own, other = a[start : len(a) - end], b[start : len(b) - end]
+    if sum(len(places.get(x, ())) for x in own) > PAIRS_A_LINE * (len(own) + len(other)):
+        return out | {start + i for i in _by_halves(own, other)}
     tails: list[int] = []
     links: list[tuple] = []
     for i in range(start, len(a) - end):

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_fallback: list[str] = []
+from recordloom.session import scratch
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _fallback:
-            _fallback.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        base = _fallback[0]
-    return f"{base.rstrip('/')}/recordloom/{uuid.uuid4().hex}"
+    """A new folder in the folder that all machines share."""
+    return f"{scratch(spark)}/recordloom/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:

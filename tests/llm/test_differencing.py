@@ -34,6 +34,27 @@ def test_articles_keep_lines_that_other_articles_repeat(spark):
     assert all(out[30 + k] == ["alike", f"own {k}", "Follow us"] for k in range(2))
 
 
+def test_long_pages_of_repeated_lines():
+    import random
+    import time
+
+    r = random.Random(2)
+    for n in (1, 2, 7, 40, 90):
+        a, b = ([r.choice("ab" if n > 7 else "abc") for _ in range(n + k)] for k in (0, r.randint(0, 30)))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        for found in (pagediff._by_halves(a, b), pagediff.common_subsequence(a, b)):
+            assert len(set(found)) == table[-1][-1]
+            at = 0  # what was found is in b, in this order
+            for i in sorted(found):
+                at = b.index(a[i], at) + 1
+    a, b = [r.choice("ab") for _ in range(20_000)], [r.choice("abc") for _ in range(20_000)]
+    began = time.process_time()
+    assert len(pagediff.common_subsequence(a, b)) > 10_000 and time.process_time() - began < 20
+
+
 def _brute(pages):
     """Texts by definition: all pages of a host in order, each against the nearest page of other lines on both sides; longest common subsequences by the full table."""
     from urllib.parse import urlsplit
