@@ -27,8 +27,8 @@ from .files import open_input, write_bytes
 from .shared import shared_folder, shuffle_partitions, written
 
 MAGIC = b"RLVA0001"
-#: Queries of a block; vectors of a file, and of the part of it that is scanned at a time; bits of a cell number; vectors read exactly at a time for a query; pairs of a query and a vector whose upper bounds a task holds.
-BLOCK_QUERIES, FILE_ROWS, SCAN_ROWS, CELL_BITS, READ_ROWS, PAIRS = 1024, 65_536, 4096, 5, 64, 4_000_000
+#: Queries of a block; vectors and components of a file, and vectors of the part of it that is scanned at a time; bits of a cell number; vectors read exactly at a time for a query; pairs of a query and a vector whose upper bounds a task holds.
+BLOCK_QUERIES, FILE_ROWS, FILE_VALUES, SCAN_ROWS, CELL_BITS, READ_ROWS, PAIRS = 1024, 65_536, 1 << 22, 4096, 5, 64, 4_000_000
 
 
 def cells_of(rows: np.ndarray, bits: int = CELL_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,10 +87,9 @@ def write_index(vectors: DataFrame, folder: str, bits: int = CELL_BITS, file_row
     """Write (vec_id, v, dim) to files and return their manifest: path, dim, n."""
 
     def run(batches):
-        held: dict[int, list] = {}
+        held: dict[int, list] = {}  # of each length: arrays of ids and rows
 
-        def closed(dim: int):
-            ids, rows = (np.array(x, np.int64) for x in zip(*held.pop(dim)))
+        def closed(dim: int, ids: np.ndarray, rows: np.ndarray):
             low, width, cells = cells_of(rows, bits)
             size = next(s for s in (1, 2, 4, 8) if -(1 << (8 * s - 1)) <= rows.min() and rows.max() < 1 << (8 * s - 1))
             path = f"{folder}/{uuid.uuid4().hex}"
@@ -99,12 +98,23 @@ def write_index(vectors: DataFrame, folder: str, bits: int = CELL_BITS, file_row
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int64())], ["path", "dim", "n"])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) >= file_rows:
-                    yield closed(len(v))
-        for dim in list(held):
-            yield closed(dim)
+            ids, lists = b.column(0).to_numpy(), b.column(1)
+            values, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sizes = np.diff(starts)
+            for dim in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == dim)
+                held.setdefault(dim, []).append((ids[own], values[starts[own][:, None] + np.arange(dim)]))
+                most = max(1, min(file_rows, FILE_VALUES // dim))
+                if sum(len(i) for i, _ in held[dim]) >= most:
+                    i, r = (np.concatenate(x) for x in zip(*held[dim]))
+                    whole = len(i) // most * most
+                    for k in range(0, whole, most):
+                        yield closed(dim, i[k : k + most], r[k : k + most])
+                    held[dim] = [(i[whole:], r[whole:])]
+        for dim, parts in held.items():
+            i, r = (np.concatenate(x) for x in zip(*parts))
+            if len(i):
+                yield closed(dim, i, r)
 
     return written(vectors.select("vec_id", "v").mapInArrow(run, "path string, dim int, n long"), "manifest")
 
