@@ -41,3 +41,9 @@ def listed(uri: str) -> list[str]:
     found = store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
     scheme = uri.split("://", 1)[0] + "://" if "://" in uri else ""
     return sorted(scheme + f.path for f in found if f.type == fs.FileType.File)
+
+
+def remove(uri: str) -> None:
+    """Delete a folder that nothing will read again."""
+    store, path = _at(uri)
+    store.delete_dir(path)

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fresh, release_shuffles, row_key, text_or_empty, written
+from .files import remove
+from .shared import fresh, release_shuffles, row_key, text_or_empty, written, written_at
 
 FRAGMENTS, ROUNDS, KEYS, HUBS = 4, 2, 3, 48
 #: Classes (16 bytes each) up to which the list of those left is broadcast to the scan of texts; beyond it, the join shuffles.
@@ -143,19 +144,21 @@ def _may_link(percent: int) -> str:
 def class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, n, class) of all documents, and (node, root): the components of linked classes."""
     spark = docs.sparkSession
-    sets = written(_sets(docs, words, percent, False), "prefixes")
-    rows = sets.select("doc_id", "key", "n", "class")
-    one = written(sets.where("n > 0").groupBy("class").agg(F.min("n").alias("n"), F.first("grams").alias("grams"), F.min("doc_id").alias("doc_id")), "classes")
+    sets, sets_at = written_at(_sets(docs, words, percent, False), "prefixes")
+    rows = written(sets.select("doc_id", "key", "n", "class"), "rows")
+    one, one_at = written_at(sets.where("n > 0").groupBy("class").agg(F.min("n").alias("n"), F.first("grams").alias("grams"), F.min("doc_id").alias("doc_id")), "classes")
     grams = one.select("class", "n", F.explode("grams").alias("gram"))
     common = written(_common(grams.select("class", "gram")).select("gram"), "common_prefix_grams")
     left = grams.join(common, "gram").groupBy("class", "n").count().where(f"count >= greatest(1, ceil(n * {percent} / 1000))")
     left = written(left.select("class", "n"), "left")
-    release_shuffles(spark)
     # the texts of the classes left are read again, for their whole sets
-    ids = one.join(left.select("class"), "class", "left_semi").select("doc_id").distinct()
+    ids = written(one.join(left.select("class"), "class", "left_semi").select("doc_id").distinct(), "ids")
     few = left.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    nulls = one.where("doc_id is null").limit(1).count()
+    nulls = ids.where("doc_id is null").limit(1).count()
+    for done in (sets_at, one_at):  # prefixes take most of the room so far, and what follows reads whole sets
+        remove(done)
+    release_shuffles(spark)
     if nulls:  # classes of rows without an id
         texts = texts.unionByName(docs.where("doc_id is null"))
     whole = _sets(texts, words, percent, True).where("n > 0").join(F.broadcast(left.select("class")) if few else left.select("class"), "class", "left_semi")

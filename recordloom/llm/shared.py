@@ -18,9 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    return written_at(df, name, **options)[0]
+
+
+def written_at(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """``written``, and the table's folder, for ``files.remove`` once all that reads it has been written itself."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def release_shuffles(spark: SparkSession) -> None:
