@@ -10,7 +10,7 @@ _local: list[str] = []
 
 
 def session(app: str = "recordloom", **conf: str) -> SparkSession:
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.parquet.filterPushdown": "true"}
+    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.parquet.filterPushdown": "true", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536"}
     b = SparkSession.builder.appName(app)
     for k, v in (base | conf).items():
         b = b.config(k, v)
