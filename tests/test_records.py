@@ -93,7 +93,7 @@ def test_lanes(spark):
     r = spark.range(40).select(F.col("id").alias("i"), F.when(F.col("id") == 7, 400).otherwise(10).alias("tokens"))
     slots = {x.i: (x.lane, x.start_s) for x in budget.lane_slots(r, "i", ["i"], 4, 8, 1000).collect()}
     assert 7 not in slots and [x.i for x in budget.lane_oversize(r, "i", 4, 1000).collect()] == [7]
-    assert slots[0] == (0, 0.0) and slots[8] == (0, 30.0) and slots[39] == (3, 30.0 * 6)
+    assert slots[0] == (0, 0.0) and slots[8] == (0, 30.0) and slots[39] == (3, 30.0 * 7)
 
 
 def test_typed_events(spark):
