@@ -62,10 +62,11 @@ def _fits(value: Column, kind: Column) -> Column:
 
 def first_error(value: Column) -> Column:
     """The first keyword that a value breaks, null if none; columns of ``properties`` stand beside it. A null value has the type null. Bounds hold for numbers, patterns and lengths for strings. Format is not asserted."""
-    number = F.when(F.col("types").isNull() | F.exists("types", lambda k: k.isin("integer", "number")), value.try_cast("double"))
+    number = F.when(F.col("types").isNull() | F.arrays_overlap("types", F.array(F.lit("integer"), F.lit("number"))), value.try_cast("double"))
     text = F.when(F.col("types").isNull() | F.array_contains("types", "string"), value)
+    fits = F.when(F.size("types") == 1, _fits(value, F.get("types", F.lit(0)))).otherwise(F.exists("types", lambda k: _fits(value, k)))  # one type is the rule, and compiled
     return (
-        F.when(F.col("types").isNotNull() & ~F.exists("types", lambda k: _fits(value, k)), "type").when(F.col("enum").isNotNull() & value.isNotNull() & ~F.array_contains("enum", value), "enum")
+        F.when(F.col("types").isNotNull() & ~fits, "type").when(F.col("enum").isNotNull() & value.isNotNull() & ~F.array_contains("enum", value), "enum")
         .when(number < F.col("minimum"), "minimum").when(number > F.col("maximum"), "maximum")
         .when(F.length(text) < F.col("min_length"), "minLength").when(F.length(text) > F.col("max_length"), "maxLength").when(~F.rlike(text, F.col("pattern")), "pattern")
     )
