@@ -88,6 +88,14 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_tables(spark, sf_dir)("documents"), P.path("byte_bpe_50k.json"), P.PATTERN)
 
 
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from .alignment import digests
+
+    return digests(_tables(spark, sf_dir)("documents"), P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model"))
+
+
 _OP3 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
