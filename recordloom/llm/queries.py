@@ -88,6 +88,13 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_tables(spark, sf_dir)("documents"), P.path("byte_bpe_50k.json"), P.PATTERN)
 
 
+def op11_accumulator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import rank
+
+    t = _tables(spark, sf_dir)
+    return rank(t("documents"), t("benchmark"))
+
+
 def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -96,6 +103,12 @@ def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_tables(spark, sf_dir)("documents"), P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model"))
 
 
+def op13_viterbi_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict
+
+    return predict(_tables(spark, sf_dir)("documents"))
+
+
 _OP3 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -168,10 +181,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+a AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, a GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN f USING (term), a GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_va_file": _OP3, "op4_ngram_jaccard": _OP4, "op6_stupid_backoff": _OP6, "op6_stupid_backoff_trigrams": _OP6_TRIGRAMS, "op7_warc": _OP7, "op9_positional_index": _OP9}
+    return {"op3_va_file": _OP3, "op4_ngram_jaccard": _OP4, "op6_stupid_backoff": _OP6, "op6_stupid_backoff_trigrams": _OP6_TRIGRAMS, "op7_warc": _OP7, "op9_positional_index": _OP9, "op11_accumulator_search": _OP11}
