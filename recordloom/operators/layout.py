@@ -44,21 +44,73 @@ def interleaved(*columns: Column, bits: int = 8) -> Column:
     return out
 
 
-def z_ordered(df: DataFrame, columns: list[str], files: int, bits: int = 8) -> DataFrame:
-    """Rows ordered along the curve of the columns' approximate ranks, in ``files`` ranges."""
+#: Rows that boundaries of strings are taken from, and characters of each.
+SAMPLE_ROWS, SAMPLE_CHARS = 20_000, 256
+
+
+def _rankable(df: DataFrame, column: str) -> tuple[Column, bool]:
+    """What ranks a column, and whether it is a string: numbers, dates, times and booleans as doubles, strings as they are, bytes by their hexadecimal digits."""
+    kind, c = dict(df.dtypes)[column], F.col(column)
+    if kind == "date":
+        return F.datediff(c, F.lit("1970-01-01")).cast("double"), False
+    if kind == "boolean":
+        return c.cast("int").cast("double"), False
+    if kind == "binary":
+        return F.hex(F.substring(c, 1, SAMPLE_CHARS // 2)), True
+    if kind == "string" or kind.startswith(("char", "varchar")):
+        return F.substring(c, 1, SAMPLE_CHARS), True
+    return c.cast("double"), False
+
+
+def boundaries(df: DataFrame, columns: list[str], n: int) -> dict[str, list]:
+    """For each column n - 1 values in its own order, between which about equally many rows lie; a value that many rows have stands several times. Numbers by a mergeable sketch of all rows, strings by SAMPLE_ROWS rows drawn from all."""
+    keys = {c: _rankable(df, c) for c in columns}
+    numbers, strings = [c for c in columns if not keys[c][1]], [c for c in columns if keys[c][1]]
+    out: dict[str, list] = {}
+    if numbers:
+        shares = [i / n for i in range(1, n)]
+        out |= df.agg(*(F.percentile_approx(keys[c][0], shares, 1000).alias(c) for c in numbers)).first().asDict()
+    if strings:
+        drawn = df.select(*(keys[c][0].alias(c) for c in strings)).orderBy(F.rand(7)).limit(SAMPLE_ROWS)
+        lists = drawn.agg(*(F.sort_array(F.collect_list(c)).alias(c) for c in strings))  # one row of SAMPLE_ROWS values
+        cut = lambda c: F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(c, F.floor(i * F.size(c) / n).cast("int"))))
+        out |= lists.select(*(cut(c).alias(c) for c in strings)).first().asDict()
+    return {c: out[c] or [] for c in columns}
+
+
+def ranks(df: DataFrame, columns: list[str], bits: int) -> DataFrame:
+    """The rows with _r0, _r1, ... (0 to 2**bits - 1): how many boundaries lie below each column's value, found by binary search; null is 0. A greater value never has a lower rank."""
     n = 1 << bits
-    shares = [i / n for i in range(1, n)]
-    kinds = dict(df.dtypes)
-    as_number = {c: (F.xxhash64(c) if kinds[c] == "string" else F.datediff(F.col(c), F.lit("1970-01-01")) if kinds[c] == "date" else F.col(c)).cast("double") for c in columns}
-    cuts = df.agg(*(F.percentile_approx(as_number[c], shares, 1000).alias(c) for c in columns)).first()  # 2**bits - 1 numbers for each column
-    sorted_cuts = {c: F.expr(f"array({', '.join(f'{x!r}D' for x in map(float, cuts[c] or [0.0] * (n - 1)))})") for c in columns}
-    # a binary search in the cuts, one bit of all ranks at a time: the number of cuts below the value
-    ranked = df.select("*", *(as_number[c].alias(f"_v{i}") for i, c in enumerate(columns)), *(F.lit(0).alias(f"_r{i}") for i in range(len(columns))))
-    for b in range(bits - 1, -1, -1):
+    cuts, keys = boundaries(df, columns, n), [_rankable(df, c) for c in columns]
+    fixed = [F.lit(cuts[c]) if cuts[c] else F.array().cast("array<string>" if keys[i][1] else "array<double>") for i, c in enumerate(columns)]
+    ranked = df.select("*", *(k.alias(f"_v{i}") for i, (k, _) in enumerate(keys)), *(F.lit(0).alias(f"_r{i}") for i in range(len(columns))))
+    for b in range(bits - 1, -1, -1):  # one bit of all ranks at a time
         step = 1 << b
-        ranked = ranked.withColumns({f"_r{i}": F.col(f"_r{i}") + F.when(F.get(sorted_cuts[c], F.col(f"_r{i}") + (step - 1)) < F.col(f"_v{i}"), step).otherwise(0) for i, c in enumerate(columns)})
+        ranked = ranked.withColumns({f"_r{i}": F.col(f"_r{i}") + F.when(F.get(fixed[i], F.col(f"_r{i}") + (step - 1)) < F.col(f"_v{i}"), step).otherwise(0) for i in range(len(columns))})
+    return ranked.drop(*(f"_v{i}" for i in range(len(columns))))
+
+
+def z_ordered(df: DataFrame, columns: list[str], files: int, bits: int = 8) -> DataFrame:
+    """Rows ordered along the curve of the columns' approximate ranks (strings in their own order), in ``files`` ranges. Rows of one place on the curve may be dealt to several ranges, so that a frequent value doesn't fill one."""
     z = interleaved(*(F.col(f"_r{i}") for i in range(len(columns))), bits=bits)
-    return ranked.select(*df.columns, z.alias("_z")).repartitionByRange(files, "_z").sortWithinPartitions("_z")
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    placed = ranks(df, columns, bits).select(*df.columns, z.alias("_z"), F.xxhash64(*plain).alias("_tie"))
+    return placed.repartitionByRange(files, "_z", "_tie").sortWithinPartitions("_z", *columns).drop("_tie")
+
+
+def admitting(table: DataFrame, predicates: dict[str, dict[str, tuple]]) -> DataFrame:
+    """For predicates (column -> least and greatest value, both included) on a table that is read from files: predicate, files, and admitted, those whose values may meet it by their least and greatest alone."""
+    columns = sorted({c for p in predicates.values() for c in p})
+    spans = table.groupBy(F.col("_metadata.file_path").alias("_file")).agg(*(f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("low", F.min), ("high", F.max))))
+
+    def may(p: dict[str, tuple]) -> Column:
+        out = F.lit(True)
+        for c, (least, greatest) in p.items():
+            out = out & (F.col(f"_low_{c}") <= F.lit(greatest)) & (F.col(f"_high_{c}") >= F.lit(least))
+        return out
+
+    counts = spans.agg(F.count("*").alias("files"), *(F.count_if(may(p)).alias(f"_{k}") for k, p in enumerate(predicates.values())))
+    return counts.select("files", F.explode(F.array(*(F.struct(F.lit(name).alias("predicate"), F.col(f"_{k}").alias("admitted")) for k, name in enumerate(predicates)))).alias("_p")).select("_p.predicate", "files", "_p.admitted")
 
 
 def sampled(df: DataFrame, stratum: str, key: str, percent: int) -> DataFrame:

@@ -44,10 +44,19 @@ def properties(schemas: DataFrame, body: str = "body") -> DataFrame:
     return out
 
 
+def compiles(pattern: Column) -> Column:
+    """Whether a pattern is one that ``rlike`` takes; null has none to judge."""
+    return F.when(pattern.isNotNull(), F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull())
+
+
 def malformed(props: DataFrame) -> DataFrame:
-    """Properties whose keywords can't hold: unknown types, crossed bounds, patterns that don't compile are left to their first use."""
+    """Properties whose keywords can't hold, with reasons: unknown types, crossed bounds, and patterns that don't compile (each distinct one is judged once)."""
     unknown = F.exists("types", lambda x: ~x.isin(TYPES))
-    return props.where(unknown | (F.col("minimum") > F.col("maximum")) | (F.col("min_length") > F.col("max_length")))
+    judged_patterns = props.where("pattern is not null").select("pattern").distinct().select(F.col("pattern").alias("_pattern"), compiles(F.col("pattern")).alias("_compiles"))
+    said = F.array_compact(F.array(
+        F.when(unknown, "type"), F.when(F.col("minimum") > F.col("maximum"), "minimum"), F.when(F.col("min_length") > F.col("max_length"), "minLength"), F.when(~F.col("_compiles"), "pattern"),
+    ))
+    return props.join(judged_patterns, F.col("pattern") == F.col("_pattern"), "left").withColumn("reasons", said).where(F.size("reasons") > 0).drop("_pattern", "_compiles")
 
 
 def _fits(value: Column, kind: Column) -> Column:
@@ -61,24 +70,24 @@ def _fits(value: Column, kind: Column) -> Column:
 
 
 def first_error(value: Column) -> Column:
-    """The first keyword that a value breaks, null if none; columns of ``properties`` stand beside it. A null value has the type null. Bounds hold for numbers, patterns and lengths for strings. Format is not asserted."""
+    """The first keyword that a value breaks, null if none; columns of ``properties`` stand beside it, and bad_pattern, whether theirs doesn't compile (pattern is null then). A null value has the type null. Bounds hold for numbers, patterns and lengths for strings. Format is not asserted."""
     number = F.when(F.col("types").isNull() | F.arrays_overlap("types", F.array(F.lit("integer"), F.lit("number"))), value.try_cast("double"))
     text = F.when(F.col("types").isNull() | F.array_contains("types", "string"), value)
     fits = F.when(F.size("types") == 1, _fits(value, F.get("types", F.lit(0)))).otherwise(F.exists("types", lambda k: _fits(value, k)))  # one type is the rule, and compiled
     return (
         F.when(F.col("types").isNotNull() & ~fits, "type").when(F.col("enum").isNotNull() & value.isNotNull() & ~F.array_contains("enum", value), "enum")
         .when(number < F.col("minimum"), "minimum").when(number > F.col("maximum"), "maximum")
-        .when(F.length(text) < F.col("min_length"), "minLength").when(F.length(text) > F.col("max_length"), "maxLength").when(~F.rlike(text, F.col("pattern")), "pattern")
+        .when(F.length(text) < F.col("min_length"), "minLength").when(F.length(text) > F.col("max_length"), "maxLength").when(F.col("bad_pattern") & text.isNotNull(), "malformedPattern").when(~F.rlike(text, F.col("pattern")), "pattern")
     )
 
 
-_CHECKED = ["types", "enum", "minimum", "maximum", "pattern", "min_length", "max_length"]
+_CHECKED = ["types", "enum", "minimum", "maximum", "pattern", "bad_pattern", "min_length", "max_length"]
 
 
 def judged(fields: DataFrame, props: DataFrame) -> DataFrame:
-    """Fields (document_id, schema_name, schema_version, path, value) with keyword: what they break (additionalProperties if there is no such property and the object around it admits no others), null if nothing."""
+    """Fields (document_id, schema_name, schema_version, path, value) with keyword: what they break (additionalProperties if there is no such property and the object around it admits no others; malformedPattern for strings of a property whose pattern doesn't compile), null if nothing."""
     key = ["schema_name", "schema_version"]
-    named = props.withColumnsRenamed({"name": "schema_name", "version": "schema_version"})
+    named = props.withColumnsRenamed({"name": "schema_name", "version": "schema_version"}).withColumn("bad_pattern", F.coalesce(~compiles(F.col("pattern")), F.lit(False))).withColumn("pattern", F.when(~F.col("bad_pattern"), F.col("pattern")))
     known = named.select(*key, "path", *(F.col(c).alias(f"_p_{c}") for c in _CHECKED), F.lit(True).alias("_known"))
     # an unlisted path is for the nearest object around it that is listed (the top is) to admit
     around = named.groupBy(*key).agg(F.collect_set("path").alias("_paths"), F.array_union(F.collect_set(F.when(F.col("open"), F.col("path"))), F.collect_set(F.when(F.col("additional") & (F.col("parent") == ""), F.lit("")))).alias("_open"))

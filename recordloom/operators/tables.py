@@ -25,7 +25,7 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 def new_rows(incoming: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the table lacks."""
-    return incoming.join(table.select(*keys).distinct(), keys, "left_anti")
+    return incoming.join(table.select(*keys), keys, "left_anti")
 
 
 def insert_only(table: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -33,9 +33,23 @@ def insert_only(table: DataFrame, incoming: DataFrame, keys: list[str], order: l
     return table.unionByName(new_rows(first_per_key(incoming, keys, order), table, keys), allowMissingColumns=True)
 
 
-def upsert_when_changed(table: DataFrame, incoming: DataFrame, keys: list[str], stamp: str) -> DataFrame:
+def one_per_key(incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """One incoming row for each key (null keys are one key): the first in ``order``; without an order several rows of a key stop the job and the error names the key, as in a keyed merge."""
+    if order is not None:
+        return first_per_key(incoming, keys, order)
+    rest = [c for c in incoming.columns if c not in keys]
+    named = F.concat_ws(", ", *(F.concat(F.lit(f"{k} = "), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys))
+    row = F.struct(F.lit(True).alias("_has"), *(F.col(c).alias(f"_c_{c}") for c in rest))
+    g = incoming.groupBy(*keys).agg(F.any_value(row).alias("_r"), F.count("*").alias("_n"))
+    g = g.withColumn("_r", F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.concat(F.lit("several incoming rows of one key: "), named))))
+    # the filter keeps the check where no other column is read
+    return g.where(F.col("_r._has")).select(*(F.col(c) if c in keys else F.col(f"_r._c_{c}").alias(c) for c in incoming.columns))
+
+
+def upsert_when_changed(table: DataFrame, incoming: DataFrame, keys: list[str], stamp: str, order: list[Column] | None = None) -> DataFrame:
     """Insert new keys; replace a row if its old stamp is null or differs from the new one (a null new stamp replaces only a null one).
-    Keys are unique in both; columns that one side lacks become null."""
+    Keys are unique in the table; of incoming rows see ``one_per_key``. Columns that one side lacks become null."""
+    incoming = one_per_key(incoming, keys, order)
     columns = list(dict.fromkeys([*table.columns, *incoming.columns]))
     rest = [c for c in columns if c not in keys]
     side = lambda df, s: df.select(*keys, F.lit(True).alias(f"_{s}"), *((F.col(c) if c in df.columns else F.lit(None)).alias(f"_{s}_{c}") for c in rest))
@@ -44,15 +58,17 @@ def upsert_when_changed(table: DataFrame, incoming: DataFrame, keys: list[str],
     return both.select(*keys, *(F.when(replace, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c) for c in rest)).select(*columns)
 
 
-def changes(table: DataFrame, incoming: DataFrame, keys: list[str], stamp: str) -> DataFrame:
+def changes(table: DataFrame, incoming: DataFrame, keys: list[str], stamp: str, order: list[Column] | None = None) -> DataFrame:
     """The incoming rows that ``upsert_when_changed`` would write: what an append-only log of changes gets."""
-    old = table.select(*keys, F.col(stamp).alias("_stamp"), F.lit(True).alias("_old")).join(incoming.select(*keys).distinct(), keys, "left_semi")
+    incoming = one_per_key(incoming, keys, order)
+    old = table.select(*keys, F.col(stamp).alias("_stamp"), F.lit(True).alias("_old")).join(incoming.select(*keys), keys, "left_semi")
     both = incoming.join(old, keys, "left")
     return both.where(F.col("_old").isNull() | F.col("_stamp").isNull() | (F.col("_stamp") != F.col(stamp))).select(*incoming.columns)
 
 
-def upsert_replace(table: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole rows of the incoming keys replace those of the table."""
+def upsert_replace(table: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Whole rows of the incoming keys replace those of the table; of incoming rows see ``one_per_key``."""
+    incoming = one_per_key(incoming, keys, order)
     return table.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 

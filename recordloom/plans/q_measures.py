@@ -101,6 +101,47 @@ def lane_slots(t) -> DataFrame:
     return budget.lane_slots(requests(t), "request_id", ["request_id"], 4).select("request_id", "lane", F.round("start_s", 6).alias("start_s"))
 
 
+_ARRIVALS = f"""{REQUESTS}, arrivals AS (SELECT request_id, tokens, (request_id // 50) * 45.0 + (request_id // 500) * 600.0 + (request_id % 5) * 0.5 AS arrival_s, CAST(tokens % 7 AS DOUBLE) / 4 AS duration_s, CASE WHEN request_id % 3 = 0 THEN tokens // 4 ELSE 0 END AS refund FROM q)"""
+
+
+def _recursive(lanes: int, calls: bool) -> str:
+    """One request after the other of each lane: end of the one before, and the seconds at which the two buckets are full again."""
+    rpm, tpm, duration, refund = 50.0 / lanes, 60000.0 / lanes, "n.duration_s" if calls else "0.0", "n.refund" if calls else "0"
+    start = f"greatest(n.arrival_s, s.done, s.full1 + (1 - {rpm}) / ({rpm} / 60.0), s.full2 + (n.tokens - {tpm}) / ({tpm} / 60.0))"
+    return f"""WITH RECURSIVE {_ARRIVALS}, n AS (SELECT *, request_id % {lanes} AS lane, row_number() OVER (PARTITION BY request_id % {lanes} ORDER BY arrival_s, request_id) AS k FROM arrivals WHERE tokens <= {tpm}),
+s AS (SELECT CAST(0 AS BIGINT) AS k, lane, CAST(NULL AS BIGINT) AS request_id, CAST(0 AS DOUBLE) AS start_s, CAST(0 AS DOUBLE) AS wait_s, CAST(0 AS DOUBLE) AS done, CAST(0 AS DOUBLE) AS full1, CAST(0 AS DOUBLE) AS full2 FROM (SELECT DISTINCT lane FROM n)
+UNION ALL SELECT k, lane, request_id, start_s, start_s - arrival_s, start_s + d, greatest(full1, start_s) + 1 / ({rpm} / 60.0), greatest(greatest(full2, start_s) + (tokens - back) / ({tpm} / 60.0), start_s + d)
+FROM (SELECT n.k, n.lane, n.request_id, n.arrival_s, n.tokens, {duration} AS d, {refund} AS back, s.full1, s.full2, {start} AS start_s FROM s JOIN n ON n.lane = s.lane AND n.k = s.k + 1))
+SELECT request_id, {'lane, ' if lanes > 1 else ''}round(start_s, 6) AS start_s, round(wait_s, 6) AS wait_s FROM s WHERE k > 0"""
+
+
+def _arrivals(t) -> DataFrame:
+    """Bursts of fifty, closer than the limits allow, and a gap of ten minutes after each five hundred."""
+    k = F.col("request_id")
+    arrival = F.floor(k / 50) * 45.0 + F.floor(k / 500) * 600.0 + (k % 5) * 0.5
+    return requests(t).select("request_id", "tokens", arrival.alias("arrival_s"), ((F.col("tokens") % 7).cast("double") / 4).alias("duration_s"), F.when(k % 3 == 0, F.floor(F.col("tokens") / 4)).otherwise(0).alias("refund"))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, F.round("start_s", 6).alias("start_s"), F.round("wait_s", 6).alias("wait_s"))
+
+
+@query(_recursive(1, False))
+def bucket_arrivals(t) -> DataFrame:
+    return _rounded(budget.bucket_slots(_arrivals(t).drop("duration_s", "refund"), ["arrival_s", "request_id"], tpm=60_000), "request_id")
+
+
+@query(_recursive(1, True))
+def bucket_refunds(t) -> DataFrame:
+    """Calls one after the other, whose unused tokens come back when they end."""
+    return _rounded(budget.bucket_slots(_arrivals(t), ["arrival_s", "request_id"], tpm=60_000), "request_id")
+
+
+@query(_recursive(4, True))
+def bucket_lanes(t) -> DataFrame:
+    return _rounded(budget.lane_bucket_slots(_arrivals(t), "request_id", ["arrival_s", "request_id"], 4, tpm=60_000), "request_id", "lane")
+
+
 @query(f"WITH {REQUESTS} SELECT request_id, tokens, cost, coalesce(sum(CAST(round(cost * 1e6) AS BIGINT)) OVER (ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000000 AS admitted FROM q")
 def cost_ceiling(t) -> DataFrame:
     exact = requests(t).withColumn("_cost", F.col("cost")).withColumn("cost", F.round(F.col("cost") * 1e6).cast("long"))

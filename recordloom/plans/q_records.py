@@ -300,7 +300,7 @@ def correction_revalidated(t) -> DataFrame:
     return review.corrected(f, c, _props(t)).select("document_id", "path", "value", "validation_error")
 
 
-@query(f"WITH {MERGED} SELECT m.document_id, m.path, m.path = '/quantity' AND o_orderstatus = 'F' AS verified FROM m JOIN orders ON o_orderkey = m.document_id UNION ALL SELECT document_id, path, false FROM m WHERE document_id NOT IN (SELECT o_orderkey FROM orders)")
+@query(f"WITH {MERGED} SELECT m.document_id, m.path, coalesce(m.path = '/quantity' AND o_orderstatus = 'F', false) AS verified FROM m LEFT JOIN orders ON o_orderkey = m.document_id")
 def verification_marks(t) -> DataFrame:
     marks = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document_id"), F.lit("/quantity").alias("path"))
     return review.verified(fields(t), marks).select("document_id", "path", "verified")
@@ -340,6 +340,19 @@ def nested_required(t) -> DataFrame:
     return schemas.missing_required(d, f, _nested_props(t))
 
 
+@query("""WITH p AS (SELECT p_partkey, p_size, p_type, CASE WHEN p_size % 4 = 0 THEN '(' WHEN p_size % 4 = 1 THEN '[a-' ELSE '^[A-M]' END AS pattern FROM part)
+SELECT p_partkey AS document_id, CASE WHEN p_size % 4 < 2 THEN 'malformedPattern' ELSE 'pattern' END AS keyword, p_size % 4 < 2 AS registered_malformed FROM p WHERE p_size % 4 < 2 OR NOT regexp_matches(p_type, '^[A-M]')""")
+def pattern_validation(t) -> DataFrame:
+    """Many schemas, half of them with patterns that don't compile: these are named at registration, and don't stop the validation of the others."""
+    pattern = F.when(F.col("p_size") % 4 == 0, "(").when(F.col("p_size") % 4 == 1, "[a-").otherwise("^[A-M]")
+    s = t.part.select(F.concat(F.lit("s"), F.col("p_size") % 8).alias("name"), F.lit(1).cast("long").alias("version"), F.to_json(F.struct(F.struct(F.struct(F.lit("string").alias("type"), pattern.alias("pattern")).alias("kind")).alias("properties"))).alias("body")).distinct()
+    props = schemas.properties(s)
+    bad = schemas.malformed(props).where(F.array_contains("reasons", "pattern")).select(F.col("name").alias("schema_name"), F.lit(True).alias("_bad"))
+    f = t.part.select(F.col("p_partkey").alias("document_id"), F.concat(F.lit("s"), F.col("p_size") % 8).alias("schema_name"), F.lit(1).cast("long").alias("schema_version"), F.lit("/kind").alias("path"), F.col("p_type").alias("value"))
+    found = schemas.judged(f, props).where("keyword is not null").join(bad, "schema_name", "left")
+    return found.select("document_id", "keyword", F.coalesce("_bad", F.lit(False)).alias("registered_malformed"))
+
+
 @query("SELECT 'n' || p_brand AS name, p_partkey AS version, '/a/b' AS path FROM part WHERE p_size > 25 UNION ALL SELECT 'n' || p_brand, p_partkey, '/c' FROM part WHERE p_size % 2 = 0")
 def malformed_schemas(t) -> DataFrame:
     body = F.format_string('{"properties":{"a":{"properties":{"b":{"minimum":%d,"maximum":25}}},"c":{"type":"%s"}}}', F.col("p_size").cast("int"), F.when(F.col("p_size") % 2 == 0, "text").otherwise("string"))

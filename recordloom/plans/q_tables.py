@@ -77,6 +77,20 @@ def upsert_conditional(t) -> DataFrame:
     return tables.upsert_when_changed(*_status_tables(t), ["document_id", "path"], "prompt_hash")
 
 
+_SEVERAL = """SELECT l_orderkey AS document_id, '/status' AS path, l_linestatus AS value, CAST(l_linenumber AS VARCHAR) AS prompt_hash FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1"""
+
+
+@query(f"""WITH {_STATUS}, i AS ({_SEVERAL}), m AS (SELECT o.document_id AS od, i.document_id AS id, coalesce(o.document_id, i.document_id) AS document_id, coalesce(o.path, i.path) AS path, o.value AS ov, i.value AS iv, o.prompt_hash AS oh, i.prompt_hash AS ih FROM o FULL JOIN i ON o.document_id = i.document_id AND o.path = i.path)
+SELECT document_id, path, CASE WHEN od IS NULL OR (id IS NOT NULL AND (oh IS NULL OR oh <> ih)) THEN iv ELSE ov END AS value, CASE WHEN od IS NULL OR (id IS NOT NULL AND (oh IS NULL OR oh <> ih)) THEN ih ELSE oh END AS prompt_hash FROM m""")
+def upsert_latest_of_several(t) -> DataFrame:
+    """Several incoming rows of a key: the one of the last shipping date (and greatest line) counts."""
+    old, _ = _status_tables(t)
+    incoming = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.lit("/status").alias("path"), F.col("l_linestatus").alias("value"), F.col("l_linenumber").cast("string").alias("prompt_hash"), "l_shipdate", "l_linenumber")
+    late = [-F.unix_micros(F.col("l_shipdate").cast("timestamp")), -F.col("l_linenumber")]
+    one = tables.one_per_key(incoming, ["document_id", "path"], late)
+    return tables.upsert_when_changed(old, one.select("document_id", "path", "value", "prompt_hash"), ["document_id", "path"], "prompt_hash")
+
+
 @query(f"WITH {_STATUS} SELECT * FROM o WHERE document_id NOT IN (SELECT document_id FROM n) UNION ALL SELECT * FROM n")
 def upsert_replace(t) -> DataFrame:
     return tables.upsert_replace(*_status_tables(t), ["document_id", "path"])
@@ -181,6 +195,31 @@ def zorder_layout(t) -> DataFrame:
     return inside.join(overlap, F.lit(True)).join(whole, F.lit(True)).select("n_rows", "out_of_order", "overlapping", ((F.col("_l_partkey") < 0.75 * F.col("l_partkey")) & (F.col("_l_suppkey") < 0.75 * F.col("l_suppkey"))).alias("prunes"))
 
 
+_LAYER = "SELECT 'doc-' || lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS document_id, 'schema-' || lpad(CAST(l_suppkey % 97 AS VARCHAR), 3, '0') AS schema_name FROM lineitem"
+
+
+@query(f"""WITH x AS ({_LAYER}), p AS (SELECT 'document_id range' AS predicate, count(*) AS n_rows FROM x WHERE document_id BETWEEN 'doc-0000002000' AND 'doc-0000003000'
+UNION ALL SELECT 'schema_name equal', count(*) FROM x WHERE schema_name = 'schema-042' UNION ALL SELECT 'both', count(*) FROM x WHERE document_id BETWEEN 'doc-0000002000' AND 'doc-0000003000' AND schema_name = 'schema-042')
+SELECT predicate, 64 AS files, n_rows, true AS pruned FROM p""")
+def string_layout(t) -> DataFrame:
+    """A layer written along the order of two string columns, and read with predicates on them: at most 35 % of the files may hold such rows by their least and greatest values (of both columns: 15 %)."""
+    folder, pad = f"{scratch(t.spark)}/layout/{uuid.uuid4().hex}", lambda c, n: F.lpad(c.cast("string"), n, "0")
+    x = t.lineitem.select(F.concat(F.lit("doc-"), pad(F.col("l_orderkey"), 10)).alias("document_id"), F.concat(F.lit("schema-"), pad(F.col("l_suppkey") % 97, 3)).alias("schema_name"))
+    layout.z_ordered(x, ["document_id", "schema_name"], 64).drop("_z").write.parquet(folder)
+    layer = t.spark.read.parquet(folder)
+    span, one = ("doc-0000002000", "doc-0000003000"), ("schema-042", "schema-042")
+    asked = {"document_id range": {"document_id": span}, "schema_name equal": {"schema_name": one}, "both": {"document_id": span, "schema_name": one}}
+    found = None
+    for name, p in asked.items():
+        where = F.lit(True)
+        for c, (low, high) in p.items():
+            where = where & F.col(c).between(low, high)
+        n = layer.where(where).agg(F.lit(name).alias("predicate"), F.count("*").alias("n_rows"))
+        found = n if found is None else found.unionByName(n)
+    share = F.when(F.col("predicate") == "both", 0.15).otherwise(0.35)
+    return layout.admitting(layer, asked).join(found, "predicate").select("predicate", F.col("files").cast("int").alias("files"), "n_rows", (F.col("admitted") <= share * F.col("files")).alias("pruned"))
+
+
 @query("SELECT 8 AS n_files, count(*) AS n_rows FROM lineitem")
 def table_detail(t) -> DataFrame:
     folder = f"{scratch(t.spark)}/detail/{uuid.uuid4().hex}"

@@ -42,6 +42,14 @@ def test_properties_walk_as_deep_as_they_go(spark):
     assert sorted((r.name, r.path) for r in schemas.malformed(p).collect()) == [("s", "/a/b/c/d"), ("t", "/x")]
 
 
+def test_patterns_that_do_not_compile(spark):
+    body = '{"properties":{"a":{"type":"string","pattern":"("},"b":{"type":"string","pattern":"^[a-z]+$"},"c":{"pattern":"(?<x"}}}'
+    p = schemas.properties(spark.createDataFrame([("s", 1, body)], "name string, version long, body string"))
+    assert sorted((r.path, r.reasons) for r in schemas.malformed(p).collect()) == [("/a", ["pattern"]), ("/c", ["pattern"])]
+    bad = schemas.field_errors(fields(spark, {"/a": "x", "/b": "1", "/c": None, "/zz": "x"}), p)
+    assert sorted((r.path, r.keyword) for r in bad.collect()) == [("/a", "malformedPattern"), ("/b", "pattern"), ("/zz", "additionalProperties")]
+
+
 def test_coercion(spark):
     df = spark.createDataFrame([("integer", "$1,234"), ("boolean", "no"), ("number", "50%"), ("array", "x"), ("integer", "x")], "t string, v string")
     assert [r[0] for r in df.select(schemas.coerced(F.col("v"), F.col("t"))).collect()] == ["1234", "false", "0.5", '["x"]', "x"]

@@ -1,3 +1,5 @@
+import pytest
+from pyspark.errors import PySparkException as SparkException
 from pyspark.sql import functions as F
 
 from recordloom.operators import layout, quality, tables
@@ -50,3 +52,37 @@ def test_layout_keeps_rows(spark):
     bins = layout.by_weight(df, "size", "a", ["a"], 8).groupBy("bin").count().collect()
     assert sorted(r["count"] for r in bins) == [125] * 8
     assert layout.skew(df.limit(0), "size").first().partitions == 0
+
+
+def test_several_incoming_rows_of_a_key(spark):
+    old = spark.createDataFrame([(1, "a", "p")], "k int, v string, h string")
+    new = spark.createDataFrame([(1, "B", "q"), (1, "C", "r"), (2, "D", None)], "k int, v string, h string")
+    for f in (lambda **o: tables.upsert_when_changed(old, new, ["k"], "h", **o), lambda **o: tables.upsert_replace(old, new, ["k"], **o), lambda **o: tables.changes(old, new, ["k"], "h", **o)):
+        with pytest.raises(SparkException, match="several incoming rows of one key: k = 1"):
+            f().collect()
+        with pytest.raises(SparkException, match="k = 1"):
+            f().select("k").collect()
+        assert [r for r in rows(f(order=[F.col("v")])) if r[0] == 1] == [(1, "B", "q")]
+    assert rows(tables.upsert_replace(old, new.where("v <> 'C'"), ["k"])) == [(1, "B", "q"), (2, "D", None)]
+    assert {tuple(r) for r in tables.upsert_replace(old, spark.createDataFrame([(None, "x", "y")], new.schema), ["k"]).collect()} == {(1, "a", "p"), (None, "x", "y")}
+
+
+def test_strings_are_laid_out_in_their_own_order(spark, tmp_path):
+    names = [f"doc-{i:08d}" for i in range(20_000)]
+    df = spark.createDataFrame([(n, f"https://host/{i % 50:03d}", i % 3 == 0) for i, n in enumerate(names)], "document_id string, url string, flag boolean").repartition(5)
+    alone = layout.z_ordered(df, ["document_id"], 8).select("document_id", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min("document_id").alias("low"), F.max("document_id").alias("high")).orderBy("low").collect()
+    assert len(alone) == 8 and sum(a.high >= b.low for a, b in zip(alone, alone[1:])) <= 7
+    # a rank never falls where the value rises; two files share at most one boundary's values
+    r = layout.ranks(df, ["document_id", "url", "flag"], 6).orderBy("document_id").collect()
+    assert all(a._r0 <= b._r0 for a, b in zip(r, r[1:])) and len({x._r0 for x in r}) > 50 and len({x._r1 for x in r}) > 40 and len({x._r2 for x in r}) == 2
+    layout.z_ordered(df, ["document_id", "url"], 16).drop("_z").write.parquet(f"{tmp_path}/t")
+    asked = {"one": {"document_id": (names[77], names[77])}, "url": {"url": ("https://host/007", "https://host/007")}, "none": {"url": ("z", "zz")}}
+    out = {x.predicate: (x.files, x.admitted) for x in layout.admitting(spark.read.parquet(f"{tmp_path}/t"), asked).collect()}
+    assert out["one"][1] <= 6 and out["url"][1] <= 6 and out["none"] == (16, 0)
+
+
+def test_layout_of_nulls_equal_values_and_nothing(spark):
+    df = spark.createDataFrame([("same", None, i) for i in range(4000)], "a string, b string, n int")
+    parts = layout.z_ordered(df, ["a", "b"], 4).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) == 4 and max(x["count"] for x in parts) < 2000
+    assert layout.z_ordered(df.limit(0), ["a", "n"], 4).count() == 0
