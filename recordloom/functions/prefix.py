@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,13 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet in the shared folder and read back: what several steps read is made once, and each reads its columns."""
+    path = f"{scratch(df.sparkSession)}/recordloom/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], partitions: int | None = None, by: list[str] | None = None) -> DataFrame:
     """For each output name: the sum of a column over all rows up to each row in a global order (``order`` must be unique). With ``by``, sums start anew for each value of these columns, which may be few.
 

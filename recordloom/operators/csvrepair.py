@@ -1,18 +1,20 @@
 """Repair of untidy CSV texts, over a table of documents at once.
 
-Lines are assembled into records by the parity of quotes before them (a running sum within the document), records are cut into cells by one possessive pattern for
-each delimiter; preamble, header, trailing rows and types follow from windows and aggregates over the cells. A document whose quotes don't pair is marked ``odd_quotes``
-for quarantine. Windows are by document: the largest admitted file is the largest group."""
+A document is lines in chunks, however many; no step needs a document in one task. A chunk acts on the state of quotes (open or closed) by the parity of its quotes, and starts as many records as it has non-blank lines that find the quotes closed, which it
+counts for either state; sums over the chunks give each its state and its first record's number. Records are cut into cells by one possessive pattern for each delimiter. Preamble, width, header, trailing rows and types follow from aggregates that are combined before
+they are shuffled, and come back to the rows as facts of their document. A document whose quotes don't pair is for quarantine (``odd_quotes``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions.prefix import pinned
+from recordloom.functions.prefix import stored
 from recordloom.functions.values import SUMMARY_WORDS, is_boolean, is_date, is_integer, is_null_token, is_numeric, stripped, to_boolean, to_date, to_number, type_of_shares
 
 DELIMITERS = [",", ";", "\t", "|"]
+#: Lines of a chunk where a text is one value; documents whose facts are sent to all tasks, with a join by parts of documents beyond; rows of such a part.
+CHUNK_LINES, BROADCAST_DOCUMENTS, PART_ROWS = 10_000, 100_000, 50_000
 
 
 def encoding(content: str = "content") -> Column:
@@ -48,32 +50,90 @@ def cells(record: str = "record", delimiter: str = "delimiter") -> Column:
     return out
 
 
+def lines_of(docs: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """document_id, chunk, pos, line of (document_id, text)."""
+    lines = docs.select("document_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("pos", "line"))
+    return lines.select("document_id", F.floor(F.col("pos") / chunk_lines).alias("chunk"), F.col("pos").cast("long").alias("pos"), "line")
+
+
+def lines_of_files(spark: SparkSession, path: str, parts: bool = False, latin: bool = False) -> DataFrame:
+    """document_id, chunk, pos, line of files that Spark reads in splits: a document is a file, or with ``parts`` a folder of files whose texts follow each other by name. A chunk is a split. UTF-8, or with ``latin`` ISO-8859-1."""
+    file = F.col("_metadata.file_path")
+    document = F.regexp_replace(file, "/[^/]*$", "") if parts else file
+    line = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if latin else F.make_valid_utf8("value")
+    read = spark.read.text(path).select(document.alias("document_id"), F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("chunk"), F.monotonically_increasing_id().alias("pos"), line.alias("line"))
+    # a byte order mark stands before the first letter of a file
+    marked = F.col("line").startswith("\ufeff") & (F.col("chunk.start") == 0)
+    return read.withColumn("line", F.when(marked, F.substring("line", 2, 1 << 30)).otherwise(F.col("line")))
+
+
+def numbered(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines with line_no and row_no (from 0, over the document; null for blank lines between records), and whether the line begins a record and whether it is all of it; and document_id, odd_quotes, n_lines of each document."""
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
+    inside = Window.partitionBy("document_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # in a chunk: quotes before the line, and how many lines up to it would begin a record if the chunk began closed or open
+    q = lines.withColumn("_own", quotes).withColumn("_n", F.row_number().over(Window.partitionBy("document_id", "chunk").orderBy("pos")))
+    q = q.withColumn("_before", F.sum("_own").over(inside) - F.col("_own"))
+    some = F.length("line") > 0
+    q = q.withColumns({f"_starts{k}": F.sum((some & (F.col("_before") % 2 == k)).cast("int")).over(inside) for k in (0, 1)})
+    chunks = q.groupBy("document_id", "chunk").agg(F.count("*").alias("_lines"), F.sum("_own").alias("_quotes"), F.max("_starts0").alias("_s0"), F.max("_starts1").alias("_s1"))
+    # a row for each chunk
+    earlier = Window.partitionBy("document_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("document_id")
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    c = chunks.withColumns({"_open": before("_quotes") % 2, "_lines_before": before("_lines"), "odd_quotes": F.sum("_quotes").over(whole) % 2 == 1})
+    c = c.withColumn("_rows", F.when(F.col("_open") == 0, F.col("_s0")).otherwise(F.col("_s1"))).withColumn("_rows_before", before("_rows"))
+    documents = c.groupBy("document_id").agg(F.first("odd_quotes").alias("odd_quotes"), F.sum("_lines").alias("n_lines"))
+    at = q.join(c.select("document_id", "chunk", "_open", "_lines_before", "_rows_before", "odd_quotes"), ["document_id", "chunk"])
+    begins = (F.col("_before") + F.col("_open")) % 2 == 0
+    row = F.col("_rows_before") + F.when(F.col("_open") == 0, F.col("_starts0")).otherwise(F.col("_starts1")) - 1
+    out = at.select("document_id", (F.col("_lines_before") + F.col("_n") - 1).alias("line_no"), F.when(~begins | some, row).cast("int").alias("row_no"), "line", "odd_quotes", begins.alias("begins"), (begins & (F.col("_own") % 2 == 0)).alias("whole"))
+    return out, documents
+
+
+def _joined(at: DataFrame) -> DataFrame:
+    """Records of numbered lines: most are one line and stay where they are, the others meet by their number."""
+    kept = at.where("row_no is not null")
+    one = kept.where("whole").select("document_id", "row_no", F.col("line").alias("record"), "odd_quotes")
+    many = kept.where("not whole").groupBy("document_id", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("record"), F.first("odd_quotes").alias("odd_quotes"))
+    return one.unionByName(many)
+
+
 def records(docs: DataFrame) -> DataFrame:
     """document_id, row_no (from 0), record: lines joined while a quote is open; blank lines go. odd_quotes marks documents whose last quote stays open."""
-    lines = docs.select("document_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
-    w = Window.partitionBy("document_id").orderBy("line_no")
-    q = lines.withColumn("_q", F.sum(quotes).over(w))
-    before = F.coalesce(F.lag("_q").over(w), F.lit(0))
-    q = q.withColumn("_start", (before % 2 == 0).cast("int")).withColumn("_r", F.sum("_start").over(w)).withColumn("_last", F.last("_q").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    joined = q.groupBy("document_id", "_r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("record"), (F.first("_last") % 2 == 1).alias("odd_quotes"))
-    kept = joined.where(F.length("record") > 0)
-    return kept.select("document_id", (F.row_number().over(Window.partitionBy("document_id").orderBy("_r")) - 1).alias("row_no"), "record", "odd_quotes")
-
-
-def delimiter_scores(docs: DataFrame, lines: int = 20) -> DataFrame:
-    """document_id, delimiter, score: the share of rows of the commonest width times that width, over the first lines; widths of one don't count."""
-    first = docs.select("document_id", F.posexplode(F.slice(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), 1, lines)).alias("line_no", "line")).where(F.trim("line") != "")
+    return _joined(numbered(lines_of(docs))[0])
+
+
+def delimiter_scores(lines: DataFrame, most: int = 20) -> DataFrame:
+    """document_id, delimiter, score of numbered lines (document_id, line_no, line): the share of rows of the commonest width times that width, over the first lines; widths of one don't count."""
+    first = lines.where((F.col("line_no") < most) & (F.trim("line") != ""))
     tries = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delimiter"), F.size(cells_of(F.col("line"), d)).alias("width")) for i, d in enumerate(DELIMITERS)))
     widths = first.select("document_id", F.explode(tries).alias("t")).groupBy("document_id", "t.rank", "t.delimiter", "t.width").agg(F.count("*").alias("n"))
     total = widths.groupBy("document_id", "rank", "delimiter").agg(F.max_by("width", F.struct("n", -F.col("width"))).alias("width"), F.max("n").alias("most"), F.sum("n").alias("n"))
     return total.select("document_id", "rank", "delimiter", F.when(F.col("width") > 1, F.col("most") / F.col("n") * F.col("width")).otherwise(0.0).alias("score"))
 
 
+def _delimiters(lines: DataFrame) -> DataFrame:
+    best = delimiter_scores(lines).groupBy("document_id").agg(F.max_by("delimiter", F.struct("score", -F.col("rank"))).alias("d"), F.max("score").alias("s"))
+    return best.select("document_id", F.when(F.col("s") > 0, F.col("d")).otherwise(",").alias("delimiter"))
+
+
 def delimiters(docs: DataFrame) -> DataFrame:
     """document_id, delimiter: the best score, the first of equals; a comma if none scores."""
-    best = delimiter_scores(docs).groupBy("document_id").agg(F.max_by("delimiter", F.struct("score", -F.col("rank"))).alias("d"), F.max("score").alias("s"))
-    return best.select("document_id", F.when(F.col("s") > 0, F.col("d")).otherwise(",").alias("delimiter"))
+    return _delimiters(lines_of(docs).withColumn("line_no", F.col("pos")))
+
+
+class Facts:
+    """Joins of rows with facts of their documents, such that no document's rows meet in one task: the facts are broadcast if there are few documents (``n``), else they are repeated for each part of PART_ROWS rows."""
+
+    def __init__(self, rows: DataFrame, n: int):
+        self.few = n <= BROADCAST_DOCUMENTS
+        self._parts = None if self.few else stored(rows.groupBy("document_id").agg(F.max("row_no").alias("_most")).select("document_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("_most") / PART_ROWS).cast("int"))).alias("_part")), "parts")
+
+    def join(self, rows: DataFrame, facts: DataFrame) -> DataFrame:
+        if self.few:
+            return rows.join(F.broadcast(facts), "document_id")
+        return rows.withColumn("_part", F.floor(F.col("row_no") / PART_ROWS).cast("int")).join(facts.join(self._parts, "document_id"), ["document_id", "_part"]).drop("_part")
 
 
 def grid(docs: DataFrame) -> DataFrame:
@@ -93,14 +153,10 @@ def modal_width(rows: DataFrame) -> DataFrame:
     return widths.groupBy("document_id").agg(F.max_by("w", F.struct("n", -F.col("w"))).alias("width"))
 
 
-def without_preamble(rows: DataFrame) -> DataFrame:
-    """Rows from the first that is at least half as wide as usual and has two filled cells; n_preamble rows went. Files of one column have no preamble."""
-    r = rows.join(modal_width(rows), "document_id")
+def first_rows(rows: DataFrame, width: DataFrame, facts: Facts) -> DataFrame:
+    """document_id, n_preamble: the first row that is at least half as wide as usual and has two filled cells. Files of one column have no preamble."""
     real = (F.size("cells") >= F.col("width") * 0.5) & ((F.size(_filled()) > 1) | (F.col("width") == 1))
-    w = Window.partitionBy("document_id").orderBy("row_no")
-    r = r.withColumn("_seen", F.sum(real.cast("int")).over(w))
-    kept = r.where("_seen > 0").withColumn("n_preamble", F.min("row_no").over(Window.partitionBy("document_id")))
-    return kept.select("document_id", (F.col("row_no") - F.col("n_preamble")).alias("row_no"), "cells", "n_preamble")
+    return facts.join(rows, width).where(real).groupBy("document_id").agg(F.min("row_no").alias("n_preamble"))
 
 
 def is_header_like(c: str = "cells") -> Column:
@@ -131,9 +187,9 @@ def repaired_headers(head: DataFrame) -> DataFrame:
     return named.withColumn("_k", k).select("document_id", "header_rows", "col_no", F.when(F.col("_k") > 0, F.concat_ws("_", "_n", "_k")).otherwise(F.col("_n")).alias("name"))
 
 
-def normalised(rows: DataFrame, head: DataFrame) -> DataFrame:
+def normalised(rows: DataFrame, head: DataFrame, facts: Facts) -> DataFrame:
     """Data rows padded or cut to the header's width, with the issue where that changed them; row_no from 0 after the header."""
-    r = rows.join(head.select("document_id", "header_rows", F.size("raw").alias("_w")), "document_id").where("row_no >= header_rows")
+    r = facts.join(rows, head.select("document_id", "header_rows", F.size("raw").alias("_w"))).where("row_no >= header_rows")
     was = F.size("cells")
     row = F.col("row_no") - F.col("header_rows")
     # numbers of rows in issues count from 1
@@ -141,27 +197,27 @@ def normalised(rows: DataFrame, head: DataFrame) -> DataFrame:
     return r.select("document_id", row.alias("row_no"), F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.col("_w"))), F.lit(1), F.col("_w")).alias("cells"), F.when(was < F.col("_w"), text("padded")).when(was > F.col("_w"), text("truncated")).alias("issue"))
 
 
-def without_trailing(rows: DataFrame) -> DataFrame:
-    """Rows before the run of summary rows at the end; n_trailing of them went."""
-    summary = F.lower(stripped(F.get("cells", F.lit(0)))).isin(SUMMARY_WORDS)
-    back = Window.partitionBy("document_id").orderBy(F.desc("row_no"))
-    marked = rows.withColumn("_data", F.sum((~F.coalesce(summary, F.lit(False))).cast("int")).over(back))
-    whole = Window.partitionBy("document_id")
-    return marked.withColumn("n_trailing", F.sum((F.col("_data") == 0).cast("int")).over(whole)).where("_data > 0").drop("_data")
+def ends(rows: DataFrame) -> DataFrame:
+    """document_id, last (the last row that is no summary row) and n_trailing, the summary rows after it."""
+    summary = F.coalesce(F.lower(stripped(F.get("cells", F.lit(0)))).isin(SUMMARY_WORDS), F.lit(False))
+    g = rows.groupBy("document_id").agg(F.max(F.when(~summary, F.col("row_no"))).alias("last"), F.max("row_no").alias("_all"))
+    return g.where("last is not null").select("document_id", "last", (F.col("_all") - F.col("last")).cast("long").alias("n_trailing"))
 
 
 def column_types(cells: DataFrame, strict_nulls: bool = False, most: int = 100) -> DataFrame:
-    """Of (document_id, col_no, row_no, value): inferred_type from the first values that stand for something, null_count, and the first five of them."""
-    c = cells.withColumn("_null", is_null_token(F.col("value"), strict_nulls))
-    at = F.sum((~F.col("_null")).cast("int")).over(Window.partitionBy("document_id", "col_no").orderBy("row_no"))
-    c = c.withColumn("_at", at)
-    real = ~F.col("_null") & (F.col("_at") <= most)
-    n = lambda test: F.count_if(real & test(F.col("value")))
-    g = c.groupBy("document_id", "col_no").agg(
-        F.count_if("_null").alias("null_count"), F.count_if(real).alias("_n"), n(is_boolean).alias("_b"), n(is_integer).alias("_i"), n(is_numeric).alias("_f"), n(is_date).alias("_d"),
-        F.transform(F.array_sort(F.collect_list(F.when(real & (F.col("_at") <= 5), F.struct("row_no", "value")))), lambda s: s["value"]).alias("samples"),
+    """Of (document_id, col_no, row_no, value): inferred_type from the first ``most`` values that stand for something, null_count, and the first five of them. Each task keeps the first values of its rows, so a column's rows never meet."""
+    null = is_null_token(F.col("value"), strict_nulls)
+    counts = cells.groupBy("document_id", "col_no").agg(F.count_if(null).alias("null_count"))
+    at = F.row_number().over(Window.partitionBy("document_id", "col_no").orderBy("row_no"))
+    real = cells.where(~null).withColumn("_at", at).where(F.col("_at") <= most)
+    n = lambda test: F.count_if(test(F.col("value")))
+    g = real.groupBy("document_id", "col_no").agg(
+        F.count("*").alias("_n"), n(is_boolean).alias("_b"), n(is_integer).alias("_i"), n(is_numeric).alias("_f"), n(is_date).alias("_d"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_at") <= 5, F.struct("row_no", "value")))), lambda s: s["value"]).alias("samples"),
     )
-    return g.select("document_id", "col_no", "null_count", type_of_shares(F.col("_n"), F.col("_b"), F.col("_i"), F.col("_f"), F.col("_d")).alias("inferred_type"), "samples")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = counts.join(g, ["document_id", "col_no"], "left")
+    return both.select("document_id", "col_no", "null_count", type_of_shares(*map(zero, ("_n", "_b", "_i", "_f", "_d"))).alias("inferred_type"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def cast_cells(cells: DataFrame, types: DataFrame) -> DataFrame:
@@ -172,20 +228,35 @@ def cast_cells(cells: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def repaired(docs: DataFrame, strict_header: bool = False, strict_nulls: bool = False) -> dict[str, DataFrame]:
-    """All steps on (document_id, text): cells (document_id, row_no, col_no, column_name, value), columns, issues and summary; documents with odd quotes apart in quarantine."""
-    found = delimiters(docs)
-    # every output is made of the cells: they are written once, and stay dealt by document
-    g = pinned(records(docs).join(found, "document_id").select("document_id", "row_no", "odd_quotes", "delimiter", cells().alias("cells")))
-    good = g.where("not odd_quotes")
-    body = without_preamble(good)
-    head = headers(body, strict_header)
+    """``repaired_lines`` of (document_id, text)."""
+    return repaired_lines(lines_of(docs), strict_header, strict_nulls)
+
+
+def repaired_lines(lines: DataFrame, strict_header: bool = False, strict_nulls: bool = False) -> dict[str, DataFrame]:
+    """All steps on lines in chunks (document_id, chunk, pos, line): cells (document_id, row_no, col_no, column_name, value), columns, issues and summary; documents with odd quotes apart in quarantine."""
+    at, documents = numbered(lines)
+    at, documents = stored(at, "lines"), stored(documents, "documents")
+    n = documents.count()
+    few = (lambda df: F.broadcast(df)) if n <= BROADCAST_DOCUMENTS else (lambda df: df)
+    found = _delimiters(at)
+    # every output is made of the cells: they are written once
+    g = stored(_joined(at.where("not odd_quotes")).join(few(found), "document_id").select("document_id", "row_no", "delimiter", cells().alias("cells")), "cells")
+    facts = Facts(g, n)
+    first = stored(first_rows(g, modal_width(g), facts), "first_rows")
+    body = facts.join(g, first).where("row_no >= n_preamble").select("document_id", (F.col("row_no") - F.col("n_preamble")).alias("row_no"), "cells")
+    head = stored(headers(body, strict_header), "headers")
     names = repaired_headers(head)
-    data = without_trailing(normalised(body, head))
+    rows = normalised(body, head, facts)
+    last = stored(ends(rows), "ends")
+    data = facts.join(rows, last).where(F.col("row_no") <= F.col("last")).select("document_id", "row_no", "cells", "issue")
     long = data.select("document_id", "row_no", F.posexplode("cells").alias("col_no", "value"))
-    named = long.join(names.select("document_id", "col_no", F.col("name").alias("column_name")), ["document_id", "col_no"])
+    by_place = names.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "name"))).alias("_names"))
+    named = facts.join(long, by_place).select("document_id", "row_no", "col_no", F.element_at("_names", F.col("col_no")).alias("column_name"), "value")
     types = column_types(long, strict_nulls)
-    counts = good.groupBy("document_id").agg(F.count("*").alias("total_raw_rows"), F.first("delimiter").alias("delimiter"))
-    kept = data.groupBy("document_id").agg(F.count("*").alias("n_rows"), F.max("n_trailing").alias("n_trailing"), F.count("issue").alias("n_issues"))
-    pre = body.groupBy("document_id").agg(F.max("n_preamble").alias("n_preamble"))
-    summary = counts.join(pre, "document_id", "left").join(head.select("document_id", "header_rows"), "document_id", "left").join(kept, "document_id", "left")
-    return {"cells": named.select("document_id", "row_no", "col_no", "column_name", "value"), "columns": names.join(types, ["document_id", "col_no"], "left").select("document_id", "col_no", "name", F.coalesce("inferred_type", F.lit("null")).alias("inferred_type"), "null_count", "samples"), "issues": data.where("issue is not null").select("document_id", "row_no", "issue"), "summary": summary, "quarantine": g.where("odd_quotes").select("document_id").distinct().withColumn("reason", F.lit("odd_quotes"))}
+    counts = g.groupBy("document_id").agg(F.count("*").alias("total_raw_rows"), F.first("delimiter").alias("delimiter"))
+    kept = data.groupBy("document_id").agg(F.count("*").alias("n_rows"), F.count("issue").alias("n_issues"))
+    summary = counts.join(first, "document_id", "left").join(head.select("document_id", "header_rows"), "document_id", "left").join(kept.join(last.select("document_id", "n_trailing"), "document_id"), "document_id", "left")
+    return {
+        "cells": named, "columns": names.join(types, ["document_id", "col_no"], "left").select("document_id", "col_no", "name", F.coalesce("inferred_type", F.lit("null")).alias("inferred_type"), "null_count", "samples"),
+        "issues": data.where("issue is not null").select("document_id", "row_no", "issue"), "summary": summary, "quarantine": documents.where("odd_quotes").select("document_id").withColumn("reason", F.lit("odd_quotes")),
+    }

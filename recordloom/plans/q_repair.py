@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from recordloom.functions import values
 from recordloom.operators import csvrepair
 from recordloom.plans.mapping import FILE, grids, sheets
 from recordloom.plans.registry import query
+from recordloom.session import scratch
 
 
 @query(f"""SELECT {FILE} AS document_id, CASE any_value(c_nationkey) % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter FROM customer GROUP BY 1""")
@@ -55,6 +58,23 @@ def csv_issues(t) -> DataFrame:
     return csvrepair.repaired(sheets(t))["issues"]
 
 
+@query("""WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row_no FROM customer)
+SELECT CAST(row_no AS INTEGER) AS row_no, CAST(c_custkey AS VARCHAR) AS id, 'says "' || c_name || '"' || chr(10) || chr(10) || c_mktsegment || ',' AS remark, printf('%.2f', c_acctbal) AS balance, x.inferred_type FROM c, (SELECT 'float' AS inferred_type) x""")
+def csv_parts(t) -> DataFrame:
+    """One document in eight files, cut between any two lines, of records of three lines each: all customers, read in splits by all tasks."""
+    folder = f"{scratch(t.spark)}/csv/{uuid.uuid4().hex}"
+    quoted = F.concat(F.lit('"says ""'), "c_name", F.lit('""'))
+    lines = F.array(F.concat(F.col("c_custkey").cast("string"), F.lit(","), quoted), F.lit(""), F.concat("c_mktsegment", F.lit(',",'), F.format_string("%.2f", "c_acctbal")))
+    rows = t.customer.select("c_custkey", F.posexplode(lines).alias("k", "value"))
+    head = t.spark.createDataFrame([(-1, 0, "id,remark,balance")], "c_custkey long, k int, value string")
+    dealt = head.unionByName(rows).repartitionByRange(8, "c_custkey", "k").sortWithinPartitions("c_custkey", "k")
+    dealt.select("value").write.text(folder)
+    parts = csvrepair.repaired_lines(csvrepair.lines_of_files(t.spark, folder, parts=True), strict_header=True)
+    named = {n: F.max(F.when(F.col("column_name") == n, F.col("value"))).alias(n) for n in ("id", "remark", "balance")}
+    kind = parts["columns"].where("name = 'balance'").select("document_id", "inferred_type")
+    return parts["cells"].groupBy("document_id", "row_no").agg(*named.values()).join(F.broadcast(kind), "document_id").drop("document_id")
+
+
 @query("SELECT DISTINCT 's' || s_nationkey AS document_id, 'odd_quotes' AS reason FROM supplier WHERE s_nationkey % 5 = 0")
 def csv_quarantine(t) -> DataFrame:
     return csvrepair.repaired(sheets(t))["quarantine"]

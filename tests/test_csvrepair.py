@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from recordloom.operators import csvrepair
@@ -65,3 +67,50 @@ def test_decoding(spark):
     raw = [("bom", b"\xef\xbb\xbfname"), ("le", "﻿naïve".encode("utf-16-le")), ("latin", "caf\xe9".encode("latin-1")), ("utf", "é".encode())]
     out = {r.document_id: (r.encoding, r.text) for r in csvrepair.decoded(spark.createDataFrame(raw, "document_id string, content binary")).collect()}
     assert out == {"bom": ("utf-8-sig", "name"), "le": ("utf-16-le", "naïve"), "latin": ("latin-1", "café"), "utf": ("utf-8", "é")}
+
+
+def all_rows(parts):
+    return {k: sorted(map(str, (r.asDict() for r in df.collect()))) for k, df in parts.items()}
+
+
+def untidy(n, seed=1):
+    """One text with quoted line ends, doubled quotes, blank lines, and summary rows."""
+    r, rows = random.Random(seed), ["made by hand", "", "name,amount,note"]
+    for i in range(n):
+        note = r.choice(["ok", '"two\nlines"', '"says ""hi"""', '"a\n\n\nb,"', "", '"x ""\n"" y"'])
+        rows += [f"n{i},{i}.5,{note}"] + [""] * r.choice([0, 0, 1])
+        if i % 17 == 0:
+            rows[-1] += ",more"
+    return "\n".join([*rows, "Total,1,", "total,2,", ""])
+
+
+@pytest.mark.parametrize("by_parts", [False, True])
+def test_chunks_do_not_matter(spark, by_parts, monkeypatch):
+    docs = spark.createDataFrame([*TEXTS.items(), ("large", untidy(300)), ("blank", "\n\n"), ("empty", ""), ("odd again", untidy(20) + '"')], "document_id string, text string")
+    whole = all_rows(csvrepair.repaired(docs))
+    if by_parts:
+        monkeypatch.setattr(csvrepair, "BROADCAST_DOCUMENTS", 0)
+        monkeypatch.setattr(csvrepair, "PART_ROWS", 7)
+    assert all_rows(csvrepair.repaired_lines(csvrepair.lines_of(docs, 3))) == whole
+    assert len([x for x in whole["cells"] if "'large'" in x]) > 900 and [q for q in whole["quarantine"] if "odd again" in q]
+
+
+def test_one_file_in_splits(spark, tmp_path):
+    text = untidy(4000, 2)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("\ufeff" + text)
+    (tmp_path / "in" / "b.csv").write_bytes(untidy(9, 3).replace("\n", "\r\n").encode())
+    keys = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        lines = csvrepair.lines_of_files(spark, f"file://{tmp_path}/in/*.csv")
+        assert lines.where("document_id like '%a.csv'").select("chunk").distinct().count() > 4
+        files = {k: df.withColumn("document_id", csvrepair.F.regexp_extract("document_id", "([ab])[.]csv$", 1)) for k, df in csvrepair.repaired_lines(lines).items()}
+        out = all_rows(files)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    docs = spark.createDataFrame([("a", text), ("b", untidy(9, 3))], "document_id string, text string")
+    assert out == all_rows(csvrepair.repaired(docs))
