@@ -54,7 +54,7 @@ def bounds(queries: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.nd
 
 
 class Cells:
-    """One file of cells, read whole; the exact vectors are read by row."""
+    """One file of cells, read whole."""
 
     def __init__(self, path: str):
         self.path = path
@@ -71,16 +71,17 @@ class Cells:
         for a in range(0, self.n, SCAN_ROWS):
             yield a, self.ids[a : a + SCAN_ROWS], self.cells[a : a + SCAN_ROWS]
 
-    def exact(self, rows: np.ndarray) -> np.ndarray:
-        """The exact vectors of sorted row numbers: neighbours are one read."""
-        step = self.dim * self.size
-        cuts = np.flatnonzero(np.diff(rows) != 1) + 1
-        with open_input(f"{self.path}.exact") as f:
-            parts = []
-            for run in np.split(rows, cuts):
-                f.seek(int(run[0]) * step)
-                parts.append(f.read(len(run) * step))
-        return np.frombuffer(b"".join(parts), f"<i{self.size}").reshape(-1, self.dim).astype(np.int64)
+
+def exact_rows(path: str, dim: int, size: int, rows: np.ndarray) -> np.ndarray:
+    """The exact vectors of sorted row numbers: neighbours are one read."""
+    step = dim * size
+    cuts = np.flatnonzero(np.diff(rows) != 1) + 1
+    with open_input(f"{path}.exact") as f:
+        parts = []
+        for run in np.split(rows, cuts):
+            f.seek(int(run[0]) * step)
+            parts.append(f.read(len(run) * step))
+    return np.frombuffer(b"".join(parts), f"<i{size}").reshape(-1, dim).astype(np.int64)
 
 
 def write_index(vectors: DataFrame, folder: str, bits: int = CELL_BITS, file_rows: int = FILE_ROWS) -> DataFrame:
@@ -139,33 +140,34 @@ def scan(queries: np.ndarray, ids: np.ndarray, files: list[str], k: int) -> np.n
 
 
 def search(queries: np.ndarray, ids: np.ndarray, least: np.ndarray, files: list[str], k: int, pairs: int = PAIRS) -> tuple[list[tuple], np.ndarray]:
-    """(query index, vec_id, score) of each query's k best in the files, and how many vectors were read exactly for it. ``least`` is what an upper bound must reach; it rises with the scores read."""
-    own, least = [Cells(p) for p in files], least.copy()
+    """(query index, vec_id, score) of each query's k best in the files, and how many vectors were read exactly for it. ``least`` is what an upper bound must reach; it rises with the scores read.
+    The cells of one file are open at a time; what stays of it are the rows whose upper bounds reach ``least``, ``pairs`` of them and those of one part of a file at most."""
+    own, least = [], least.copy()  # of each file: path, length of vectors, bytes of a component
     best: list[list[tuple]] = [[] for _ in queries]  # (-score, vec_id)
     read = np.zeros(len(queries), np.int64)
 
     def settle(held: list[tuple]) -> None:
-        """Read the exact vectors of (query, file, row, upper bound): in rounds, the next of all open queries, file by file."""
-        found, numbers, rows, tops = (np.concatenate(x) for x in zip(*held))
+        """Read the exact vectors of (query, file, row, upper bound, vec_id): in rounds, the next of all open queries, file by file."""
+        found, numbers, rows, tops, vec_ids = (np.concatenate(x) for x in zip(*held))
         order = {}
-        for q, n, r, t in _split(found, numbers, rows, tops):
+        for q, n, r, t, v in _split(found, numbers, rows, tops, vec_ids):
             by_top = np.argsort(-t, kind="stable")
-            order[q] = n[by_top], r[by_top], t[by_top]
+            order[q] = n[by_top], r[by_top], t[by_top], v[by_top]
         at = dict.fromkeys(order, 0)
         while open_ := [q for q, i in at.items() if i < len(order[q][0]) and not (len(best[q]) == k and order[q][2][i] < -best[q][-1][0])]:
             wanted: dict[int, list] = {}
             for q in open_:
-                for n, r in _split(*(x[at[q] : at[q] + READ_ROWS] for x in order[q][:2])):
-                    wanted.setdefault(n, []).append((q, r))
+                for n, r, v in _split(*(order[q][k][at[q] : at[q] + READ_ROWS] for k in (0, 1, 3))):
+                    wanted.setdefault(n, []).append((q, r, v))
                     read[q] += len(r)
                 at[q] += READ_ROWS
             for n, asked in wanted.items():
-                rows = np.unique(np.concatenate([r for _, r in asked]))
-                exact = own[n].exact(rows)
+                rows = np.unique(np.concatenate([r for _, r, _ in asked]))
+                exact = exact_rows(*own[n], rows)
                 kind = _exact(queries, exact, exact)
-                for q, r in asked:
+                for q, r, v in asked:
                     scores = exact[np.searchsorted(rows, r)].astype(kind) @ queries[q].astype(kind)
-                    best[q] += [(-int(s), i) for s, i in zip(scores.tolist(), own[n].ids[r].tolist())]
+                    best[q] += [(-int(s), i) for s, i in zip(scores.tolist(), v.tolist())]
             for q in open_:
                 best[q] = sorted(best[q])[:k]
         for q in order:
@@ -173,11 +175,13 @@ def search(queries: np.ndarray, ids: np.ndarray, least: np.ndarray, files: list[
                 least[q] = max(least[q], -best[q][-1][0])
 
     held, size = [], 0
-    for number, f in enumerate(own):
+    for number, path in enumerate(files):
+        f = Cells(path)
+        own.append((path, f.dim, f.size))
         for start, row_ids, cells in f.parts():
             high = bounds(queries, f.low, f.width, cells)[1]
             at = np.nonzero((high >= least[:, None]) & (ids[:, None] != row_ids[None, :]))
-            held.append((at[0], np.full(len(at[0]), number), at[1] + start, high[at]))
+            held.append((at[0], np.full(len(at[0]), number), at[1] + start, high[at], row_ids[at[1]]))
             size += len(at[0])
             if size >= pairs:
                 settle(held)

@@ -88,7 +88,7 @@ def test_suffix_dedup(docs, texts, empty):
     assert suffixdedup.kept_text("aéb".encode(), [[0, 2]]) == "b"
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (3, 100)])
 def test_jaccard(docs, texts, empty, words, percent):
     def grams(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
@@ -203,3 +203,36 @@ def test_ranking(spark, empty):
     assert held and all(r.predicted == int(r.doc_id < 100) for r in held)
     assert {r.score for r in ranking.classify(docs, labels.where("quality = 1")).collect()} == {1.0}
     assert ranking.classify(empty, labels.limit(0)).count() == 0
+
+
+def test_one_file_of_cells_is_open_at_a_time(monkeypatch, tmp_path):
+    """More blocks of queries than tasks: a band has all files, and a task still holds the cells of one."""
+    import gc
+    import weakref
+
+    r = np.random.default_rng(8)
+    rows, files = r.integers(-60, 60, (400, 6)), []
+    for k in range(0, 400, 20):
+        low, width, cells = vafile.cells_of(rows[k : k + 20])
+        path = f"file://{tmp_path}/{k}"
+        vafile.write_bytes(f"{path}.exact", [rows[k : k + 20].astype("<i8").tobytes()])
+        vafile.write_bytes(f"{path}.cells", [vafile.MAGIC + vafile.struct.pack("<III", 6, 20, 8), low.astype("<i8").tobytes(), width.astype("<i8").tobytes(), np.arange(k, k + 20).astype("<i8").tobytes(), cells.tobytes()])
+        files.append(path)
+    live, most = weakref.WeakSet(), [0]
+
+    class Counted(vafile.Cells):
+        def __init__(self, path):
+            super().__init__(path)
+            live.add(self)
+            gc.collect()
+            most[0] = max(most[0], len(live))
+
+    monkeypatch.setattr(vafile, "Cells", Counted)
+    ids = np.arange(0, 400, 20)
+    least = vafile.scan(rows[ids], ids, files, 5)[:, 0]
+    found, _ = vafile.search(rows[ids], ids, least, files, 5, pairs=30)
+    whole = rows[ids] @ rows.T
+    for q, i in enumerate(ids):
+        want = sorted((-whole[q, j], j) for j in range(400) if j != i)[:5]
+        assert sorted((-s, v) for p, v, s in found if p == q)[:5] == want
+    assert most[0] <= 2
