@@ -183,7 +183,7 @@ def class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     joined = None
     for r in range(ROUNDS):
         # classes of a key have about one size; the next round's bounds of sizes lie between
-        size = F.floor(F.log("n") / -math.log(percent / 100) + r / ROUNDS)
+        size = F.floor(F.log("n") / -math.log(percent / 100) + r / ROUNDS) if percent < 100 else F.col("n")
         keys = F.array(*(F.xxhash64(size, F.array_min(F.transform("order", _rehashed(k)))) for k in range(r * KEYS, (r + 1) * KEYS)))
         root = kept.withColumn("root", F.col("class")) if joined is None else kept.join(joined, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
         keyed = written(root.select(*signed, "typical", "root", keys.alias("keys")), "keyed")
