@@ -13,6 +13,7 @@ from recordloom.plans.mapping import MERGED, PROPOSALS, REQUESTS, TIMINGS, field
 from recordloom.plans.registry import query
 from recordloom.session import scratch
 from recordloom.streaming import events as streams
+from recordloom.streaming import log as logs
 
 
 @query(f"""WITH {TIMINGS}, f AS (SELECT * FROM t WHERE finished_at IS NOT NULL AND active_seconds > 0 AND arm IN ('manual', 'tool')),
@@ -181,7 +182,7 @@ def daily_event_counts(t) -> DataFrame:
 
 @query("SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")
 def latest_state(t) -> DataFrame:
-    return streams.drained(streams.latest_by_key(_event_stream(t), "user_id", "ts", "event_type"), "complete")
+    return streams.drained(streams.latest_by_key(_event_stream(t), "user_id", "ts", "event_type"), "update", ["user_id"])
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
@@ -189,6 +190,35 @@ def stream_landing(t) -> DataFrame:
     return streams.landed(_event_stream(t, repeats=True), "event_id", ["user_id", "event_id"], ["ts"])
 
 
+@query("""SELECT event_id, event_type, CAST(event_id % 3 AS INTEGER) AS kafka_partition, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id % 2, event_id) - 1 AS kafka_offset FROM events""")
+def stream_offsets(t) -> DataFrame:
+    """A log that grows while its stream is stopped: half of the events, then the others, then the errors once more. Each event lands once, with the offset at which it came first."""
+    log, folder = f"{scratch(t.spark)}/log/{uuid.uuid4().hex}", f"{scratch(t.spark)}/landing/{uuid.uuid4().hex}"
+    messages = t.events.select(F.col("event_id").cast("string").alias("key"), F.to_json(F.struct("event_id", "event_type")).alias("value"), (F.col("event_id") % 3).cast("int").alias("partition"), "event_id", "event_type")
+    out = None
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1", "event_type = 'error'"):
+        logs.append(messages.where(part), log, ["event_id"])
+        events = streams.arrivals(logs.from_log(t.spark, log), "event_id long, event_type string")
+        out = streams.landed(events, "event_id", ["event_id", "event_type", "kafka_partition", "kafka_offset"], ["kafka_partition", "kafka_offset"], folder)
+    return out
+
+
+_DAYS = 5
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+p AS (SELECT user_id, event_id, k, true AS starts, ts AS began FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.k, e.ts >= p.began + INTERVAL {_DAYS} DAY, CASE WHEN e.ts >= p.began + INTERVAL {_DAYS} DAY THEN e.ts ELSE p.began END FROM p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1)
+SELECT user_id, event_id FROM p WHERE starts""")
+def stream_periods(t) -> DataFrame:
+    """Events that begin a period of five days of their user; periods end by timers."""
+    folder, day = f"{scratch(t.spark)}/arrivals/{uuid.uuid4().hex}", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01"))
+    for k in range(4):  # a batch each, in the order of time
+        t.events.where(day >= 8 * k if k == 3 else day < 8 if k == 0 else day.between(8 * k, 8 * k + 7)).coalesce(1).write.mode("append").parquet(folder)
+    events = streams.from_files(t.spark, folder, "*.parquet", t.events.schema, 1).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.drained(streams.period_starts(events, "user_id", "ts", _DAYS * 86_400_000, "8 days"), "append").select("user_id", "event_id")
+
+
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_first_arrivals(t) -> DataFrame:
     first = streams.first_arrivals(_event_stream(t, repeats=True), "event_id", "ts", "3650 days")
