@@ -42,3 +42,22 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], partitio
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     out = ranged.withColumnRenamed("_range", "_own").join(offsets, (F.col("_own") == F.col("_range")) & same)
     return out.select(*df.columns, *((F.col(f"_b_{o}") + F.sum(c).over(inside)).alias(o) for o, c in sums.items()))
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """The rows with ``name``: the last ``value`` that isn't null of their key up to them, in ``order`` (unique within a key). A key's rows may fill many ranges: each range says the value that its last key ends with, and takes that of the ranges before for its first."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = pinned(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    key = F.struct(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each range: its last key and what that ends with
+    rank = F.struct(*(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)))
+    last = ranged.groupBy("_range").agg(F.max(key).alias("_key"))
+    of_last = ranged.withColumn("_key", key).join(F.broadcast(last), ["_range", "_key"]).groupBy("_range", "_key").agg(F.max_by(value, F.when(F.col(value).isNotNull(), rank)).alias("_end"))
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy("_range")
+    ends = last.join(of_last, ["_range", "_key"], "left")
+    # the next range may begin with the key: it gets the last value of all ranges that end with it
+    told = ends.withColumn("_so_far", F.coalesce("_end", F.last("_end", ignorenulls=True).over(before))).select((F.lead("_range").over(later)).alias("_to"), F.col("_key").alias("_of"), "_so_far").where("_to is not null")
+    out = ranged.withColumn("_key", key).join(F.broadcast(told), (F.col("_range") == F.col("_to")) & F.col("_key").eqNullSafe(F.col("_of")), "left")
+    return out.select(*df.columns, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_so_far")).alias(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.functions.prefix import stored
+
 from recordloom.operators.extraction import KEY_VALUE
 
 # Font size of headings, their most lines, and where the footer begins.
@@ -35,11 +37,46 @@ def blocks_of_spans(spans: DataFrame) -> DataFrame:
     return blocks.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
 
 
-def outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """Blocks whose rectangle meets no table of their page."""
-    t = tables.select(*(F.col(c).alias(f"t_{c}") for c in ("document_id", "page", "x0", "y0", "x1", "y1")))
+#: Pairs of blocks and tables of a page beyond which they are dealt to tiles; edges of tiles, as powers of two.
+CROWDED, EDGES = 100_000, (4, 6, 8, 10, 12, 16, 24, 40, 64, 1023)
+_BOX = ["document_id", "page", "x0", "y0", "x1", "y1"]
+
+
+def _tiled(boxes: DataFrame) -> DataFrame:
+    """A row for each tile that a box may share with another: of each edge that isn't shorter than the box, the tiles (four at most) that it touches; ``own`` marks those of the shortest such edge."""
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    first = F.coalesce(*(F.when(size <= 2.0**e, i) for i, e in enumerate(EDGES)))
+    edge = F.element_at(F.array(*(F.lit(2.0**e) for e in EDGES)), F.col("level") + 1)
+    at = lambda c: F.floor(F.col(c) / edge)
+    leveled = boxes.where(size >= 0).withColumn("_first", first).withColumn("level", F.explode(F.sequence("_first", F.lit(len(EDGES) - 1)))).withColumn("own", F.col("level") == F.col("_first"))
+    return leveled.withColumn("tx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("ty", F.explode(F.sequence(at("y0"), at("y1")))).drop("_first")
+
+
+def meeting_boxes(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """The distinct rectangles of blocks (document_id, page, x0, y0, x1, y1) that meet a table of their page, by tiles: of two that meet, the tiles of the larger one's own edge have both. A crowded page is many keys."""
+    key = ["document_id", "page", "level", "tx", "ty"]
+    b, t = _tiled(blocks.select(*_BOX).distinct()), _tiled(tables.select(*_BOX).distinct())
+    t = t.select(*(F.col(c).alias(f"t_{c}") for c in (*key, "own", "x0", "y0", "x1", "y1")))
+    both = F.col("own") | F.col("t_own")
+    for c in key:
+        both = both & (F.col(c) == F.col(f"t_{c}"))
+    both = both & (F.col("x0") < F.col("t_x1")) & (F.col("t_x0") < F.col("x1")) & (F.col("y0") < F.col("t_y1")) & (F.col("t_y0") < F.col("y1"))
+    return b.join(t, both, "left_semi").select(*_BOX).distinct()
+
+
+def outside_tables(blocks: DataFrame, tables: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """Blocks whose rectangle meets no table of their page. Pages with more than ``crowded`` pairs are dealt to tiles; repeated rectangles share their fate."""
+    page = ["document_id", "page"]
+    counts = blocks.groupBy(*page).agg(F.count("*").alias("_b")).join(tables.groupBy(*page).agg(F.count("*").alias("_t")), page).where(F.col("_b") * F.col("_t") > crowded).select(*page)
+    t = tables.select(*(F.col(c).alias(f"t_{c}") for c in _BOX))
     meets = (F.col("document_id") == F.col("t_document_id")) & (F.col("page") == F.col("t_page")) & (F.col("x0") < F.col("t_x1")) & (F.col("t_x0") < F.col("x1")) & (F.col("y0") < F.col("t_y1")) & (F.col("t_y0") < F.col("y1"))
-    return blocks.join(t, meets, "left_anti")
+    if not counts.limit(1).count():
+        return blocks.join(t, meets, "left_anti")
+    counts = stored(counts, "crowded_pages")
+    few = blocks.join(counts, page, "left_anti").join(t, meets, "left_anti")
+    many = blocks.join(counts, page, "left_semi")
+    met = meeting_boxes(many, tables.join(counts, page, "left_semi"))
+    return few.unionByName(many.join(met, _BOX, "left_anti"))
 
 
 def ordinals(elements: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +114,56 @@ def paced(docs: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, orde
     return slots.repartitionByRange(parts, "start_s", *order).sortWithinPartitions("start_s", *order).mapInPandas(fn, schema), oversize(docs, tpm)
 
 
+def paced_calls(docs: DataFrame, key: str, ask: Callable[[dict], str], lanes: int, folder: str, rpm: float, tpm: float, minute: float = 60.0) -> tuple[DataFrame, DataFrame]:
+    """An injected call for each document (``key`` and ``tokens``, other columns are handed on) that is held to its limits while it runs: key, answer, asked_at (null if it had been answered before).
+
+    ``lanes`` tasks run at once, as one barrier stage (there must be as many cores), begin by one clock, and have an equal share of the limits each: in no ``minute`` does a lane make more than its share of calls or ask for more than its share of tokens. An answer is
+    written to ``folder`` (shared), under its key, before the next call; a task that is run again, or a later run, takes it from there and asks nothing twice. Second: documents that need more tokens than a lane has, for quarantine."""
+    lanes = max(1, min(lanes, int(rpm)))
+    share_calls, share_tokens = int(rpm) // lanes, tpm / lanes
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        from pyspark import BarrierTaskContext
+
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        begin = max(map(float, BarrierTaskContext.get().allGather(repr(time.time()))))
+        made: deque = deque()  # (time, tokens) of the calls of the last minute
+        for b in batches:
+            keys, answers, asked = [], [], []
+            for row in b.to_pylist():
+                file = f"{path}/{hashlib.sha256(repr(row[key]).encode()).hexdigest()}"
+                if (info := store.get_file_info(file)).type == fs.FileType.File:
+                    with store.open_input_file(file) as f:
+                        answer, at = f.read().decode(), None
+                    if info.mtime_ns > (time.time() - minute) * 1e9:  # of an attempt before this one
+                        made = deque(sorted([*made, (info.mtime_ns / 1e9, row["tokens"])]))
+                else:
+                    while True:
+                        now = max(time.time(), begin)
+                        while made and made[0][0] <= now - minute:
+                            made.popleft()
+                        if len(made) < share_calls and sum(n for _, n in made) + row["tokens"] <= share_tokens:
+                            break
+                        time.sleep(max(0.001, made[0][0] + minute - now))
+                    time.sleep(max(0.0, begin - time.time()))
+                    at = time.time()
+                    made.append((at, row["tokens"]))
+                    answer = ask(row)
+                    with store.open_output_stream(file + ".part") as f:
+                        f.write(answer.encode())
+                    store.move(file + ".part", file)
+                keys.append(row[key])
+                answers.append(answer)
+                asked.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(key).type), pa.array(answers, pa.string()), pa.array(asked, pa.float64())], [key, "answer", "asked_at"])
+
+    small = F.col("tokens") <= share_tokens
+    dealt = docs.where(small).repartition(lanes, key).sortWithinPartitions(key)
+    return dealt.mapInArrow(run, f"`{key}` {kind}, answer string, asked_at double", barrier=True), docs.where(~small).withColumn("reason", F.lit("oversize_request"))
+
+
 def extract_with(docs: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """An injected extractor over batches of rows; pace them by the slots of ``operators.budget``."""
     return docs.mapInPandas(fn, schema)

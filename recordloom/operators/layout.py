@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.prefix import running_sums
@@ -117,3 +117,20 @@ def sampled(df: DataFrame, stratum: str, key: str, percent: int) -> DataFrame:
     """A fixed share of each stratum: rows whose key's digest falls below it, so the sample is the same on each run."""
     digest = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(stratum), F.col(key)).cast("binary")), 1, 8), 16, 10).cast("long")
     return df.where(digest % 100 < percent)
+
+
+def drawn(df: DataFrame, stratum: str, key: str, n: int, weight: str | None = None) -> DataFrame:
+    """Exactly ``n`` rows of each stratum (all, if it has fewer), drawn without replacement with chances by ``weight`` (equal, if none is given; rows without a positive weight are never drawn), the same on each run: those of least -ln(u) / weight, u a number between 0 and 1
+    from the digest of stratum and key. Each task keeps ``n`` rows of a stratum, so a large one never meets."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(stratum), F.col(key)).cast("binary")), 1, 8), 16, 10).cast("double")
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    ranked = df.where(w > 0).withColumn("_k", -F.log((digest + 0.5) / F.lit(float(1 << 32))) / w)
+    return ranked.withColumn("_at", F.row_number().over(Window.partitionBy(stratum).orderBy("_k", key))).where(F.col("_at") <= n).drop("_k", "_at")
+
+
+def error_rates(sample: DataFrame, stratum: str, wrong: str, z: float = 1.96) -> DataFrame:
+    """stratum, n, errors, rate, and the bounds of Wilson's interval (``z`` = 1.96: 95 %) of a sample drawn with equal chances."""
+    g = sample.groupBy(stratum).agg(F.count("*").alias("n"), F.count_if(F.col(wrong)).alias("errors")).withColumn("rate", F.col("errors") / F.col("n"))
+    n, p = F.col("n"), F.col("rate")
+    middle, reach = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    return g.withColumn("low", F.greatest(F.lit(0.0), middle - reach)).withColumn("high", F.least(F.lit(1.0), middle + reach))

@@ -32,7 +32,7 @@ def below(df: DataFrame, column: str, least: float, subject: str) -> DataFrame:
 
 def orphans(df: DataFrame, parents: DataFrame, key: str, parent_key: str, subject: str) -> DataFrame:
     """Rows whose key is null, empty or has no parent."""
-    known = parents.select(F.col(parent_key).alias(key)).where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).distinct()
+    known = parents.select(F.col(parent_key).alias(key)).where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
     return df.join(known, key, "left_anti").select(*_named(f"orphan_{key}", F.col(subject)))
 
 

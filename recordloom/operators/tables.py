@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.functions.prefix import carried
+
 
 def bronze_rows(docs: DataFrame, run_date: str) -> DataFrame:
     """Typed document rows with defaults; run_date is a parameter, so a backfill reads what it wrote, and the stamp is its first moment unless the documents have one."""
@@ -90,6 +92,18 @@ def at_version(table: DataFrame, version) -> DataFrame:
     return table.where((F.col("valid_from") <= F.lit(version)) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(version))))
 
 
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, order: list[str]) -> DataFrame:
+    """Left rows with the columns of the last right row of their key whose ``at`` is at most theirs (null if there is none). Both sides go through one order of (keys, at), so a frequent key's rows may stand in many tasks. ``order``: left columns that make its rows unique
+    within (keys, at); of the right at most one row has a key and ``at``."""
+    values = [c for c in right.columns if c not in (*keys, at)]
+    kind = right.select(F.struct(*values).alias("_v")).schema["_v"].dataType
+    rest = [c for c in left.columns if c not in (*keys, at)]
+    a = left.select(*keys, at, F.lit(1).alias("_side"), F.struct(*rest).alias("_l"), F.lit(None).cast(kind).alias("_v"), *(F.col(c).alias(f"_s{i}") for i, c in enumerate(order)))
+    b = right.select(*keys, at, F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.struct(*values).alias("_v"), *(F.lit(None).cast(a.schema[f"_s{i}"].dataType).alias(f"_s{i}") for i in range(len(order))))
+    out = carried(a.unionByName(b), keys, [at, "_side", *(f"_s{i}" for i in range(len(order)))], "_v", "_at").where("_side = 1")
+    return out.select(*(F.col(c) if c in (*keys, at) else F.col(f"_l.{c}").alias(c) for c in left.columns), *(F.col(f"_at.{c}").alias(c) for c in values))
+
+
 def latest_version(table: DataFrame) -> DataFrame:
     return table.agg(F.max("valid_from").alias("version"))
 

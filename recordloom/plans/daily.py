@@ -49,6 +49,7 @@ def run(spark: SparkSession, base: str, arrivals: DataFrame, extract: Callable[[
     if found.required_null or found.repeated_hash:
         raise Rejected(f"bronze of {run_date}: {found}")
     todo = new if again is None else new.unionByName(table.join(again.select("document_id").distinct(), "document_id", "left_semi").select(*new.columns)).dropDuplicates(["document_id"])
+    todo = layout.by_salt(todo, "size_bytes", "content_hash")  # documents are dealt by their sizes before they are extracted
     proposals = extract(todo)
     merged = extraction.merged_proposals(proposals, ["document_id", "path"], ["section"])
     spent = proposals.groupBy("document_id", "path").agg(F.min("prompt_hash").alias("prompt_hash"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"))
@@ -63,11 +64,35 @@ def run(spark: SparkSession, base: str, arrivals: DataFrame, extract: Callable[[
     if not quality.passes(bad):
         io.stage(bad, base, "gate", version)
         raise Rejected(f"gate of {run_date}: {bad.limit(5).collect()}")
+    earlier = done.where(F.col("run_date") == run_date).agg(F.max("version")).first()[0] if done is not None else None
+    if earlier is not None and not any(x.limit(1).count() for x in (new, silver, gold)):
+        return earlier  # a day that is run again and brings nothing
     counts = new.agg(F.count("*").alias("a")).join(silver.agg(F.count("*").alias("b"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("c")), F.lit(True)).join(gold.agg(F.count("*").alias("d")), F.lit(True)).first()
     io.publish(spark, base, version, run_date=run_date, bronze_count=counts.a, fields_extracted=counts.b, extraction_cost=float(counts.c), gold_count=counts.d)
     return version
 
 
+def metrics(spark: SparkSession, base: str) -> DataFrame:
+    """A row for each run date: its last version, and what all its runs brought."""
+    return io.published(spark, base).groupBy("run_date").agg(F.max("version").alias("version"), *(F.sum(c).alias(c) for c in ("bronze_count", "fields_extracted", "extraction_cost", "gold_count")))
+
+
+#: The columns of the warehouse's staging view and their types, and the silver columns that stand for them under other names.
+STAGED = "field_id string, document_id string, content_hash string, field_path string, field_value string, confidence double, source_partition_id string, source_page int, source_bbox string, source_row int, source_col int, schema_name string, schema_version long, model_version string, extraction_timestamp timestamp, extraction_cost_usd double, prompt_hash string"
+_OTHER_NAMES = {"field_path": "path", "field_value": "value", "extraction_timestamp": "extracted_at", "extraction_cost_usd": "cost"}
+
+
+def staging_view(spark: SparkSession, base: str, name: str = "stg_silver_fields") -> None:
+    """A view of silver as it is published now, for SQL: columns that the extractor doesn't give are null."""
+    silver = current(spark, base, "silver")
+
+    def column(c: str, kind: str) -> F.Column:
+        own = _OTHER_NAMES.get(c, c)
+        return (F.col(own).cast(kind) if own in silver.columns else F.lit(None).cast(kind)).alias(c)
+
+    silver.select(*(column(*x.strip().split(" ")) for x in STAGED.split(","))).createOrReplaceTempView(name)
+
+
 def current(spark: SparkSession, base: str, layer: str, upto: int | None = None) -> DataFrame | None:
     """silver or gold as of a version (the last one)."""
     return io.as_of(spark, base, layer, SILVER if layer == "silver" else GOLD, upto)
@@ -84,6 +109,17 @@ def reproduced(spark: SparkSession, base: str, version: int) -> DataFrame:
     return stored.exceptAll(again).withColumn("side", F.lit("stored")).unionByName(again.exceptAll(stored).withColumn("side", F.lit("again")))
 
 
+def reproduced_all(spark: SparkSession, base: str) -> DataFrame:
+    """The gold rows of all versions made again in one pass, each of the silver that it names: version, document_id, record_json, quality_score. Each field of a record is joined as of the record's own silver version."""
+    gold = io.log(spark, base, "gold").select("version", "document_id", *GOLD, "silver_version")
+    silver = io.log(spark, base, "silver")
+    places = gold.join(silver.select(*SILVER).distinct(), GOLD).select(*SILVER, F.col("silver_version").alias("at"), F.col("version").alias("gold_version"), F.col("document_id").alias("gold_document"))
+    known = silver.select(*SILVER, F.col("version").alias("at"), "document_id", "schema_name", "value", "confidence")
+    fields = tables.as_of_join(places, known, SILVER, "at", ["gold_version", "gold_document"]).where("document_id is not null")
+    keys = ["gold_version", "document_id", "content_hash", "schema_name", "schema_version"]
+    return extraction.conformed(fields, keys).where("quality_score is not null").withColumnRenamed("gold_version", "version")
+
+
 def retained(spark: SparkSession, base: str, to: str, oldest: int) -> DataFrame:
     """The layers without versions before ``oldest``: what these left behind is one version now, ``oldest`` itself. Returns layer, versions before and after. The new folder is complete before anyone reads it; reproduction reaches back to ``oldest``."""
     done = io.published(spark, base)

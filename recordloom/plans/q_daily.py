@@ -81,3 +81,19 @@ def gold_table(t) -> DataFrame:
     stats = extraction.record_statistics(daily.current(t.spark, base, "silver"), ["document_id"], "extracted_at")
     table = io.stage(stats, base, "gold_table", 2)
     return table.select("document_id", "field_count", F.round("avg_confidence", 8).alias("avg_confidence"), "low_confidence_count", F.round("total_cost", 6).alias("total_cost"), F.date_format("first_extracted", "yyyy-MM-dd").alias("first_extracted"))
+
+
+@query(f"""WITH {_RUNS}, f AS (SELECT document_id, h, '/lang' AS path, lang AS value, 1.0 - v / 10 AS confidence, v FROM b UNION ALL SELECT document_id, h, '/size', CAST(n_chars AS VARCHAR), size_c, v FROM b)
+SELECT path AS field_path, count(*) AS n, count(DISTINCT value) AS n_values, round(avg(confidence), 8) AS mean_confidence, CAST(0 AS BIGINT) AS with_page, '2024-01-02' AS last_extracted FROM f GROUP BY path""")
+def staging_view(t) -> DataFrame:
+    """The staging view, asked in SQL."""
+    daily.staging_view(t.spark, _runs(t), "stg_silver_fields")
+    return t.spark.sql("SELECT field_path, count(*) AS n, count(DISTINCT field_value) AS n_values, round(avg(confidence), 8) AS mean_confidence, count(source_page) AS with_page, date_format(max(extraction_timestamp), 'yyyy-MM-dd') AS last_extracted FROM stg_silver_fields GROUP BY field_path")
+
+
+@query(f"""WITH {_RUNS}, g AS (SELECT *, 1 AS version FROM b WHERE first = 1 UNION ALL SELECT *, 2 FROM b WHERE v = 2)
+SELECT CAST(version AS BIGINT) AS version, document_id, '{{"/lang":"' || lang || '","/size":"' || n_chars || '"}}' AS record_json, round((1.0 - version / 10 + size_c) / 2, 8) AS quality_score FROM g""")
+def gold_versions(t) -> DataFrame:
+    """The records of all gold versions made again in one pass from the silver versions that they name."""
+    again = daily.reproduced_all(t.spark, _runs(t))
+    return again.select("version", "document_id", "record_json", F.round("quality_score", 8).alias("quality_score"))

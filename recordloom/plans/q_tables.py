@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions.prefix import pinned
-from recordloom.operators import layout, quality, tables
+from recordloom.functions.prefix import pinned, stored
+from recordloom.operators import bloom, elements, layout, quality, tables
 from recordloom.plans.mapping import BRONZE, MERGED, bronze, fields
 from recordloom.plans.registry import query
 from recordloom.session import scratch
@@ -258,3 +258,49 @@ def run_metrics(t) -> DataFrame:
     m = fields(t).agg(F.count("*").alias("fields_extracted"), F.count_distinct("document_id").alias("gold_count"))
     b = t.documents.agg(F.count("*").alias("bronze_count"))
     return b.join(m, F.lit(True)).select("bronze_count", "fields_extracted", "gold_count")
+
+
+@query("""WITH k AS (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 4 <> 0), a AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 50 = 7 UNION SELECT o_orderkey + 10000000 FROM orders WHERE o_orderkey % 100 = 0)
+SELECT count(*) AS n_new, true AS part_of_the_log FROM a WHERE k NOT IN (SELECT k FROM k)""")
+def landing_filtered(t) -> DataFrame:
+    """Arrivals against a log of keys in 4 versions of 64 parts: the filters leave a part of the log to be read (fewer than nine in ten of its parts)."""
+    folder, base = f"{scratch(t.spark)}/bloom/{uuid.uuid4().hex}", t.orders.where("o_orderkey % 4 <> 0")
+    keyed = base.select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 4).alias("version"), F.pmod(F.hash("o_custkey"), F.lit(64)).alias("part"))
+    keyed.repartition("version").write.partitionBy("version", "part").parquet(folder)
+    log = t.spark.read.parquet(folder)
+    filters = stored(bloom.built(log, ["k"], ["version", "part"], 1 << 14), "filters")
+    arrivals = t.customer.where("c_custkey % 50 = 7").select(F.col("c_custkey").alias("k")).union(t.orders.where("o_orderkey % 100 = 0").select(F.col("o_orderkey") + 10_000_000)).distinct()
+    new, parts = bloom.new_rows(arrivals, log, ["k"], filters, ["version", "part"], 1 << 14)
+    n = filters.select("version", "part").distinct().agg((F.lit(len(parts)) < 0.9 * F.count("*")).alias("part_of_the_log"))
+    return new.agg(F.count("*").alias("n_new")).join(n, F.lit(True))
+
+
+_DRAWN = """k AS (SELECT doc_id, lang, n_chars % 5 = 0 AS wrong, -ln((CAST(CAST('0x' || substr(md5(lang || '/' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0) AS x FROM documents),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY x, doc_id) AS r FROM k)"""
+
+
+@query(f"""WITH {_DRAWN}, g AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE wrong) AS errors FROM s WHERE r <= 40 GROUP BY lang), p AS (SELECT *, errors / n AS rate FROM g)
+SELECT lang, n, errors, round(rate, 8) AS rate, round(greatest(0.0, (rate + 3.8416 / (2 * n) - 1.96 * sqrt(rate * (1 - rate) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 8) AS low,
+round(least(1.0, (rate + 3.8416 / (2 * n) + 1.96 * sqrt(rate * (1 - rate) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 8) AS high FROM p""")
+def sampled_error_rates(t) -> DataFrame:
+    """Forty documents of each language, and the interval of the share of those that a check finds wrong."""
+    sample = layout.drawn(t.documents.select("doc_id", "lang", (F.col("n_chars") % 5 == 0).alias("wrong")), "lang", "doc_id", 40)
+    return layout.error_rates(sample, "lang", "wrong").select("lang", "n", "errors", *(F.round(c, 8).alias(c) for c in ("rate", "low", "high")))
+
+
+@query("""WITH k AS (SELECT doc_id, lang, -ln((CAST(CAST('0x' || substr(md5(lang || '/' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0) / n_chars AS x FROM documents WHERE n_chars > 0)
+SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY x, doc_id) AS r FROM k) WHERE r <= 25""")
+def weighted_sample(t) -> DataFrame:
+    return layout.drawn(t.documents, "lang", "doc_id", 25, "n_chars").select("doc_id", "lang")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_orderkey % 3 AS page, CAST(l_partkey % 1000 AS DOUBLE) AS x0, CAST(l_suppkey * 7 % 1000 AS DOUBLE) AS y0 FROM lineitem WHERE l_linenumber <= 2),
+t AS (SELECT s_suppkey % 3 AS page, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x0, CAST(s_suppkey * 91 % 1000 AS DOUBLE) AS y0, s_suppkey % 40 + 1.5 AS w FROM supplier)
+SELECT page, count(*) AS n_outside FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = b.page AND b.x0 < t.x0 + w AND t.x0 < b.x0 + 3 AND b.y0 < t.y0 + w AND t.y0 < b.y0 + 2) GROUP BY page""")
+def crowded_pages(t) -> DataFrame:
+    """One document of three pages that hold all blocks and tables: they are dealt to tiles."""
+    b = t.lineitem.where("l_linenumber <= 2").select(F.lit("d").alias("document_id"), (F.col("l_orderkey") % 3).alias("page"), (F.col("l_partkey") % 1000).cast("double").alias("x0"), (F.col("l_suppkey") * 7 % 1000).cast("double").alias("y0"))
+    s = t.supplier.select(F.lit("d").alias("document_id"), (F.col("s_suppkey") % 3).alias("page"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("x0"), (F.col("s_suppkey") * 91 % 1000).cast("double").alias("y0"), (F.col("s_suppkey") % 40 + 1.5).alias("w"))
+    blocks = b.withColumns({"x1": F.col("x0") + 3, "y1": F.col("y0") + 2})
+    found = elements.outside_tables(blocks, s.withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("w")}), crowded=1000)
+    return found.groupBy("page").agg(F.count("*").alias("n_outside"))

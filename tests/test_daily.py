@@ -91,3 +91,17 @@ def test_io(spark, tmp_path):
     assert rows(io.read_results(spark, f"{tmp_path}/*.json"), "arm", "document", "seconds") == [("manual", 1, 5), ("manual", 2, 7), ("tool", 1, 5), ("tool", 2, 7)]
     io.write_lines(spark.createDataFrame([('{"a":1}',)], "line string"), f"{tmp_path}/lines")
     assert spark.read.text(f"{tmp_path}/lines").first().value == '{"a":1}'
+
+
+def test_a_day_that_is_run_again(spark, tmp_path):
+    base = f"file://{tmp_path}/lake"
+    assert daily.run(spark, base, arrivals(spark), extractor(0.9), "2024-01-01") == 1
+    assert daily.run(spark, base, arrivals(spark), extractor(0.9), "2024-01-01") == 1  # nothing new, no version
+    more = arrivals(spark, ("d", "d.csv", "h3", "text/csv", 5))
+    assert daily.run(spark, base, more, extractor(0.9), "2024-01-01") == 2
+    assert rows(daily.metrics(spark, base), "run_date", "version", "bronze_count", "gold_count") == [("2024-01-01", 2, 2, 2)]
+    daily.staging_view(spark, base, "stg")
+    view = spark.table("stg")
+    assert len(view.columns) == 17 and rows(view, "document_id", "field_path", "source_page") == [("a", "/x", None), ("d", "/x", None)]
+    again = rows(daily.reproduced_all(spark, base), "version", "document_id", "record_json")
+    assert again == [(1, "a", '{"/x":"p1"}'), (2, "d", '{"/x":"p1"}')]
