@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -151,9 +152,10 @@ def paced_calls(docs: DataFrame, key: str, ask: Callable[[dict], str], lanes: in
                     at = time.time()
                     made.append((at, row["tokens"]))
                     answer = ask(row)
-                    with store.open_output_stream(file + ".part") as f:
+                    part = f"{file}.{uuid.uuid4().hex}"  # an attempt that is given up may still write
+                    with store.open_output_stream(part) as f:
                         f.write(answer.encode())
-                    store.move(file + ".part", file)
+                    store.move(part, file)
                 keys.append(row[key])
                 answers.append(answer)
                 asked.append(at)

@@ -89,6 +89,7 @@ def test_calls_are_held_to_their_limits(spark, tmp_path):
     run = lambda dies: extraction.paced_calls(docs, "document_id", ask(dies), 2, folder, 12, 1200, minute=2.0)
     with pytest.raises(Exception, match="lost"):
         run(True)[0].collect()
+    time.sleep(2.5)  # until the other lane has been stopped
     first = [x.split() for x in open(log)]
     open(log, "w").close()
     ended = time.time()
