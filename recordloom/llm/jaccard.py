@@ -31,7 +31,7 @@ from .shared import fresh, release_shuffles, row_key, text_or_empty, written, wr
 FRAGMENTS, ROUNDS, KEYS, HUBS = 4, 2, 3, 48
 #: Classes (16 bytes each) up to which the list of those left is broadcast to the scan of texts; beyond it, the join shuffles.
 BROADCAST_CLASSES = 500_000
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
