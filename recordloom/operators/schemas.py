@@ -84,20 +84,35 @@ def first_error(value: Column) -> Column:
 _CHECKED = ["types", "enum", "minimum", "maximum", "pattern", "bad_pattern", "min_length", "max_length"]
 
 
+#: Properties up to which a registry is sent to all tasks; a larger one is joined by shuffles.
+BROADCAST_PROPERTIES = 20_000
+
+
+def few(props: DataFrame) -> bool:
+    return props.limit(BROADCAST_PROPERTIES + 1).count() <= BROADCAST_PROPERTIES
+
+
 def judged(fields: DataFrame, props: DataFrame) -> DataFrame:
     """Fields (document_id, schema_name, schema_version, path, value) with keyword: what they break (additionalProperties if there is no such property and the object around it admits no others; malformedPattern for strings of a property whose pattern doesn't compile), null if nothing."""
     key = ["schema_name", "schema_version"]
     named = props.withColumnsRenamed({"name": "schema_name", "version": "schema_version"}).withColumn("bad_pattern", F.coalesce(~compiles(F.col("pattern")), F.lit(False))).withColumn("pattern", F.when(~F.col("bad_pattern"), F.col("pattern")))
     known = named.select(*key, "path", *(F.col(c).alias(f"_p_{c}") for c in _CHECKED), F.lit(True).alias("_known"))
-    # an unlisted path is for the nearest object around it that is listed (the top is) to admit
-    around = named.groupBy(*key).agg(F.collect_set("path").alias("_paths"), F.array_union(F.collect_set(F.when(F.col("open"), F.col("path"))), F.collect_set(F.when(F.col("additional") & (F.col("parent") == ""), F.lit("")))).alias("_open"))
     parts = F.split("path", "/")
     ancestors = F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    nearest = F.get(F.filter(ancestors, lambda x: (x == "") | F.array_contains("_paths", x)), F.lit(0))
-    joined = fields.join(F.broadcast(known), [*key, "path"], "left").join(F.broadcast(around), key, "left")
-    error = F.when(F.col("_known").isNull(), F.when(~F.coalesce(F.array_contains("_open", nearest), F.lit(False)), "additionalProperties")).otherwise(first_error(F.col("value")))
+    # an unlisted path is for the nearest object around it that is listed (the top is) to admit
+    if few(props):
+        around = named.groupBy(*key).agg(F.collect_set("path").alias("_paths"), F.array_union(F.collect_set(F.when(F.col("open"), F.col("path"))), F.collect_set(F.when(F.col("additional") & (F.col("parent") == ""), F.lit("")))).alias("_open"))
+        nearest = F.get(F.filter(ancestors, lambda x: (x == "") | F.array_contains("_paths", x)), F.lit(0))
+        joined = fields.join(F.broadcast(known), [*key, "path"], "left").join(F.broadcast(around), key, "left").withColumn("_admits", F.array_contains("_open", nearest))
+    else:
+        # a large registry: what admits each distinct unlisted path is found once, by joins
+        listed = named.select(*key, F.col("path").alias("_around"), "open").unionByName(named.where("parent = ''").groupBy(*key).agg(F.max("additional").alias("open")).withColumn("_around", F.lit("")))
+        unlisted = fields.select(*key, "path").distinct().join(known.select(*key, "path"), [*key, "path"], "left_anti")
+        nearest = unlisted.select(*key, "path", F.posexplode(ancestors).alias("_up", "_around")).join(listed, [*key, "_around"]).groupBy(*key, "path").agg(F.min_by("open", "_up").alias("_admits"))
+        joined = fields.join(known, [*key, "path"], "left").join(nearest, [*key, "path"], "left")
+    error = F.when(F.col("_known").isNull(), F.when(~F.coalesce("_admits", F.lit(False)), "additionalProperties")).otherwise(first_error(F.col("value")))
     # the keywords stand under their own names while they are judged
-    return joined.select(*fields.columns, "_known", "_paths", "_open", *(F.col(f"_p_{c}").alias(c) for c in _CHECKED)).withColumn("keyword", error).select(*fields.columns, "keyword", "_known")
+    return joined.select(*fields.columns, "_known", "_admits", *(F.col(f"_p_{c}").alias(c) for c in _CHECKED)).withColumn("keyword", error).select(*fields.columns, "keyword", "_known")
 
 
 def field_errors(fields: DataFrame, props: DataFrame) -> DataFrame:
@@ -109,7 +124,7 @@ def field_errors(fields: DataFrame, props: DataFrame) -> DataFrame:
 def required_paths(documents: DataFrame, fields: DataFrame, props: DataFrame) -> DataFrame:
     """document_id, path of the required properties of each document; those of an inner object only where the document has something in it."""
     need = props.where("required").select(F.col("name").alias("schema_name"), F.col("version").alias("schema_version"), "path", "parent")
-    all_ = documents.join(F.broadcast(need), ["schema_name", "schema_version"]).select("document_id", "path", "parent")
+    all_ = documents.join(F.broadcast(need) if few(need) else need, ["schema_name", "schema_version"]).select("document_id", "path", "parent")
     if not need.where("parent <> ''").limit(1).count():
         return all_.select("document_id", "path")
     parts = F.split("path", "/")

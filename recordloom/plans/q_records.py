@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.prefix import pinned
+from recordloom.functions.prefix import stored
 from recordloom.functions.values import to_array, to_boolean, to_number
 from recordloom.operators import elements, extraction, review, schemas
 from recordloom.plans.mapping import MERGED, PROPOSALS, REQUESTS, fields, proposals, requests
@@ -95,7 +95,7 @@ s AS (SELECT m.document_id, m.path, CASE WHEN path = '/returnflag' AND value NOT
 e AS (SELECT document_id, 'invalid_state' AS error FROM d WHERE state <> 'review' UNION ALL SELECT document_id, error FROM c WHERE error IS NOT NULL UNION ALL SELECT document_id, 'validation_error' FROM m WHERE is_conflict UNION ALL SELECT document_id, 'schema_validation' FROM s WHERE bad = 1)
 SELECT error, count(*) AS n, count(DISTINCT document_id) AS documents FROM e GROUP BY error""")
 def commit_gate(t) -> DataFrame:
-    m = pinned(fields(t).select("document_id", "path", "value", F.when(F.col("is_conflict"), "conflict").alias("validation_error"), (F.col("confidence") >= 0.9).alias("verified")))
+    m = stored(fields(t).select("document_id", "path", "value", F.when(F.col("is_conflict"), "conflict").alias("validation_error"), (F.col("confidence") >= 0.9).alias("verified")), "fields")
     errors = review.gate_errors(_documents(t), m, _props(t))
     return errors.groupBy("error").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"))
 
@@ -340,6 +340,20 @@ def nested_required(t) -> DataFrame:
     return schemas.missing_required(d, f, _nested_props(t))
 
 
+@query("""SELECT 's' || p_partkey AS schema_name, x.path, x.keyword FROM part, (VALUES ('/kind', 'maxLength'), ('/loose', 'additionalProperties'), ('/size/unit/deep', 'additionalProperties'), ('/size/n', 'maximum')) x(path, keyword)
+WHERE CASE x.path WHEN '/kind' THEN length(p_type) > 5 + p_partkey % 20 WHEN '/loose' THEN p_partkey % 2 = 0 WHEN '/size/unit/deep' THEN p_partkey % 3 = 0 ELSE p_size > p_partkey % 50 END""")
+def many_schemas(t) -> DataFrame:
+    """A schema for each part, three properties each; top and inner objects that admit others or not."""
+    k = F.col("p_partkey")
+    inner = F.format_string('{"type":"object","additionalProperties":%s,"properties":{"n":{"type":"integer","maximum":%d}}}', F.when(k % 3 == 0, "false").otherwise("true"), (k % 50).cast("int"))
+    body = F.format_string('{"additionalProperties":%s,"properties":{"kind":{"type":"string","maxLength":%d},"size":%s}}', F.when(k % 2 == 0, "false").otherwise("true"), (5 + k % 20).cast("int"), inner)
+    props = stored(schemas.properties(t.part.select(F.concat(F.lit("s"), k).alias("name"), F.lit(1).cast("long").alias("version"), body.alias("body"))), "properties")
+    one = lambda p, v: F.struct(F.lit(p).alias("path"), v.cast("string").alias("value"))
+    f = F.array(one("/kind", F.col("p_type")), one("/loose", k), one("/size/unit/deep", k), one("/size/n", F.col("p_size")))
+    fields_ = t.part.select(F.lit("d").alias("document_id"), F.concat(F.lit("s"), k).alias("schema_name"), F.lit(1).cast("long").alias("schema_version"), F.explode(f).alias("f")).select("document_id", "schema_name", "schema_version", "f.*")
+    return schemas.judged(fields_, props).where("keyword is not null").select("schema_name", "path", "keyword")
+
+
 @query("""WITH p AS (SELECT p_partkey, p_size, p_type, CASE WHEN p_size % 4 = 0 THEN '(' WHEN p_size % 4 = 1 THEN '[a-' ELSE '^[A-M]' END AS pattern FROM part)
 SELECT p_partkey AS document_id, CASE WHEN p_size % 4 < 2 THEN 'malformedPattern' ELSE 'pattern' END AS keyword, p_size % 4 < 2 AS registered_malformed FROM p WHERE p_size % 4 < 2 OR NOT regexp_matches(p_type, '^[A-M]')""")
 def pattern_validation(t) -> DataFrame:

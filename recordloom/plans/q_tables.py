@@ -131,7 +131,7 @@ SELECT 'range_confidence' AS check_name, CAST(document_id AS VARCHAR) AS subject
 UNION ALL SELECT 'threshold_quality_score', CAST(document_id AS VARCHAR) FROM g WHERE quality_score < 0.5
 UNION ALL SELECT 'orphan_document_id', CAST(document_id AS VARCHAR) FROM m WHERE document_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
 def gate_violations(t) -> DataFrame:
-    m = pinned(fields(t))
+    m = stored(fields(t).select("document_id", "confidence"), "fields")
     g = m.groupBy("document_id").agg(F.avg("confidence").alias("quality_score"))
     parents = t.orders.where("o_orderstatus <> 'P'")
     return quality.gate(quality.outside(m, "confidence", 0, 1, "document_id"), quality.below(g, "quality_score", 0.5, "document_id"), quality.orphans(m, parents, "document_id", "o_orderkey", "document_id"))

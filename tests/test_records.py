@@ -42,6 +42,17 @@ def test_properties_walk_as_deep_as_they_go(spark):
     assert sorted((r.name, r.path) for r in schemas.malformed(p).collect()) == [("s", "/a/b/c/d"), ("t", "/x")]
 
 
+def test_large_registries_are_joined(spark, monkeypatch):
+    p = props(spark)
+    f = fields(spark, {"/plate": "kl-7", "/axles": "1", "/owner/since": "x", "/owner/age": "4", "/owner/a/b": "4", "/tags/a/b": "free", "/tags": None, "/loose/x": "1"})
+    other = spark.createDataFrame([("e", "unknown", 1, "/x", "1")], f.schema)
+    told = lambda: sorted((r.document_id, r.path, r.keyword) for r in schemas.judged(f.unionByName(other), p).collect() if r.keyword)
+    missing = lambda: sorted(r.path for r in schemas.missing_required(f.select("document_id", "schema_name", "schema_version").distinct(), f, p).collect())
+    few = told(), missing()
+    monkeypatch.setattr(schemas, "BROADCAST_PROPERTIES", 1)
+    assert (told(), missing()) == few and ("e", "/x", "additionalProperties") in few[0] and ("d", "/tags/a/b", "additionalProperties") not in few[0]
+
+
 def test_patterns_that_do_not_compile(spark):
     body = '{"properties":{"a":{"type":"string","pattern":"("},"b":{"type":"string","pattern":"^[a-z]+$"},"c":{"pattern":"(?<x"}}}'
     p = schemas.properties(spark.createDataFrame([("s", 1, body)], "name string, version long, body string"))
