@@ -1,9 +1,8 @@
 """Operator 9: benchmark decontamination with a distributed positional inverted index.
 
 The index is dealt by documents: each shard holds, for every term of some documents, the sorted places at which it stands (counted through the shard's words; kept as differences). It is written as a table of one row for each shard and
-term. A test window is looked for in a shard by taking its terms from the rarest list there, shifting each list by the term's offset, and intersecting; an empty intersection or an absent term ends it. Windows
-go to the shards in blocks of at most BLOCK_WINDOWS, which bounds what each task is sent and what the driver holds, as the hits of a block are written before the next is read; all blocks meet all shards. Of the index a
-block reads the lists of its own terms only.
+term. Test windows are dealt by their rarest term, and meet the index's lists of it by a join: a shard is asked for the windows whose rarest term it has, takes their terms from the rarest list there, shifts each list by
+the term's offset, and intersects; an empty intersection or an absent term ends it. Windows come in blocks of at most BLOCK_WINDOWS, which bounds what each task is sent; none pass through the driver. Of the index a block reads the lists of its own terms only.
 
 With ``slack``, proximity: terms of a window in order with at most so many other words between neighbours. Places are carried from the rarest term to the last, and back to the first; every
 start counts, with its shortest match, all words of which are hit.
@@ -136,12 +135,21 @@ def find(lists: dict[str, np.ndarray], terms: list[str], slack: int = 0) -> np.n
 _NONE = np.zeros(0, np.int64)
 
 
-def search(index: DataFrame, block: list[tuple[int, list[str]]], slack: int = 0) -> DataFrame:
-    """shard, doc (in the shard), window, start, length: every occurrence of a block's windows, see ``matches``."""
+def asked_terms(apart: DataFrame, counts: DataFrame) -> DataFrame:
+    """term, windows: every term of the windows (window, terms) that documents have, all of them; at a window's rarest term stands the window itself. A window with a term that no document has is left out."""
+    each = apart.select("window", F.explode("terms").alias("term")).distinct().join(counts, "term", "left")
+    rarest = each.groupBy("window").agg(F.min(F.struct("n", "term")).alias("_r"), F.count_if(F.col("n").isNull()).alias("_absent")).where("_absent = 0").select("window", F.col("_r.term").alias("term"))
+    held = apart.join(rarest, "window")
+    at_rarest = held.groupBy("term").agg(F.collect_list(F.struct("window", "terms")).alias("windows"))
+    return held.select(F.explode("terms").alias("term")).distinct().join(at_rarest, "term", "left")
+
+
+def search(index: DataFrame, asked: DataFrame, slack: int = 0) -> DataFrame:
+    """shard, doc (in the shard), window, start, length: every occurrence of a block's windows, see ``matches``. A shard is asked for the windows whose rarest term it has. asked: see ``asked_terms``; at most BLOCK_WINDOWS windows and their terms are broadcast."""
 
     def run(own: pa.Table) -> pa.Table:
         shard = own.column("shard")[0].as_py()
-        rows = own.select(["term", "places", "n_words"]).to_pylist()
+        rows = own.select(["term", "places", "n_words", "windows"]).to_pylist()
         first = np.cumsum([0, *next(r["n_words"] for r in rows if r["term"] is None)])
 
         def decoded(places: bytes) -> np.ndarray:  # document << 32 | word
@@ -149,21 +157,23 @@ def search(index: DataFrame, block: list[tuple[int, list[str]]], slack: int = 0)
             doc = np.searchsorted(first, at, side="right") - 1
             return doc << 32 | at - first[doc]
 
-        lists = {r["term"]: decoded(r["places"]) for r in rows if r["term"] is not None}
+        packed, lists = {r["term"]: r["places"] for r in rows if r["term"] is not None}, {}
         docs, numbers, starts, lengths = [_NONE], [_NONE], [_NONE], [_NONE]
-        for number, terms in block:
-            if all(t in lists for t in terms):
-                found, length = matches(lists, terms, slack)
+        for w in chain.from_iterable(r["windows"] or () for r in rows):
+            if all(t in packed for t in w["terms"]):
+                for t in w["terms"]:
+                    if t not in lists:
+                        lists[t] = decoded(packed[t])
+                found, length = matches(lists, w["terms"], slack)
                 docs.append(found >> 32)
                 starts.append(found & 0xFFFFFFFF)
-                numbers.append(np.full(len(found), number, np.int64))
+                numbers.append(np.full(len(found), w["window"], np.int64))
                 lengths.append(length)
         docs = np.concatenate(docs)
         return pa.table({"shard": pa.array([shard] * len(docs), pa.string()), "doc": docs, "window": np.concatenate(numbers), "start": np.concatenate(starts), "length": np.concatenate(lengths)})
 
-    # at most BLOCK_WINDOWS times a window's words
-    asked = index.sparkSession.createDataFrame([(t,) for t in sorted({t for _, terms in block for t in terms})], "term string").withColumn("_asked", F.lit(True))
-    own = index.select("shard", "term", "places", "n_words").join(F.broadcast(asked), "term", "left").where("_asked or term is null")
+    asked = F.broadcast(asked.withColumn("_asked", F.lit(True)))
+    own = index.select("shard", "term", "places", "n_words").join(asked, "term", "left").where("_asked or term is null")
     return own.drop("_asked").groupBy("shard").applyInArrow(run, "shard string, doc long, window long, start long, length long")
 
 
@@ -172,16 +182,16 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_win
     kind = docs.schema["doc_id"].dataType.simpleString()
     owned = windows_of(items, length)
     owned = written(owned.select("item_id", "terms", F.xxhash64("terms").alias("window")), "windows")
-    apart = owned.groupBy("terms").agg(F.min("window").alias("window"))
+    apart = written(owned.groupBy("terms").agg(F.min("window").alias("window")), "apart")
     index = written(build_index(docs), "index", compression="zstd")
-    n_windows = apart.count()
-    n_blocks = max(1, -(-n_windows // block_windows))
+    wanted = apart.select(F.explode("terms").alias("term")).distinct()
+    counts = index.where("term is not null").select("term", F.octet_length("places").alias("_n")).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("_n").alias("n"))
+    n_blocks = max(1, -(-apart.count() // block_windows))
+    counts = written(counts, "counts")
     path = f"{shared_folder(docs.sparkSession)}/hits"
-    for k in range(n_blocks):  # a block's hits are written before the next block is collected
-        block = [(r.window, list(r.terms)) for r in apart.where(F.pmod(F.hash("terms"), F.lit(n_blocks)) == k).toLocalIterator()]
-        found = search(index, block, slack)
+    for k in range(n_blocks):
+        found = search(index, asked_terms(apart.where(F.pmod(F.hash("terms"), F.lit(n_blocks)) == k), counts), slack)
         found.write.mode("append").parquet(path)
-        del block
     hits = docs.sparkSession.read.schema(found.schema).parquet(path)
     items_of = owned.where("item_id is not null").select("window", "item_id").distinct()
     by_item = hits.select("shard", "doc", "window").distinct().join(items_of, "window").groupBy("shard", "doc").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
