@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pretoken import pieces
-from .shared import text_or_empty, without_collector
+from .shared import release_memory, text_or_empty, without_collector
 
 #: Arcs of the transducer, pieces, and arcs of the decoder that a worker keeps.
 KEPT_ARCS, KEPT_PIECES, KEPT_DECODED = 250_000, 300_000, 200_000
@@ -252,7 +252,7 @@ def _decimals(n: int) -> list[str]:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id_col, kept columns, ids (array of int) and decoded (the text that the ids decode to)."""
+    """Per row: id_col, kept columns, ids (array of int) and decoded (the text that the ids decode to). A task gives back its transducer's memory."""
 
     def run(batches):
         own = coder(ranks_path, pattern)
@@ -260,6 +260,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             ids = [own.encode(t) for t in b.column(len(b.column_names) - 1).to_pylist()]
             decoded = ["".join(own.decode_stream(x)) for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*b.column_names[:-1], "ids", "decoded"])
+        del own
+        coder.cache_clear()
+        release_memory()
 
     src = docs.select(id_col, *keep, text_or_empty(text_col).alias("_bpe_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])

@@ -57,6 +57,19 @@ def without_collector(batches):
             gc.enable()
 
 
+def release_memory() -> None:
+    """Give back to the system what this worker has freed: workers outlive their tasks, and the next stage's need room beside them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
