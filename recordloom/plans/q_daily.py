@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators import extraction
+from recordloom.operators import extraction, layout
 from recordloom.plans import daily
 from recordloom.plans.registry import query
 from recordloom.session import scratch
@@ -97,3 +97,36 @@ def gold_versions(t) -> DataFrame:
     """The records of all gold versions made again in one pass from the silver versions that they name."""
     again = daily.reproduced_all(t.spark, _runs(t))
     return again.select("version", "document_id", "record_json", F.round("quality_score", 8).alias("quality_score"))
+
+
+@query("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, sha256(coalesce(text, '')) AS h, lang FROM documents), k AS (SELECT h, min(document_id) AS document_id FROM d WHERE lang <> 'fr' GROUP BY h)
+SELECT 'threshold_quality_score' AS check_name, document_id AS subject, 0 AS published FROM k WHERE CAST(document_id AS BIGINT) % 10 = 0""")
+def gate_outcome(t) -> DataFrame:
+    """A run whose gate finds records of low quality: it names them, and nothing is published."""
+    base, d = f"{scratch(t.spark)}/daily/{uuid.uuid4().hex}", _documents(t).where("lang <> 'fr'")
+    arrivals = d.select("document_id", "content_hash", F.lit("f").alias("filename"), F.lit("text/plain").alias("mime"), "size_bytes")
+    proposals = lambda docs: docs.select("document_id", F.lit(1).alias("section"), F.lit("/x").alias("path"), F.lit("v").alias("value"), F.when(F.col("document_id").cast("long") % 10 == 0, 0.2).otherwise(0.9).alias("confidence"), F.lit("p").alias("prompt_hash"), F.lit(0.0).alias("cost"))
+    try:
+        daily.run(t.spark, base, arrivals, proposals, DAYS[0])
+    except daily.Rejected:
+        pass
+    n = 0 if io.published(t.spark, base) is None else 1
+    return t.spark.read.parquet(f"{base}/gate").select("check_name", "subject", F.lit(n).alias("published"))
+
+
+@query("""SELECT 'bronze' AS layer, 8 AS files_after, 'done' AS status, count(*) AS n_rows, true AS pruned FROM documents UNION ALL SELECT 'silver', 8, 'done', count(*), true FROM lineitem
+UNION ALL SELECT 'gold', 0, 'skipped: PATH_NOT_FOUND', 0, true""")
+def layers_compacted(t) -> DataFrame:
+    """All layers rewritten along their own string columns, one that doesn't exist yet skipped: a single value of the first column may be in a quarter of the files at most."""
+    base, to = (f"{scratch(t.spark)}/lake/{uuid.uuid4().hex}" for _ in range(2))
+    _documents(t).select("document_id", "content_hash").repartition(20).write.parquet(f"{base}/bronze")
+    t.lineitem.select(F.concat(F.lit("doc-"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0")).alias("document_id"), F.col("l_returnflag").alias("schema_name")).repartition(30).write.parquet(f"{base}/silver")
+    orders = {"bronze": ["content_hash"], "silver": ["document_id"], "gold": ["document_id"]}
+    done, found = daily.compacted(t.spark, base, to, orders), None
+    for layer in ("bronze", "silver"):
+        table, c = t.spark.read.parquet(f"{to}/{layer}"), orders[layer][0]
+        one = table.agg(F.max(c)).first()[0]
+        row = layout.admitting(table, {layer: {c: (one, one)}}).join(table.agg(F.count("*").alias("n_rows")), F.lit(True))
+        found = row if found is None else found.unionByName(row)
+    judged = found.select(F.col("predicate").alias("layer"), "n_rows", (F.col("admitted") * 4 <= F.col("files")).alias("pruned"))
+    return done.join(judged, "layer", "left").select("layer", F.col("files_after").cast("int").alias("files_after"), "status", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), F.coalesce("pruned", F.lit(True)).alias("pruned"))

@@ -304,3 +304,35 @@ def crowded_pages(t) -> DataFrame:
     blocks = b.withColumns({"x1": F.col("x0") + 3, "y1": F.col("y0") + 2})
     found = elements.outside_tables(blocks, s.withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("w")}), crowded=1000)
     return found.groupBy("page").agg(F.count("*").alias("n_outside"))
+
+
+@query("SELECT o_orderstatus AS part, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS with_hash, count(*) FILTER (WHERE o_orderstatus = 'P') AS with_page FROM orders GROUP BY 1")
+def schema_evolution(t) -> DataFrame:
+    """A silver layer whose later files have columns that the earlier ones lack, and lack some of theirs."""
+    base = f"{scratch(t.spark)}/layers/{uuid.uuid4().hex}"
+    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("part"))
+    io.write_layer(rows.where("part = 'F'"), base, "silver")
+    rows.where("part = 'O'").withColumn("prompt_hash", F.lit("p")).write.mode("append").parquet(f"{base}/silver")
+    rows.where("part = 'P'").withColumn("source_page", F.lit(1)).write.mode("append").parquet(f"{base}/silver")
+    return io.read_layer(t.spark, base, "silver").groupBy("part").agg(F.count("*").alias("n"), F.count("prompt_hash").alias("with_hash"), F.count("source_page").alias("with_page"))
+
+
+@query("SELECT sha256('supplier of ' || s_nationkey || chr(10) || s_name || chr(10)) AS content_hash, CAST(strlen('supplier of ' || s_nationkey) + strlen(s_name) + 2 AS BIGINT) AS size_bytes FROM supplier")
+def binary_documents(t) -> DataFrame:
+    """A file for each supplier, found by its extension beside files of another."""
+    folder = f"{scratch(t.spark)}/files/{uuid.uuid4().hex}"
+    lines = t.supplier.select("s_suppkey", F.explode(F.array(F.concat(F.lit("supplier of "), "s_nationkey"), F.col("s_name"))).alias("line"))
+    one = lines.groupBy("s_suppkey").agg(F.concat_ws("\n", F.sort_array(F.collect_list("line"), False)).alias("value"))
+    one.select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/text")
+    t.region.select("r_name").write.csv(f"{folder}/other")
+    return io.read_documents(t.spark, folder, "*.txt").select("content_hash", "size_bytes")
+
+
+@query("SELECT c_mktsegment AS arm, c_custkey AS document, c_acctbal AS seconds FROM customer UNION ALL SELECT 'all', count(*), round(sum(c_acctbal), 2) FROM customer")
+def results_json(t) -> DataFrame:
+    """Evaluation results in JSON files of at most a thousand each, read by arm, and all arms together."""
+    folder = f"{scratch(t.spark)}/results/{uuid.uuid4().hex}"
+    results = F.collect_list(F.struct(F.col("c_custkey").alias("document"), F.col("c_acctbal").alias("seconds"))).alias("results")
+    t.customer.groupBy(F.col("c_mktsegment").alias("arm"), F.floor(F.col("c_custkey") / 1000).alias("k")).agg(results).drop("k").write.option("maxRecordsPerFile", 1).json(folder)
+    read = io.read_results(t.spark, f"{folder}/*.json").select("arm", "document", "seconds")
+    return read.unionByName(read.agg(F.lit("all").alias("arm"), F.count("*").alias("document"), F.round(F.sum("seconds"), 2).alias("seconds")))
