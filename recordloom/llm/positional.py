@@ -51,7 +51,7 @@ def windows_of(items: DataFrame, length: int) -> DataFrame:
 
 
 def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """shard, term, places (differences of sorted places, int32); a row with null term has the shard's doc_ids and n_words."""
+    """shard, term, places (differences of sorted places, int32), n (how many); a row with null term has the shard's doc_ids and n_words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -76,8 +76,9 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
             terms = coded.dictionary.take(pa.array(by_name))
             return pa.RecordBatch.from_arrays(
                 [pa.array([f"{part}-{seq}"] * (m + 1), pa.string()), pa.concat_arrays([terms, pa.nulls(1, pa.string())]), pa.concat_arrays([lists, pa.nulls(1, pa.binary())]),
-                 pa.concat_arrays([pa.nulls(m, pa.list_(id_type)), pa.array([ids], pa.list_(id_type))]), pa.concat_arrays([pa.nulls(m, pa.list_(pa.int64())), pa.array([list(map(len, found))], pa.list_(pa.int64()))])],
-                ["shard", "term", "places", "doc_ids", "n_words"],
+                 pa.concat_arrays([pa.nulls(m, pa.list_(id_type)), pa.array([ids], pa.list_(id_type))]), pa.concat_arrays([pa.nulls(m, pa.list_(pa.int64())), pa.array([list(map(len, found))], pa.list_(pa.int64()))]),
+                 pa.array(np.append(np.diff(ends, prepend=0), len(code)), pa.int64())],
+                ["shard", "term", "places", "doc_ids", "n_words", "n"],
             )
 
         for b in batches:
@@ -93,7 +94,7 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
             yield closed()
 
     src = docs.select("doc_id", text_or_empty().alias("_text"))
-    return src.mapInArrow(run, f"shard string, term string, places binary, doc_ids array<{kind}>, n_words array<long>")
+    return src.mapInArrow(run, f"shard string, term string, places binary, doc_ids array<{kind}>, n_words array<long>, n long")
 
 
 def _within(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -185,7 +186,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_win
     apart = written(owned.groupBy("terms").agg(F.min("window").alias("window")), "apart")
     index = written(build_index(docs), "index", compression="zstd")
     wanted = apart.select(F.explode("terms").alias("term")).distinct()
-    counts = index.where("term is not null").select("term", F.octet_length("places").alias("_n")).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("_n").alias("n"))
+    counts = index.where("term is not null").select("term", "n").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
     n_blocks = max(1, -(-apart.count() // block_windows))
     counts = written(counts, "counts")
     path = f"{shared_folder(docs.sparkSession)}/hits"
