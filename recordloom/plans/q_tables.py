@@ -77,16 +77,16 @@ def upsert_conditional(t) -> DataFrame:
     return tables.upsert_when_changed(*_status_tables(t), ["document_id", "path"], "prompt_hash")
 
 
-_SEVERAL = """SELECT l_orderkey AS document_id, '/status' AS path, l_linestatus AS value, CAST(l_linenumber AS VARCHAR) AS prompt_hash FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1"""
+_SEVERAL = """SELECT l_orderkey AS document_id, '/status' AS path, l_linestatus AS value, CAST(l_linenumber AS VARCHAR) AS prompt_hash FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_linestatus) = 1"""
 
 
 @query(f"""WITH {_STATUS}, i AS ({_SEVERAL}), m AS (SELECT o.document_id AS od, i.document_id AS id, coalesce(o.document_id, i.document_id) AS document_id, coalesce(o.path, i.path) AS path, o.value AS ov, i.value AS iv, o.prompt_hash AS oh, i.prompt_hash AS ih FROM o FULL JOIN i ON o.document_id = i.document_id AND o.path = i.path)
 SELECT document_id, path, CASE WHEN od IS NULL OR (id IS NOT NULL AND (oh IS NULL OR oh <> ih)) THEN iv ELSE ov END AS value, CASE WHEN od IS NULL OR (id IS NOT NULL AND (oh IS NULL OR oh <> ih)) THEN ih ELSE oh END AS prompt_hash FROM m""")
 def upsert_latest_of_several(t) -> DataFrame:
-    """Several incoming rows of a key: the one of the last shipping date (and greatest line) counts."""
+    """Several incoming rows of a key: the one of the last shipping date counts, of these that of the greatest line, of these the least value."""
     old, _ = _status_tables(t)
     incoming = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.lit("/status").alias("path"), F.col("l_linestatus").alias("value"), F.col("l_linenumber").cast("string").alias("prompt_hash"), "l_shipdate", "l_linenumber")
-    late = [-F.unix_micros(F.col("l_shipdate").cast("timestamp")), -F.col("l_linenumber")]
+    late = [-F.unix_micros(F.col("l_shipdate").cast("timestamp")), -F.col("l_linenumber"), F.col("value")]
     one = tables.one_per_key(incoming, ["document_id", "path"], late)
     return tables.upsert_when_changed(old, one.select("document_id", "path", "value", "prompt_hash"), ["document_id", "path"], "prompt_hash")
 
