@@ -61,12 +61,17 @@ def failed_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
     return answers.where(whole.isNull() | ~F.schema_of_variant(whole).startswith("OBJECT")).withColumn("reason", F.when(whole.isNull(), "not_json").otherwise("not_an_object"))
 
 
-def merged_proposals(proposals: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the value of highest confidence (ties: first in ``order``). Different values are a conflict: confidence is capped, and all values are kept."""
+def merged_proposals(proposals: DataFrame, keys: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row for each key: the value of highest confidence (ties: first in ``order``, then the least value). Different values (null is one) are a conflict: confidence is capped, and all values are kept.
+    With ``by``, a part of the keys, rows are dealt once by it, and what later goes by it (records, gates, reviews) needs no further shuffle; its rows meet in one task, which sorts them and may spill. Without, equal keys are combined before the shuffle."""
+    dealt = proposals.repartition(*by) if by else proposals
     # least of the struct: highest confidence first, nulls last
     best = F.min(F.struct(F.col("confidence").isNull(), -F.coalesce("confidence", F.lit(0.0)), *order, F.col("value").alias("_value"), F.col("confidence").alias("_confidence")))
-    grouped = proposals.groupBy(*keys).agg(best.alias("_b"), F.count("*").alias("n_proposals"), F.array_sort(F.collect_set("value")).alias("candidates"), F.max(F.col("value").isNull()).alias("_nulls"))
-    conflict = F.size("candidates") + F.col("_nulls").cast("int") > 1
+    # a conflict shows in the least and greatest value, so that the sets are made only where they are read
+    grouped = dealt.groupBy(*keys).agg(
+        best.alias("_b"), F.count("*").alias("n_proposals"), F.array_sort(F.collect_set("value")).alias("candidates"), F.min("value").alias("_least"), F.max("value").alias("_most"), F.count("value").alias("_known")
+    )
+    conflict = F.col("_least").isNotNull() & ((F.col("_least") != F.col("_most")) | (F.col("_known") < F.col("n_proposals")))
     return grouped.select(*keys, F.col("_b._value").alias("value"), F.when(conflict, F.least("_b._confidence", F.lit(CONFLICT_CAP))).otherwise(F.col("_b._confidence")).alias("confidence"), "n_proposals", conflict.alias("is_conflict"), "candidates")
 
 

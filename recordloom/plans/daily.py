@@ -51,7 +51,7 @@ def run(spark: SparkSession, base: str, arrivals: DataFrame, extract: Callable[[
     todo = new if again is None else new.unionByName(table.join(again.select("document_id").distinct(), "document_id", "left_semi").select(*new.columns)).dropDuplicates(["document_id"])
     todo = layout.by_salt(todo, "size_bytes", "content_hash")  # documents are dealt by their sizes before they are extracted
     proposals = extract(todo)
-    merged = extraction.merged_proposals(proposals, ["document_id", "path"], ["section"])
+    merged = extraction.merged_proposals(proposals, ["document_id", "path"], ["section"], ["document_id"])
     spent = proposals.groupBy("document_id", "path").agg(F.min("prompt_hash").alias("prompt_hash"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"))
     silver_rows = merged.join(spent, ["document_id", "path"]).join(todo.select("document_id", "content_hash", "schema_name", "schema_version"), "document_id").select(
         F.concat_ws(":", "document_id", "path").alias("field_id"), "document_id", "content_hash", "path", "value", "confidence", "n_proposals", "is_conflict", "schema_name", "schema_version", F.lit(run_date).cast("timestamp").alias("extracted_at"), "cost", "prompt_hash",

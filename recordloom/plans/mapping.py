@@ -28,7 +28,7 @@ m AS (SELECT document_id, path, max(value) FILTER (WHERE k = 1) AS value, CASE W
 def fields(t) -> DataFrame:
     from recordloom.operators.extraction import merged_proposals
 
-    return merged_proposals(proposals(t), ["document_id", "path"], ["section"])
+    return merged_proposals(proposals(t), ["document_id", "path"], ["section"], ["document_id"])
 
 
 def bronze(t, run_date: str = "2024-01-31") -> DataFrame:
