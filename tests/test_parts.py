@@ -104,3 +104,14 @@ def test_calls_are_held_to_their_limits(spark, tmp_path):
     assert {k for k, (_, at) in out.items() if at is None} == answered
     times = sorted(float(x[1]) for x in second)
     assert all(times[k + 12] - times[k] >= 2.0 - 0.2 for k in range(len(times) - 12))
+
+
+def test_partitions_are_bounded_by_cores_and_bytes(spark, monkeypatch):
+    most = layout.PARTITIONS_A_CORE * spark.sparkContext.defaultParallelism
+    small = spark.range(3000).select("id", F.lit(100).alias("n"))
+    assert layout.by_salt(small, "n", "id").rdd.getNumPartitions() == most < 1000
+    assert layout.by_salt(small.limit(15), "n", "id").rdd.getNumPartitions() == 5
+    assert layout.by_salt(small.limit(0), "n", "id").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(layout, "PARTITION_BYTES", 3000)
+    assert layout.by_salt(small, "n", "id").rdd.getNumPartitions() == 100
+    assert layout.by_salt(small, "n", "id").count() == 3000
