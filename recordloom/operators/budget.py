@@ -28,9 +28,9 @@ def oversize(requests: DataFrame, tpm: float = TOKENS_A_MINUTE) -> DataFrame:
     return requests.where(F.col("tokens") > tpm).withColumn("reason", F.lit("oversize_request"))
 
 
-def token_slots(requests: DataFrame, order: list[str], rpm: float = REQUESTS_A_MINUTE, tpm: float = TOKENS_A_MINUTE) -> DataFrame:
-    """start_s, the earliest second at which both full buckets let a request through, and its minute."""
-    ok = requests.where(F.col("tokens") <= tpm).withColumn("_one", F.lit(1))
+def token_slots(requests: DataFrame, order: list[str], rpm: float = REQUESTS_A_MINUTE, tpm: float = TOKENS_A_MINUTE, debts: bool = False) -> DataFrame:
+    """start_s, the earliest second at which both full buckets let a request through, and its minute. Requests that no bucket can hold are left out (see ``oversize``); with ``debts`` they start once the refill since the beginning has covered them."""
+    ok = requests.where(F.lit(True) if debts else F.col("tokens") <= tpm).withColumn("_one", F.lit(1))
     summed = running_sums(ok, order, {"_cum_requests": "_one", "_cum_tokens": "tokens"})
     start = _start(F.col("_cum_requests"), F.col("_cum_tokens"), rpm, tpm)
     return summed.withColumn("start_s", start).withColumn("minute", F.floor(F.col("start_s") / 60)).drop("_one", "_cum_requests", "_cum_tokens")
@@ -74,9 +74,9 @@ def laned(requests: DataFrame, key: str, lanes: int) -> DataFrame:
     return requests.withColumn("lane", F.pmod(number, F.lit(lanes)))
 
 
-def lane_slots(requests: DataFrame, key: str, order: list[str], lanes: int, rpm: float = REQUESTS_A_MINUTE, tpm: float = TOKENS_A_MINUTE) -> DataFrame:
-    """Each lane has its share of the limits: start_s of the requests that a lane's bucket can hold; see ``lane_oversize`` for the others. However few lanes there are, the sums run over ranges of their orders."""
-    ok = laned(requests, key, lanes).where(F.col("tokens") <= tpm / lanes).withColumn("_one", F.lit(1))
+def lane_slots(requests: DataFrame, key: str, order: list[str], lanes: int, rpm: float = REQUESTS_A_MINUTE, tpm: float = TOKENS_A_MINUTE, debts: bool = False) -> DataFrame:
+    """Each lane has its share of the limits: start_s of the requests that a lane's bucket can hold; see ``lane_oversize`` for the others. With ``debts`` these start too, once the refill since the beginning has covered them. However few lanes there are, the sums run over ranges of their orders."""
+    ok = laned(requests, key, lanes).where(F.lit(True) if debts else F.col("tokens") <= tpm / lanes).withColumn("_one", F.lit(1))
     summed = running_sums(ok, order, {"_cum_requests": "_one", "_cum_tokens": "tokens"}, by=["lane"])
     return summed.withColumn("start_s", _start(F.col("_cum_requests"), F.col("_cum_tokens"), rpm / lanes, tpm / lanes)).drop("_one", "_cum_requests", "_cum_tokens")
 

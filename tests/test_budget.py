@@ -66,3 +66,13 @@ def test_products_are_associative():
     for k, p in enumerate(maxplus.running_products(m)):
         one = maxplus.product(m[k], one) if k else m[0]
         assert np.allclose(p, one)
+
+
+def test_debts_keep_requests_that_no_bucket_holds(spark, tmp_path):
+    from recordloom.plans.catalog import queries
+
+    spark.createDataFrame([(4, 300, 2), (8, 140_000, 2), (12, 300, 2), (16, 1_700_000, 2), (17, 300, 2)], "doc_id long, n_chars long, x int").write.parquet(f"{tmp_path}/documents.parquet")
+    seconds = lambda n: max(0.0, round((n - 25_000) / (25_000 / 60), 6))
+    lanes = {r.request_id: (r.lane, r.start_s) for r in queries()["lane_slots"](spark, str(tmp_path)).collect()}
+    assert lanes == {4: (0, 0.0), 8: (0, seconds(575 + 35_500)), 12: (0, seconds(2 * 575 + 35_500)), 16: (0, seconds(2 * 575 + 35_500 + 425_500)), 17: (1, 0.0)}
+    assert sorted(r.request_id for r in queries()["token_slots"](spark, str(tmp_path)).collect()) == [4, 8, 12, 16, 17]
