@@ -88,6 +88,11 @@ _CHECKED = ["types", "enum", "minimum", "maximum", "pattern", "bad_pattern", "mi
 BROADCAST_PROPERTIES = 20_000
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """For a join: a table that grows with the input is never sent to all tasks through the driver, however small its compressed files or its estimate are."""
+    return df.hint("merge")
+
+
 def few(props: DataFrame) -> bool:
     return props.limit(BROADCAST_PROPERTIES + 1).count() <= BROADCAST_PROPERTIES
 
@@ -107,9 +112,9 @@ def judged(fields: DataFrame, props: DataFrame) -> DataFrame:
     else:
         # a large registry: what admits each distinct unlisted path is found once, by joins
         listed = named.select(*key, F.col("path").alias("_around"), "open").unionByName(named.where("parent = ''").groupBy(*key).agg(F.max("additional").alias("open")).withColumn("_around", F.lit("")))
-        unlisted = fields.select(*key, "path").distinct().join(known.select(*key, "path"), [*key, "path"], "left_anti")
-        nearest = unlisted.select(*key, "path", F.posexplode(ancestors).alias("_up", "_around")).join(listed, [*key, "_around"]).groupBy(*key, "path").agg(F.min_by("open", "_up").alias("_admits"))
-        joined = fields.join(known, [*key, "path"], "left").join(nearest, [*key, "path"], "left")
+        unlisted = fields.select(*key, "path").distinct().join(by_shuffle(known.select(*key, "path")), [*key, "path"], "left_anti")
+        nearest = unlisted.select(*key, "path", F.posexplode(ancestors).alias("_up", "_around")).join(by_shuffle(listed), [*key, "_around"]).groupBy(*key, "path").agg(F.min_by("open", "_up").alias("_admits"))
+        joined = fields.join(by_shuffle(known), [*key, "path"], "left").join(by_shuffle(nearest), [*key, "path"], "left")
     error = F.when(F.col("_known").isNull(), F.when(~F.coalesce("_admits", F.lit(False)), "additionalProperties")).otherwise(first_error(F.col("value")))
     # the keywords stand under their own names while they are judged
     return joined.select(*fields.columns, "_known", "_admits", *(F.col(f"_p_{c}").alias(c) for c in _CHECKED)).withColumn("keyword", error).select(*fields.columns, "keyword", "_known")
@@ -124,20 +129,20 @@ def field_errors(fields: DataFrame, props: DataFrame) -> DataFrame:
 def required_paths(documents: DataFrame, fields: DataFrame, props: DataFrame) -> DataFrame:
     """document_id, path of the required properties of each document; those of an inner object only where the document has something in it."""
     need = props.where("required").select(F.col("name").alias("schema_name"), F.col("version").alias("schema_version"), "path", "parent")
-    all_ = documents.join(F.broadcast(need) if few(need) else need, ["schema_name", "schema_version"]).select("document_id", "path", "parent")
+    all_ = documents.join(F.broadcast(need) if few(need) else by_shuffle(need), ["schema_name", "schema_version"]).select("document_id", "path", "parent")
     if not need.where("parent <> ''").limit(1).count():
         return all_.select("document_id", "path")
     parts = F.split("path", "/")
     around = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     inside = fields.where(F.size(parts) > 2).select("document_id", F.explode(around).alias("parent")).distinct()
-    return all_.where("parent = ''").unionByName(all_.where("parent <> ''").join(inside, ["document_id", "parent"], "left_semi").select(*all_.columns)).select("document_id", "path")
+    return all_.where("parent = ''").unionByName(all_.where("parent <> ''").join(by_shuffle(inside), ["document_id", "parent"], "left_semi").select(*all_.columns)).select("document_id", "path")
 
 
 def missing_required(documents: DataFrame, fields: DataFrame, props: DataFrame) -> DataFrame:
     """document_id, path of required properties without a value (an inner object has one if something in it has)."""
     parts = F.split("path", "/")
     have = fields.where("value is not null").select("document_id", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"))
-    return required_paths(documents, fields, props).join(have, ["document_id", "path"], "left_anti")
+    return required_paths(documents, fields, props).join(by_shuffle(have), ["document_id", "path"], "left_anti")
 
 
 def coerced(value: Column, type_: Column) -> Column:

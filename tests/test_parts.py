@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions.prefix import carried
-from recordloom.operators import bloom, elements, extraction, layout, tables
+from recordloom.operators import bloom, elements, extraction, layout, schemas, tables
 
 
 @pytest.mark.parametrize("bits", [64, 1 << 14])
@@ -115,3 +115,16 @@ def test_partitions_are_bounded_by_cores_and_bytes(spark, monkeypatch):
     monkeypatch.setattr(layout, "PARTITION_BYTES", 3000)
     assert layout.by_salt(small, "n", "id").rdd.getNumPartitions() == 100
     assert layout.by_salt(small, "n", "id").count() == 3000
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(schemas, "BROADCAST_PROPERTIES", 1)
+    body = '{"properties":{"a":{"type":"integer"},"b":{"required":["c"],"properties":{"c":{"type":"string"}}}},"required":["a","b"]}'
+    props = schemas.properties(spark.createDataFrame([(f"s{i}", 1, body) for i in range(3)], "name string, version long, body string"))
+    docs = spark.createDataFrame([(i, f"s{i}", 1) for i in range(3)], "document_id long, schema_name string, schema_version long")
+    fields = docs.withColumn("f", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit("x").alias("value")) for p in ("/a", "/b/d", "/z"))))).select(*docs.columns, "f.*")
+    judged, missing = schemas.judged(fields, props), schemas.missing_required(docs, fields, props)
+    for df in (judged, missing):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted({(r.path, r.keyword) for r in judged.collect()}) == [("/a", "type"), ("/b/d", None), ("/z", "additionalProperties")]
+    assert sorted((r.document_id, r.path) for r in missing.collect()) == [(i, "/b/c") for i in range(3)]
