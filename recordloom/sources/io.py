@@ -70,10 +70,22 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.{pdf,csv}
     return b.select("path", "content", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"))
 
 
-def read_results(spark: SparkSession, pattern: str) -> DataFrame:
-    """Evaluation results: JSON files with a list ``results``, one row for each."""
-    return spark.read.option("multiLine", "true").json(pattern).select("arm", F.explode("results").alias("r")).select("arm", "r.*")
+def read_results(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
+    """Evaluation results: JSON files with a list ``results``, one row for each. Without a ``schema`` Spark first reads all files to find one, and small files in one task."""
+    reader = spark.read.option("multiLine", "true")
+    return (reader if schema is None else reader.schema(schema)).json(pattern).select("arm", F.explode("results").alias("r")).select("arm", "r.*")
 
 
 def write_lines(lines: DataFrame, folder: str, column: str = "line") -> None:
     lines.select(column).write.mode("overwrite").text(folder)
+
+
+#: Files that a task of ``write_each`` makes, about.
+FILES_A_TASK = 500
+
+
+def write_each(df: DataFrame, folder: str, kind: str, drop: list[str]) -> None:
+    """A text or JSON file for each row, in a new folder. Tasks grow in number with the files (small rows would else meet in one task, which makes them one after the other), and each moves its own files to their places, not the driver all of them; the columns ``drop`` say where rows go and aren't written."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // FILES_A_TASK)
+    w = df.repartition(tasks, *drop).drop(*drop).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    w.format(kind).save(folder)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.prefix import carried
 from recordloom.operators import bloom, elements, extraction, layout, schemas, tables
+from recordloom.sources import io
 
 
 @pytest.mark.parametrize("bits", [64, 1 << 14])
@@ -128,3 +129,13 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted({(r.path, r.keyword) for r in judged.collect()}) == [("/a", "type"), ("/b/d", None), ("/z", "additionalProperties")]
     assert sorted((r.document_id, r.path) for r in missing.collect()) == [(i, "/b/c") for i in range(3)]
+
+
+def test_small_files_are_made_and_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "FILES_A_TASK", 5)
+    rows = spark.range(60).select("id", F.lit("a").alias("arm"), F.array(F.struct(F.col("id").alias("document"), F.lit(1.5).alias("seconds"))).alias("results"))
+    io.write_each(rows, f"{tmp_path}/out", "json", ["id"])
+    files = [f for f in os.listdir(f"{tmp_path}/out") if f.endswith(".json")]
+    assert len(files) == 60 and len({f.split("-")[1] for f in files}) > 6
+    back = io.read_results(spark, f"{tmp_path}/out", "arm string, results array<struct<document: long, seconds: double>>")
+    assert sorted(r.document for r in back.collect()) == list(range(60))
