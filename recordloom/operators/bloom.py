@@ -25,18 +25,19 @@ def merged(filters: DataFrame, parts: list[str]) -> DataFrame:
     return filters.groupBy(*parts, "word").agg(F.bit_or("ones").alias("ones"))
 
 
-def may_hold(rows: DataFrame, keys: list[str], filters: DataFrame, parts: list[str], bits: int = BITS, places: int = PLACES) -> DataFrame:
-    """The distinct keys with each part whose filter doesn't rule them out. Null keys are never held."""
+def may_hold(rows: DataFrame, keys: list[str], filters: DataFrame, parts: list[str], bits: int = BITS, places: int = PLACES, dealt: dict[str, Column] | None = None) -> DataFrame:
+    """The distinct keys with each part whose filter doesn't rule them out. Null keys are never held. ``dealt``: columns of ``parts`` that follow from the key; a key is then asked of the filters of its own parts alone, not of all."""
+    dealt = dealt or {}
     known = rows.select(*keys).dropna().distinct()
-    asked = known.select(*keys, F.posexplode(_places(keys, bits, places)).alias("_i", "_at")).withColumn("word", F.floor(F.col("_at") / 64))
+    asked = known.select(*keys, *(c.alias(n) for n, c in dealt.items()), F.posexplode(_places(keys, bits, places)).alias("_i", "_at")).withColumn("word", F.floor(F.col("_at") / 64))
     hit = F.call_function("shiftright", F.col("ones"), (F.col("_at") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    found = asked.join(filters, "word").where(hit).groupBy(*keys, *parts).agg(F.count("*").alias("_n"))
+    found = asked.join(filters, ["word", *dealt]).where(hit).groupBy(*keys, *parts).agg(F.count("*").alias("_n"))
     return found.where(F.col("_n") == places).select(*keys, *parts)
 
 
-def new_rows(incoming: DataFrame, log: DataFrame, keys: list[str], filters: DataFrame, parts: list[str], bits: int = BITS, places: int = PLACES) -> tuple[DataFrame, list[tuple]]:
-    """The rows whose key the log lacks, and the parts that were read for it: those that some incoming key may be in. ``parts`` are the columns that the log is partitioned by; a part found by mistake is read and changes nothing."""
-    held = may_hold(incoming, keys, filters, parts, bits, places).select(*parts).distinct()
+def new_rows(incoming: DataFrame, log: DataFrame, keys: list[str], filters: DataFrame, parts: list[str], bits: int = BITS, places: int = PLACES, dealt: dict[str, Column] | None = None) -> tuple[DataFrame, list[tuple]]:
+    """The rows whose key the log lacks, and the parts that were read for it: those that some incoming key may be in. ``parts`` are the columns that the log is partitioned by; a part found by mistake is read and changes nothing. For ``dealt`` see ``may_hold``."""
+    held = may_hold(incoming, keys, filters, parts, bits, places, dealt).select(*parts).distinct()
     found = sorted(tuple(r) for r in held.collect())  # a row for each part of the log
     where = F.lit(False)
     by_first: dict = {}

@@ -89,3 +89,9 @@ def write_each(df: DataFrame, folder: str, kind: str, drop: list[str]) -> None:
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // FILES_A_TASK)
     w = df.repartition(tasks, *drop).drop(*drop).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     w.format(kind).save(folder)
+
+
+def write_parts(df: DataFrame, folder: str, parts: list[str], n: int) -> None:
+    """Parquet partitioned by ``parts``, about ``n`` of them, one file for each, in a new folder; tasks as in ``write_each``."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, n // FILES_A_TASK)
+    df.repartition(tasks, *parts).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*parts).parquet(folder)

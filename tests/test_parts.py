@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.prefix import carried
 from recordloom.operators import bloom, elements, extraction, layout, schemas, tables
+from recordloom.plans.catalog import queries
 from recordloom.sources import io
 
 
@@ -29,6 +30,23 @@ def test_filters_never_lose_a_row(spark, tmp_path, bits):
     assert bloom.new_rows(new, log.limit(0), ["k"], filters.limit(0), ["version", "part"], bits, 3)[0].count() == 6
 
 
+def test_keys_ask_the_filters_of_their_own_parts(spark):
+    part = lambda k: F.pmod(F.hash(k), F.lit(40))
+    log = spark.range(0, 900, 3).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("version"), part("id").alias("part"))
+    new = spark.range(0, 600, 20).select(F.col("id").alias("k"))
+    filters = bloom.built(log, ["k"], ["version", "part"], 64, 2)  # so small that other parts' filters have many keys by mistake
+    out, parts = bloom.new_rows(new, log, ["k"], filters, ["version", "part"], 64, 2, dealt={"part": part("k")})
+    assert sorted(r.k for r in out.collect()) == [k for k in range(0, 600, 20) if k % 3]
+    own = {(r.version, r.part) for r in new.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("version"), part("k").alias("part")).collect()}
+    assert set(parts) <= own and {(r.version, r.part) for r in log.join(new, "k").collect()} <= set(parts)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_parts_of_a_log_grow_in_number(spark):
+    assert tuple(queries()["landing_filtered"](spark, "/root/testdata/sf0.1").first()) == (1500, True)
+
+
+
 def test_as_of_join(spark):
     r = random.Random(2)
     right = [(k, at, f"{k}{at}") for k in "ab" for at in sorted(r.sample(range(400), 90))] + [(None, 5, "null key"), ("c", 9, None)]
