@@ -86,3 +86,13 @@ def test_layout_of_nulls_equal_values_and_nothing(spark):
     parts = layout.z_ordered(df, ["a", "b"], 4).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(parts) == 4 and max(x["count"] for x in parts) < 2000
     assert layout.z_ordered(df.limit(0), ["a", "n"], 4).count() == 0
+
+
+def test_files_are_judged_without_a_sort(spark, tmp_path):
+    spark.createDataFrame([("b", 1.0), ("d", float("nan"))], "s string, x double").coalesce(1).write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([(None, None), ("f", 2.0)], "s string, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    spark.createDataFrame([(None, None)], "s string, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    asked = {"gap": {"s": ("c", "c")}, "low": {"s": ("a", "b")}, "high": {"s": ("f", "z")}, "number": {"x": (3.0, 4.0)}, "both": {"s": ("c", "c"), "x": (2.0, 2.0)}, "none": {}}
+    out = layout.admitting(spark.read.parquet(f"{tmp_path}/t"), asked)
+    assert {r.predicate: (r.files, r.admitted) for r in out.collect()} == {"gap": (3, 1), "low": (3, 1), "high": (3, 1), "number": (3, 1), "both": (3, 1), "none": (3, 3)}
+    assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()
