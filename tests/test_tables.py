@@ -1,8 +1,11 @@
+import os
+
 import pytest
 from pyspark.errors import PySparkException as SparkException
 from pyspark.sql import functions as F
 
 from recordloom.operators import layout, quality, tables
+from recordloom.plans.catalog import queries
 
 
 def rows(df):
@@ -96,3 +99,11 @@ def test_files_are_judged_without_a_sort(spark, tmp_path):
     out = layout.admitting(spark.read.parquet(f"{tmp_path}/t"), asked)
     assert {r.predicate: (r.files, r.admitted) for r in out.collect()} == {"gap": (3, 1), "low": (3, 1), "high": (3, 1), "number": (3, 1), "both": (3, 1), "none": (3, 3)}
     assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_tasks_of_a_keyed_write_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100, raising=False)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    out = queries()["upsert_replace"](spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() >= lines // 100
