@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -136,28 +136,30 @@ def landed(stream: DataFrame, key: str, columns: list[str], order: list[str] | N
 class _Periods(StatefulProcessor):
     """The end of each key's open period; its timer clears it when no event that isn't late can fall into it."""
 
-    def __init__(self, stamp: str, keep_ms: int):
-        self.stamp, self.keep = stamp, keep_ms
+    def __init__(self, keep_ms: int):
+        self.keep = keep_ms
 
     def init(self, handle) -> None:
         self.handle, self.open = handle, handle.getValueState("open", "until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        frame = pd.concat(list(rows)).sort_values(self.stamp, kind="stable")
-        until = before = self.open.get()[0] if self.open.exists() else None
+        # plain rows: a key has few of them in a batch, and a frame for each key costs more than its rows
+        stored = self.open.get()
+        until = before = stored[0] if stored else None
         new = []
-        for t in (frame[self.stamp].astype("datetime64[us]").astype("int64") // 1000).tolist():
-            new.append(until is None or t >= until)
-            if new[-1]:
-                until = t + self.keep
+        for r in sorted(rows, key=lambda r: (r["_us"] is None, r["_us"] or 0)):
+            if r["_us"] is None:  # no time: the first of its key only where there is no other
+                new += [r] if until is None and not new else []
+            elif until is None or r["_us"] // 1000 >= until:
+                until = r["_us"] // 1000 + self.keep
+                new.append(r)
         if until != before:
             if before is not None:
                 self.handle.deleteTimer(before)
             self.open.update((until,))
             self.handle.registerTimer(until)
-        yield frame[new]
+        for r in new:
+            yield Row(**{k: v for k, v in r.asDict().items() if k != "_us"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         self.open.clear()
@@ -169,5 +171,5 @@ class _Periods(StatefulProcessor):
 
 def period_starts(events: DataFrame, key: str, stamp: str, keep_ms: int, late: str = "1 day") -> DataFrame:
     """The events that begin a period of their key: the first, and each that comes ``keep_ms`` or more after the one that began the period before. Events later than ``late`` are dropped; with that bound, the order in which the others come in different batches is theirs by time."""
-    stream = events.withWatermark(stamp, late)
-    return stream.groupBy(key).transformWithStateInPandas(_Periods(stamp, keep_ms), outputStructType=events.schema, outputMode="Append", timeMode="EventTime")
+    stream = events.withWatermark(stamp, late).withColumn("_us", F.unix_micros(stamp))
+    return stream.groupBy(key).transformWithState(_Periods(keep_ms), outputStructType=events.schema, outputMode="Append", timeMode="EventTime")

@@ -78,3 +78,32 @@ def test_windows_drop_what_is_late(spark, tmp_path):
     stream = streams.from_files(spark, folder, "*.parquet", spark.read.parquet(folder).schema, 1)
     out = streams.drained(streams.counts_by_window(stream, "ts", "1 day", "kind"), "append")
     assert [(r.w.start, r.n) for r in out.collect()] == [(START, 1)]
+
+
+def test_periods_of_plain_rows():
+    """A key's rows come as they are, without a frame for each key; rows without a time begin no period beside others."""
+    from pyspark.sql import Row
+
+    class Handle:
+        until, timers = None, set()
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return None if self.until is None else (self.until,)
+
+        def update(self, value):
+            self.until = value[0]
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    h, p = Handle(), streams._Periods(1000)
+    p.init(h)
+    batch = lambda *us: [r.asDict() for r in p.handleInputRows(("k",), iter([Row(id=i, _us=u) for i, u in enumerate(us)]), None)]
+    assert batch(2_500_000, 500_000, None, 1_499_999) == [{"id": 1}, {"id": 0}] and h.timers == {3500}
+    assert batch(3_499_999) == [] and batch(3_500_000) == [{"id": 0}] and h.timers == {4500}
