@@ -3,6 +3,7 @@ import os
 import duckdb
 import pytest
 
+from recordloom.operators import tables
 from recordloom.plans.catalog import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +26,12 @@ def test_against_sql(spark, name):
     at = [[d[0] for d in r.description].index(k) for k in order]
     text = lambda x: repr(round(x, 6)) if isinstance(x, float) else str(x)
     assert sorted(tuple(text(x[k]) for k in order) for x in df.collect()) == sorted(tuple(text(x[i]) for i in at) for x in r.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["verification_marks", "review_queue"])
+def test_tasks_of_merged_fields_grow_in_number(spark, monkeypatch, name):
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert queries()[name](spark, SF).rdd.getNumPartitions() >= lines // 100
+    test_against_sql(spark, name)
