@@ -107,3 +107,24 @@ def test_tasks_of_a_keyed_write_grow_in_number(spark, monkeypatch):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     out = queries()["upsert_replace"](spark, "/root/testdata/sf0.001")
     assert out.rdd.getNumPartitions() >= lines // 100
+
+
+def test_parts_are_put_together_from_splits(spark, tmp_path, monkeypatch):
+    many, one, uneven = (f"{tmp_path}/{x}/lineitem.parquet" for x in ("many", "one", "uneven"))
+    spark.range(1600).repartition(16).write.parquet(many)
+    spark.range(1600).coalesce(1).write.parquet(one)
+    spark.range(1600).coalesce(1).write.parquet(uneven)
+    spark.range(10).repartition(10).write.mode("append").parquet(uneven)
+    bytes_a_split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # a split for each file
+    try:
+        for folder, n, dealt in ((many, 1600, False), (one, 1600, True), (uneven, 1610, True)):
+            out = layout.in_parts(spark.read.parquet(folder), 8)
+            assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == dealt
+            assert sorted(r.id for r in out.collect()) == sorted(r.id for r in spark.read.parquet(folder).collect())
+            assert queries()["table_detail"](spark, folder.rpartition("/")[0]).first().asDict() == {"n_files": 8, "n_rows": n}
+        assert layout.in_parts(spark.read.parquet(many).where("id < 0"), 8).count() == 0
+        monkeypatch.delattr(type(spark.range(0)), "repartition")
+        assert tuple(queries()["table_detail"](spark, f"{tmp_path}/many").first()) == (8, 1600)  # no row is dealt
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_a_split)
